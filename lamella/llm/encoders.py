@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 #: Entries of one generation of the cache of units; two generations are kept.
-CACHE = 250_000
+CACHE = 600_000
 
 
 class Encoder:
@@ -36,6 +37,11 @@ class Encoder:
         if len(sep) != 1:
             self.kind = "whole"
         self.sep = sep[0]
+        self.lead = " " if self.kind == "space" else ""
+        #: units (between zero bytes) that need a closer look
+        self._odd = re.compile(r"\x00[\x00\s]|\s\x00|\s\s" if spaced else r"\x00\x00|\x01")
+        self._apart = re.compile(r"\s\s|\x00" if spaced else r"[\x00\x01]")
+        self.heads: dict[bytes, bytes] = {}
         self.new: dict[bytes, bytes | None] = {}
         self.old: dict[bytes, bytes | None] = {}
 
@@ -43,68 +49,75 @@ class Encoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, units: list[bytes]) -> None:
-        lead = " " if self.kind == "space" else ""
-        good, bad = [], []
-        for u in units:
-            s = u.decode()
-            if self.kind == "space":
-                fits = s and not s[0].isspace() and not s[-1].isspace() and "\n" not in s
-                if not s or s[0].isspace() or s[-1].isspace():
+        """Encode units (UTF-8) that are not in the cache."""
+        if not units:
+            return
+        flat = b"\x00".join(units).decode()
+        strs = flat.split("\x00")
+        if len(strs) != len(units) or self._odd.search(f"\x00{flat}\x00"):
+            good, strs = [], []
+            for u in units:
+                x = u.decode()
+                if self.kind == "space" and (not x or x[0].isspace() or x[-1].isspace()):
                     self.new[u] = None  # not a place to cut
-                    continue
-            else:
-                fits = "\x01" not in s
-            (good if fits else bad).append((u, lead + s))
-        for u, s in bad:
-            self.new[u] = self.whole(s)
-        groups = [good[i : i + 256] for i in range(0, len(good), 256)]
-        texts = [self.sep_text.join(s for _, s in g) for g in groups]
-        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                elif self._apart.search(x):
+                    self.new[u] = self.whole(self.lead + x)
+                else:
+                    good.append(u), strs.append(x)
+            units = good
+        if not units:
+            return
+        step, w = 256, self.dtype.itemsize
+        texts = [self.lead + (self.sep_text + self.lead).join(strs[i : i + step]) for i in range(0, len(strs), step)]
+        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            own = units[k * step : (k + 1) * step]
             ids = np.asarray(e.ids, self.dtype)
             cut = np.flatnonzero(ids == self.sep)
-            if len(cut) != len(g) - 1:  # cannot happen with the separators above; be exact all the same
-                for u, s in g:
-                    self.new[u] = self.whole(s)
+            if self.kind == "space" and len(cut) >= len(own):  # line ends within units are the same token
+                inner = np.cumsum([u.count(b"\n") + 1 for u in own])
+                if inner[-1] - 1 == len(cut):
+                    cut = cut[inner[:-1] - 1]
+            if len(cut) != len(own) - 1:  # the separator is a token of its own; be exact all the same
+                self.new.update((u, self.whole(self.lead + u.decode())) for u in own)
                 continue
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            lo = np.concatenate([[0], cut + 1]) * w
-            hi = np.concatenate([cut, [len(ids)]]) * w
-            for (u, _), a, b in zip(g, lo.tolist(), hi.tolist(), strict=True):
-                self.new[u] = raw[a:b]
+            raw = ids.tobytes()
+            lo, hi = [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)]
+            self.new.update(zip(own, [raw[a:b] for a, b in zip(lo, hi, strict=True)], strict=True))
 
     def batch(self, texts: list[bytes | None]) -> list[bytes]:
         """ids of each text, given as UTF-8; None counts as empty."""
         if self.kind == "whole":
             return [self.whole((t or b"").decode()) for t in texts]
-        if self.kind == "drop":
-            parts = [t.split() if t else [] for t in texts]
-            tails = parts
-        else:
-            parts = [t.split(b" ") if t else [] for t in texts]
-            tails = [p[1:] for p in parts]
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        units = set().union(*tails)
-        fresh = []
-        for u in units.difference(self.new):
-            if u in self.old:
-                self.new[u] = self.old[u]
-            else:
-                fresh.append(u)
-        self._learn(fresh)
+        spaced = self.kind == "space"
+        parts = [t.split(b" ") if spaced else t.split() for t in (t or b"" for t in texts)]
+        # what a text begins with has no space before it: kept under a key that no unit has
+        tails = [p[1:] for p in parts] if spaced else parts
+        fresh = set().union(*tails).difference(self.new)
+        if self.old:
+            known = fresh.intersection(self.old)
+            self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            fresh -= known
+        self._learn(list(fresh))
         out, get = [], self.new.__getitem__
         for t, p, tail in zip(texts, parts, tails, strict=True):
             ids = list(map(get, tail))
-            if None in ids:
-                out.append(self.whole(t.decode()))
-            elif self.kind == "drop" or not p:
+            if not spaced:
                 out.append(b"".join(ids))
-            elif p[0] and p[0].decode()[-1].isspace() or len(p) > 1 and not p[0]:
+            elif None in ids or len(p) > 1 and (not p[0] or p[0].decode()[-1].isspace()):
                 out.append(self.whole(t.decode()))
             else:
-                out.append(self.whole(p[0].decode()) + b"".join(ids))
+                out.append(self._first(p[0]) + b"".join(ids))
         return out
 
+    def _first(self, unit: bytes) -> bytes:
+        if len(self.heads) > 50_000:
+            self.heads.clear()
+        if unit not in self.heads:
+            self.heads[unit] = self.whole(unit.decode())
+        return self.heads[unit]
+
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
