@@ -156,7 +156,7 @@ def _locate(window: int, phrase: int, digest: bool, out: pa.Schema):
             automaton.make_automaton()
         for lo, hi, buf, off in K.pieces(left.column("__text")):
             starts, ends, first = K.spans(buf, off)
-            windows = None
+            windows = noted = None
             for r in range(lo, hi):
                 a, b = int(first[r - lo]), int(first[r - lo + 1])
                 n, i = b - a, ids[r]
@@ -180,6 +180,11 @@ def _locate(window: int, phrase: int, digest: bool, out: pa.Schema):
                     np.add.at(cover, np.maximum(begin + phrase - window, 0), 1)
                     np.add.at(cover, begin + 1, -1)
                     near = np.flatnonzero(np.cumsum(cover)[: n - window + 1] > 0)
+                    if noted is None:
+                        noted = K.sliding_min(K.ngrams(K.byte_hashes(buf, starts, ends), phrase), window - phrase + 1)
+                    # a window that recurs has noted a phrase that recurs
+                    mine = noted[a + near]
+                    near = near[wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine]
                     if len(near):
                         if windows is None:
                             windows = K.ngrams(K.byte_hashes(buf, starts, ends), window)
