@@ -1,8 +1,9 @@
 """Byte-level BPE over a corpus: each distinct pre-token is encoded once, in one global shuffle.
 
 1. Each task splits its texts into pre-tokens.  A run of texts becomes one *chunk*: the texts as positions in the
-   chunk's own list of distinct pre-tokens (most frequent first, so that positions are small), and that list.
-2. Pre-tokens are dealt by a hash of themselves, sorted, and each distinct one is encoded once by the ranks.
+   chunk's own list of distinct pre-tokens, and that list.
+2. Pre-tokens are dealt by a hash of themselves to shards (a chunk's share of a shard moves as one compressed row), and
+   each distinct one is encoded once by the ranks.  Give more ``shards`` than shuffle partitions for larger vocabularies.
 3. The ids go back to the chunk, and texts are put together again by position.
 
 Words thus move once per chunk that holds them, whatever their frequency; no word, however common, makes a large
@@ -67,16 +68,52 @@ class _Units(dict):
         return got
 
 
-def _split(pattern: str, part: str, chunk_bytes: int):
-    """part: "texts" or "words", the two sides of the chunks; both are made from the same rows in the same way."""
+def _pack(parts: list[bytes]) -> bytes:
+    """Byte strings as one compressed blob: their number, their lengths, their bytes."""
+    import zstandard
+
+    sizes = np.fromiter(map(len, parts), "<u4", len(parts)).tobytes()
+    return zstandard.ZstdCompressor(3).compress(np.asarray([len(parts)], "<u4").tobytes() + sizes + b"".join(parts))
+
+
+def _unpack(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=False)] if n else []
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers with their low bytes together, and so on, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(3).compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+def _shard_of(words: list[bytes], shards: int) -> np.ndarray:
+    """The shard of each word."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(shards)
+
+
+def _split(pattern: str, part: str, chunk_bytes: int, shards: int):
+    """part: "texts" or "words", the two sides of the chunks; both number the same pre-tokens in the same way."""
     if part == "texts":
-        schema = pa.schema([("chunk", pa.int64()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("codes", pa.binary())])
+        schema = pa.schema([("chunk", pa.int64()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("codes", pa.binary()), ("shards", pa.binary())])
     else:
-        schema = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("word", pa.string())])
+        schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
         import regex
-        import zstandard
 
         findall = regex.compile(pattern).findall
         base, count = TaskContext.get().partitionId() << 24, 0
@@ -89,38 +126,36 @@ def _split(pattern: str, part: str, chunk_bytes: int):
         def flush():
             nonlocal numbers, units, ids, codes, size, count
             chunk = base + count
-            flat = np.frombuffer(b"".join(codes), np.int32)
-            freq = np.bincount(flat, minlength=len(numbers))
-            order = np.argsort(-freq, kind="stable")
+            words = [w.encode() for w in numbers]
+            shard = _shard_of(words, shards)
             if part == "texts":
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(len(order))
-                planes = rank[flat].view(np.uint8).reshape(-1, 4).T.copy() if len(flat) else np.zeros((4, 0), np.uint8)
-                blob = zstandard.ZstdCompressor(3).compress(planes.tobytes())
                 n = [len(c) // 4 for c in codes]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([blob], pa.binary())], schema=schema)
+                blobs = _planes(np.frombuffer(b"".join(codes), np.int32)), _planes(shard.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], schema=schema)
             else:
-                words = list(numbers)
-                for a in range(0, len(order), 8192):
-                    pick = order[a : a + 8192].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(pick)), pa.array(np.arange(a, a + len(pick)), pa.int32()), pa.array([words[i] for i in pick])], schema=schema)
+                order = np.argsort(shard, kind="stable")
+                which, first = np.unique(shard[order], return_index=True)
+                cut = [*first.tolist(), len(order)]
+                blobs = [_pack([words[i] for i in order[a:b].tolist()]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(blobs), pa.int64()), pa.array(which.astype(np.int64)), pa.array(blobs, pa.binary())], schema=schema)
             count += 1
             numbers = _Numbers()
             units = _Units(numbers, findall)
             ids, codes, size = [], [], 0
 
         for batch in batches:
-            doc = batch.column("id")
+            doc = batch.column("id").to_pylist()
             text = batch.column("text")
-            for r in range(batch.num_rows):
+            for r, i in enumerate(doc):
                 t = text[r].as_py() or ""
                 p = t.split(" ")
-                got = list(map(units.__getitem__, p[1:]))
-                if None in got or len(p) > 1 and (not p[0] or p[0][-1].isspace()):
-                    code = np.fromiter(map(numbers.__getitem__, findall(t)), np.int32).tobytes()
-                else:
-                    code = np.fromiter(map(numbers.__getitem__, findall(p[0])), np.int32).tobytes() + b"".join(got)
-                ids.append(doc[r].as_py()), codes.append(code)
+                tail = p[1:] if part == "texts" else dict.fromkeys(p[1:])
+                got = list(map(units.__getitem__, tail))
+                whole = None in got or len(p) > 1 and (not p[0] or p[0][-1].isspace())
+                head = np.fromiter(map(numbers.__getitem__, findall(t if whole else p[0])), np.int32)
+                ids.append(i)
+                if part == "texts":
+                    codes.append(head.tobytes() if whole else head.tobytes() + b"".join(got))
                 size += len(t)
                 if size >= chunk_bytes:
                     yield from flush()
@@ -131,38 +166,37 @@ def _split(pattern: str, part: str, chunk_bytes: int):
 
 
 def _encode_words(path: str, pattern: str):
-    """Sorted words of a partition: runs of equal words are encoded once."""
-    schema = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("ids", pa.binary())])
+    """One shard: each distinct word is encoded once, for all the chunks that hold it."""
 
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
         single = _core(path, pattern)._core_bpe.encode_single_piece
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != last:
-                    last, ids = w, np.asarray(single(w.encode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pa.array(out, pa.binary())], schema=schema)
+        known: dict[bytes, bytes] = {}
+        out = []
+        for blob in table.column("words").to_pylist():
+            words = _unpack(blob)
+            for w in words:
+                if w not in known:
+                    known[w] = np.asarray(single(w), "<u4").tobytes()
+            out.append(_pack([known[w] for w in words]))
+        return pa.table({"of": table.column("chunk"), "shard": table.column("shard"), "ids": pa.array(out, pa.binary())})
 
     return run
 
 
 def _assemble(path: str, full: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
         table = token_bytes(path)
-        place = np.asarray(right.column("place"))
-        ids = right.column("ids").to_pylist()
-        word: list = [b""] * len(ids)
-        for k, x in zip(place.tolist(), ids, strict=True):
-            word[k] = x
-        get, byte_of = word.__getitem__, table.__getitem__
+        got = {s: blob for s, blob in zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), strict=True)}
+        byte_of = table.__getitem__
         out: dict[str, list] = {"id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
         for row in left.to_pylist():
-            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
-            codes = planes.reshape(4, -1).T.copy().view(np.int32).ravel().tolist() if len(planes) else []
+            shard = _numbers(row["shards"])
+            order = np.argsort(shard, kind="stable").tolist()
+            word: list = [b""] * len(order)
+            for k, x in zip(order, (x for s in np.unique(shard).tolist() for x in _unpack(got[s])), strict=True):
+                word[k] = x
+            get = word.__getitem__
+            codes = _numbers(row["codes"]).tolist()
             a = 0
             for i, n in zip(row["id"], row["n"], strict=True):
                 raw = b"".join(map(get, codes[a : a + n]))
@@ -194,7 +228,7 @@ def token_bytes(path: str) -> list[bytes]:
     return _TABLES[path]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, chunk_bytes: int = CHUNK_BYTES, stable: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, chunk_bytes: int = CHUNK_BYTES, stable: bool = False, shards: int | None = None) -> DataFrame:
     """Encode each text and decode the ids again: id, n_tokens and ids (little-endian u32), decoded (bytes).
 
     With ``full=False`` the SHA-256 of ids and of decoded bytes stand in their place.  Texts are read twice and must
@@ -203,11 +237,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     tune(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     d = d if stable else materialize(d, "bpe-input")
-    texts = d.mapInArrow(_split(pattern, "texts", chunk_bytes), "chunk long, id array<long>, n array<long>, codes binary")
-    words = d.mapInArrow(_split(pattern, "words", chunk_bytes), "chunk long, place int, word string")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary, pattern), "chunk long, place int, ids binary")
+    shards = shards or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = d.mapInArrow(_split(pattern, "texts", chunk_bytes, shards), "chunk long, id array<long>, n array<long>, codes binary, shards binary")
+    words = d.mapInArrow(_split(pattern, "words", chunk_bytes, shards), "chunk long, shard long, words binary")
+    coded = words.groupBy("shard").applyInArrow(_encode_words(vocabulary, pattern), "of long, shard long, ids binary")
     names = "ids binary, decoded binary" if full else "ids_sha256 string, decoded_sha256 string"
-    out = texts.groupBy("chunk").cogroup(coded.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(_assemble(vocabulary, full), f"id long, n_tokens long, {names}")
+    out = texts.groupBy("chunk").cogroup(coded.groupBy("of")).applyInArrow(_assemble(vocabulary, full), f"id long, n_tokens long, {names}")
     return out.withColumnRenamed("id", id_col)
 
 
