@@ -2,5 +2,285 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.scalar import half_up
+from ..operators import components as C
+from ..operators import enhance as E
+from ..operators import reduce as R
+from ..operators import resample as Z
+from ..operators import rules as U
+from ..operators import stencil as S
+from ..sources import adapters as A
+
+#: fixed values: tissue classes as (class, lo, hi, opacity)
+TISSUES = (("air", -2000, -400, 0.05), ("lung", -900, -300, 0.1), ("fat", -300, -50, 0.2), ("soft", -50, 150, 0.3), ("vessel", 150, 450, 0.6), ("bone", 300, 1500, 0.8), ("enamel", 1500, 3000, 0.9), ("metal", 2500, 5000, 1.0))
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+VOX = """WITH s AS (SELECT label AS series, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z, embedding FROM embeddings),
+v AS (SELECT series, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, CAST(z AS INT) AS z, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 4000 + 0.5) AS BIGINT) AS hu FROM s, range(64) t(i))"""
+STACK = """WITH st AS (SELECT l_suppkey AS series, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 0.5::DOUBLE AS z, l_extendedprice AS value FROM lineitem),
+pl AS (SELECT DISTINCT series, z FROM st), g AS (SELECT series, z, z - lag(z) OVER (PARTITION BY series ORDER BY z) AS gap FROM pl)"""
+PIX = """WITH e AS (SELECT vec_id // 64 AS img, vec_id % 64 AS t, embedding FROM embeddings),
+f AS (SELECT img FROM e GROUP BY img HAVING count(*) = 64),
+p AS (SELECT img, CAST((t % 8) * 8 + i % 8 AS INT) AS x, CAST((t // 8) * 8 + i // 8 AS INT) AS y, CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (CAST(embedding[i + 1] AS DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE * 255)) + 0.5::DOUBLE) AS BIGINT) AS v FROM e JOIN f USING (img), range(64) r(i))"""
+HEAD = """WITH h AS (SELECT p_partkey AS id, p_brand AS study, p_size * 8 AS frames, CASE WHEN p_partkey % 5 = 0 THEN 96 ELSE 512 END AS rows_,
+CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey % 9 + 1) * 0.6::DOUBLE END AS spacing, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 4 + 1) * 0.25::DOUBLE END AS in_plane,
+p_partkey % 3 AS axis, p_partkey % 7 = 0 AS irregular, p_partkey % 17 <> 0 AS has_positions, p_partkey % 6 = 0 AS lossy, p_partkey % 19 = 0 AS derived FROM part)"""
+CLASSES = "c(class, lo, hi, opacity, ord) AS (VALUES " + ", ".join(f"('{c}', {lo}, {hi}, {o}::DOUBLE, {i})" for i, (c, lo, hi, o) in enumerate(TISSUES)) + ")"
+
+
+def _classes(spark):
+    return spark.createDataFrame([(*t, i) for i, t in enumerate(TISSUES)], "class string, lo int, hi int, opacity double, ord int")
+
+
+@query(f"{VOX} SELECT series, count(*) AS voxels, count(*)::DOUBLE AS volume_mm3, round(avg(hu), 6) AS mean_hu, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v WHERE hu >= 200 GROUP BY series")
+def bone_summary(spark, d):
+    return R.bone_summary(A.voxels(spark, d))
+
+
+@query(f"""{VOX}, w AS (SELECT * FROM v WHERE hu >= -300), ed AS (SELECT series, min(hu) lo, max(hu) hi FROM w GROUP BY series),
+b AS (SELECT series, lo, hi, CAST(floor((hu - lo) * 511 / (hi - lo) + 0.5) AS INT) bin FROM w JOIN ed USING (series) WHERE hi > lo), h AS (SELECT series, lo, hi, bin, count(*) n FROM b GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER o n0, sum(n * bin) OVER o s0, sum(n) OVER a n_all, sum(n * bin) OVER a s_all FROM h WINDOW o AS (PARTITION BY series ORDER BY bin), a AS (PARTITION BY series)),
+bt AS (SELECT series, lo, hi, bin, round(n0::DOUBLE * (n_all - n0)::DOUBLE * (s0 / n0 - (s_all - s0) / (n_all - n0)) * (s0 / n0 - (s_all - s0) / (n_all - n0)), 3) btw FROM k WHERE n_all > n0),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY btw DESC, bin) rn FROM bt)
+SELECT ed.series, round(coalesce(r.lo + r.bin * (r.hi - r.lo) / 511, 300.0), 6) AS threshold FROM ed LEFT JOIN r ON r.series = ed.series AND rn = 1""")
+def otsu_threshold(spark, d):
+    return R.otsu(A.voxels(spark, d))
+
+
+@query(f"{VOX}, w AS (SELECT series, list_sort(list(hu)) l FROM v WHERE hu > -300 AND hu < 200 GROUP BY series) SELECT a.series, coalesce(l[len(l) // 2 + 1], 0)::BIGINT AS level FROM (SELECT DISTINCT series FROM v) a LEFT JOIN w USING (series)")
+def soft_level(spark, d):
+    return R.soft_level(A.voxels(spark, d))
+
+
+@query(f"{VOX}, w AS (SELECT series, list_sort(list(hu)) l FROM v GROUP BY series) SELECT series, l[least(floor(len(l) * 99.9::DOUBLE / 100)::BIGINT, len(l) - 1) + 1] AS p FROM w")
+def percentile_999(spark, d):
+    return R.percentile(A.voxels(spark, d), 99.9)
+
+
+@query("""WITH w AS (SELECT user_id, list_sort(list(value)) l FROM events GROUP BY user_id), q AS (SELECT user_id, l[-1] AS top, l[least(floor(len(l) * 50::DOUBLE / 100)::BIGINT, len(l) - 1) + 1] p50, l[least(floor(len(l) * 99.9::DOUBLE / 100)::BIGINT, len(l) - 1) + 1] p999 FROM w)
+SELECT user_id, CASE WHEN top - p999 >= 0.15::DOUBLE * (top - p50) THEN round(p999 + 0.6::DOUBLE * (top - p999), 6) END AS seed, CASE WHEN top - p999 >= 0.15::DOUBLE * (top - p50) THEN round(p999, 6) END AS low FROM q""")
+def metal_thresholds(spark, d):
+    return R.metal_thresholds(A.table(spark, d, "events").where("value is not null"), "value", "user_id")
+
+
+@query(f"""{VOX}, c AS (SELECT series, z, count(*) FILTER (hu > 700) n0, count(*) FILTER (hu > 500) n1, count(*) FILTER (hu > 300) n2 FROM v GROUP BY ALL),
+b AS (SELECT series, max(n0) m0, max(n1) m1, max(n2) m2, arg_max(z, n0 * 100000 - z) z0, arg_max(z, n1 * 100000 - z) z1, arg_max(z, n2 * 100000 - z) z2, (max(z) + 1) // 2 mid FROM c GROUP BY series)
+SELECT series, CASE WHEN m0 > 2 THEN z0 WHEN m1 > 2 THEN z1 WHEN m2 > 2 THEN z2 ELSE mid END::BIGINT AS slice FROM b""")
+def dental_slice(spark, d):
+    return R.dental_slice(A.voxels(spark, d))
+
+
+@query(f"{VOX}, {CLASSES} SELECT series, class, count(*) AS voxels FROM v JOIN c ON hu >= lo AND hu < hi GROUP BY ALL")
+def tissue_histogram(spark, d):
+    return R.tissue_histogram(A.voxels(spark, d), _classes(spark))
+
+
+@query(f"""WITH u AS (SELECT DISTINCT (CAST(floor(value) AS BIGINT) * 5) AS u FROM events WHERE value IS NOT NULL), {CLASSES},
+j AS (SELECT u, class, ord, round(opacity * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (u - lo + 20) / 20), greatest(0.0::DOUBLE, (hi + 20 - u) / 20)), 6) o FROM u LEFT JOIN c ON u >= lo - 20 AND u <= hi + 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY o DESC NULLS LAST, ord) rn FROM j) SELECT u, class, coalesce(o, 0.0::DOUBLE) AS opacity FROM r WHERE rn = 1""")
+def transfer_table(spark, d):
+    levels = A.table(spark, d, "events").where("value is not null").select((F.floor("value") * 5).alias("u")).distinct()
+    return U.transfer(levels, _classes(spark))
+
+
+@query(f"""{STACK} SELECT a.series, slices, n - slices AS duplicates, median_gap, min_gap, max_gap, max_gap > 1.15::DOUBLE * median_gap OR min_gap < 0.85::DOUBLE * median_gap AS irregular
+FROM (SELECT series, count(*) slices, median(gap) median_gap, min(gap) min_gap, max(gap) max_gap FROM g GROUP BY series) a JOIN (SELECT series, count(*) n FROM st GROUP BY series) b USING (series)""")
+def stack_geometry(spark, d):
+    return Z.stack_geometry(A.stack(spark, d))
+
+
+@query(f"{STACK}, w AS (SELECT series, list_sort(list(gap)) l FROM g WHERE gap > 0.001 GROUP BY series) SELECT series, l[len(l) // 2 + 1] AS spacing FROM w")
+def header_spacing(spark, d):
+    return Z.header_spacing(A.stack(spark, d))
+
+
+@query(f"""{STACK}, one AS (SELECT series, z, avg(value) AS value FROM st GROUP BY ALL), geo AS (SELECT series, median(gap) step, min(z) z0, max(z) z1 FROM g GROUP BY series HAVING median(gap) > 0),
+gr AS (SELECT series, k, least(z0 + k * step, z1) z FROM (SELECT *, unnest(range(0, CAST(floor((z1 - z0) / step + 0.5) AS BIGINT) + 1)) AS k FROM geo)),
+lo AS (SELECT gr.series, k, gr.z, o.z az, o.value av FROM gr ASOF JOIN one o ON gr.series = o.series AND gr.z >= o.z), hi AS (SELECT lo.*, o.z bz, o.value bv FROM lo ASOF JOIN one o ON lo.series = o.series AND lo.z <= o.z)
+SELECT series, CAST(k AS INT) AS k, round(av + (bv - av) * CASE WHEN bz > az THEN (z - az) / (bz - az) ELSE 0.0 END, 4) AS value FROM hi""")
+def gap_fill(spark, d):
+    return Z.fill_gaps(A.stack(spark, d))
+
+
+@query(f"{VOX} SELECT series, x // 2 AS x, y // 2 AS y, z, CAST(floor(avg(hu) + 0.5) AS BIGINT) AS hu FROM v GROUP BY series, x // 2, y // 2, z")
+def block_mean(spark, d):
+    return Z.block_mean(A.voxels(spark, d))
+
+
+_PLANES = f"""{VOX}, k AS (SELECT series, unnest(range(0, CAST(floor(max(z) / 0.4::DOUBLE + 1e-9) AS BIGINT) + 1)) AS k, max(z) AS zmax FROM v GROUP BY series),
+q AS (SELECT series, k, zmax, least(zmax, CAST(floor(k * 0.4::DOUBLE + 1e-9) AS INT)) AS z1 FROM k), t AS (SELECT *, greatest(0.0::DOUBLE, k * 0.4::DOUBLE - z1) AS t FROM q),
+p AS (SELECT t.series, b.x, b.y, k, t, coalesce(a.hu, b.hu) p0, b.hu p1, coalesce(c.hu, b.hu) p2, coalesce(e.hu, c.hu, b.hu) p3 FROM t JOIN v b ON b.series = t.series AND b.z = z1
+LEFT JOIN v a ON a.series = b.series AND a.x = b.x AND a.y = b.y AND a.z = z1 - 1 LEFT JOIN v c ON c.series = b.series AND c.x = b.x AND c.y = b.y AND c.z = z1 + 1 LEFT JOIN v e ON e.series = b.series AND e.x = b.x AND e.y = b.y AND e.z = z1 + 2)"""
+
+
+@query(f"{_PLANES} SELECT series, x, y, k, CAST(floor(p1 + (p2 - p1) * t + 0.5) AS BIGINT) AS hu FROM p")
+def resample_z_linear(spark, d):
+    return Z.resample_z(A.voxels(spark, d), 0.4)
+
+
+@query(f"{_PLANES} SELECT series, x, y, k, CAST(floor(greatest(least(p1, p2), least(greatest(p1, p2), p1 + (p2 - p0 + (p0 * 2 - p1 * 5 + p2 * 4 - p3 + (p1 * 3 - p0 - p2 * 3 + p3) * t) * t) * t * 0.5::DOUBLE)) + 0.5) AS BIGINT) AS hu FROM p")
+def resample_z_cubic(spark, d):
+    return Z.resample_z(A.voxels(spark, d), 0.4, method="cubic")
+
+
+@query(f"{VOX}, m AS (SELECT *, CASE WHEN hu >= 400 THEN 1 ELSE 0 END m FROM v) SELECT a.series, a.x, a.y, a.z, max(b.m) AS m FROM m a JOIN m b ON a.series = b.series AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 GROUP BY ALL")
+def dilate_box(spark, d):
+    v = A.voxels(spark, d).withColumn("m", (F.col("hu") >= 400).cast("int"))
+    return S.dilate(v, {"x": 1, "y": 1, "z": 1}).select("series", "x", "y", "z", "m")
+
+
+@query(f"{VOX}, m AS (SELECT * FROM v WHERE hu >= 0) SELECT v.series, v.x, v.y, v.z, CAST(count(b.x) = 7 AS INT) AS m FROM v LEFT JOIN m b ON v.series = b.series AND abs(v.x - b.x) + abs(v.y - b.y) + abs(v.z - b.z) <= 1 GROUP BY ALL")
+def erode_six(spark, d):
+    v = A.voxels(spark, d).withColumn("m", (F.col("hu") >= 0).cast("int"))
+    return S.erode6(v).select("series", "x", "y", "z", "m")
+
+
+def _gauss(axis: str, source: str, target: str) -> str:
+    other = [a for a in "xyz" if a != axis]
+    key = " AND ".join(f"a.{o} = b.{o}" for o in other)
+    return f"""{target} AS (SELECT a.series, a.x, a.y, a.z, sum(b.v * g.w) v FROM {source} a JOIN ext USING (series) CROSS JOIN g JOIN {source} b ON a.series = b.series AND {key}
+AND b.{axis} = greatest(0, least(ext.m{axis}, a.{axis} + g.k)) GROUP BY ALL)"""
+
+
+@query(f"""{VOX}, ext AS (SELECT series, max(x) mx, max(y) my, max(z) mz FROM v GROUP BY series), g0 AS (SELECT k, exp(-k * k / (2 * 0.8::DOUBLE * 0.8::DOUBLE)) w FROM range(-2, 3) r(k)), g AS (SELECT k, w / (SELECT sum(w) FROM g0) w FROM g0),
+v0 AS (SELECT series, x, y, z, hu::DOUBLE v FROM v), {_gauss("x", "v0", "vx")}, {_gauss("y", "vx", "vy")}, {_gauss("z", "vy", "vz")} SELECT series, x, y, z, round(v, 4) AS v FROM vz""")
+def gaussian_smooth(spark, d):
+    v = A.voxels(spark, d).select("series", "x", "y", "z", F.col("hu").cast("double").alias("v"))
+    return S.gaussian(v, {"x": 0.8, "y": 0.8, "z": 0.8}, "v").select("series", "x", "y", "z", F.round("v", 4).alias("v"))
+
+
+_NINE = "JOIN p b ON a.img = b.img JOIN range(-1, 2) dx(i) ON b.x = greatest(0, least(63, a.x + i)) JOIN range(-1, 2) dy(j) ON b.y = greatest(0, least(63, a.y + j))"
+
+
+@query(f"{PIX} SELECT a.img, a.x, a.y, list_sort(list(b.v))[5] AS v FROM p a {_NINE} GROUP BY ALL")
+def median_three(spark, d):
+    return S.median3(A.pixels(spark, d)).select("img", "x", "y", "v")
+
+
+@query(f"{PIX} SELECT a.img, a.x, a.y, round(sum(b.v) / 9.0::DOUBLE, 4) AS v FROM p a {_NINE} GROUP BY ALL")
+def box_blur(spark, d):
+    return S.box_blur(A.pixels(spark, d), 1).select("img", "x", "y", F.round("v", 4).alias("v"))
+
+
+@query(f"""{PIX}, q AS (SELECT img, x, y, CAST(v AS INT) bin FROM p), h AS (SELECT img, x // 16 tx, y // 16 ty, bin, count(*) n FROM q GROUP BY ALL),
+l AS (SELECT img, tx, ty, bin, sum(least(n::DOUBLE, 2.5::DOUBLE)) OVER (PARTITION BY img, tx, ty ORDER BY bin) cum FROM h), o AS (SELECT img, tx, ty, sum(greatest(n - 2.5::DOUBLE, 0.0::DOUBLE)) / 256 share FROM h GROUP BY ALL),
+fp AS (SELECT *, (x + 0.5::DOUBLE) / 16 - 0.5::DOUBLE fx, (y + 0.5::DOUBLE) / 16 - 0.5::DOUBLE fy FROM q), c AS (SELECT fp.*, CAST(floor(fx) AS INT) x0, CAST(floor(fy) AS INT) y0, a, b FROM fp, range(2) r(a), range(2) s(b)),
+k AS (SELECT img, x, y, bin, greatest(0, least(3, x0 + a)) tx, greatest(0, least(3, y0 + b)) ty, CASE WHEN a = 1 THEN fx - x0 ELSE 1 - fx + x0 END * CASE WHEN b = 1 THEN fy - y0 ELSE 1 - fy + y0 END w FROM c),
+j AS (SELECT k.*, l.cum FROM k ASOF LEFT JOIN l ON k.img = l.img AND k.tx = l.tx AND k.ty = l.ty AND k.bin >= l.bin)
+SELECT j.img, x, y, round(sum((coalesce(cum, 0) + share * (bin + 1)) / 256 * 255 * w), 4) AS v FROM j JOIN o USING (img, tx, ty) GROUP BY ALL""")
+def clahe(spark, d):
+    return E.clahe(A.pixels(spark, d))
+
+
+@query(f"""{VOX}, m AS (SELECT row_number() OVER () id, * FROM v WHERE hu >= 300), dims AS (SELECT series, max(z) + 1 nz FROM v GROUP BY series)
+SELECT series, component, count(*) AS voxels FROM (WITH RECURSIVE r(series, i, c) AS (SELECT series, (z * 8 + y) * 8 + x, (z * 8 + y) * 8 + x FROM m
+UNION SELECT b.series, (b.z * 8 + b.y) * 8 + b.x, r.c FROM r JOIN m b ON r.series = b.series AND abs(b.x - r.i % 8) + abs(b.y - r.i // 8 % 8) + abs(b.z - r.i // 64) = 1) SELECT series, i, min(c) AS component FROM r GROUP BY ALL) GROUP BY ALL""")
+def components_six(spark, d):
+    return C.components6(A.voxels(spark, d), 300)
+
+
+@query(ORACLE["components_six"].replace("SELECT series, component, count(*) AS voxels FROM (WITH", ", cc AS (SELECT series, component, count(*) AS voxels FROM (WITH") + ") SELECT series, component, voxels FROM cc QUALIFY voxels >= greatest(max(voxels) OVER (PARTITION BY series) * 0.005, 5)")
+def keep_large_components(spark, d):
+    return C.keep_large(C.components6(A.voxels(spark, d), 300))
+
+
+@query(f"""{VOX}, n AS (SELECT a.series, a.z, a.x, a.y, a.hu >= 0 AS inside, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d2, count(b.x) k FROM v a LEFT JOIN v b ON a.series = b.series AND a.z = b.z AND (a.hu >= 0) <> (b.hu >= 0) GROUP BY ALL)
+SELECT series, z, x, y, round(CASE WHEN k = 0 THEN CASE WHEN inside THEN 40.0 ELSE -0.5 END WHEN inside THEN sqrt(d2) - 0.5 ELSE 0.5 - sqrt(d2) END::DOUBLE, 6) AS d FROM n""")
+def signed_distance(spark, d):
+    return C.signed_distance(A.voxels(spark, d))
+
+
+@query(f"{VOX} SELECT series, z, x, CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (hu + 600) * 255 / 1200.0::DOUBLE)) + 0.5) AS BIGINT) AS gray FROM v WHERE y = 4")
+def mpr_coronal_window(spark, d):
+    gray = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("hu") + 600) * 255 / 1200.0))
+    return A.voxels(spark, d).where("y = 4").select("series", "z", "x", half_up(gray).alias("gray"))
+
+
+_MIRROR = "SELECT m.series, m.part, count(*) AS voxels, count(*) FILTER (m.x < 4) AS low_side, round(avg(CASE WHEN o.x IS NULL THEN 0 ELSE 1 END), 6) AS overlap FROM m LEFT JOIN m o ON m.series = o.series AND m.y = o.y AND m.z = o.z AND o.x = 7 - m.x GROUP BY ALL"
+
+
+@query(f"{VOX}, m AS (SELECT *, 0 AS part FROM v WHERE hu >= 200) {_MIRROR}")
+def mirror_symmetry(spark, d):
+    return U.mirror_symmetry(A.voxels(spark, d))
+
+
+@query(f"{VOX}, b AS (SELECT * FROM v WHERE hu >= 200), e AS (SELECT series, min(z) lo, max(z) hi FROM b GROUP BY series), m AS (SELECT b.*, CAST(least(2, floor((z - lo) * 3 / greatest(1, hi - lo + 1))) AS INT) AS part FROM b JOIN e USING (series)) {_MIRROR}")
+def symmetry_thirds(spark, d):
+    return U.mirror_symmetry(A.voxels(spark, d), thirds=True)
+
+
+_Q = "coalesce(spacing, 5.0)"
+
+
+@query(f"""{HEAD}, s AS (SELECT *, greatest(0, 100 - CASE WHEN {_Q} > 3 THEN 45 WHEN {_Q} > 1.25 THEN 20 ELSE 0 END - CASE WHEN frames < 40 THEN 15 ELSE 0 END - CASE WHEN coalesce(in_plane, 1.0) > 0.8 THEN 10 ELSE 0 END - 10 * irregular::INT - 10 * (NOT has_positions)::INT - 5 * lossy::INT - 5 * derived::INT) AS score FROM h)
+SELECT id, CAST(score AS INT) AS score, CASE WHEN score >= 75 THEN 'good' WHEN score >= 45 THEN 'moderate' ELSE 'limited' END AS level, concat_ws('; ', CASE WHEN {_Q} > 3 THEN 'thick slices' END, CASE WHEN {_Q} > 1.25 AND {_Q} <= 3 THEN 'moderate slices' END, CASE WHEN frames < 40 THEN 'few slices' END, CASE WHEN coalesce(in_plane, 1.0) > 0.8 THEN 'coarse pixels' END, CASE WHEN irregular THEN 'irregular gaps' END, CASE WHEN NOT has_positions THEN 'no positions' END, CASE WHEN lossy THEN 'lossy' END, CASE WHEN derived THEN 'derived' END) AS warnings FROM s""")
+def quality_score(spark, d):
+    return U.quality(A.series_headers(spark, d))
+
+
+@query(f"{HEAD}, r AS (SELECT study, id, round(CASE WHEN frames < 3 OR rows_ < 128 THEN -1.0::DOUBLE ELSE frames / greatest(0.3::DOUBLE, coalesce(spacing, 5.0::DOUBLE)) END, 6) AS rank FROM h) SELECT study, id, rank FROM r QUALIFY row_number() OVER (PARTITION BY study ORDER BY rank DESC, id) = 1")
+def best_series(spark, d):
+    return U.best_series(A.series_headers(spark, d))
+
+
+@query(f"{HEAD} SELECT id, CAST(a AS INT) AS a, round(CASE WHEN a = axis THEN coalesce(spacing, 5.0::DOUBLE) ELSE coalesce(in_plane, 1.0::DOUBLE) END, 6) AS mm FROM h, range(3) r(a)")
+def series_resolution(spark, d):
+    return U.resolution(A.series_headers(spark, d))
+
+
+_BOX = "SELECT s_suppkey AS id, s_nationkey AS g, (s_suppkey % 13) * 3.0::DOUBLE AS x0, (s_suppkey % 13) * 3.0::DOUBLE + s_suppkey % 5 + 4 AS x1, (s_suppkey % 7) * 2.0::DOUBLE AS y0, (s_suppkey % 7) * 2.0::DOUBLE + 6 AS y1 FROM supplier"
+
+
+@query(f"WITH b AS ({_BOX}), j AS (SELECT p.id AS a, q.id AS b, round(greatest(0.0::DOUBLE, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0.0::DOUBLE, least(p.y1, q.y1) - greatest(p.y0, q.y0)) / ((q.x1 - q.x0) * (q.y1 - q.y0)), 6) AS fraction FROM b p JOIN b q ON p.g = q.g AND p.id <> q.id) SELECT * FROM j WHERE fraction > 0")
+def series_overlap(spark, d):
+    k = F.col("s_suppkey")
+    x0, y0 = (k % 13) * 3.0, (k % 7) * 2.0
+    return U.overlap(A.table(spark, d, "supplier").select(k.alias("id"), F.col("s_nationkey").alias("g"), x0.alias("x0"), (x0 + k % 5 + 4).alias("x1"), y0.alias("y0"), (y0 + 6).alias("y1")))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'iohexol' ELSE '' END AS agent, CASE turn % 3 WHEN 0 THEN 'CT contrast ' WHEN 1 THEN 'sem contraste ' ELSE '' END || text AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN agent <> '' AND agent <> 'none' THEN true ELSE regexp_matches(lower(coalesce(t, '')), 'contrast|c/c|\\+c') AND NOT regexp_matches(lower(coalesce(t, '')), 'sem contrast|s/c') END AS contrast FROM t""")
+def contrast_flag(spark, d):
+    c = A.table(spark, d, "conversations")
+    agent = F.when(F.col("conv_id") % 4 == 0, "none").when(F.col("conv_id") % 4 == 1, "iohexol").otherwise("")
+    text = F.concat(F.when(F.col("turn") % 3 == 0, "CT contrast ").when(F.col("turn") % 3 == 1, "sem contraste ").otherwise(""), F.col("text"))
+    return c.select("conv_id", "turn", U.contrast_flag(agent, text).alias("contrast"))
+
+
+_NAME = "regexp_extract(url, '([^/?#]*)([?#].*)?$', 1)"
+
+
+@query(f"SELECT page_id, {_NAME} AS name, NOT regexp_matches(lower({_NAME}), '\\.(txt|xml|htm|html|pdf|exe|ini|inf|jpg|jpeg|png|db)$') AND upper({_NAME}) <> 'DICOMDIR' AS readable FROM pages")
+def file_filter(spark, d):
+    name = F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1)
+    return A.table(spark, d, "pages").select("page_id", name.alias("name"), U.readable(name).alias("readable"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+def slug_title(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", U.slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, '# Title' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || '1. x' || chr(10) || '---' || chr(10) || text AS t FROM documents), s AS (SELECT id, string_split(t, chr(10)) l FROM d),
+n AS (SELECT id, i AS n, trim(l[i + 1], ' ') AS line FROM (SELECT *, unnest(range(len(l))) AS i FROM s)),
+k AS (SELECT id, n, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,4} ') THEN 'h' || length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '^(-{3,}|\\*{3,})$') THEN 'hr' WHEN regexp_matches(line, '^[-*] ') THEN 'ul' WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN 'ol' ELSE 'p' END AS kind FROM n),
+w AS (SELECT *, CASE WHEN kind <> coalesce(lag(kind) OVER (PARTITION BY id ORDER BY n), '') OR kind NOT IN ('ul', 'ol', 'p', 'blank') THEN 1 ELSE 0 END new FROM k), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY id ORDER BY n) AS BIGINT) block FROM w)
+SELECT id, block, kind, count(*) AS lines FROM b WHERE kind <> 'blank' GROUP BY ALL""")
+def markdown_blocks(spark, d):
+    t = A.table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Title\n- a\n- b\n\n1. x\n---\n"), F.col("text")).alias("t"))
+    return U.markdown_blocks(t, "doc_id", "t")
