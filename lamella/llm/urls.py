@@ -3,7 +3,7 @@
 URLs that a rule fits are labelled by it; at most ``sample`` of them, those with the smallest hashes, train the trees
 (Spark's own), which judge the URLs that no rule fits.  Features: lengths, depth, labels of the host, ratio of digits, entropy
 of characters, numbers of parameters, hyphens and capitals, kind of file ending, and how the labelled URLs of the same
-host suffix (last label) are judged, smoothed.
+host suffix (last label), and those with the same first segment of the path, are judged, smoothed.
 
 Cases: a null URL or one without ``://`` has empty host and path and is judged by the trees; without labelled
 URLs of both verdicts there is no model, and ``default`` is the verdict; null ids and rows that repeat get a verdict
@@ -78,14 +78,16 @@ def prepare(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
     d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     d = d.withColumn("m", matched(F.col("host"), F.col("path"), rules))
     made = features(*(F.col(c) for c in ("url", "host", "path", "rest")))
-    return d.select("id", "url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), *(c.alias(n) for n, c in made.items()))
+    return d.select("id", "url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), F.regexp_extract("path", "^/([^/]*)", 1).alias("segment"), *(c.alias(n) for n, c in made.items()))
 
 
 def fit(prepared: DataFrame, sample: int = SAMPLE, rounds: int = 15, depth: int = 4):
-    """(model, suffix statistics) from the labelled rows, or (None, None) where they hold one verdict only."""
+    """(model, statistics of suffixes and segments) from the labelled rows, or (None, None) where they hold one verdict only."""
     labelled = prepared.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    stats = labelled.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("f_suffix"), F.log1p(F.count("*").cast("double")).alias("f_suffix_seen"))
-    stats = materialize(stats, "url-suffixes")
+    stats = tuple(
+        materialize(labelled.groupBy(c).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"f_{c}"), F.log1p(F.count("*").cast("double")).alias(f"f_{c}_seen")), f"url-{c}")
+        for c in ("suffix", "segment")
+    )
     train = labelled.orderBy(F.xxhash64("url"), "url", "id").limit(sample)
     train = materialize(with_stats(train, stats), "url-sample")
     if train.select("label").distinct().count() < 2:
@@ -95,9 +97,11 @@ def fit(prepared: DataFrame, sample: int = SAMPLE, rounds: int = 15, depth: int
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), gbt]).fit(train), stats
 
 
-def with_stats(prepared: DataFrame, stats: DataFrame) -> DataFrame:
-    """Suffix statistics joined on; suffixes without labelled URLs have even odds and none seen."""
-    return prepared.join(stats, "suffix", "left").fillna({"f_suffix": 0.5, "f_suffix_seen": 0.0})
+def with_stats(prepared: DataFrame, stats: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Suffix and segment statistics joined on; what has no labelled URLs has even odds and none seen."""
+    for c, table in zip(("suffix", "segment"), stats, strict=True):
+        prepared = prepared.join(table, c, "left").fillna({f"f_{c}": 0.5, f"f_{c}_seen": 0.0})
+    return prepared
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample: int = SAMPLE, default: str = "allow") -> DataFrame:
