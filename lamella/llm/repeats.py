@@ -76,14 +76,14 @@ def _propose(window: int, phrase: int):
                 new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
                 new &= ok[row]
                 h, row = low[new], row[new]
-                # once per phrase and text
+                # once per phrase and text; in place of the id stands the text's digest, as copies of a text are settled otherwise
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 one = np.ones(len(h), bool)
                 one[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 h, row = h[one], row[one]
                 m = len(h)
-                yield _frame({"__kind": np.ones(m, np.int32), "__shard": shard[row], "__h": h.view(np.int64), "__h2": np.zeros(m, np.int64), "__id": ids[row], "__n": np.zeros(m, np.int64)}, schema)
+                yield _frame({"__kind": np.ones(m, np.int32), "__shard": shard[row], "__h": h.view(np.int64), "__h2": np.zeros(m, np.int64), "__id": (whole[0][row] >> U64(16)).view(np.int64), "__n": np.zeros(m, np.int64)}, schema)
 
     return run
 
@@ -274,8 +274,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrow = to_arrow_schema(schema)
     located = materialize(d.groupBy("__shard").cogroup(known.groupBy("__dealt")).applyInArrow(_locate(window, phrase, digest, arrow), schema), "repeats-located", by="__kind")
     windows = located.where("__kind = 2").select("__shard", "__h", "__id", "__most")
-    starts = windows.groupBy("__h").agg(F.min("__id").alias("__first"), F.max("__most").alias("__last")).where("__first < __last").select("__h", "__first")
-    back = windows.join(starts, "__h").where("__first < __most").select(F.col("__shard").alias("__dealt"), "__h", "__first")
+    # one shuffle for the minimum and the join: both read all four columns of it; a window has one row a shard at most
+    windows = windows.repartition("__h")
+    starts = windows.groupBy("__h").agg(F.min("__id").alias("__first"), F.max("__most").alias("__last"), F.max("__shard").alias("__top")).where("__first < __last and __top is not null").select("__h", "__first")
+    back = windows.join(starts, "__h").where("__first < __most and __id is not null").select(F.col("__shard").alias("__dealt"), "__h", "__first")
     pending = located.where("__kind = 1").select(*d.columns)
     rest = pending.groupBy("__shard").cogroup(back.groupBy("__dealt")).applyInArrow(_remove(window, digest, arrow), schema)
     done = located.where("__kind = 0").select(*schema.names).unionByName(rest)
