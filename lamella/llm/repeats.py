@@ -240,6 +240,10 @@ def _remove(window: int, digest: bool, out: pa.Schema):
     return run
 
 
+def _shard(id_col: str, shards: int):
+    return F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(int(shards))), F.lit(0)).cast("long")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, phrase: int = 25, digest: bool = False, shards: int | None = None) -> DataFrame:
     """``docs`` without the words that an earlier document's window covers, with ``n_words`` and ``n_removed``.
 
@@ -257,7 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if shards is None:
         size = d.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
         shards = max(1, size // SHARD_BYTES)
-    d = d.withColumn("__shard", F.coalesce(F.pmod(F.xxhash64("__id"), F.lit(int(shards))), F.lit(0)).cast("long"))
+    d = d.withColumn("__shard", _shard("__id", shards))
 
     proposed = materialize(d.select("__id", "__shard", "__text").mapInArrow(_propose(window, phrase), _PHRASES), "repeats-phrases", by="__kind")
     whole, seen = proposed.where("__kind = 0"), proposed.where("__kind = 1")
@@ -273,11 +277,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     arrow = to_arrow_schema(schema)
     located = materialize(d.groupBy("__shard").cogroup(known.groupBy("__dealt")).applyInArrow(_locate(window, phrase, digest, arrow), schema), "repeats-located", by="__kind")
-    windows = located.where("__kind = 2").select("__shard", "__h", "__id", "__most")
-    # one shuffle for the minimum and the join: both read all four columns of it; a window has one row a shard at most
-    windows = windows.repartition("__h")
-    starts = windows.groupBy("__h").agg(F.min("__id").alias("__first"), F.max("__most").alias("__last"), F.max("__shard").alias("__top")).where("__first < __last and __top is not null").select("__h", "__first")
-    back = windows.join(starts, "__h").where("__first < __most and __id is not null").select(F.col("__shard").alias("__dealt"), "__h", "__first")
+    # one shuffle for the minimum and the join, which both read all of it: no column is nullable, as a filter on one side alone would part them;
+    # a window has one row a shard at most, and the shard follows from the id
+    value = {c: F.coalesce(c, F.lit(0)) for c in ("__h", "__id", "__most")}
+    windows = located.where("__kind = 2").select(value["__h"].alias("__h"), value["__id"].alias("__id"), value["__most"].bitwiseXOR(value["__id"]).alias("__more")).repartition("__h")
+    starts = windows.groupBy("__h").agg(F.min("__id").alias("__first"), F.max(F.col("__id").bitwiseXOR(F.col("__more"))).alias("__last")).where("__first < __last").select("__h", "__first")
+    back = windows.join(starts, "__h").where(F.col("__first") < F.col("__id").bitwiseXOR(F.col("__more"))).select(_shard("__id", shards).alias("__dealt"), "__h", "__first")
     pending = located.where("__kind = 1").select(*d.columns)
     rest = pending.groupBy("__shard").cogroup(back.groupBy("__dealt")).applyInArrow(_remove(window, digest, arrow), schema)
     done = located.where("__kind = 0").select(*schema.names).unionByName(rest)
