@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import clamp, dot
+
 
 def quality(s: DataFrame) -> DataFrame:
     """Score from 100 by deductions, its level, and the warnings."""
@@ -101,3 +103,16 @@ def transfer(levels: DataFrame, classes: DataFrame, edge: int = 20) -> DataFrame
     ramp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("u") - F.col("lo") + edge) / edge), F.greatest(F.lit(0.0), (F.col("hi") + edge - F.col("u")) / edge))
     j = j.withColumn("o", F.round(F.col("opacity") * ramp, 6))
     return j.groupBy("u").agg(F.max_by("class", F.struct("o", -F.col("ord"))).alias("class"), F.coalesce(F.max("o"), F.lit(0.0)).alias("opacity"))
+
+
+def landmark_angles(points: DataFrame) -> DataFrame:
+    """(series, vec_id, before, after, angle) of every point between two others: its distances to them and the angle at it in degrees.
+
+    Points follow each other by vec_id; the angle is null where a distance is zero.
+    """
+    w = W.partitionBy("series").orderBy("vec_id")
+    p = points.select("series", "vec_id", *(F.lag(c).over(w).alias(f"p{c}") for c in "xyz"), *(F.lead(c).over(w).alias(f"n{c}") for c in "xyz"), *"xyz").where("px is not null and nx is not null")
+    a, b = ([F.col(k + c) - F.col(c) for c in "xyz"] for k in "pn")
+    ab, bc = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+    turn = F.degrees(F.acos(clamp(dot(a, b) / F.nullif(ab * bc, F.lit(0.0)), -1.0, 1.0)))
+    return p.select("series", "vec_id", F.round(ab, 5).alias("before"), F.round(bc, 5).alias("after"), F.round(turn, 4).alias("angle"))

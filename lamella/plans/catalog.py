@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.scalar import half_up
 from ..operators import components as C
 from ..operators import enhance as E
+from ..operators import fusion as G
 from ..operators import reduce as R
 from ..operators import resample as Z
 from ..operators import rules as U
+from ..operators import segment as M
 from ..operators import stencil as S
+from ..operators import surface as T
 from ..sources import adapters as A
 
 #: fixed values: tissue classes as (class, lo, hi, opacity)
@@ -284,3 +287,65 @@ SELECT id, block, kind, count(*) AS lines FROM b WHERE kind <> 'blank' GROUP BY
 def markdown_blocks(spark, d):
     t = A.table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Title\n- a\n- b\n\n1. x\n---\n"), F.col("text")).alias("t"))
     return U.markdown_blocks(t, "doc_id", "t")
+
+
+@query(f"""{VOX}, a AS (SELECT * FROM v WHERE hu < -200) SELECT series, z, x, y FROM a ANTI JOIN (WITH RECURSIVE r(series, z, x, y) AS (SELECT series, z, x, y FROM a WHERE x IN (0, 7) OR y IN (0, 7)
+UNION SELECT b.series, b.z, b.x, b.y FROM r JOIN a b ON r.series = b.series AND r.z = b.z AND abs(b.x - r.x) + abs(b.y - r.y) = 1) SELECT * FROM r) o USING (series, z, x, y)""")
+def enclosed_air(spark, d):
+    return M.airways(A.voxels(spark, d), -200)
+
+
+@query(f"{VOX} SELECT v.series, v.x, v.y, v.z, v.hu FROM v ANTI JOIN (SELECT * FROM v WHERE hu >= 700) b ON b.series = v.series AND abs(b.x - v.x) + abs(b.y - v.y) + abs(b.z - v.z) <= 2 WHERE v.hu >= 150 AND v.hu < 500")
+def vessels(spark, d):
+    return M.vessels(A.voxels(spark, d))
+
+
+_STEP = "SELECT * FROM {0} UNION SELECT b.* FROM {0} a JOIN m b ON a.series = b.series AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1"
+
+
+@query(f"""{VOX}, m AS (SELECT series, x, y, z, (z * 8 + y) * 8 + x AS i, hu FROM v WHERE hu >= 700), g0 AS (SELECT * FROM m WHERE hu >= 1300), g1 AS ({_STEP.format("g0")}), g AS ({_STEP.format("g1")}),
+n AS (SELECT a.series, a.i, b.i AS j FROM g a JOIN g b ON a.series = b.series AND greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z)) <= 1),
+c AS (SELECT series, j AS i, min(c) AS c FROM (WITH RECURSIVE r(series, c, j) AS (SELECT series, i, j FROM n UNION SELECT r.series, r.c, n.j FROM r JOIN n ON r.series = n.series AND r.j = n.i) SELECT * FROM r) GROUP BY ALL)
+SELECT series, CAST(row_number() OVER (PARTITION BY series ORDER BY c) AS INT) AS object, count(*)::DOUBLE AS volume, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy, round(avg(z), 4) AS cz FROM c JOIN g USING (series, i) GROUP BY series, c HAVING count(*) >= 2""")
+def metal_pieces(spark, d):
+    return M.metal_objects(A.voxels(spark, d), 1300, 700).select("series", "object", "volume", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "cz")))
+
+
+@query(f"""{VOX}, mp AS (SELECT series, series // 2 AS study, max(z) + 1 AS nz FROM v GROUP BY series),
+p AS (SELECT study, x, y, z, mp.series, nz, CASE WHEN mp.series % 2 = 0 THEN x ELSE 0.75::DOUBLE * y + 0.5 END AS u, CASE WHEN mp.series % 2 = 0 THEN y ELSE 0.75::DOUBLE * x + 0.25 END AS w1, CASE WHEN mp.series % 2 = 0 THEN z ELSE 0.8::DOUBLE * z + 0.3 END::DOUBLE AS w
+FROM (SELECT series // 2 AS study, x, y, z FROM v WHERE series % 2 = 0) g JOIN mp USING (study)),
+q AS (SELECT * REPLACE (greatest(0.0::DOUBLE, least(w, nz - 1.0::DOUBLE)) AS w) FROM p WHERE w <= nz - 0.5::DOUBLE),
+r AS (SELECT *, 0.02::DOUBLE + exp(-pow(abs(w - floor(w + 0.5::DOUBLE)) * CASE WHEN series % 2 = 0 THEN 1 ELSE 1.25::DOUBLE END / 1.5::DOUBLE, 2)) AS k FROM q),
+c AS (SELECT r.*, a, b, e, k * abs(1 - a - (u - floor(u))) * abs(1 - b - (w1 - floor(w1))) * abs(1 - e - (w - floor(w))) AS f FROM r, range(2) t1(a), range(2) t2(b), range(2) t3(e))
+SELECT study, c.x, c.y, c.z, round(sum(f * hu) / sum(f), 4) AS value FROM c JOIN v ON v.series = c.series AND v.x = floor(u) + a AND v.y = floor(w1) + b AND v.z = floor(w) + e WHERE f > 0 GROUP BY ALL""")
+def fuse_stacks(spark, d):
+    v = A.voxels(spark, d).withColumn("study", F.floor(F.col("series") / 2).cast("int"))
+    even, same, turned = F.col("series") % 2 == 0, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0], [0, 0.75, 0, 0.5, 0.75, 0, 0, 0.25, 0, 0, 0.8, 0.3]
+    maps = v.groupBy("study", "series").agg(F.lit(8).alias("nx"), F.lit(8).alias("ny"), (F.max("z") + 1).alias("nz"))
+    numbers = [F.array(*(F.lit(float(n)) for n in m)) for m in (same, turned)]
+    maps = maps.withColumns({"sz": F.when(even, 1.0).otherwise(1.25), "sigma": F.lit(1.5), "m": F.when(even, numbers[0]).otherwise(numbers[1])})
+    return G.fuse(v.where(even).select("study", "x", "y", "z"), maps, v.drop("study")).withColumn("value", F.round("value", 4))
+
+
+_TETS = ", ".join(f"({n}, {k})" for n, t in enumerate(T.TETRAHEDRA) for k in t)
+
+
+@query(f"""{VOX}, c AS (SELECT series, x - k % 2 AS cx, y - k // 2 % 2 AS cy, z - k // 4 AS cz, k, (hu - 200)::DOUBLE AS f FROM v, range(8) t(k)),
+w AS (SELECT series, cx, cy, cz FROM c GROUP BY ALL HAVING count(*) = 8), p AS (SELECT *, {{'x': (k % 2)::DOUBLE, 'y': (k // 2 % 2)::DOUBLE, 'z': (k // 4)::DOUBLE, 'f': f}} AS p FROM c JOIN w USING (series, cx, cy, cz) JOIN (VALUES {_TETS}) tt(t, k) USING (k)),
+g AS (SELECT series, list(p ORDER BY k) FILTER (f > 0) AS i, list(p ORDER BY k) FILTER (f <= 0) AS o FROM p GROUP BY series, cx, cy, cz, t HAVING max(f) > 0 AND min(f) <= 0),
+e AS (SELECT series, i, o, unnest(CASE len(i) WHEN 1 THEN [[[1, 1], [1, 2], [1, 3]]] WHEN 3 THEN [[[1, 1], [2, 1], [3, 1]]] ELSE [[[1, 1], [1, 2], [2, 2]], [[1, 1], [2, 2], [2, 1]]] END) AS e FROM g),
+tr AS (SELECT series, list_transform(e, lambda q: list_transform(['x', 'y', 'z'], lambda n: CASE n WHEN 'x' THEN i[q[1]].x + (o[q[2]].x - i[q[1]].x) * i[q[1]].f / (i[q[1]].f - o[q[2]].f) WHEN 'y' THEN i[q[1]].y + (o[q[2]].y - i[q[1]].y) * i[q[1]].f / (i[q[1]].f - o[q[2]].f)
+ELSE i[q[1]].z + (o[q[2]].z - i[q[1]].z) * i[q[1]].f / (i[q[1]].f - o[q[2]].f) END)) AS t FROM e),
+n AS (SELECT series, t[2][1] - t[1][1] a, t[2][2] - t[1][2] b, t[2][3] - t[1][3] c, t[3][1] - t[1][1] d, t[3][2] - t[1][2] e, t[3][3] - t[1][3] f FROM tr)
+SELECT series, count(*) AS triangles, round(sum(sqrt(pow(b * f - c * e, 2) + pow(c * d - a * f, 2) + pow(a * e - b * d, 2)) / 2), 3) AS area FROM n GROUP BY series""")
+def surface_area(spark, d):
+    return T.area(T.triangles(A.voxels(spark, d), 200)).withColumn("area", F.round("area", 3))
+
+
+@query("""WITH p AS (SELECT label AS series, vec_id, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z FROM embeddings),
+q AS (SELECT *, lag(x) OVER o ax, lag(y) OVER o ay, lag(z) OVER o az, lead(x) OVER o cx, lead(y) OVER o cy, lead(z) OVER o cz FROM p WINDOW o AS (PARTITION BY series ORDER BY vec_id)),
+r AS (SELECT series, vec_id, sqrt(pow(ax - x, 2) + pow(ay - y, 2) + pow(az - z, 2)) ab, sqrt(pow(cx - x, 2) + pow(cy - y, 2) + pow(cz - z, 2)) bc, (ax - x) * (cx - x) + (ay - y) * (cy - y) + (az - z) * (cz - z) d FROM q WHERE ax IS NOT NULL AND cx IS NOT NULL)
+SELECT series, vec_id, round(ab, 5) AS before, round(bc, 5) AS after, CASE WHEN ab * bc > 0 THEN round(degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, d / (ab * bc))))), 4) END AS angle FROM r""")
+def landmark_angles(spark, d):
+    p = A.table(spark, d, "embeddings").select(F.col("label").alias("series"), "vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    return U.landmark_angles(p)
