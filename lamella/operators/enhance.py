@@ -1,4 +1,4 @@
-"""Contrast-limited adaptive histogram equalisation of pixel rows (img, x, y, v)."""
+"""Enhancement of pixel rows (img, x, y, v): contrast-limited adaptive histogram equalisation and the whole chain."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stencil import box_blur, median3
+
 
 def clahe(p: DataFrame, clip: float = 2.5, tiles: int = 4, side: int = 64) -> DataFrame:
     """Tiles' clipped histograms become lookup tables; each pixel blends those of the four tiles around it."""
@@ -34,3 +36,21 @@ def clahe(p: DataFrame, clip: float = 2.5, tiles: int = 4, side: int = 64) -> Da
     cum = F.when(F.size(held) > 0, F.element_at(held, -1)["cum"]).otherwise(0.0)
     value = (cum + F.col("share") * (F.col("bin") + 1)) / n * 255
     return j.groupBy("img", "x", "y").agg(F.round(F.sum(value * F.col("w")), 4).alias("v"))
+
+
+def enhance(p: DataFrame, denoise: int = 1, clip: float = 2.5, tiles: int = 8, sharpen: float = 0.8, brightness: float = 0.0, contrast: float = 0.0, gamma: float = 1.0, invert: bool = False, side: int = 64) -> DataFrame:
+    """Median and half-mixed blur, equalisation, unsharp mask, then contrast, brightness, gamma and inversion; 0 leaves a step out."""
+    p = p.select("img", "x", "y", F.col("v").cast("double").alias("v"))
+    if denoise > 0:
+        p = median3(p)
+    if denoise > 1:
+        p = box_blur(p.withColumn("u", F.col("v")), denoise - 1, "u").select("img", "x", "y", ((F.col("v") + F.col("u")) / 2).alias("v"))
+    if clip > 0:
+        p = clahe(p, clip, min(tiles, side // 8), side)
+    if sharpen > 0:
+        p = box_blur(p.withColumn("u", F.col("v")), 2, "u").select("img", "x", "y", (F.col("v") + (F.col("v") - F.col("u")) * sharpen).alias("v"))
+    v = (F.col("v") - 128) * ((100 + contrast) / 100) + 128 + brightness * 1.28
+    v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))
+    if gamma != 1:
+        v = 255 * F.pow(v / 255, F.lit(1 / gamma))
+    return p.select("img", "x", "y", (255 - v if invert else v).alias("v"))

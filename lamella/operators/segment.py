@@ -123,3 +123,22 @@ def metal_objects(v: DataFrame, seed: float, low: float, spacing: tuple[float, f
         return pd.DataFrame(out, columns=names)
 
     return v.where(F.col("hu") >= low).groupBy("series").applyInPandas(run, kind)
+
+
+def describe(objects: DataFrame, dims: DataFrame, near: DataFrame | None = None, midline: float = 6.0, share: float = 0.0) -> DataFrame:
+    """Objects with ``location``: side, third and depth within the volume's box; x grows to the left, y to the back, z upward.
+
+    ``dims``: series, and the box's sizes nx, ny, nz in mm.  ``near`` (series, object, near, voxels) turns objects of which more than
+    ``share`` lies next to enamel into restorations.
+    """
+    o = objects.join(dims, "series")
+    dx = F.col("cx") - (F.col("nx") - 1) / 2
+    up, back = ((F.col(f"c{c}") / F.greatest(F.lit(1), F.col(f"n{c}") - 1)) for c in ("z", "y"))
+    side = F.when(F.abs(dx) < midline, "midline").when(dx > 0, "left side").otherwise("right side")
+    level = F.when(up < 0.33, "lower third").when(up < 0.66, "middle third").otherwise("upper third")
+    depth = F.when(back < 0.4, "front").when(back < 0.65, "middle").otherwise("back")
+    o = o.withColumn("location", F.concat_ws(", ", side, level, depth))
+    if near is not None:
+        o = o.join(near.select("series", "object", (F.col("near") > F.col("voxels") * share).alias("enamel")), ["series", "object"], "left")
+        o = o.withColumn("kind", F.when(F.coalesce("enamel", F.lit(False)), "restoration").otherwise(F.col("kind")))
+    return o.select(*objects.columns, "location")

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.scalar import half_up
 from ..operators import components as C
 from ..operators import enhance as E
+from ..operators import findings as N
 from ..operators import fusion as G
+from ..operators import panoramic as P
 from ..operators import reduce as R
 from ..operators import resample as Z
 from ..operators import rules as U
 from ..operators import segment as M
 from ..operators import stencil as S
+from ..operators import structures as B
 from ..operators import surface as T
 from ..sources import adapters as A
 
@@ -349,3 +352,194 @@ SELECT series, vec_id, round(ab, 5) AS before, round(bc, 5) AS after, CASE WHEN
 def landmark_angles(spark, d):
     p = A.table(spark, d, "embeddings").select(F.col("label").alias("series"), "vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
     return U.landmark_angles(p)
+
+
+_CONTROL = """WITH c0 AS (SELECT label AS series, n, CASE n WHEN 0 THEN 0.6::DOUBLE WHEN 1 THEN 1.7::DOUBLE WHEN 2 THEN 4.9::DOUBLE ELSE 6.3::DOUBLE END AS px, CASE n WHEN 0 THEN 6.1::DOUBLE WHEN 1 THEN 2.2::DOUBLE + (label % 3) * 0.3::DOUBLE WHEN 2 THEN 1.9::DOUBLE ELSE 5.7::DOUBLE END AS py FROM (SELECT DISTINCT label FROM embeddings), range(4) t(n)),
+c1 AS (SELECT *, lead(px) OVER o AS bx, lead(py) OVER o AS by_, lag(px) OVER o AS ax, lag(py) OVER o AS ay, lead(px, 2) OVER o AS dx, lead(py, 2) OVER o AS dy FROM c0 WINDOW o AS (PARTITION BY series ORDER BY n)),
+c2 AS (SELECT series, n, px, py, bx, by_, coalesce(ax, px) AS ax, coalesce(ay, py) AS ay, coalesce(dx, bx) AS dx, coalesce(dy, by_) AS dy, CASE WHEN bx IS NULL THEN 1 ELSE greatest(2, ceil(sqrt(pow(bx - px, 2) + pow(by_ - py, 2)) * 4)) END::BIGINT AS parts FROM c1),
+c3 AS (SELECT *, k::DOUBLE / parts AS t FROM (SELECT *, unnest(range(parts)) AS k FROM c2)),
+c4 AS (SELECT series, n, k, CASE WHEN k = 0 THEN px ELSE px + (bx - ax + (ax * 2 - px * 5 + bx * 4 - dx + (px * 3 - ax - bx * 3 + dx) * t) * t) * t * 0.5::DOUBLE END AS x, CASE WHEN k = 0 THEN py ELSE py + (by_ - ay + (ay * 2 - py * 5 + by_ * 4 - dy + (py * 3 - ay - by_ * 3 + dy) * t) * t) * t * 0.5::DOUBLE END AS y FROM c3),
+c5 AS (SELECT *, coalesce(sqrt(pow(qx - x, 2) + pow(qy - y, 2)), 0) AS mm FROM (SELECT *, lead(x) OVER (PARTITION BY series ORDER BY n, k) AS qx, lead(y) OVER (PARTITION BY series ORDER BY n, k) AS qy FROM c4)),
+c6 AS (SELECT *, round(sum(mm) OVER (PARTITION BY series ORDER BY n, k), 9) AS e, round(sum(mm) OVER (PARTITION BY series), 9) AS len FROM c5),
+c7 AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY series ORDER BY n, k), 0) AS s FROM c6),
+c8 AS (SELECT series, col, x + (qx - x) * (col - s) / (e - s) AS px, y + (qy - y) * (col - s) / (e - s) AS py FROM c7, range(64) r(col) WHERE len >= 1 AND e > s AND col >= s AND (col < e OR e = len AND col <= e)),
+c9 AS (SELECT *, coalesce(lead(px) OVER o, px) - coalesce(lag(px) OVER o, px) AS tx, coalesce(lead(py) OVER o, py) - coalesce(lag(py) OVER o, py) AS ty, avg(px) OVER (PARTITION BY series) AS mx, avg(py) OVER (PARTITION BY series) AS my FROM c8 WINDOW o AS (PARTITION BY series ORDER BY col)),
+arch AS (SELECT series, CAST(col AS INT) AS col, px, py, -ty / sqrt(tx * tx + ty * ty) * f AS ox, tx / sqrt(tx * tx + ty * ty) * f AS oy FROM (SELECT *, CASE WHEN -ty * (px - mx) + tx * (py - my) < 0 THEN -1 ELSE 1 END AS f FROM c9))"""
+_READ = """dims AS (SELECT series, max(z) + 1 AS nz FROM v GROUP BY series), rz AS (SELECT series, nz, i AS row, nz - 1 - CASE WHEN h > 1 THEN round(i::DOUBLE / (h - 1) * (nz - 1), 9) ELSE 0.0 END AS w FROM (SELECT *, unnest(range(h)) AS i FROM (SELECT *, greatest(1, floor((nz - 1) * 1.5::DOUBLE + 0.5::DOUBLE) + 1)::BIGINT AS h FROM dims))),
+p AS (SELECT * FROM pl JOIN rz USING (series)), c AS (SELECT p.*, CAST(floor(u) + a AS INT) AS xi, CAST(floor(w1) + b AS INT) AS yi, CAST(floor(w) + e AS INT) AS zi, abs(1 - a - (u - floor(u))) * abs(1 - b - (w1 - floor(w1))) * abs(1 - e - (w - floor(w))) AS f FROM p, range(2) t1(a), range(2) t2(b), range(2) t3(e) WHERE least(u, w1, w) >= 0 AND u <= 7 AND w1 <= 7 AND w <= nz - 1),
+g AS (SELECT c.series, row, q, o, sum(f * hu) AS value FROM c JOIN v ON v.series = c.series AND v.x = xi AND v.y = yi AND v.z = zi WHERE f > 0 GROUP BY ALL UNION ALL SELECT series, row, q, o, -1024.0::DOUBLE FROM p WHERE NOT (least(u, w1, w) >= 0 AND u <= 7 AND w1 <= 7 AND w <= nz - 1))"""
+_VOX = VOX.removeprefix("WITH ")
+_PANO = f"{_CONTROL}, {_VOX}, pl AS (SELECT series, col AS q, o, round(px + ox * o, 9) AS u, round(py + oy * o, 9) AS w1 FROM arch, (VALUES (-1.5::DOUBLE), (-0.5::DOUBLE), (0.5::DOUBLE), (1.5::DOUBLE)) t(o)), {_READ}"
+
+
+def _arch(spark, d):
+    """A curve of four control points for each series."""
+    s = A.table(spark, d, "embeddings").select(F.col("label").alias("series")).distinct().withColumn("n", F.explode(F.array(*map(F.lit, range(4)))))
+    x = F.when(F.col("n") == 0, 0.6).when(F.col("n") == 1, 1.7).when(F.col("n") == 2, 4.9).otherwise(6.3)
+    y = F.when(F.col("n") == 0, 6.1).when(F.col("n") == 1, 2.2 + F.col("series") % 3 * 0.3).when(F.col("n") == 2, 1.9).otherwise(5.7)
+    return P.arch(s.select("series", "n", x.alias("px"), y.alias("py")))
+
+
+def _dims(v):
+    return v.groupBy("series").agg(F.lit(8).alias("nx"), F.lit(8).alias("ny"), (F.max("z") + 1).alias("nz"))
+
+
+@query(f"{_CONTROL} SELECT series, col, round(px, 5) AS px, round(py, 5) AS py, round(ox, 5) AS ox, round(oy, 5) AS oy FROM arch")
+def arch_curve(spark, d):
+    return _arch(spark, d).select("series", "col", *(F.round(c, 5).alias(c) for c in ("px", "py", "ox", "oy")))
+
+
+@query(f"{_PANO} SELECT series, CAST(row AS INT) AS row, q AS col, round(avg(value), 4) AS value FROM g GROUP BY ALL")
+def pano_mean(spark, d):
+    v = A.voxels(spark, d)
+    return P.panoramic(v, _arch(spark, d), _dims(v), 3.0, "mean", (1.0, 1.0, 1.5)).withColumn("value", F.round("value", 4))
+
+
+@query(f"{_PANO} SELECT series, CAST(row AS INT) AS row, q AS col, round(max(value), 4) AS value FROM g GROUP BY ALL")
+def pano_mip(spark, d):
+    v = A.voxels(spark, d)
+    return P.panoramic(v, _arch(spark, d), _dims(v), 3.0, "mip", (1.0, 1.0, 1.5)).withColumn("value", F.round("value", 4))
+
+
+@query(f"{_CONTROL}, {_VOX}, pl AS (SELECT series, CAST(i AS INT) AS q, 0 AS o, round(px + ox * (i - 2.5::DOUBLE), 9) AS u, round(py + oy * (i - 2.5::DOUBLE), 9) AS w1 FROM arch, range(6) t(i) WHERE col = 4), {_READ} SELECT series, CAST(row AS INT) AS row, q AS c, round(value, 4) AS value FROM g")
+def cross_section(spark, d):
+    v = A.voxels(spark, d)
+    return P.cross_section(v, _arch(spark, d), _dims(v), 4, 5.0, (1.0, 1.0, 1.5)).withColumn("value", F.round("value", 4))
+
+
+@query(f"{_CONTROL}, pt AS (SELECT label AS series, vec_id AS id, round((embedding[1]::DOUBLE + 0.5::DOUBLE) * 7, 3) AS px, round((embedding[2]::DOUBLE + 0.5::DOUBLE) * 7, 3) AS py FROM embeddings), j AS (SELECT pt.series, id, col, round(sqrt(pow(pt.px - a.px, 2) + pow(pt.py - a.py, 2)), 6) AS mm FROM pt JOIN arch a USING (series)) SELECT series, id, col, mm FROM j QUALIFY row_number() OVER (PARTITION BY series, id ORDER BY mm, col) = 1")
+def canal_columns(spark, d):
+    x, y = (F.round((F.col("embedding")[i].cast("double") + 0.5) * 7, 3) for i in (0, 1))
+    return P.nearest_column(A.table(spark, d, "embeddings").select(F.col("label").alias("series"), F.col("vec_id").alias("id"), x.alias("px"), y.alias("py")), _arch(spark, d))
+
+
+_CLAHE8 = ORACLE["clahe"].removeprefix(PIX).removeprefix(", q AS (SELECT img, x, y, CAST(v AS INT) bin FROM p)").replace("x // 16 tx, y // 16 ty", "x // 8 tx, y // 8 ty").replace("2.5::DOUBLE", "1.0::DOUBLE").replace("/ 16 - 0.5", "/ 8 - 0.5").replace("least(3,", "least(7,").replace("/ 256 * 255", "/ 64 * 255")
+_CLAHE8, _LAST = _CLAHE8.rsplit("\nSELECT ", 1)
+
+
+@query(f"""{PIX}, q AS (SELECT a.img, a.x, a.y, CAST(list_sort(list(b.v))[5] AS INT) AS bin FROM p a {_NINE} GROUP BY ALL){_CLAHE8}, cl AS (SELECT {_LAST}),
+bl AS (SELECT a.img, a.x, a.y, a.v, sum(b.v) / 25.0::DOUBLE AS u FROM cl a JOIN range(-2, 3) dx(i) ON true JOIN range(-2, 3) dy(j) ON true JOIN cl b ON a.img = b.img AND b.x = greatest(0, least(63, a.x + i)) AND b.y = greatest(0, least(63, a.y + j)) GROUP BY a.img, a.x, a.y, a.v)
+SELECT img, x, y, round(255 - greatest(0.0::DOUBLE, least(255.0::DOUBLE, (v + (v - u) * 0.8::DOUBLE - 128) * 1.1::DOUBLE + 128 + 6.4::DOUBLE)) + 1e-9, 3) AS v FROM bl""")
+def enhance_image(spark, d):
+    return E.enhance(A.pixels(spark, d), brightness=5.0, contrast=10.0, invert=True).withColumn("v", F.round(F.col("v") + 1e-9, 3))  # values are multiples of 1e-8: no ties
+
+
+LAB = f"{VOX}, lab AS (SELECT series, x, y, z, hu, (z * 8 + y) * 8 + x AS i, CASE WHEN hu >= 900 THEN 3 WHEN hu >= 300 AND y < 4 THEN 2 WHEN hu >= 300 THEN 1 ELSE 0 END AS label FROM v)"
+_REFS = """, bo AS (SELECT * FROM lab WHERE label IN (1, 2, 3)), xs AS (SELECT series, list_sort(list(x)) AS l, count(*) AS voxels, min(y) AS front_y, max(y) AS back_y, min(z) AS z_lo, max(z) AS z_hi FROM bo GROUP BY series), zs AS (SELECT series, list_sort(list(z)) AS l FROM bo WHERE label = 3 GROUP BY series),
+refs AS (SELECT xs.series, voxels, (xs.l[floor(voxels * 2::DOUBLE / 100)::BIGINT + 1] + xs.l[floor(voxels * 98::DOUBLE / 100)::BIGINT + 1]) / 2::DOUBLE AS mid_x, xs.l[floor(voxels * 98::DOUBLE / 100)::BIGINT + 1] - xs.l[floor(voxels * 2::DOUBLE / 100)::BIGINT + 1] AS width,
+CASE WHEN len(zs.l) > 50 THEN zs.l[floor(len(zs.l) * 50::DOUBLE / 100)::BIGINT + 1] END AS bite_z, front_y, back_y, z_lo, z_hi FROM xs LEFT JOIN zs USING (series))"""
+
+
+def _joined(mask: str, out: str) -> str:
+    """CTEs that number the face-joined components of a table (series, x, y, z, i)."""
+    return f""", {out}_n AS (SELECT a.series, a.i, b.i AS j FROM {mask} a JOIN (SELECT *, unnest([0, 1, -1, 8, -8, 64, -64]) AS o FROM {mask}) b ON a.series = b.series AND a.i = b.i + b.o AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1),
+{out}_c AS (SELECT series, j AS i, min(c) AS c FROM (WITH RECURSIVE r(series, c, j) AS (SELECT series, i, i FROM {mask} UNION SELECT r.series, r.c, n.j FROM r JOIN {out}_n n ON r.series = n.series AND r.j = n.i) SELECT * FROM r) GROUP BY ALL),
+{out} AS (SELECT m.*, CAST(dense_rank() OVER (PARTITION BY m.series ORDER BY c) AS INT) AS component FROM {out}_c k JOIN {mask} m ON m.series = k.series AND m.i = k.i)"""
+
+
+def _whole(e: str) -> str:
+    return f"floor(round({e}, 6) + 0.5::DOUBLE)::BIGINT::VARCHAR"
+
+
+def _labelled(spark, d):
+    hu = F.col("hu")
+    return A.voxels(spark, d).withColumn("label", F.when(hu >= 900, 3).when((hu >= 300) & (F.col("y") < 4), 2).when(hu >= 300, 1).otherwise(0))
+
+
+_POSITION = f"""CASE WHEN abs(cx - mid_x) < 2 THEN 'midline' ELSE CASE WHEN cx > mid_x THEN 'left side (' ELSE 'right side (' END || {_whole("abs(cx - mid_x)")} || ' mm from the midline)' END || ', ' || {_whole("abs(cz - coalesce(bite_z, z_lo))")} || CASE WHEN bite_z IS NULL THEN ' mm above the lowest bone, ' WHEN cz >= bite_z THEN ' mm above the bite, ' ELSE ' mm below the bite, ' END || {_whole("cy - front_y")} || ' mm behind the front'"""
+_PARTS = _joined("bo", "k") + f""", kc AS (SELECT series, component, count(*) AS voxels, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, count(*) FILTER (label = 2) AS jaw FROM k GROUP BY ALL HAVING count(*) >= 4),
+kr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS rank FROM kc), parts AS (SELECT kr.series, component, kr.voxels, cx, cy, cz, {_POSITION} AS position FROM kr JOIN refs USING (series) WHERE rank > 1 AND NOT (jaw > kr.voxels / 2 AND kr.voxels > 10000))"""
+_JAW = """, jm AS (SELECT b.*, x - mid_x AS dx, CAST(floor(2 * floor(mid_x + 0.5::DOUBLE) - x + 0.5::DOUBLE) AS INT) AS other FROM bo b JOIN refs USING (series) WHERE label = 2), jaw AS (SELECT a.series, count(*) AS voxels, round(avg(a.hu), 6) AS mean_hu, count(*) FILTER (a.dx > 0) AS left, count(*) FILTER (a.dx <= 0) AS right, round(avg(CASE WHEN o.x IS NULL THEN 0 ELSE 1 END), 6) AS overlap,
+max(a.z) FILTER (a.dx > 2) - min(a.z) FILTER (a.dx > 2) AS left_height, max(a.z) FILTER (a.dx < -2) - min(a.z) FILTER (a.dx < -2) AS right_height, round(abs(count(*) FILTER (a.dx > 0) - count(*) FILTER (a.dx <= 0)) * 200::DOUBLE / count(*), 6) AS difference FROM jm a LEFT JOIN jm o ON o.series = a.series AND o.x = a.other AND o.y = a.y AND o.z = a.z GROUP BY a.series)"""
+
+
+@query(f"{LAB}{_REFS} SELECT * FROM refs")
+def exam_references(spark, d):
+    return N.references(_labelled(spark, d))
+
+
+@query(f"{LAB}{_REFS}{_PARTS} SELECT * FROM parts")
+def isolated_parts(spark, d):
+    v = _labelled(spark, d)
+    return N.isolated_parts(v, N.references(v), least=4, midline=2.0)
+
+
+@query(f"{LAB}{_REFS}{_JAW} SELECT * FROM jaw")
+def jaw_summary(spark, d):
+    v = _labelled(spark, d)
+    return N.jaw_summary(v, N.references(v), lateral=2.0)
+
+
+_TEETH = """, tv AS (SELECT series, count(*) FILTER (coalesce(z >= bite_z, true)) AS upper, count(*) FILTER (NOT coalesce(z >= bite_z, true)) AS lower, count(*) FILTER (x > mid_x) AS left, count(*) FILTER (x <= mid_x) AS right FROM bo JOIN refs USING (series) WHERE label = 3 GROUP BY series)"""
+
+
+@query(f"""{LAB}{_REFS}{_TEETH}, tm AS (SELECT series, x, y, z, i FROM bo WHERE label = 3){_joined("tm", "t")}, tb AS (SELECT series, component, avg(z) AS cz FROM t GROUP BY ALL HAVING count(*) >= 2), tn AS (SELECT series, count(*) FILTER (coalesce(cz >= bite_z, true)) AS a, count(*) FILTER (NOT coalesce(cz >= bite_z, true)) AS b FROM tb JOIN refs USING (series) GROUP BY series)
+SELECT tv.*, coalesce(a, 0) AS blocks_upper, coalesce(b, 0) AS blocks_lower FROM tv LEFT JOIN tn USING (series)""")
+def tooth_blocks(spark, d):
+    v = _labelled(spark, d)
+    return N.tooth_blocks(v, N.references(v), least=2)
+
+
+@query(f"""{LAB}{_REFS}{_PARTS}{_JAW}{_TEETH}
+SELECT series, 'coverage' AS section, 1 AS n, {_whole("z_hi - z_lo")} || ' mm high, ' || {_whole("width")} || ' mm wide, ' || {_whole("back_y - front_y")} || ' mm deep; bone ' || voxels || ' mm3' AS line FROM refs
+UNION ALL SELECT series, 'jaw', 1, CASE WHEN coalesce(jaw.voxels, 0) >= 100 THEN jaw.voxels || ' mm3; right ' || "right" || ', left ' || "left" || ' (difference ' || {_whole("difference")} || ' %); mirror overlap ' || {_whole("overlap * 100")} || ' %' ELSE 'not separated' END FROM refs LEFT JOIN jaw USING (series)
+UNION ALL SELECT series, 'parts', n, voxels || ' mm3: ' || position FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS n FROM parts) WHERE n <= 8
+UNION ALL SELECT series, 'teeth', 1, 'upper ' || upper || ' mm3, lower ' || lower || ' mm3' FROM tv""")
+def exam_reading(spark, d):
+    return N.reading(_labelled(spark, d), least_part=4, least_jaw=100, midline=2.0)
+
+
+@query(f"""{VOX}, lab AS (SELECT series, x, y, z, hu, (z * 8 + y) * 8 + x AS i, CASE WHEN hu >= 900 THEN 3 WHEN hu >= -100 THEN 2 ELSE 0 END AS label FROM v){_REFS}, ho AS (SELECT series, x, y, z, i, hu FROM lab WHERE label = 0 AND hu > -600), a AS (SELECT series, x, y, z FROM lab WHERE label <> 2),
+ou AS (SELECT * FROM (WITH RECURSIVE r(series, z, x, y) AS (SELECT series, z, x, y FROM a WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT b.series, b.z, b.x, b.y FROM r JOIN a b ON r.series = b.series AND r.z = b.z AND abs(b.x - r.x) + abs(b.y - r.y) = 1) SELECT * FROM r)),
+hm AS (SELECT ho.* FROM ho ANTI JOIN ou USING (series, x, y, z)){_joined("hm", "h")}, hc AS (SELECT series, component, count(*) AS voxels, round(avg(hu), 6) AS mean_hu, max(x) - min(x) + 1 AS size_x, max(y) - min(y) + 1 AS size_y, max(z) - min(z) + 1 AS size_z, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM h GROUP BY ALL HAVING count(*) >= 2)
+SELECT series, component, hc.voxels, mean_hu, size_x, size_y, size_z, {_POSITION} AS position FROM hc JOIN refs USING (series)""")
+def low_density(spark, d):
+    hu = F.col("hu")
+    v = A.voxels(spark, d).withColumn("label", F.when(hu >= 900, 3).when(hu >= -100, 2).otherwise(0))
+    return N.low_density(v, N.references(v), least=2, steps=0, air=-600.0, midline=2.0)
+
+
+_SPREAD = "SELECT m.series, m.x, m.y, m.z, m.i, coalesce(any_value(m.s), min(b.s)) AS s FROM {0} m LEFT JOIN (SELECT *, unnest([1, -1, 8, -8, 64, -64]) AS o FROM {0} WHERE s IS NOT NULL) b ON m.s IS NULL AND b.series = m.series AND m.i = b.i + b.o AND abs(m.x - b.x) + abs(m.y - b.y) + abs(m.z - b.z) = 1 GROUP BY m.series, m.x, m.y, m.z, m.i"
+
+
+@query(f"""{LAB}, r0 AS (SELECT series, x, y, z, i, CASE WHEN hu >= 900 THEN i END AS s FROM lab WHERE hu >= 0), r1 AS ({_SPREAD.format("r0")}), r2 AS ({_SPREAD.format("r1")}), r3 AS ({_SPREAD.format("r2")})
+SELECT r.series, r.x, r.y, r.z, CASE WHEN s IS NULL THEN 0 WHEN s // 8 % 8 < 4 THEN 2 ELSE 1 END AS owner FROM r3 r""")
+def regrow_three(spark, d):
+    v = A.voxels(spark, d).where("hu >= 0")
+    return B.regrow(v.withColumn("owner", F.when(F.col("hu") < 900, 0).when(F.col("y") < 4, 2).otherwise(1)), 3)
+
+
+_REACH = "SELECT * FROM {0} UNION SELECT m.* FROM (SELECT *, unnest([1, -1, 8, -8, 64, -64]) AS o FROM {0}) a JOIN m ON m.series = a.series AND m.i = a.i + a.o AND abs(m.x - a.x) + abs(m.y - a.y) + abs(m.z - a.z) = 1"
+
+
+@query(f"""{LAB}, pq AS (SELECT series, list_sort(list(hu)) AS l FROM lab WHERE hu >= 200 GROUP BY series), cut AS (SELECT series, seed, 200 + 0.62::DOUBLE * (seed - 200) AS low FROM (SELECT series, least(greatest(1200.0::DOUBLE, l[least(floor(len(l) * 99.9::DOUBLE / 100)::BIGINT, len(l) - 1) + 1]), 1300.0::DOUBLE) AS seed FROM pq)),
+m AS (SELECT lab.series, x, y, z, i FROM lab JOIN cut USING (series) WHERE hu >= low), g0 AS (SELECT lab.series, x, y, z, i FROM lab JOIN cut USING (series) WHERE hu >= seed), g1 AS ({_REACH.format("g0")}), g2 AS ({_REACH.format("g1")}){_joined("g2", "k")}
+SELECT series, x, y, z FROM k QUALIFY count(*) OVER (PARTITION BY series, component) >= 2""")
+def teeth_mask(spark, d):
+    v = A.voxels(spark, d).withColumn("label", F.lit(0))
+    return B.teeth(v, 200, steps=2, least=2, clamp=(1200.0, 1300.0))
+
+
+@query(f"""{LAB}, hits AS (SELECT series, x AS hx, y AS hy, z AS hz, label AS hit FROM lab WHERE label > 0 QUALIFY row_number() OVER (PARTITION BY series ORDER BY hu DESC, i) = 1), ow AS (SELECT lab.*, h.*  EXCLUDE (series), (x - 3.5::DOUBLE + 0.25::DOUBLE * (z - hz) >= 0) = (hx - 3.5::DOUBLE >= 0) AS same FROM lab JOIN hits h USING (series) WHERE label = hit), m AS (SELECT series, x, y, z, i, hx, hy, hz FROM ow WHERE same){_joined("m", "k")},
+pt AS (SELECT k.* FROM k JOIN (SELECT series, component FROM k WHERE x = hx AND y = hy AND z = hz) USING (series, component)) SELECT series, x, y, z FROM pt QUALIFY count(*) OVER (PARTITION BY series) < 0.98::DOUBLE * (SELECT count(*) FROM ow WHERE ow.series = pt.series)""")
+def plane_split(spark, d):
+    v = _labelled(spark, d)
+    flat = (F.col("z") * 8 + F.col("y")) * 8 + F.col("x")
+    hit = v.where("label > 0").groupBy("series").agg(F.max_by(F.struct("x", "y", "z"), F.struct("hu", -flat)).alias("h"))
+    fixed = {"px": F.lit(3.5), "py": F.lit(0.0), "pz": F.col("h.z").cast("double"), "ax": F.lit(1.0), "ay": F.lit(0.0), "az": F.lit(0.25)}
+    return B.split_by_plane(v, hit.select("series", *(F.col(f"h.{c}").alias(f"h{c}") for c in "xyz"), *(e.alias(k) for k, e in fixed.items())))
+
+
+@query(f"""{LAB}, mt AS (SELECT *, hu >= 1300 AS metal FROM lab), ds AS (SELECT series, x, y, z, min(s) AS s FROM (SELECT t.series, t.x + a AS x, t.y + b AS y, t.z + c AS z, abs(a) + abs(b) + abs(c) AS s FROM mt t, range(-3, 4) ra(a), range(-3, 4) rb(b), range(-3, 4) rc(c) WHERE metal AND abs(a) + abs(b) + abs(c) <= 3) GROUP BY ALL)
+SELECT lab.series, lab.x, lab.y, lab.z, CASE WHEN s <= 1 OR s <= 3 AND hu < 450 AND hu > 200 THEN least(hu - 200.0::DOUBLE, -0.05::DOUBLE) ELSE hu - 200.0::DOUBLE END AS field FROM lab LEFT JOIN ds USING (series, x, y, z)""")
+def artefact_field(spark, d):
+    v = A.voxels(spark, d).withColumn("label", F.when(F.col("hu") >= 1300, 4).otherwise(0))
+    return B.suppress_artefacts(v, 200, reach=3)
+
+
+@query(f"""SELECT series, object, CASE WHEN abs(cx - 3.5::DOUBLE) < 1 THEN 'midline' WHEN cx > 3.5::DOUBLE THEN 'left side' ELSE 'right side' END || ', ' || CASE WHEN cz / greatest(1, nz - 1) < 0.33::DOUBLE THEN 'lower third' WHEN cz / greatest(1, nz - 1) < 0.66::DOUBLE THEN 'middle third' ELSE 'upper third' END
+|| ', ' || CASE WHEN cy / 7 < 0.4::DOUBLE THEN 'front' WHEN cy / 7 < 0.65::DOUBLE THEN 'middle' ELSE 'back' END AS location FROM ({ORACLE["metal_pieces"]}) JOIN (SELECT label AS series, count(*) AS nz FROM embeddings GROUP BY label) USING (series)""")
+def metal_locations(spark, d):
+    v = A.voxels(spark, d)
+    o = M.metal_objects(v, 1300, 700).withColumns({c: F.round(c, 4) for c in ("cx", "cy", "cz")})
+    return M.describe(o, _dims(v), midline=1.0).select("series", "object", "location")
