@@ -4,13 +4,15 @@ The statistics of a text are transformed to features: log of the words' mean len
 shares of symbols, repeated lines and repeated words, and the log of the number of words.  For each group of (lang,
 source) the minimum covariance determinant estimate is found over all its texts that pass the base rules, by
 concentration steps: from the ``h`` share of texts nearest the coordinate medians, mean and covariance of the nearest share
-are taken again and again, until the steps are done.  Then the estimate is corrected for consistency, and texts
+are taken again and again, until a group's determinant falls no more.  The covariance is corrected for consistency, and texts
 whose squared Mahalanobis distance exceeds the chi-squared quantile ``1 - tail`` are rejected.
 
 Each step is one aggregation of sums and products per group (combined before the shuffle, so that a group with a third of all
 rows costs a row a task), and the nearest share is cut off by counts of distances in fine steps of their
-logarithm, not by sorting a group.  A covariance never falls below ``floor`` in any direction: features that are
-zero for all clean texts must not make the first non-zero one an outlier.
+logarithm, not by sorting a group.  To the variance of a feature that is (nearly) the same in the ``h`` share of a group's texts
+the square of ``floor`` is added: features that are zero for all clean texts must not make the first non-zero one an
+outlier.  It fades as the spread grows to a tenth of it; beyond, only a ridge of a thousandth of it is left.  The
+addition is set before the first step, so that the steps let the determinant fall.
 
 Groups of fewer than ``least`` texts are judged by the estimate of their language, and where that is too small by that of
 all texts; with fewer than ``least`` texts in all, the method rejects none.
@@ -36,7 +38,7 @@ from . import kernels as K
 from .common import materialize, tune
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: smallest standard deviation of each feature: one that is small beside the range that clean texts may have
+#: standard deviation of each feature where a group shows none: one that is small beside the range that clean texts may have
 FLOOR = (1.0, 0.15, 0.06, 0.12, 0.15)
 P = len(FLOOR)
 U64 = np.uint64
@@ -138,26 +140,40 @@ def chi2_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
-def estimate(n: float, s: np.ndarray, ss: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance from sums and sums of products; eigenvalues in units of the floor are at least 1."""
+def consistency(h: float, df: int) -> float:
+    """What the covariance of the nearest ``h`` share of ``df`` normal features is short by."""
+    q = chi2_quantile(h, df)
+    lo, hi = 1e-9, 1 - 1e-12
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_quantile(mid, df + 2) < q else (lo, mid)
+    return h / lo
+
+
+def estimate(n: float, s: np.ndarray, ss: np.ndarray, added: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance and the covariance's log determinant from sums and sums of products; ``added``: to the variances."""
     mean = s / n
     cov = ss.reshape(P, P) / n - np.outer(mean, mean)
-    scaled = cov / np.outer(floor, floor)
-    value, vector = np.linalg.eigh((scaled + scaled.T) / 2)
-    inverse = (vector / np.maximum(value, 1.0)) @ vector.T
-    return mean, inverse / np.outer(floor, floor)
+    cov = factor * (cov + cov.T) / 2 + np.diag(added)
+    unit = np.sqrt(np.diag(cov))
+    value, vector = np.linalg.eigh(cov / np.outer(unit, unit))
+    value = np.maximum(value, 1e-9)
+    return mean, (vector / value) @ vector.T / np.outer(unit, unit), float(np.log(value).sum() + 2 * np.log(unit).sum())
+
 
+def _fit(factors: tuple[float, ...]):
+    """Sums of each group to mean, inverse covariance and log determinant: one small row a group.
 
-def _fit(floor: tuple[float, ...], factor: float):
-    """Sums of each group to mean and inverse covariance: one small row a group."""
+    ``factors``: for consistency, by the number of features that show a spread.
+    """
 
     def run(batches):
         for pdf in batches:
-            mean, inverse = [], []
-            for n, s, ss in zip(pdf["n"], pdf["s"], pdf["ss"], strict=True):
-                m, i = estimate(float(n), np.asarray(s, float), np.asarray(ss, float), np.asarray(floor))
-                mean.append(m.tolist()), inverse.append((i / factor).ravel().tolist())
-            yield pd.DataFrame({"g": pdf["g"], "mean": mean, "inv": inverse})
+            mean, inverse, det = [], [], []
+            for n, s, ss, added, df in zip(pdf["n"], pdf["s"], pdf["ss"], pdf["added"], pdf["df"], strict=True):
+                m, i, d = estimate(float(n), np.asarray(s, float), np.asarray(ss, float), np.asarray(added, float), factors[df])
+                mean.append(m.tolist()), inverse.append(i.ravel().tolist()), det.append(d)
+            yield pd.DataFrame({"g": pdf["g"], "mean": mean, "inv": inverse, "det": det, "added": pdf["added"], "df": pdf["df"]})
 
     return run
 
@@ -185,37 +201,51 @@ def _sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def mcd(rows: DataFrame, h: float = 0.75, steps: int = 3, floor: tuple[float, ...] = FLOOR) -> DataFrame:
+def mcd(rows: DataFrame, h: float = 0.75, steps: int | None = None, floor: tuple[float, ...] = FLOOR) -> DataFrame:
     """(g, mean, inv) of each group ``g`` of feature arrays ``x``.
 
-    ``inv`` is the inverse of the covariance, corrected for consistency at the normal distribution.
+    ``inv`` is the inverse of the covariance, corrected for consistency at the normal distribution.  ``steps`` bounds the
+    concentration steps; by default each group takes steps until its determinant falls no more.
     """
-    kind = "g string, mean array<double>, inv array<double>"
-    q = chi2_quantile(h, P)
-    # consistency: h over the share of a chi-squared of P + 2 below the h quantile of one of P
-    lo, hi = 1e-9, 1 - 1e-12
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_quantile(mid, P + 2) < q else (lo, mid)
-    factor = h / lo
-    # coordinate medians from counts of feature values in steps of a fiftieth of the floor
+    kind = "g string, mean array<double>, inv array<double>, det double, added array<double>, df int"
+    factors = tuple(consistency(h, max(df, 1)) for df in range(P + 1))
+    # coordinate medians, and the distance from them within which the h share lies, from counts of feature values in steps of a
+    # fiftieth of the floor
     long = rows.select("g", F.posexplode("x").alias("i", "v"))
     size = F.array(*[F.lit(f / 50) for f in floor])
-    counts = long.groupBy("g", "i", F.floor(F.col("v") / size[F.col("i")]).cast("long").alias("b")).agg(F.count("*").alias("k"))
+    counts = materialize(long.groupBy("g", "i", F.floor(F.col("v") / size[F.col("i")]).cast("long").alias("b")).agg(F.count("*").alias("k")), "mcd-counts")
     w = W.partitionBy("g", "i")
     half = counts.withColumn("upto", F.sum("k").over(w.orderBy("b"))).withColumn("all", F.sum("k").over(w)).where("2 * upto >= all")
-    middle = half.groupBy("g", "i").agg(F.min("b").alias("b")).withColumn("m", (F.col("b") + 0.5) * size[F.col("i")])
-    start = middle.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    eye = F.array(*[F.lit(1 / floor[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(P)])
-    now = materialize(start.withColumn("inv", eye), "mcd-start")
-    for k in range(steps):
+    middle = half.groupBy("g", "i").agg(F.min("b").alias("mid"))
+    apart = counts.join(middle, ["g", "i"]).groupBy("g", "i", "mid", F.abs(F.col("b") - F.col("mid")).alias("far")).agg(F.sum("k").alias("k"))
+    apart = apart.withColumn("upto", F.sum("k").over(w.orderBy("far"))).withColumn("all", F.sum("k").over(w)).where(F.col("upto") >= F.col("all") * h)
+    each = apart.groupBy("g", "i", "mid").agg(F.min("far").alias("far"))
+    unit = F.array(*[F.lit(float(f)) for f in floor])[F.col("i")]
+    added = F.pow(unit * F.greatest(F.lit(1e-3), 1 - F.col("far") / 5), F.lit(2.0))  # five of the steps are a tenth of the floor
+    each = each.select("g", "i", ((F.col("mid") + 0.5) * size[F.col("i")]).alias("m"), added.alias("added"), (F.pow(F.col("far") * size[F.col("i")], F.lit(2.0)) + added).alias("var"), (F.col("far") * 2 >= 5).cast("int").alias("own"))
+    start = each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m", "added", "var"))).alias("e"), F.sum("own").cast("int").alias("df"))
+    diagonal = F.array(*[1 / F.col("e")[i]["var"] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
+    now = start.select("g", F.col("e")["m"].alias("mean"), diagonal.alias("inv"), F.lit(float("inf")).alias("det"), F.col("e")["added"].alias("added"), "df")
+    now, found, done = materialize(now, "mcd-start"), [], 0
+    while steps is None or done < steps:
         near = _nearest(rows.join(now, "g").withColumn("d2", _distance()), h)
-        last = k == steps - 1
-        now = materialize(_sums(near).mapInPandas(_fit(floor, factor if last else 1.0), kind), "mcd-step")
-    return now
-
-
-def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", least: int = 200, h: float = 0.75, steps: int = 3, tail: float = 1e-5) -> DataFrame:
+        new = materialize(_sums(near).join(now.select("g", "added", "df"), "g").mapInPandas(_fit(factors), kind), "mcd-step")
+        both = new.join(now.select("g", F.col("det").alias("was")), "g").withColumn("falls", F.col("det") < F.col("was") - 1e-4)
+        # groups whose determinant falls no more keep the estimate that they had and leave
+        found.append(now.join(both.where("not falls").select("g"), "g", "left_semi").select("g", "mean", "inv"))
+        now = materialize(both.where("falls").select(*new.columns), "mcd-left")
+        done += 1
+        if now.isEmpty():
+            break
+    else:
+        found.append(now.select("g", "mean", "inv"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return materialize(out, "mcd-found")
+
+
+def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", least: int = 200, h: float = 0.75, steps: int | None = None, tail: float = 1e-5) -> DataFrame:
     """``docs`` (with the five counts and base_failed) with ``distance2`` and ``kept``."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) if c in docs.columns else F.lit("null") for c in (lang_col, source_col))
     own, mid, top = F.concat_ws("\u0001", F.lit("own"), lang, source), F.concat_ws("\u0001", F.lit("lang"), lang), F.lit("all")

@@ -171,6 +171,23 @@ def test_mcd_rejects_planted_outliers(spark):
     assert quality.keep_good(d).columns == d.columns
 
 
+def test_mcd_rejects_correlated_outlier_within_each_features_limits(spark):
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=(2000, 2))
+    x = np.zeros((2000, quality.P))
+    x[:, 0], x[:, 1] = 5.5 + 0.6 * u[:, 0], 1.6 + 0.1 * (0.98 * u[:, 0] + 0.2 * u[:, 1])
+    x[:100, 2] = 0.05  # seldom, and no reason to be rejected
+    x[-20:, 0], x[-20:, 1] = 5.5 + 1.2, 1.6 - 0.2  # two deviations in each feature, against the correlation
+    rows = spark.createDataFrame([("g", r.tolist()) for r in x], "g string, x array<double>")
+    fit = quality.mcd(rows).collect()[0]
+    d = x - np.asarray(fit["mean"])
+    d2 = np.einsum("ni,ij,nj->n", d, np.asarray(fit["inv"]).reshape(quality.P, -1), d)
+    cut = quality.chi2_quantile(1 - 1e-5, quality.P)
+    assert (d2[-20:] > cut).all() and (d2[:-20] <= cut).all()
+    single = (d * d)[-20:] / np.diag(np.linalg.inv(np.asarray(fit["inv"]).reshape(quality.P, -1)))
+    assert (single < cut).all()
+
+
 def test_encoders():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = encoders.Encoder(P.path(name), "<u2")
