@@ -1,11 +1,13 @@
 """Personal data: regular expressions propose, checksums confirm, nearby words adjust the score.  Column functions only.
 
-Kinds and what confirms a match (a match that fails is dropped and not tried again from a later character):
+Kinds and what confirms a match (but for ``iban``, a match that fails is dropped and not tried again from a later character):
 
 - ``email``; ``ip`` (four parts, each at most 255); ``card`` (14 to 19 digits that pass the Luhn test);
   ``phone`` (after a plus sign, 10 to 15 digits): these are kept whatever their score.
 - ``iban`` (mod-97 is 1), ``ssn`` and ``phone_local`` (no checksum): kept where the score reaches ``threshold``;
-  the last two do so only with a telling word in the 48 characters before them.
+  the last two do so only with a telling word in the 48 characters before them.  An IBAN is sought from every place where
+  one may begin; of what follows, in groups parted by one space, it takes as many whole groups as give its country's length, or
+  else the most that pass mod-97 with 15 to 34 characters.
 
 The patterns are written so that a run of characters is entered at its start alone and never given back, which keeps
 matching linear in the length of the text, and free of deep recursion, whatever the text.
@@ -31,10 +33,17 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])",  # where one may begin
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone_local": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
+#: whole groups of capitals and digits
+_GROUPS = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: telling words before a span, matched in lower case
 CONTEXT = {
     "email": r"\b(?:e-?mail|mail|contact|write)",
@@ -89,13 +98,48 @@ def _confirmed(kind: str, match: Column) -> Column:
         return luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    if kind == "iban":
-        return mod97(F.replace(match, F.lit(" "), F.lit(""))) == 1
     if kind == "ssn":
         return ~F.substring(match, 1, 3).isin("000", "666") & (F.substring(match, 1, 1) != "9") & (F.substring(match, 5, 2) != "00") & (F.substring(match, 8, 4) != "0000")
     return F.lit(True)
 
 
+def _solid(iban: Column) -> Column:
+    return F.replace(iban, F.lit(" "), F.lit(""))
+
+
+def _ibans(text: Column) -> Column:
+    """array<struct<start, end, match>> of the IBANs."""
+    pieces = F.split(F.regexp_replace(text, PATTERNS["iban"], f"{MARK}$0"), MARK, -1)
+    none = F.array().cast("array<long>")
+    begin = F.struct(F.lit(-1).cast("long").alias("at"), none.alias("out"))
+    # what is before the first place, and then each place up to the next
+    places = F.aggregate(
+        pieces,
+        begin,
+        lambda acc, piece: F.struct((F.greatest(acc["at"], F.lit(0)) + F.length(piece)).alias("at"), F.when(acc["at"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], acc["at"])).alias("out")),
+        lambda acc: acc["out"],
+    )
+    own = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for c in codes.split() for x in (c, n)])
+
+    def best(at):
+        # 34 characters, a space between any two, and what comes next
+        groups = F.split(F.regexp_extract(F.substring(text, (at + 1).cast("int"), F.lit(69)), _GROUPS, 0), " ")
+        heads = F.transform(groups, lambda g, k: F.array_join(F.slice(groups, 1, k + 1), " "))
+        valid = F.filter(heads, lambda m: F.when(F.length(_solid(m)).between(15, 34), mod97(_solid(m)) == 1).otherwise(F.lit(False)))
+        return F.aggregate(valid, F.lit(None).cast("string"), lambda acc, m: F.when(F.length(_solid(acc)) == F.try_element_at(own, F.substring(acc, 1, 2)), acc).otherwise(m))
+
+    spans = F.filter(F.transform(places, lambda at: F.struct(at.alias("start"), best(at).alias("match"))), lambda s: s["match"].isNotNull())
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("out"))
+
+    def step(acc, s):
+        end = s["start"] + F.length(s["match"])
+        span = F.struct(s["start"].alias("start"), end.alias("end"), s["match"].alias("match"))
+        new = s["start"] >= acc["at"]
+        return F.struct(F.when(new, end).otherwise(acc["at"]).alias("at"), F.when(new, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+
+
 def _found(text: Column, kind: str, threshold: float) -> Column:
     """array<struct<start, order, end, kind, score, match>> of one kind, by start."""
     order = KINDS.index(kind)
@@ -107,7 +151,10 @@ def _found(text: Column, kind: str, threshold: float) -> Column:
         span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("match"))
         return F.struct(end.alias("at"), (~acc["within"]).alias("within"), F.when(acc["within"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.filter(F.aggregate(pieces, start, step, lambda acc: acc["out"]), lambda s: _confirmed(kind, s["match"]))
+    if kind == "iban":
+        spans = _ibans(text)
+    else:
+        spans = F.filter(F.aggregate(pieces, start, step, lambda acc: acc["out"]), lambda s: _confirmed(kind, s["match"]))
 
     def scored(s):
         before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int")))

@@ -301,6 +301,18 @@ def test_pii(spark):
     assert clean[1] == ("é [CARD]", "mine") and clean[5] == (None, "mine") and clean[4][0] == CASES[4][0]
 
 
+IBANS = [
+    ("pay DE89 3704 0044 0532 0130 00 The bank", "iban:4:31"), ("DE89370400440532013000 BIC COBADEFF.", "iban:0:22"), ("DE89370400440532013000 12 units", "iban:0:22"), ("DE89370400440532013000 X", "iban:0:22"),
+    ("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 AND", "iban:0:22,iban:23:50"), ("AB12 DE89 3704 0044 0532 0130 00", "iban:5:32"), ("DE89 3704 0044 0532 0130 00x", ""), ("DE89370400440532013001 BIC", ""), ("XDE89370400440532013000", ""),
+]
+
+
+def test_ibans_before_words_and_numbers(spark):
+    d = spark.createDataFrame(list(enumerate(t for t, _ in IBANS)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(d).select("doc_id", F.array_join(F.transform(F.filter("pii", lambda s: s["kind"] == "iban"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(IBANS)}
+
+
 def test_urls(spark):
     made = [f"https://s{i % 9}.example.{'net' if i % 2 else 'com'}/{'es' if i % 2 else 'de'}/{i}" for i in range(300)] + [None, "nope", "http://WWW.Example.com/en/1?x#y", "http://a.org", "http://example.com"]
     d = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
