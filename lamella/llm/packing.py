@@ -5,8 +5,10 @@ are then placed by decreasing length: of the open sequences whose residual capac
 cost: the sum of squared lengths) hold the piece, the best fit is taken, by the smallest weighted norm of what would
 be left or by the largest weighted dot product of piece and residual.  A sequence of full length opens and closes at once.
 
-Every task packs the pieces of its own partition, for which only their lengths are held; so that nothing is
-shuffled and no task sees all pieces.  What this loses is at most the last, part-filled sequences of a partition.
+Every task first packs the pieces of its own partition.  The pieces of sequences that are left below ``FILLED`` are then
+dealt at random to tasks of at most about ``ROWS`` pieces, which pack them anew; what is below it again goes on to the next
+round, until all of the rest met in one task or a round saves less than a hundredth of its sequences.  So
+the number of sequences hardly depends on how the input is split, and no task sees all pieces.
 
 Cases: null or empty text is the end id alone; null ids pass through, pieces of the same id in rows that repeat it are
 numbered per row; other columns are not kept.  Sequence numbers are unique, not consecutive.
@@ -22,9 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 from .encoders import encoder, text_runs
 
+#: Share of a sequence's tokens from which it is not packed anew, and pieces of one task that packs anew.
+FILLED, ROWS = 0.99, 20_000
+
 
 def best_fit(lengths: np.ndarray, caps: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece.  ``caps`` and ``weights``: tokens, documents, attention cost."""
@@ -97,11 +102,44 @@ def _pack(path: str, end: int, tokens: int, documents: int, attention: float, we
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tokens: int = 2048, documents: int | None = None, attention: float | None = None, weights: tuple = (1.0, 0.0, 0.0), score: str = "norm", id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def _again(caps: tuple, weights: tuple, score: str, turn: int):
+    """Packs the pieces of one task anew."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bins, offset = best_fit(np.asarray(table.column("length")), caps, weights, score)
+        bins += (turn << 59) + (table.column("task")[0].as_py() << 32)
+        for name, c in (("sequence_id", bins), ("offset", offset)):
+            table = table.set_column(table.column_names.index(name), name, pa.array(c))
+        return table.drop_columns(["task"])
+
+    return run
+
+
+def _repack(pieces: DataFrame, caps: tuple, weights: tuple, score: str, rows: int) -> DataFrame:
+    """``pieces`` with those of part-filled sequences packed together, wherever they were made."""
+    kind = pieces.schema
+    now, out, turn, tasks, was = pieces, None, 0, 0, 0
+    while True:
+        fill = now.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+        low = fill.where(F.col("n") < FILLED * caps[0]).select("sequence_id")
+        open_ = now.join(low, "sequence_id", "left_semi")
+        state = open_.agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("m")).first()
+        # ``m`` counts the sequences that are still part-filled: some of those dealt are full now, or none were saved
+        if state["m"] < 2 or tasks == 1 or turn and state["m"] > 0.99 * was or turn == 7:
+            return now if out is None else out.unionByName(now)
+        full = now.join(low, "sequence_id", "left_anti").select(*kind.names)
+        out = full if out is None else out.unionByName(full)
+        tasks, turn = -(-state["n"] // rows), turn + 1
+        was = state["m"]
+        dealt = open_.select(*kind.names, F.pmod(F.xxhash64("sequence_id", "offset", F.lit(turn)), F.lit(tasks)).alias("task"))
+        now = materialize(dealt.groupBy("task").applyInArrow(_again(caps, weights, score, turn), kind), "packing-again")
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tokens: int = 2048, documents: int | None = None, attention: float | None = None, weights: tuple = (1.0, 0.0, 0.0), score: str = "norm", id_col: str = "doc_id", text_col: str = "text", ids: bool = False, rows: int = ROWS) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and with ``ids`` its little-endian ids.
 
     ``documents`` and ``attention`` bound a sequence's pieces and its sum of squared lengths; None is the
-    loosest bound that ``tokens`` leaves, so that tokens alone bind.
+    loosest bound that ``tokens`` leaves, so that tokens alone bind.  ``rows``: pieces of a task that packs anew, about.
     """
     tune(docs.sparkSession)
     documents = documents or tokens
@@ -111,7 +149,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tokens: int = 2048, d
         raise ValueError(f"attention cost {attention} is below that of one full piece; use at most {tokens_piece} tokens")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kind = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * ids
-    return d.mapInArrow(_pack(tokenizer, end_id, tokens, documents, attention, tuple(weights), score, ids), kind).withColumnRenamed("id", id_col)
+    made = materialize(d.mapInArrow(_pack(tokenizer, end_id, tokens, documents, attention, tuple(weights), score, ids), kind), "packing-pieces")
+    return _repack(made, (tokens, documents, attention), tuple(weights), score, rows).withColumnRenamed("id", id_col)
 
 
 def op8_best_fit_packing(spark, sf_dir):

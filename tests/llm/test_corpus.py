@@ -219,6 +219,21 @@ def test_packing(docs, held, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("rows", [packing.ROWS, 150])
+def test_packing_joins_the_part_filled_sequences_of_all_partitions(spark, rows):
+    path = P.path("word_bpe_49k.json")
+    d = spark.createDataFrame([(i, "a b c d " * (1 + i % 7)) for i in range(400)], "doc_id long, text string").repartition(40)
+    got = packing.pack(d, path, tokens=256, rows=rows).collect()
+    assert len(got) == 400 and {r.doc_id for r in got} == set(range(400))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [a for a, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 256
+    assert len(bins) <= -(-sum(r.length for r in got) // 256) + 4  # at least 40 before
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     rng = np.random.default_rng(2)
