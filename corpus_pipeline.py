@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import materialize
 from lamella.llm.ngram_join import drop_near_duplicates
-from lamella.llm.packing import pack
+from lamella.llm.packing import WEIGHTS, pack
 from lamella.llm.pii import redact_pii
 from lamella.llm.quality import keep_good
 from lamella.llm.repeats import remove_repeats
@@ -45,7 +45,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Token sequences of at most 2048: one row a piece."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), weights=WEIGHTS)
 
 
 STAGES = [

@@ -29,6 +29,8 @@ from .encoders import encoder, text_runs
 
 #: Share of a sequence's tokens from which it is not packed anew, and pieces of one task that packs anew.
 FILLED, ROWS = 0.99, 20_000
+#: Of the registered uses: all three residuals choose
+WEIGHTS = (1.0, 1.0, 1.0)
 
 
 def best_fit(lengths: np.ndarray, caps: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -157,4 +159,4 @@ def op8_best_fit_packing(spark, sf_dir):
     """All ``documents`` in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), weights=WEIGHTS)

@@ -219,6 +219,17 @@ def test_packing(docs, held, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_registered_packing_weighs_every_residual(spark, sf, monkeypatch):
+    import corpus_pipeline as C
+
+    seen = []
+    for module in (packing, C):
+        monkeypatch.setattr(module, "pack", lambda *a, **b: seen.append(b["weights"]))
+    packing.op8_best_fit_packing(spark, sf)
+    C.best_fit_packing(spark, None, sf)
+    assert len(seen) == 2 and all(min(w) > 0 for w in seen)
+
+
 @pytest.mark.parametrize("rows", [packing.ROWS, 150])
 def test_packing_joins_the_part_filled_sequences_of_all_partitions(spark, rows):
     path = P.path("word_bpe_49k.json")
