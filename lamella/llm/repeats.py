@@ -26,6 +26,7 @@ other columns, whatever their names, pass through.  Equality of windows is that
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -46,6 +47,17 @@ def _frame(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
 
+def _whole(word: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the word sequence of each text."""
+    n = np.diff(first).astype(U64)
+    whole = []
+    for which in (0, 1):
+        up, down = K.powers(len(word) + 1, which)
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(word * up[: len(word)])])
+        whole.append(K.mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + n))
+    return whole
+
+
 def _propose(window: int, phrase: int):
     names = ("__kind", "__shard", "__h", "__h2", "__id", "__n")
     schema = pa.schema([("__kind", pa.int32())] + [(n, pa.int64()) for n in names[1:]])
@@ -61,11 +73,7 @@ def _propose(window: int, phrase: int):
                 ids, shard, ok = ids_all[lo:hi], shard_all[lo:hi], known[lo:hi]
                 n = np.diff(first)
                 word = K.byte_hashes(buf, starts, ends)
-                whole = [np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)]
-                for which in (0, 1):  # the word sequence of each text
-                    up, down = K.powers(len(word) + 1, which)
-                    total = np.concatenate([np.zeros(1, U64), np.cumsum(word * up[: len(word)])])
-                    whole[which] = K.mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + n.astype(U64))
+                whole = _whole(word, first)
                 pick = ok & (n >= window)
                 yield _frame({"__kind": np.zeros(pick.sum(), np.int32), "__shard": shard[pick], "__h": whole[0][pick].view(np.int64), "__h2": whole[1][pick].view(np.int64), "__id": ids[pick], "__n": n[pick]}, schema)
                 at, row = K.inside(first, window)
@@ -132,10 +140,14 @@ def _locate(window: int, phrase: int, digest: bool, out: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
         kinds, hs = np.asarray(right.column("__kind")), np.asarray(right.column("__h"))
-        copies = set(np.asarray(right.column("__id"))[kinds == 0].tolist())
+        copy_ids = np.asarray(right.column("__id"))[kinds == 0].tolist()
+        copies = set(copy_ids)
+        digests = set(zip(copy_ids, hs[kinds == 0].tolist(), np.asarray(right.column("__h2"))[kinds == 0].tolist(), np.asarray(right.column("__n"))[kinds == 0].tolist(), strict=True))
         wanted = np.unique(hs[kinds == 1].view(U64))
         ids_col = left.column("__id")
         ids = ids_col.to_pylist()
+        # all rows of an id are here: where it has several, the text tells which are copies
+        several = {i for i, k in Counter(ids).items() if k > 1} & copies
         done: tuple[list, list, list, list] = ([], [], [], [])
         later, win = [], []
         parts = []
@@ -156,11 +168,16 @@ def _locate(window: int, phrase: int, digest: bool, out: pa.Schema):
             automaton.make_automaton()
         for lo, hi, buf, off in K.pieces(left.column("__text")):
             starts, ends, first = K.spans(buf, off)
-            windows = noted = None
+            windows = noted = whole = None
             for r in range(lo, hi):
                 a, b = int(first[r - lo]), int(first[r - lo + 1])
                 n, i = b - a, ids[r]
-                if i in copies:
+                copy = i in copies
+                if i in several:
+                    if whole is None:
+                        whole = [x.view(np.int64) for x in _whole(K.byte_hashes(buf, starts, ends), first)]
+                    copy = (i, int(whole[0][r - lo]), int(whole[1][r - lo]), n) in digests
+                if copy:
                     done[0].append(r), done[1].append(n), done[2].append(n if n >= window else 0), done[3].append(b"")
                     continue
                 raw = buf[starts[a] : ends[b - 1]].tobytes().split() if n else []
@@ -266,9 +283,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     proposed = materialize(d.select("__id", "__shard", "__text").mapInArrow(_propose(window, phrase), _PHRASES), "repeats-phrases", by="__kind")
     whole, seen = proposed.where("__kind = 0"), proposed.where("__kind = 1")
     first = whole.groupBy("__h", "__h2", "__n").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least < __most").drop("__most")
-    copies = whole.join(first, ["__h", "__h2", "__n"]).where("__id > __least").select(F.lit(0).alias("__kind"), "__shard", F.lit(0).cast("long").alias("__h"), "__id")
+    copies = whole.join(first, ["__h", "__h2", "__n"]).where("__id > __least").select(F.lit(0).alias("__kind"), "__shard", "__h", "__h2", "__id", "__n")
     recurring = seen.groupBy("__h").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least < __most").select("__h")
-    phrases = seen.join(recurring, "__h").select("__shard", "__h").distinct().select(F.lit(1).alias("__kind"), "__shard", "__h", F.lit(0).cast("long").alias("__id"))
+    phrases = seen.join(recurring, "__h").select("__shard", "__h").distinct().select(F.lit(1).alias("__kind"), "__shard", "__h", *(F.lit(0).cast("long").alias(c) for c in ("__h2", "__id", "__n")))
     known = copies.unionByName(phrases).withColumnRenamed("__shard", "__dealt")
 
     fields = [f for f in d.schema.fields] + [T.StructField(n, t) for n, t in (("__n_words", T.LongType()), ("__n_removed", T.LongType()), ("__sha", T.StringType()), ("__h", T.LongType()), ("__most", T.LongType()), ("__kind", T.IntegerType()))]

@@ -105,6 +105,13 @@ def test_repeats_null_and_repeated_ids(spark):
     assert got == [(-1, 0), (-1, 0), (5, 0), (5, 0), (9, 60)]
 
 
+def test_repeats_id_with_a_copy_and_another_text(spark):
+    same, other = (" ".join(f"{p}{k}" for k in range(80)) for p in "ab")
+    rows = [(1, same), (5, same), (5, other), (5, other), (7, "x " + other)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == sorted([(1, 80, 0, same), (5, 80, 80, ""), (5, 80, 0, other), (5, 80, 0, other), (7, 81, 80, "x")])
+
+
 def shingles(t):
     w = words(t)
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
