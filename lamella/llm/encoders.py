@@ -1,148 +1,274 @@
-"""Encoding whole texts with a `tokenizers` vocabulary, each distinct word of a task once.
+"""Encoding whole texts with a `tokenizers` vocabulary, each distinct word of a run of texts once.
 
 A text is cut where no token can cross: before a space between two other non-space characters (byte-level vocabularies), or at
-ASCII white space (vocabularies that drop it).  Units not met before are encoded together by the library, parted by a
-separator that is always one token of its own; texts that the cut does not suit are encoded whole.
+ASCII white space (vocabularies that drop it).  Arrow splits a run of texts and numbers its distinct units; units not met
+before are encoded by the library, and the ids of all texts are gathered from those of their units.  Of a unit that is a word of
+Latin letters with marks after it, word and marks are encoded apart, as the vocabularies' patterns part them; such words need
+neither normalisation nor patterns, and go to the same model without these steps.  Texts that the cut does not suit, or that
+hold the string of a special token, are encoded whole, so that ids are always those of a plain call of the library.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
-import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries of one generation of the cache of units; two generations are kept.
+#: Units that are kept from run to run; of more, those that the last run did not meet are forgotten.
 CACHE = 600_000
+#: Bytes of text in a run.
+RUN = 32 << 20
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Marks that part from letters before them in both kinds of vocabularies; the apostrophe may not.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = f"^[{LETTERS}]+[!-&(-/:-@\\[-`{{-~]*$"
 
 
 class Encoder:
-    """ids of a text as little-endian bytes of ``dtype``."""
+    """ids of texts.  Slots number what has been encoded; slot 0 has no ids, -1 is a unit at which a text may not be cut."""
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype(dtype)
         spec = json.load(open(path, encoding="utf-8"))
-        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
         drops = json.dumps(norm or {}).find('"\\\\s+"') >= 0 and pre.get("type") == "Sequence"
         spaced = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.kind = "drop" if drops else "space" if spaced else "whole"
-        self.sep_text = " \x01 " if drops else "\n"
-        sep = self.tok.encode("\x01" if drops else "\n", add_special_tokens=False).ids
-        if len(sep) != 1:
-            self.kind = "whole"
-        self.sep = sep[0]
-        self.lead = " " if self.kind == "space" else ""
-        #: units (between zero bytes) that need a closer look
-        self._odd = re.compile(r"\x00[\x00\s]|\s\x00|\s\s" if spaced else r"\x00\x00|\x01")
-        self._apart = re.compile(r"\s\s|\x00" if spaced else r"[\x00\x01]")
-        self.heads: dict[bytes, bytes] = {}
-        self.new: dict[bytes, bytes | None] = {}
-        self.old: dict[bytes, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, units: list[bytes]) -> None:
-        """Encode units (UTF-8) that are not in the cache."""
-        if not units:
-            return
-        flat = b"\x00".join(units).decode()
-        strs = flat.split("\x00")
-        if len(strs) != len(units) or self._odd.search(f"\x00{flat}\x00"):
-            good, strs = [], []
-            for u in units:
-                x = u.decode()
-                if self.kind == "space" and (not x or x[0].isspace() or x[-1].isspace()):
-                    self.new[u] = None  # not a place to cut
-                elif self._apart.search(x):
-                    self.new[u] = self.whole(self.lead + x)
-                else:
-                    good.append(u), strs.append(x)
-            units = good
-        if not units:
-            return
-        step, w = 256, self.dtype.itemsize
-        texts = [self.lead + (self.sep_text + self.lead).join(strs[i : i + step]) for i in range(0, len(strs), step)]
-        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            own = units[k * step : (k + 1) * step]
-            ids = np.asarray(e.ids, self.dtype)
-            cut = np.flatnonzero(ids == self.sep)
-            if self.kind == "space" and len(cut) >= len(own):  # line ends within units are the same token
-                inner = np.cumsum([u.count(b"\n") + 1 for u in own])
-                if inner[-1] - 1 == len(cut):
-                    cut = cut[inner[:-1] - 1]
-            if len(cut) != len(own) - 1:  # the separator is a token of its own; be exact all the same
-                self.new.update((u, self.whole(self.lead + u.decode())) for u in own)
-                continue
-            raw = ids.tobytes()
-            lo, hi = [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)]
-            self.new.update(zip(own, [raw[a:b] for a, b in zip(lo, hi, strict=True)], strict=True))
-
-    def batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """ids of each text, given as UTF-8; None counts as empty."""
-        if self.kind == "whole":
-            return [self.whole((t or b"").decode()) for t in texts]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        spaced = self.kind == "space"
-        parts = [t.split(b" ") if spaced else t.split() for t in (t or b"" for t in texts)]
-        # what a text begins with has no space before it: kept under a key that no unit has
-        tails = [p[1:] for p in parts] if spaced else parts
-        fresh = set().union(*tails).difference(self.new)
-        if self.old:
-            known = fresh.intersection(self.old)
-            self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
-            fresh -= known
-        self._learn(list(fresh))
-        out, get = [], self.new.__getitem__
-        for t, p, tail in zip(texts, parts, tails, strict=True):
-            ids = list(map(get, tail))
-            if not spaced:
-                out.append(b"".join(ids))
-            elif None in ids or len(p) > 1 and (not p[0] or p[0].decode()[-1].isspace()):
-                out.append(self.whole(t.decode()))
-            else:
-                out.append(self._first(p[0]) + b"".join(ids))
+        self.lead = " " if spaced else ""
+        # the same model, for words that are one piece each; the first or last token of a piece shows where it begins or ends
+        suffix, self.words = model.get("end_of_word_suffix"), None
+        if spaced or drops and suffix:
+            self.words = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}))
+            self.edge = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.edge[[i for t, i in model["vocab"].items() if (t.startswith("Ġ") if spaced else t.endswith(suffix))]] = True
+            level = ByteLevel(add_prefix_space=False, use_regex=False)  # its characters for the bytes of other letters than ASCII
+            bytes_as = list(map(chr, range(256)))
+            for c in map(chr, range(0xC0, 0x100)):
+                for b, as_ in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+                    bytes_as[b] = as_
+            self.bytes_as = "".join(bytes_as)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.values, self.n_values = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
+        # units by name, and the slot of each
+        self.names, self.slot_of = pa.array([], pa.string()), np.zeros(0, np.int64)
+        # what has no white space before it
+        self.bare: dict[str, int] = {}
+
+    def _add(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New slots for ids one after another."""
+        n, v = self.n + len(sizes), self.n_values + len(values)
+        for name, need in (("values", v), ("start", n), ("size", n)):
+            have = getattr(self, name)
+            if need > len(have):
+                grown = np.zeros(max(need, 2 * len(have)), have.dtype)
+                grown[: len(have)] = have
+                setattr(self, name, grown)
+        self.values[self.n_values : v] = values
+        self.size[self.n : n] = sizes
+        self.start[self.n : n] = self.n_values + np.cumsum(sizes) - sizes
+        slots = np.arange(self.n, n)
+        self.n, self.n_values = n, v
+        return slots
+
+    def _name(self, names: pa.Array, slots: np.ndarray) -> None:
+        self.names, self.slot_of = pa.concat_arrays([self.names, names]), np.concatenate([self.slot_of, slots])
+
+    def _known(self, units: pa.Array) -> np.ndarray:
+        """The slot of each unit, -2 where it is not met yet."""
+        if not len(self.names):
+            return np.full(len(units), -2)
+        at = np.asarray(pc.fill_null(pc.index_in(units, value_set=self.names), -1), np.int64)
+        return np.where(at >= 0, self.slot_of[at], -2)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """ids of slots one after another."""
+        out, done = np.zeros(int(self.size[at].sum()), "<u4"), 0
+        for a in range(0, len(at), 1 << 19):
+            own = at[a : a + (1 << 19)]
+            size = self.size[own]
+            end = np.cumsum(size)
+            n = int(end[-1])
+            out[done : done + n] = self.values[np.arange(n) + np.repeat(self.start[own] - end + size, size)]
+            done += n
         return out
 
-    def _first(self, unit: bytes) -> bytes:
-        if len(self.heads) > 50_000:
-            self.heads.clear()
-        if unit not in self.heads:
-            self.heads[unit] = self.whole(unit.decode())
-        return self.heads[unit]
+    def _keep(self, names: pa.Array, slots: np.ndarray) -> None:
+        """Forget all but these units."""
+        ok = slots > 0
+        names, slots = names.filter(pa.array(ok)), slots[ok]
+        values, sizes = self._gather(slots), self.size[slots]
+        self._clear()
+        self._name(names, self._add(values, sizes))
+
+    def _plainly(self, texts: list[str]) -> np.ndarray:
+        """Slots of texts that the library encodes one by one."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return self._add(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes)
+
+    def _simply(self, words: pa.Array) -> np.ndarray:
+        """Slots of words of Latin letters."""
+        n, lead = len(words), "Ġ" if self.lead else ""
+        cut = pa.array([*range(0, n, 512), n], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(cut, words.cast(pa.binary())), b" ").to_pylist()
+        texts = [lead + codecs.charmap_decode(t, "strict", self.bytes_as)[0].replace(" ", " " + lead) for t in texts]
+        values = np.concatenate([np.asarray(e.ids, "<u4") for e in self.words.encode_batch_fast(texts, add_special_tokens=False)])
+        edge = np.flatnonzero(self.edge[values])
+        if len(edge) != n:  # the edges are those of pieces; be exact all the same
+            return self._plainly([self.lead + w for w in words.to_pylist()])
+        return self._add(values, np.diff(edge, append=len(values)) if lead else np.diff(edge, prepend=-1))
+
+    def _find(self, names: list[str]) -> np.ndarray:
+        """Slots of strings as they are, with nothing before them."""
+        if len(self.bare) > 100_000:
+            self.bare.clear()
+        new = [u for u in names if u not in self.bare]
+        if new:
+            self.bare.update(zip(new, self._plainly(new).tolist(), strict=True))
+        return np.fromiter(map(self.bare.__getitem__, names), np.int64, len(names))
+
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Encode units that are not met yet; their slots."""
+        slots = np.zeros(len(units), np.int64)
+        plain = np.asarray(pc.match_substring_regex(units, _PLAIN)) if self.words else np.zeros(len(units), bool)
+        odd = ~plain
+        if self.kind == "space":
+            bad = odd & np.asarray(pc.or_(pc.equal(units, ""), pc.not_equal(units, pc.utf8_trim_whitespace(units))))
+            slots[bad] = -1
+            odd &= ~bad
+        if odd.any():
+            slots[odd] = self._plainly([self.lead + u for u in units.filter(pa.array(odd)).to_pylist()])
+        self._name(units.filter(pa.array(~plain)), slots[~plain])
+        if not plain.any():
+            return slots
+        words = units.filter(pa.array(plain))
+        core = pc.utf8_rtrim(words, MARKS)
+        core = (pc.utf8_lower(core) if self.kind == "drop" else core).dictionary_encode()
+        own = self._known(core.dictionary)
+        fresh = pa.array(own == -2)
+        if pc.any(fresh).as_py():
+            new = core.dictionary.filter(fresh)
+            own[np.asarray(fresh)] = self._simply(new)
+            self._name(new, own[np.asarray(fresh)])
+        cores = own[np.asarray(core.indices)]
+        tail = pc.replace_substring_regex(words, f"^[{LETTERS}]+", "").dictionary_encode()
+        tails = np.asarray([self._find([m])[0] if m else 0 for m in tail.dictionary.to_pylist()], np.int64)[np.asarray(tail.indices)]
+        made = np.where(tails > 0, 0, cores)
+        left = np.flatnonzero(tails)
+        if len(left):
+            made[left] = self._add(self._gather(np.stack([cores[left], tails[left]], 1).ravel()), self.size[cores[left]] + self.size[tails[left]])
+        other = np.asarray(pc.not_equal(words, core.dictionary_decode()))
+        self._name(words.filter(pa.array(other)), made[other])
+        slots[plain] = made
+        return slots
 
+    def _slots(self, flat: pa.Array) -> np.ndarray:
+        """The slot of each unit."""
+        coded = flat.dictionary_encode()
+        own = self._known(coded.dictionary)
+        new = own == -2
+        if new.any():
+            own[new] = self._learn(coded.dictionary.filter(pa.array(new)))
+        if len(self.names) > CACHE:
+            self.last = coded.dictionary, own
+        return own[np.asarray(coded.indices)]
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, first place of each text's and the number of all); null counts as empty.
 
+        ``end`` is appended to each text's ids.
+        """
+        n, self.last = len(texts), None
+        if texts.null_count:
+            texts = texts.fill_null("")
+        whole = np.full(n, self.kind == "whole")
+        for s in self.special:
+            whole |= np.asarray(pc.match_substring(texts, s))
+        cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        parts = pc.ascii_split_whitespace(cut) if self.kind == "drop" else pc.split_pattern(cut, " ")
+        off, flat = np.asarray(parts.offsets).astype(np.int64), parts.flatten()
+        off -= off[0] if len(off) else 0
+        if self.kind == "whole" or not len(flat):
+            at = np.zeros(len(flat), np.int64)
+        elif self.kind == "drop":
+            at = self._slots(flat)
+        else:
+            first, rest = off[:-1], np.ones(len(flat), bool)
+            rest[first] = False
+            at = np.zeros(len(flat), np.int64)
+            at[rest] = self._slots(flat.filter(pa.array(rest)))
+            head = flat.take(pa.array(first)).dictionary_encode()
+            names, code = head.dictionary.to_pylist(), np.asarray(head.indices)
+            at[first] = self._find(names)[code]
+            loose = np.fromiter((not h or h[-1].isspace() for h in names), bool, len(names))[code]
+            # a cut next to white space is none
+            whole |= loose & (np.diff(off) > 1) | (np.bincount(np.searchsorted(off, np.flatnonzero(at < 0), "right") - 1, minlength=n) > 0)
+            at[np.repeat(whole, np.diff(off))] = 0
+        ids, size = self._gather(at), np.concatenate([[0], np.cumsum(self.size[at])])
+        first = size[off] if n else np.zeros(1, np.int64)
+        if whole.any():
+            ids, first = self._with_whole(texts, whole, ids, first)
+        if end is not None:
+            ends = first[1:] + np.arange(n)
+            out = np.full(len(ids) + n, end, "<u4")
+            keep = np.ones(len(out), bool)
+            keep[ends] = False
+            out[keep] = ids
+            ids, first = out, first + np.arange(n + 1)
+        if self.last:
+            self._keep(*self.last)
+        return ids, first
 
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
+    def _with_whole(self, texts: pa.Array, whole: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, parts, at = np.diff(first), [], 0
+        for r in np.flatnonzero(whole).tolist():
+            own = np.asarray(self.tok.encode(texts[r].as_py(), add_special_tokens=False).ids, "<u4")
+            parts += [ids[at : first[r]], own]
+            at, size[r] = first[r], len(own)
+        return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(size)])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One per worker process, so that tasks share what was encoded."""
-    key = path, dtype
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, dtype)
-    return _ENCODERS[key]
-
-
-def text_runs(column, max_bytes: int = 1 << 20):
-    """(first row, texts as UTF-8 or None) of an Arrow string column in runs of about ``max_bytes``."""
-    import pyarrow as pa
-
-    wide = pa.types.is_large_string(column.type)
-    values = column.cast(pa.large_binary() if wide else pa.binary())
-    run, lo, size = [], 0, 0
-    for i in range(len(values)):
-        v = values[i].as_py()
-        run.append(v)
-        size += len(v or b"")
-        if size >= max_bytes:
-            yield lo, run
-            run, lo, size = [], i + 1, 0
-    if run:
-        yield lo, run
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def runs(batches, max_bytes: int = RUN):
+    """Arrow batches with a column ``text`` as tables of about ``max_bytes`` of text, with one chunk a column."""
+    held, size = [], 0
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            done = int(sizes[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, done + max_bytes - size, "right")))
+            held.append(batch.slice(lo, hi - lo))
+            size += int(sizes[hi - 1]) - done
+            lo = hi
+            if size >= max_bytes or lo < batch.num_rows:
+                yield whole()
+                held, size = [], 0
+    if held:
+        yield whole()

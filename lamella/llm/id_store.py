@@ -2,16 +2,17 @@
 
 A store is a folder of shards; each shard holds the ids of a contiguous range of document ids, in ascending order:
 
-``shard-N.ids``  the payload: nothing but ids, little-endian unsigned integers of 2 or 4 bytes (by vocabulary size).
-``shard-N.mph``  the index, little-endian: magic ``LMPH1\\n\\0\\0``; u64 keys n, u64 buckets m, u64 bytes of an id; i32[m]
+``shard-N-A.ids``  the payload: nothing but ids, little-endian unsigned integers of 2 or 4 bytes (by vocabulary size).
+``shard-N-A.mph``  the index, little-endian: magic ``LMPH1\\n\\0\\0``; u64 keys n, u64 buckets m, u64 bytes of an id; i32[m]
                  displacements; u32[n] fingerprints; u64[n] places (in ids), u64[n] lengths.
 
 A key's slot is found in constant time: its bucket's displacement d says either the slot itself (-d - 1) or
 the seed of the hash that gives it; the fingerprint stored there tells keys that are not in the shard.
 A key is a document id and the ordinal of its row among rows that repeat the id (0 for the first).
 
-Files are written under a name of their own for each task attempt and then renamed, so that a task that is repeated,
-after the loss of an executor, leaves one whole file.  A manifest (one row per shard) is what readers start from.
+Files bear the name of the task attempt that writes them, and a manifest (one row per shard), which is what readers start
+from, names those of the attempt whose result Spark took.  So a task that is repeated, after the loss of an executor or beside
+a slow one, neither meets files of another attempt nor leaves half a file that is read.
 
 Cases: null or empty text is the end id alone; rows with a null id are left out, as they have no key; rows that
 repeat an id are stored one after another, ordered by their ids' bytes; an empty table gives an empty manifest.
@@ -29,11 +30,11 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import materialize, shared_dir, tune
-from .encoders import encoder, text_runs
+from .encoders import encoder, runs
 
 MAGIC = b"LMPH1\n\0\0"
 U64 = np.uint64
-SHARD_ROWS = 16_384
+SHARD_ROWS, SHARD_BYTES = 16_384, 64 << 20
 
 
 def key_hash(keys: np.ndarray, ordinals: np.ndarray, seed: int | np.ndarray = 0) -> np.ndarray:
@@ -118,16 +119,17 @@ def index_bytes(keys: np.ndarray, ordinals: np.ndarray, lengths: np.ndarray, wid
 def _fs(path: str):
     from pyarrow import fs
 
+    for other in ("s3a://", "s3n://"):
+        if path.startswith(other):
+            path = "s3://" + path.removeprefix(other)
     return fs.FileSystem.from_uri(path)
 
 
-def write_file(folder: str, name: str, data: bytes, attempt: str) -> None:
-    """Write under a name of the attempt's own, then rename."""
+def write_file(folder: str, name: str, data: bytes) -> None:
     f, p = _fs(folder)
     f.create_dir(p, recursive=True)
-    with f.open_output_stream(f"{p}/.{name}.{attempt}") as out:
+    with f.open_output_stream(f"{p}/{name}") as out:
         out.write(data)
-    f.move(f"{p}/.{name}.{attempt}", f"{p}/{name}")
 
 
 def read_file(folder: str, name: str, start: int = 0, size: int | None = None) -> bytes:
@@ -141,17 +143,27 @@ def _encode(path: str, end: int, dtype: str, bounds: np.ndarray):
     schema = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        enc, tail = encoder(path, dtype), np.asarray([end], dtype).tobytes()
-        for batch in batches:
-            ids = np.asarray(batch.column("id"))
-            shard = np.maximum(np.searchsorted(bounds, ids, "right") - 1, 0)
-            for lo, texts in text_runs(batch.column("text")):
-                hi = lo + len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[lo:hi], pa.int64()), pa.array(ids[lo:hi]), pa.array([x + tail for x in enc.batch(texts)], pa.binary())], schema=schema)
+        enc, width = encoder(path), np.dtype(dtype).itemsize
+        for batch in runs(batches):
+            values, first = enc.encode(batch.column("text"), end)
+            shard = np.maximum(np.searchsorted(bounds, np.asarray(batch.column("id")), "right") - 1, 0)
+            for lo, hi in _strides(first * width):
+                data = values[first[lo] : first[hi]].astype(dtype)
+                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(((first[lo : hi + 1] - first[lo]) * width).astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lo:hi], pa.int64()), batch.column("id").slice(lo, hi - lo), ids], schema=schema)
 
     return run
 
 
+def _strides(ends: np.ndarray, most: int = 16 << 20):
+    """(first, end) of runs of rows of about ``most`` bytes; ``ends``: bytes before each row, and in all."""
+    lo, n = 0, len(ends) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield lo, min(hi, n)
+        lo = hi
+
+
 def _ordinals(ids: np.ndarray) -> np.ndarray:
     """Of ascending ids: the place of each among its equals."""
     new = np.ones(len(ids), bool)
@@ -169,31 +181,34 @@ def _write(folder: str, width: int):
         keys = np.asarray([ids[i] for i in order], np.int64)
         lengths = np.asarray([len(raw[i]) // width for i in order], np.int64)
         shard = table.column("shard")[0].as_py()
-        attempt = str(TaskContext.get().taskAttemptId())
+        file = f"shard-{shard}-{TaskContext.get().taskAttemptId()}"
         payload = b"".join(raw[i] for i in order)
-        write_file(folder, f"shard-{shard}.ids", payload, attempt)
-        write_file(folder, f"shard-{shard}.mph", index_bytes(keys, _ordinals(keys), lengths, width), attempt)
-        return pa.table({"shard": [shard], "n_docs": [len(keys)], "n_tokens": [int(lengths.sum())], "crc32": [zlib.crc32(payload)]})
+        write_file(folder, f"{file}.ids", payload)
+        write_file(folder, f"{file}.mph", index_bytes(keys, _ordinals(keys), lengths, width))
+        return pa.table({"shard": [shard], "file": [file], "n_docs": [len(keys)], "n_tokens": [int(lengths.sum())], "crc32": [zlib.crc32(payload)]})
 
     return run
 
 
-def shard_bounds(docs: DataFrame, rows: int = SHARD_ROWS) -> np.ndarray:
-    """Ascending first ids of shards of about ``rows`` documents: one number a shard comes to the driver.
+def shard_bounds(docs: DataFrame, rows: int = SHARD_ROWS, size: int = SHARD_BYTES) -> np.ndarray:
+    """Ascending first ids of shards of about ``rows`` documents and ``size`` bytes of text at most: one number a shard comes to the driver.
 
-    Ids are sorted by range in Spark; only ids move.  Rows that repeat an id fall in one shard.
+    Ids are sorted by range in Spark; only ids and lengths move.  A range of long texts is cut where its running sum of
+    bytes passes ``size``.  Rows that repeat an id fall in one shard.
     """
-    ids = docs.select("id").where("id is not null")
-    n = ids.count()
-    parts = max(1, -(-n // rows))
-    if parts == 1:
-        return np.asarray([r[0] for r in ids.agg(F.min("id")).collect() if r[0] is not None], np.int64)
-    low = ids.repartitionByRange(parts, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("b"))
+    from pyspark.sql import Window as W
+
+    ids = docs.select("id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).where("id is not null")
+    total = ids.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    parts = max(1, -(-total["rows"] // rows), -(-(total["bytes"] or 0) // size))
+    dealt = ids.repartitionByRange(parts, "id").withColumn("p", F.spark_partition_id())
+    before = F.coalesce(F.sum("n").over(W.partitionBy("p").orderBy("id").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    low = dealt.select("p", "id", F.floor(before / size).alias("k")).groupBy("p", "k").agg(F.min("id").alias("b"))
     return np.sort(np.asarray([r["b"] for r in low.collect()], np.int64))
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SHARD_ROWS, path: str | None = None) -> tuple[str, np.ndarray, DataFrame]:
-    """Encode and write; returns (folder, first ids of the shards, manifest: shard, n_docs, n_tokens, crc32)."""
+def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SHARD_ROWS, path: str | None = None, size: int = SHARD_BYTES) -> tuple[str, np.ndarray, DataFrame]:
+    """Encode and write; returns (folder, first ids of the shards, manifest: shard, file, n_docs, n_tokens, crc32)."""
     import json
 
     tune(docs.sparkSession)
@@ -201,22 +216,22 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     most = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
     width = 2 if most < 1 << 16 else 4
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    bounds = shard_bounds(d, rows)
+    bounds = shard_bounds(d, rows, size)
     folder = path or shared_dir(docs.sparkSession, "id-store")
     coded = d.mapInArrow(_encode(tokenizer, end_id, f"<u{width}", bounds), "shard long, id long, ids binary")
-    manifest = materialize(coded.groupBy("shard").applyInArrow(_write(folder, width), "shard long, n_docs long, n_tokens long, crc32 long"), "id-store-manifest")
+    manifest = materialize(coded.groupBy("shard").applyInArrow(_write(folder, width), "shard long, file string, n_docs long, n_tokens long, crc32 long"), "id-store-manifest")
     return folder, bounds, manifest
 
 
 def _lookup(folder: str, ids_out: bool):
     def run(table: pa.Table) -> pa.Table:
         keys = np.sort(np.asarray(table.column("id")))
-        shard, base = table.column("shard")[0].as_py(), table.column("base")[0].as_py()
-        index = Index(read_file(folder, f"shard-{shard}.mph"))
-        data = read_file(folder, f"shard-{shard}.ids")
+        file, base = table.column("file")[0].as_py(), table.column("base")[0].as_py()
+        index = Index(read_file(folder, f"{file}.mph"))
+        data = read_file(folder, f"{file}.ids")
         place, length = index.find(keys, _ordinals(keys))
         if (length < 0).any():
-            raise KeyError(f"{int((length < 0).sum())} ids are not in shard {shard}")
+            raise KeyError(f"{int((length < 0).sum())} ids are not in {file}")
         crc, raw = [], []
         for p, n in zip(place.tolist(), length.tolist(), strict=True):
             part = np.frombuffer(data, f"<u{index.width}", n, p * index.width).astype("<u4").tobytes()
@@ -238,7 +253,7 @@ def read_store(keys: DataFrame, folder: str, bounds: np.ndarray, manifest: DataF
 
     # one row a shard: the running sum is over the manifest, not over documents
     base = manifest.withColumn("base", F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
-    base = base.select("shard", F.coalesce("base", F.lit(0)).alias("base"))
+    base = base.select("shard", "file", F.coalesce("base", F.lit(0)).alias("base"))
 
     def place(batches):
         for b in batches:

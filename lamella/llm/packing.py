@@ -25,53 +25,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tune
-from .encoders import encoder, text_runs
+from .encoders import encoder, runs
 
 #: Share of a sequence's tokens from which it is not packed anew, and pieces of one task that packs anew.
 FILLED, ROWS = 0.99, 20_000
-#: Of the registered uses: all three residuals choose
-WEIGHTS = (1.0, 1.0, 1.0)
+#: Of the registered uses: of sequences that leave about as many tokens, the one with more documents and more attention cost
+WEIGHTS = (1.0, 1 / 64, 1 / 64)
 
 
 def best_fit(lengths: np.ndarray, caps: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece.  ``caps`` and ``weights``: tokens, documents, attention cost."""
+    """(sequence, offset) of each piece.  ``caps`` and ``weights``: tokens, documents, attention cost.
+
+    Open sequences are kept by their residuals, tokens first, so that those of one state are looked at once.  Looking goes
+    from the tightest token residual on, and ends where tokens alone make a worse score than the best one found.
+    """
     if score not in ("norm", "dot"):
         raise ValueError(f"score {score!r}")
     n = len(lengths)
-    order = np.argsort(-lengths, kind="stable")
+    order = np.argsort(-lengths, kind="stable").tolist()
+    sizes = lengths.tolist()
     bins, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not n:
         return bins, offset
-    cap, weight = np.asarray(caps, float), np.asarray(weights, float)
-    least = float(lengths[order[-1]])
-    need_least = np.array([least, 1.0, least * least])
-    room = np.zeros((max(16, n), 3))  # of open sequences, the first ``m`` rows
-    name = np.zeros(max(16, n), np.int64)
-    m = made = 0
-    # equal lengths come one after another and meet the same sequences until one is used up
-    for i in order.tolist():
-        size = float(lengths[i])
-        need = np.array([size, 1.0, size * size])
-        if (need > cap).any():
+    c0, c1, c2 = int(caps[0]), int(caps[1]), caps[2]
+    w0, w1, w2 = weights
+    least = sizes[order[-1]]
+    open_: list[dict[tuple, list[int]]] = [{} for _ in range(c0 + 1)]  # by token residual: (documents, attention) to sequences
+    held = made = 0  # ``held``: bit r is set where residual r has sequences
+    low1, low2 = c1, c2  # the least residuals that any sequence has had
+    for i in order:
+        size = sizes[i]
+        cost = size * size
+        if size > c0 or c1 < 1 or cost > c2:
             raise ValueError("a piece is larger than a sequence")
-        at = -1
-        if m:
-            fits = np.flatnonzero((room[:m, 0] >= size) & (room[:m, 1] >= 1) & (room[:m, 2] >= need[2]))
-            if len(fits):
-                if score == "norm":
-                    left = (room[fits] - need) / cap
-                    at = int(fits[np.argmin((weight * left * left).sum(1))])
-                else:
-                    at = int(fits[np.argmax((weight * (room[fits] / cap) * (need / cap)).sum(1))])
-        if at < 0:
-            at, m = m, m + 1
-            room[at], name[at] = cap, made
+        best, at = float("inf"), None
+        left = held >> size << size
+        if score == "norm":
+            bound = w1 * (max(0, low1 - 1) / c1) ** 2 + w2 * (max(0, low2 - cost) / c2) ** 2
+            while left:
+                bit = left & -left
+                r = bit.bit_length() - 1
+                tokens = w0 * ((r - size) / c0) ** 2
+                if tokens + bound >= best:
+                    break
+                for state in open_[r]:
+                    d, a = state
+                    if d >= 1 and a >= cost:
+                        worth = tokens + w1 * ((d - 1) / c1) ** 2 + w2 * ((a - cost) / c2) ** 2
+                        if worth < best:
+                            best, at = worth, (r, state)
+                left ^= bit
+        else:
+            while left:
+                r = left.bit_length() - 1
+                tokens = w0 * r * size / (c0 * c0)
+                if -(tokens + w1 / c1 + w2 * cost / c2) >= best:
+                    break
+                for state in open_[r]:
+                    d, a = state
+                    if d >= 1 and a >= cost:
+                        worth = -(tokens + w1 * d / (c1 * c1) + w2 * a * cost / (c2 * c2))
+                        if worth < best:
+                            best, at = worth, (r, state)
+                left ^= 1 << r
+        if at is None:
+            r, (d, a), name = c0, (c1, c2), made
             made += 1
-        bins[i], offset[i] = name[at], int(cap[0] - room[at, 0])
-        room[at] -= need
-        if (room[at] < need_least).any():  # closed: nothing that is left fits
-            m -= 1
-            room[at], name[at] = room[m], name[m]
+        else:
+            r, (d, a) = at
+            own = open_[r][at[1]]
+            name = own.pop()
+            if not own:
+                del open_[r][at[1]]
+                if not open_[r]:
+                    held ^= 1 << r
+        bins[i], offset[i] = name, c0 - r
+        r, d, a = r - size, d - 1, a - cost
+        if r >= least and d >= 1 and a >= least * least:  # else closed: nothing that is to come fits
+            open_[r].setdefault((d, a), []).append(name)
+            held |= 1 << r
+            low1, low2 = min(low1, d), min(low2, a)
     return bins, offset
 
 
@@ -80,26 +113,31 @@ def _pack(path: str, end: int, tokens: int, documents: int, attention: float, we
     schema = pa.schema(schema + [("ids", pa.binary())] * ids_out)
 
     def run(batches):
-        enc, tail = encoder(path), np.asarray([end], "<u4").tobytes()
-        doc, piece, start, length, crc, raw = [], [], [], [], [], []
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for lo, texts in text_runs(batch.column("text")):
-                for i, got in zip(ids[lo : lo + len(texts)], enc.batch(texts), strict=True):
-                    got += tail
-                    for k, a in enumerate(range(0, len(got), 4 * tokens)):
-                        part = got[a : a + 4 * tokens]
-                        doc.append(i), piece.append(k), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                        if ids_out:
-                            raw.append(part)
-        if not doc:
+        enc = encoder(path)
+        parts, raw = [], []
+        for batch in runs(batches):
+            got, first = enc.encode(batch.column("text"), end)
+            size = np.diff(first)
+            pieces = -(-size // tokens)
+            doc = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * tokens
+            length = np.minimum(tokens, size[doc] - start)
+            at = first[doc] + start
+            flat = memoryview(got).cast("B")
+            cut = [flat[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            crc = np.fromiter(map(zlib.crc32, cut), np.int64, len(cut))
+            if ids_out:
+                raw += map(bytes, cut)
+            parts.append((batch.column("id").take(pa.array(doc)), piece, start, length, crc))
+        if not parts:
             return
-        bins, offset = best_fit(np.asarray(length), (tokens, documents, attention), weights, score)
+        doc = pa.concat_arrays([p[0] for p in parts])
+        piece, start, length, crc = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+        bins, offset = best_fit(length, (tokens, documents, attention), weights, score)
         bins += TaskContext.get().partitionId() << 40
-        for a in range(0, len(doc), 4096):
-            b = a + 4096
-            cols = [doc[a:b], piece[a:b], start[a:b], length[a:b], crc[a:b], bins[a:b], offset[a:b]] + [raw[a:b]] * ids_out
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        cols = [doc, pa.array(piece, pa.int32()), *map(pa.array, (start, length, crc, bins, offset))] + [pa.array(raw, pa.binary())] * ids_out
+        yield from pa.Table.from_arrays(cols, schema=schema).to_batches(max_chunksize=4096 if ids_out else 1 << 16)
 
     return run
 

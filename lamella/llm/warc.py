@@ -2,7 +2,7 @@
 
 Writing: payloads are told apart by SHA-1; of equal ones (of at least ``revisit_bytes``) the page with the largest id is the
 ``response`` and the others are ``revisit`` records that refer to it.  Pages are dealt to archives of bounded size by a hash
-of their id; an archive is written under a name of the task attempt's own and then renamed.
+of their id; an archive bears the name of the task attempt that writes it, and the manifest names those that count.
 
 Reading: archives are cut into byte blocks, one task each.  A task looks for record magic in its block, whatever it
 stands in, and emits for each candidate the offset of the record that would follow it.  What is a record is then decided by
@@ -65,7 +65,7 @@ def _write(folder: str, compress: bool):
         plan = {i: (d, r) for i, d, r in zip(*(right.column(c).to_pylist() for c in ("id", "d", "response")), strict=True)}
         ids = left.column("id").to_pylist()
         if not plan:
-            return pa.table({"file": pa.array([], pa.int64()), "bytes": pa.array([], pa.int64()), "records": pa.array([], pa.int64())})
+            return pa.table({"file": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "bytes": pa.array([], pa.int64()), "records": pa.array([], pa.int64())})
         out, done, urls, html = [], set(), left.column("url"), left.column("html")
         for k in sorted(range(len(ids)), key=ids.__getitem__):
             i = ids[k]
@@ -78,14 +78,15 @@ def _write(folder: str, compress: bool):
             out.append(_gzip(data) if compress else data)
         number = right.column("file")[0].as_py()
         data = b"".join(out)
-        write_file(folder, f"pages-{number}.warc", data, str(TaskContext.get().taskAttemptId()))
-        return pa.table({"file": [number], "bytes": [len(data)], "records": [len(out)]})
+        name = f"pages-{number}-{TaskContext.get().taskAttemptId()}.warc"
+        write_file(folder, name, data)
+        return pa.table({"file": [number], "name": [name], "bytes": [len(data)], "records": [len(out)]})
 
     return run
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, compress: bool = True, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
-    """(folder, manifest: file, bytes, records)."""
+    """(folder, manifest: file, name, bytes, records)."""
     tune(pages.sparkSession)
     d = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).where("id is not null")
     slim = d.select("id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("d"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("long").alias("size"))
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     last = slim.where(F.col("size") >= revisit_bytes).groupBy("d").agg(F.max("id").alias("response"))
     plan = slim.join(last, "d", "left").select(file.alias("file"), "id", "d", F.when(F.col("size") >= revisit_bytes, F.col("response")).otherwise(F.col("id")).alias("response"))
     folder = path or shared_dir(pages.sparkSession, "warc")
-    done = d.withColumn("of", file).groupBy("of").cogroup(plan.groupBy("file")).applyInArrow(_write(folder, compress), "file long, bytes long, records long")
+    done = d.withColumn("of", file).groupBy("of").cogroup(plan.groupBy("file")).applyInArrow(_write(folder, compress), "file long, name string, bytes long, records long")
     return folder, materialize(done, "warc-manifest")
 
 
@@ -138,7 +139,7 @@ def _plain_at(src: _Source, at: int) -> tuple[int, bytes, bytes] | None:
     while True:
         src.upto(min(src.total, at + size))
         cut = src.data.find(b"\r\n\r\n", at - src.base)
-        if cut >= 0 or at + size >= src.total or size > 1 << 20:
+        if cut >= 0 or at + size >= src.total:
             break
         size *= 4
     if cut < 0:
@@ -196,11 +197,11 @@ def _scan(folder: str, block_bytes: int, compress: bool):
 
     def run(batches):
         for b in batches:
-            for file, block, total in zip(*(b.column(c).to_pylist() for c in ("file", "block", "bytes")), strict=True):
+            for file, name, block, total in zip(*(b.column(c).to_pylist() for c in ("file", "name", "block", "bytes")), strict=True):
                 lo = block * block_bytes
                 hi = min(total, lo + block_bytes)
                 rows = []
-                for at, succ, head, payload in candidates(folder, f"pages-{file}.warc", lo, hi, total, compress):
+                for at, succ, head, payload in candidates(folder, name, lo, hi, total, compress):
                     h = _header(head)
                     digest = h.get("warc-payload-digest", "").rpartition(":")[2]
                     kind = h.get("warc-type", "")
@@ -242,7 +243,7 @@ def read_archives(folder: str, manifest: DataFrame, compress: bool = True, block
     ``sound``: a response's payload has the digest that its header states.
     """
     spark = manifest.sparkSession
-    blocks = manifest.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block_bytes))).alias("block"))
+    blocks = manifest.where("bytes > 0").select("file", "name", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block_bytes))).alias("block"))
     parts = max(1, blocks.count())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(blocks.repartition(max(least, min(parts, 10_000)), "file", "block").mapInArrow(_scan(folder, block_bytes, compress), RECORD), "warc-candidates")

@@ -195,22 +195,46 @@ def test_mcd_rejects_correlated_outlier_within_each_features_limits(spark):
     assert (single < cut).all()
 
 
-def test_encoders():
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = encoders.Encoder(P.path(name), "<u2")
-        more = [t for t in ODD + texts(20) if t is not None] + ["it's 'll we're", "\x1c a", "a \x1c b", "oks.\nFoo bar\nbaz", "a\n b", "İ x é"]
-        for t, ids in zip(more, e.batch([t.encode() for t in more]), strict=True):
-            assert np.frombuffer(ids, "<u2").tolist() == e.tok.encode(t, add_special_tokens=False).ids
+def plain(name):
+    """The library's own tokenizer, as it comes."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path(name))
+
+
+MORE = ["it's 'll we're", "\x1c a", "a \x1c b", "oks.\nFoo bar\nbaz", "a\n b", "İ x é", "Éa, ÀÉ! ß ÿ... x'll", "a<|endoftext|>b c", "<|startoftext|> a <|endoftext|>", "<|endoftext", "ab12 a1b a-b a--- ---a don't. Don't?", "x\u00a0y \u00a0z", "ﬁ Å e\u0301", "ΑΣ ας Σ"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoders(name, monkeypatch):
+    tok, e = plain(name), encoders.Encoder(P.path(name))
+    assert e.words is not None
+    more = ODD + texts(20) + MORE
+    monkeypatch.setattr(encoders, "CACHE", 300)
+    for column in (more, more[:7], [None, None], [""], more[::-1]):
+        for end in (None, 7):
+            ids, first = e.encode(pa.array(column, pa.string()), end)
+            assert len(first) == len(column) + 1
+            for r, t in enumerate(column):
+                assert ids[first[r] : first[r + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [end] * (end is not None)
+    assert len(e.names) <= 3000 and tok.encode("<|endoftext|>").ids == [tok.token_to_id("<|endoftext|>")]
+
+
+def test_runs_of_text_are_bounded():
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(k, k + 5)), "text": ["x" * 10] * 4 + [None]}) for k in range(0, 50, 5)] + [pa.RecordBatch.from_pydict({"id": [50], "text": ["y" * 500]})]
+    got = list(encoders.runs(iter(batches), 100))
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(51))
+    assert all(sum(len(t or "") for t in b.column("text").to_pylist()) <= 110 or b.num_rows == 1 for b in got[:-1])
 
 
 def test_packing(docs, held, empty):
     path = P.path("word_bpe_49k.json")
-    e = encoders.Encoder(path)
+    tok = plain("word_bpe_49k.json")
     got = packing.pack(docs, path, tokens=64).collect()
     pieces = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got}
     want = {}
     for i, t in held.items():
-        ids = np.asarray(e.tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        ids = np.asarray(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
         for k, a in enumerate(range(0, len(ids), 64)):
             want[i, k] = a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())
     assert pieces == want
@@ -263,6 +287,49 @@ def test_best_fit_keeps_every_capacity(score):
     assert len(np.unique(bins)) < 1.3 * max(n.sum() / 128, 125)
 
 
+def naive_fit(lengths, caps, weights, score):
+    """States (tokens, documents, cost) of the sequences that trying every open sequence for each piece gives."""
+    rooms = []
+    for s in sorted(lengths.tolist(), reverse=True):
+        need, best = np.array([s, 1, s * s], float), None
+        for k, room in enumerate(rooms):
+            if (room >= need).all():
+                left = (room - need) / caps
+                worth = (weights * left * left).sum() if score == "norm" else -(weights * (room / caps) * (need / caps)).sum()
+                if best is None or worth < best[0] - 1e-15:
+                    best = worth, k
+        if best is None:
+            rooms.append(np.array(caps, float))
+            best = 0, len(rooms) - 1
+        rooms[best[1]] -= need
+    return sorted(tuple((caps - r).astype(int).tolist()) for r in rooms)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_against_trying_all(score):
+    rng = np.random.default_rng(1)
+    for _ in range(15):
+        n, caps, weights = rng.integers(1, 100, 120), np.array((128, int(rng.integers(2, 8)), 12000.0)), np.array((1, rng.random(), rng.random()))
+        bins, _ = packing.best_fit(n, tuple(caps), tuple(weights), score)
+        own = [n[bins == k] for k in np.unique(bins)]
+        assert sorted((int(x.sum()), len(x), int((x * x).sum())) for x in own) == naive_fit(n, caps, weights, score)
+
+
+def test_registered_weights_choose_by_documents_and_by_attention_cost():
+    w0, w1, w2 = packing.WEIGHTS
+    n = np.array([66, 48, 44, 35, 13, 12, 6])  # the last piece fits two sequences about as well, one of two documents and one of three
+    fit = lambda w: packing.best_fit(n, (100, 8, 10000.0), w)[0].tolist()
+    assert fit((w0, 0, 0)) == [0, 1, 1, 2, 0, 0, 1]
+    assert fit((w0, w1, 0)) == fit((w0, 0, w2)) == fit(packing.WEIGHTS) == [0, 1, 1, 2, 0, 0, 0]
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_sequences_are_at_the_bound(spark, sf, parts):
+    d = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").repartition(parts)
+    r = packing.pack(d, P.path("word_bpe_49k.json"), weights=packing.WEIGHTS).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert r[1] <= -(-r[0] // 2048) + (parts > 1)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).permutation(100_000)[:5000]
     one = np.zeros(5000, np.int64)
@@ -276,18 +343,20 @@ def test_perfect_hash():
 
 def test_id_store(docs, held, empty):
     path = P.path("byte_bpe_50k.json")
-    e = encoders.Encoder(path)
+    tok = plain("byte_bpe_50k.json")
     folder, bounds, manifest = id_store.write_store(docs, path, 2, rows=20)
     assert len(bounds) > 2
     got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in id_store.read_store(docs.select(F.col("doc_id").alias("id")), folder, bounds, manifest).collect()}
     at = 0
     for i in sorted(held):
-        ids = np.asarray(e.tok.encode(held[i], add_special_tokens=False).ids + [2], "<u4")
+        ids = np.asarray(tok.encode(held[i], add_special_tokens=False).ids + [2], "<u4")
         assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     twice = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     folder, bounds, manifest = id_store.write_store(twice, path, 2, rows=20)
     assert id_store.read_store(twice.select(F.col("doc_id").alias("id")), folder, bounds, manifest).count() == 2 * len(held)
+    folder, bounds, manifest = id_store.write_store(docs, path, 2, size=2000)
+    assert len(bounds) > 10 and {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in id_store.read_store(docs.select(F.col("doc_id").alias("id")), folder, bounds, manifest).collect()} == got
     folder, bounds, manifest = id_store.write_store(empty, path, 2)
     assert id_store.read_store(empty.select(F.col("doc_id").alias("id")), folder, bounds, manifest).count() == 0
 
@@ -400,7 +469,7 @@ def test_pipeline(spark, sf):
     cut = removal({i: held[i] for i in near}, 50)
     left = {i: k.decode() if g else held[i] for i, (_, g, k) in cut.items()}
     clean = pii.redact_pii(spark.createDataFrame(list(left.items()), "doc_id long, text string"))
-    e = encoders.Encoder(P.path("word_bpe_49k.json"))
-    want = {r.doc_id: len(e.tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect()}
+    tok = plain("word_bpe_49k.json")
+    want = {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect()}
     got = {r.doc_id: r.n for r in C.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert got == want
