@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that are kept from run to run; of more, those that the last run did not meet are forgotten.
-CACHE = 600_000
+CACHE = 400_000
 #: Bytes of text in a run.
-RUN = 32 << 20
+RUN = 12 << 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Marks that part from letters before them in both kinds of vocabularies; the apostrophe may not.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -230,6 +230,7 @@ class Encoder:
             ids, first = out, first + np.arange(n + 1)
         if self.last:
             self._keep(*self.last)
+        pa.default_memory_pool().release_unused()
         return ids, first
 
     def _with_whole(self, texts: pa.Array, whole: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from .encoders import encoder, runs
 
 MAGIC = b"LMPH1\n\0\0"
 U64 = np.uint64
-SHARD_ROWS, SHARD_BYTES = 16_384, 64 << 20
+SHARD_ROWS, SHARD_BYTES = 8192, 24 << 20
 
 
 def key_hash(keys: np.ndarray, ordinals: np.ndarray, seed: int | np.ndarray = 0) -> np.ndarray:
@@ -176,13 +176,13 @@ def _write(folder: str, width: int):
     def run(table: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        ids, raw = table.column("id").to_pylist(), table.column("ids").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
-        keys = np.asarray([ids[i] for i in order], np.int64)
-        lengths = np.asarray([len(raw[i]) // width for i in order], np.int64)
         shard = table.column("shard")[0].as_py()
+        table = table.sort_by([("id", "ascending"), ("ids", "ascending")]).combine_chunks()
+        keys, ids = np.asarray(table.column("id")), table.column("ids").chunk(0)
+        off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        lengths = np.diff(off) // width
+        payload = memoryview(ids.buffers()[2])[off[0] : off[-1]]
         file = f"shard-{shard}-{TaskContext.get().taskAttemptId()}"
-        payload = b"".join(raw[i] for i in order)
         write_file(folder, f"{file}.ids", payload)
         write_file(folder, f"{file}.mph", index_bytes(keys, _ordinals(keys), lengths, width))
         return pa.table({"shard": [shard], "file": [file], "n_docs": [len(keys)], "n_tokens": [int(lengths.sum())], "crc32": [zlib.crc32(payload)]})
