@@ -47,6 +47,29 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Rows up to which a table of narrow rows (a key and some numbers) is broadcast.
+SMALL_ROWS = 200_000
+
+
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, a written table of narrow rows: broadcast where it has at most ``rows`` rows, else by shuffle."""
+    small = right.limit(rows + 1).count() <= rows
+    return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", most: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``weight`` how many rows of ``left`` have that key.
+
+    Keys with more than a ``most``-th of all rows (fewer than ``most`` keys) are broadcast, so that their rows stay where they are;
+    the others are shuffled.  Both tables are written ones, as they are read twice.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(weight) > total // most).drop(weight))
+    cold = right.where(F.col(weight) <= total // most).drop(weight)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return left.join(hot, on).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: bigint); component is the smallest node reached.
 

@@ -2,10 +2,16 @@
 
 The statistics of a text are transformed to features: log of the words' mean length, logit-like square roots of the
 shares of symbols, repeated lines and repeated words, and the log of the number of words.  For each group of (lang,
-source) the minimum covariance determinant estimate is found over all its texts that pass the base rules, by
-concentration steps: from the ``h`` share of texts nearest the coordinate medians, mean and covariance of the nearest share
-are taken again and again, until a group's determinant falls no more.  The covariance is corrected for consistency, and texts
-whose squared Mahalanobis distance exceeds the chi-squared quantile ``1 - tail`` are rejected.
+source), each language and all texts the minimum covariance determinant estimate is found over all texts that pass the
+base rules, by concentration steps from three deterministic starts: the coordinate medians with robust scales, mean and covariance
+of all texts, and the medians with the covariance of spatial signs.  From each, mean and covariance of the ``h`` share of texts
+nearest by Mahalanobis distance are taken again and again, until the determinant falls no more; the least determinant counts.
+The covariance is corrected for consistency, and texts whose squared distance exceeds the chi-squared quantile ``1 - tail``
+are rejected.
+
+Estimates are shrunk, a group's towards its language's, that towards that of all texts, and that towards ``FLOOR``: each counts
+as many texts as it has, what it is drawn to counts ``prior``.  So a group of any size is judged, a small one
+by its language for the most part; there is no size at which the method sets in.
 
 Each step is one aggregation of sums and products per group (combined before the shuffle, so that a group with a third of all
 rows costs a row a task), and the nearest share is cut off by counts of distances in fine steps of their
@@ -14,9 +20,6 @@ the square of ``floor`` is added: features that are zero for all clean texts mus
 outlier.  It fades as the spread grows to a tenth of it; beyond, only a ridge of a thousandth of it is left.  The
 addition is set before the first step, so that the steps let the determinant fall.
 
-Groups of fewer than ``least`` texts are judged by the estimate of their language, and where that is too small by that of
-all texts; with fewer than ``least`` texts in all, the method rejects none.
-
 Cases: null or empty text has no words, zero counts and fails the base rules; null lang or source is a group of its
 own; null ids and rows that repeat are judged row by row; other columns pass through, of the same name as a
 result's they are replaced.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import materialize, tune
+from .common import join_small, materialize, tune
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: standard deviation of each feature where a group shows none: one that is small beside the range that clean texts may have
@@ -161,8 +164,11 @@ def estimate(n: float, s: np.ndarray, ss: np.ndarray, added: np.ndarray, factor:
     return mean, (vector / value) @ vector.T / np.outer(unit, unit), float(np.log(value).sum() + 2 * np.log(unit).sum())
 
 
+_FITTED = "g string, s int, mean array<double>, inv array<double>, det double, added array<double>, df int"
+
+
 def _fit(factors: tuple[float, ...]):
-    """Sums of each group to mean, inverse covariance and log determinant: one small row a group.
+    """Sums of each group and start to mean, inverse covariance and log determinant: one small row each.
 
     ``factors``: for consistency, by the number of features that show a spread.
     """
@@ -170,44 +176,61 @@ def _fit(factors: tuple[float, ...]):
     def run(batches):
         for pdf in batches:
             mean, inverse, det = [], [], []
-            for n, s, ss, added, df in zip(pdf["n"], pdf["s"], pdf["ss"], pdf["added"], pdf["df"], strict=True):
+            for n, s, ss, added, df in zip(pdf["n"], pdf["sx"], pdf["sxx"], pdf["added"], pdf["df"], strict=True):
                 m, i, d = estimate(float(n), np.asarray(s, float), np.asarray(ss, float), np.asarray(added, float), factors[df])
                 mean.append(m.tolist()), inverse.append(i.ravel().tolist()), det.append(d)
-            yield pd.DataFrame({"g": pdf["g"], "mean": mean, "inv": inverse, "det": det, "added": pdf["added"], "df": pdf["df"]})
+            yield pd.DataFrame({"g": pdf["g"], "s": pdf["s"], "mean": mean, "inv": inverse, "det": det, "added": pdf["added"], "df": pdf["df"]})
+
+    return run
+
+
+def _starts():
+    """Sums over all texts of a group to its three starts."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for g, n, s, ss, signs, e, df in zip(pdf["g"], pdf["n"], pdf["sx"], pdf["sxx"], pdf["signs"], pdf["e"], pdf["df"], strict=True):
+                middle, added, var = (np.asarray([x[k] for x in e], float) for k in ("m", "added", "var"))
+                unit = np.sqrt(var)
+                sign = np.asarray(signs, float) * np.outer(unit, unit).ravel() * P
+                means = middle, np.asarray(s, float) / n, middle
+                inverses = np.diag(1 / var), *(estimate(n, np.zeros(P) if k else np.asarray(s, float), x, added, 1.0)[1] for k, x in enumerate((np.asarray(ss, float), sign)))
+                out += [(g, k, m.tolist(), i.ravel().tolist(), float("inf"), added.tolist(), df) for k, (m, i) in enumerate(zip(means, inverses, strict=True))]
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in _FITTED.split(", ")])
 
     return run
 
 
-def _distance():
-    """Squared Mahalanobis distance of the features ``x`` under ``mean`` and ``inv``."""
-    d = [F.col("x")[i] - F.col("mean")[i] for i in range(P)]
-    return sum((d[i] * d[j] * F.col("inv")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
+def _distance(mean: str = "mean", inv: str = "inv", x: str = "x"):
+    """Squared Mahalanobis distance of the features."""
+    d = [F.col(x)[i] - F.col(mean)[i] for i in range(P)]
+    return sum((d[i] * d[j] * F.col(inv)[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
 def _nearest(scored: DataFrame, h: float) -> DataFrame:
-    """The ``h`` share of each group with the least ``d2``, by counts per step of distance."""
+    """The ``h`` share of each group and start with the least ``d2``, by counts per step of distance."""
     step = scored.withColumn("step", F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * STEP).cast("int"))
-    counts = step.groupBy("g", "step").agg(F.count("*").alias("k"))
-    w = W.partitionBy("g")
+    counts = step.groupBy("g", "s", "step").agg(F.count("*").alias("k"))
+    w = W.partitionBy("g", "s")
     cut = counts.withColumn("before", F.sum("k").over(w.orderBy("step")) - F.col("k")).withColumn("all", F.sum("k").over(w))
-    cut = cut.where(F.col("before") < F.ceil(F.col("all") * h)).groupBy("g").agg(F.max("step").alias("cut"))
-    return step.join(cut, "g").where("step <= cut")
+    cut = cut.where(F.col("before") < F.ceil(F.col("all") * h)).groupBy("g", "s").agg(F.max("step").alias("cut"))
+    return join_small(step, materialize(cut, "mcd-cut"), ["g", "s"]).where("step <= cut")
 
 
-def _sums(rows: DataFrame) -> DataFrame:
+def _sums(rows: DataFrame, keys: list[str], *more) -> DataFrame:
     x = [F.col("x")[i] for i in range(P)]
-    return rows.groupBy("g").agg(
-        F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i in range(P) for j in range(P)]).alias("ss")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sx"), F.array(*[F.sum(x[i] * x[j]) for i in range(P) for j in range(P)]).alias("sxx"), *more
     )
 
 
 def mcd(rows: DataFrame, h: float = 0.75, steps: int | None = None, floor: tuple[float, ...] = FLOOR) -> DataFrame:
-    """(g, mean, inv) of each group ``g`` of feature arrays ``x``.
+    """(g, mean, inv, det) of each group ``g`` of feature arrays ``x``.
 
     ``inv`` is the inverse of the covariance, corrected for consistency at the normal distribution.  ``steps`` bounds the
-    concentration steps; by default each group takes steps until its determinant falls no more.
+    concentration steps; by default each start takes steps until its determinant falls no more.
     """
-    kind = "g string, mean array<double>, inv array<double>, det double, added array<double>, df int"
     factors = tuple(consistency(h, max(df, 1)) for df in range(P + 1))
     # coordinate medians, and the distance from them within which the h share lies, from counts of feature values in steps of a
     # fiftieth of the floor
@@ -223,45 +246,70 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int | None = None, floor: tuple
     unit = F.array(*[F.lit(float(f)) for f in floor])[F.col("i")]
     added = F.pow(unit * F.greatest(F.lit(1e-3), 1 - F.col("far") / 5), F.lit(2.0))  # five of the steps are a tenth of the floor
     each = each.select("g", "i", ((F.col("mid") + 0.5) * size[F.col("i")]).alias("m"), added.alias("added"), (F.pow(F.col("far") * size[F.col("i")], F.lit(2.0)) + added).alias("var"), (F.col("far") * 2 >= 5).cast("int").alias("own"))
-    start = each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m", "added", "var"))).alias("e"), F.sum("own").cast("int").alias("df"))
-    diagonal = F.array(*[1 / F.col("e")[i]["var"] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    now = start.select("g", F.col("e")["m"].alias("mean"), diagonal.alias("inv"), F.lit(float("inf")).alias("det"), F.col("e")["added"].alias("added"), "df")
-    now, found, done = materialize(now, "mcd-start"), [], 0
+    begin = each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m", "added", "var"))).alias("e"), F.sum("own").cast("int").alias("df"))
+    begin = materialize(begin, "mcd-begin")
+    u = [(F.col("x")[i] - F.col("e")[i]["m"]) / F.sqrt(F.col("e")[i]["var"]) for i in range(P)]
+    length = F.greatest(sum((a * a for a in u), F.lit(0.0)), F.lit(1e-12))
+    signs = F.array(*[F.sum(u[i] * u[j] / length) for i in range(P) for j in range(P)]).alias("signs")
+    sums = _sums(join_small(rows, begin, "g"), ["g"], signs).join(begin, "g")
+    now, found, done = materialize(sums.mapInPandas(_starts(), _FITTED), "mcd-start"), [], 0
     while steps is None or done < steps:
-        near = _nearest(rows.join(now, "g").withColumn("d2", _distance()), h)
-        new = materialize(_sums(near).join(now.select("g", "added", "df"), "g").mapInPandas(_fit(factors), kind), "mcd-step")
-        both = new.join(now.select("g", F.col("det").alias("was")), "g").withColumn("falls", F.col("det") < F.col("was") - 1e-4)
-        # groups whose determinant falls no more keep the estimate that they had and leave
-        found.append(now.join(both.where("not falls").select("g"), "g", "left_semi").select("g", "mean", "inv"))
+        near = _nearest(join_small(rows, now, "g").withColumn("d2", _distance()), h)
+        new = materialize(_sums(near, ["g", "s"]).join(now.select("g", "s", "added", "df"), ["g", "s"]).mapInPandas(_fit(factors), _FITTED), "mcd-step")
+        both = new.join(now.select("g", "s", F.col("det").alias("was")), ["g", "s"]).withColumn("falls", F.col("det") < F.col("was") - 1e-4)
+        # starts whose determinant falls no more keep the estimate that they had and leave
+        found.append(now.join(both.where("not falls").select("g", "s"), ["g", "s"], "left_semi"))
         now = materialize(both.where("falls").select(*new.columns), "mcd-left")
         done += 1
         if now.isEmpty():
             break
     else:
-        found.append(now.select("g", "mean", "inv"))
+        found.append(now)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return materialize(out, "mcd-found")
+    best = out.groupBy("g").agg(F.min_by(F.struct("mean", "inv", "det"), F.struct("det", "s")).alias("b"))
+    return materialize(best.select("g", "b.*"), "mcd-found")
+
+
+def shrunk(n: float, mean, cov, other: tuple[np.ndarray, np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """An estimate of ``n`` texts drawn to another one that counts ``prior`` texts."""
+    a = n / (n + prior)
+    return a * np.asarray(mean, float) + (1 - a) * other[0], a * np.asarray(cov, float) + (1 - a) * other[1]
+
+
+def _settle(prior: float, floor: tuple[float, ...]):
+    """Each group's estimate, drawn to its language's and to that of all."""
+
+    def run(batches):
+        for pdf in batches:
+            mean, inverse = [], []
+            for row in pdf.itertuples(index=False):
+                at = np.asarray(row.mean_top, float), np.diag(np.square(floor))
+                for level in ("top", "mid", "own"):
+                    cov = np.linalg.inv(np.asarray(getattr(row, f"inv_{level}"), float).reshape(P, P))
+                    at = shrunk(float(getattr(row, f"n_{level}")), getattr(row, f"mean_{level}"), cov, at, prior)
+                mean.append(at[0].tolist()), inverse.append(np.linalg.inv(at[1]).ravel().tolist())
+            yield pd.DataFrame({"__own": pdf["own"], "__mean": mean, "__inv": inverse})
+
+    return run
 
 
-def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", least: int = 200, h: float = 0.75, steps: int | None = None, tail: float = 1e-5) -> DataFrame:
+def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", prior: float = 100.0, h: float = 0.75, steps: int | None = None, tail: float = 1e-5) -> DataFrame:
     """``docs`` (with the five counts and base_failed) with ``distance2`` and ``kept``."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) if c in docs.columns else F.lit("null") for c in (lang_col, source_col))
-    own, mid, top = F.concat_ws("\u0001", F.lit("own"), lang, source), F.concat_ws("\u0001", F.lit("lang"), lang), F.lit("all")
-    good = docs.where("not base_failed").select(own.alias("own"), mid.alias("mid"), top.alias("top"), F.array(*features()).alias("x"))
-    sizes = good.groupBy("own", "mid", "top").agg(F.count("*").alias("k"))
-    w = lambda c: F.sum("k").over(W.partitionBy(c))
-    level = F.when(F.col("k") >= least, F.col("own")).when(w("mid") >= least, F.col("mid")).when(w("top") >= least, F.col("top"))
-    level = materialize(sizes.select("own", "mid", level.alias("g")), "mcd-levels")
-    # each level's estimate is over all texts of the level, not only over those it judges
-    rows = good.select(F.explode(F.array("own", "mid", "top")).alias("g"), "x")
-    rows = rows.join(level.select("g").where("g is not null").distinct(), "g", "left_semi")
-    fit = mcd(rows, h, steps)
-    cut = chi2_quantile(1 - tail, P)
-    params = level.join(fit, "g").select("own", "mean", "inv")
-    scored = docs.withColumn("own", own).withColumn("x", F.array(*features())).join(params, "own", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cut)).drop("own", "x", "mean", "inv")
+    levels = {"own": F.concat_ws("\u0001", F.lit("own"), lang, source), "mid": F.concat_ws("\u0001", F.lit("lang"), lang), "top": F.lit("all")}
+    good = docs.where("not base_failed").select(*(c.alias(n) for n, c in levels.items()), F.array(*features()).alias("x"))
+    sizes = materialize(good.groupBy(*levels).agg(F.count("*").alias("n_own")), "mcd-groups")
+    fit = mcd(good.select(F.explode(F.array(*levels)).alias("g"), "x"), h, steps)
+    groups = sizes.withColumns({f"n_{n}": F.sum("n_own").over(W.partitionBy(n)) for n in ("mid", "top")})
+    for n in levels:
+        groups = groups.join(fit.select(F.col("g").alias(n), F.col("mean").alias(f"mean_{n}"), F.col("inv").alias(f"inv_{n}")), n)
+    params = materialize(groups.mapInPandas(_settle(prior, FLOOR), "__own string, __mean array<double>, __inv array<double>"), "mcd-params")
+    scored = docs.drop("distance2", "kept").withColumns({"__own": levels["own"], "__x": F.array(*features())})
+    scored = join_small(scored, params, "__own", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance("__mean", "__inv", "__x")))
+    kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail, P))
+    return scored.withColumn("kept", kept).drop("__own", "__x", "__mean", "__inv")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
