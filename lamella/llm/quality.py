@@ -13,9 +13,9 @@ Estimates are shrunk, a group's towards its language's, that towards that of all
 as many texts as it has, what it is drawn to counts ``prior``.  So a group of any size is judged, a small one
 by its language for the most part; there is no size at which the method sets in.
 
-Each step is one aggregation of sums and products per group (combined before the shuffle, so that a group with a third of all
-rows costs a row a task), and the nearest share is cut off by counts of distances in fine steps of their
-logarithm, not by sorting a group.  To the variance of a feature that is (nearly) the same in the ``h`` share of a group's texts
+Each step is one aggregation of counts, sums and products per group and fine step of the logarithm of the distance (combined
+before the shuffle, so that a group with a third of all rows costs some hundred rows a task); the nearest share is cut off at
+one of these steps, not by sorting a group.  To the variance of a feature that is (nearly) the same in the ``h`` share of a group's texts
 the square of ``floor`` is added: features that are zero for all clean texts must not make the first non-zero one an
 outlier.  It fades as the spread grows to a tenth of it; beyond, only a ridge of a thousandth of it is left.  The
 addition is set before the first step, so that the steps let the determinant fall.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import join_small, materialize, tune
+from .common import SMALL_ROWS, join_small, materialize, tune
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: standard deviation of each feature where a group shows none: one that is small beside the range that clean texts may have
@@ -48,6 +48,9 @@ U64 = np.uint64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STEP = 32  # distance steps per doubling
+X, M = ([f"{c}{i}" for i in range(P)] for c in "xm")
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+V = [f"v{i}{j}" for i, j in PAIRS]
 
 
 def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -153,33 +156,50 @@ def consistency(h: float, df: int) -> float:
     return h / lo
 
 
+def square(upper: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of ``PAIRS``."""
+    out = np.zeros((P, P))
+    for (i, j), v in zip(PAIRS, upper, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def upper(matrix: np.ndarray) -> list[float]:
+    return [float(matrix[i, j]) for i, j in PAIRS]
+
+
 def estimate(n: float, s: np.ndarray, ss: np.ndarray, added: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Mean, inverse covariance and the covariance's log determinant from sums and sums of products; ``added``: to the variances."""
     mean = s / n
-    cov = ss.reshape(P, P) / n - np.outer(mean, mean)
-    cov = factor * (cov + cov.T) / 2 + np.diag(added)
+    cov = factor * (ss / n - np.outer(mean, mean)) + np.diag(added)
     unit = np.sqrt(np.diag(cov))
     value, vector = np.linalg.eigh(cov / np.outer(unit, unit))
     value = np.maximum(value, 1e-9)
     return mean, (vector / value) @ vector.T / np.outer(unit, unit), float(np.log(value).sum() + 2 * np.log(unit).sum())
 
 
-_FITTED = "g string, s int, mean array<double>, inv array<double>, det double, added array<double>, df int"
-
+#: an estimate of one group from one start: flat numbers, so that distances are plain arithmetic
+_STATE = "g string, s int, " + ", ".join(f"{c} double" for c in (*M, *V, "det", *(f"a{i}" for i in range(P)))) + ", df int, done boolean"
+_NAMES = [f.split()[0] for f in _STATE.split(", ")]
+_ADDED = [f"a{i}" for i in range(P)]
 
-def _fit(factors: tuple[float, ...]):
-    """Sums of each group and start to mean, inverse covariance and log determinant: one small row each.
 
-    ``factors``: for consistency, by the number of features that show a spread.
-    """
+def _fit(factors: tuple[float, ...], last: bool):
+    """Sums of each group and start, beside what they were picked by, to the next estimate: ``done`` where the determinant falls no
+    more and the old one stays.  ``factors``: for consistency, by the number of features that show a spread."""
 
     def run(batches):
         for pdf in batches:
-            mean, inverse, det = [], [], []
-            for n, s, ss, added, df in zip(pdf["n"], pdf["sx"], pdf["sxx"], pdf["added"], pdf["df"], strict=True):
-                m, i, d = estimate(float(n), np.asarray(s, float), np.asarray(ss, float), np.asarray(added, float), factors[df])
-                mean.append(m.tolist()), inverse.append(i.ravel().tolist()), det.append(d)
-            yield pd.DataFrame({"g": pdf["g"], "s": pdf["s"], "mean": mean, "inv": inverse, "det": det, "added": pdf["added"], "df": pdf["df"]})
+            out = []
+            for r in pdf.to_dict("records"):
+                added = np.asarray([r[a] for a in _ADDED])
+                m, inv, det = estimate(float(r["n"]), np.asarray([r[f"s{i}"] for i in range(P)]), square([r[f"q{i}{j}"] for i, j in PAIRS]), added, factors[r["df"]])
+                if det < r["det"] - 1e-4:
+                    r |= dict(zip(M, m, strict=True)) | dict(zip(V, upper(inv), strict=True)) | {"det": det, "done": last}
+                else:
+                    r["done"] = True
+                out.append([r[n] for n in _NAMES])
+            yield pd.DataFrame(out, columns=_NAMES)
 
     return run
 
@@ -190,51 +210,34 @@ def _starts():
     def run(batches):
         for pdf in batches:
             out = []
-            for g, n, s, ss, signs, e, df in zip(pdf["g"], pdf["n"], pdf["sx"], pdf["sxx"], pdf["signs"], pdf["e"], pdf["df"], strict=True):
-                middle, added, var = (np.asarray([x[k] for x in e], float) for k in ("m", "added", "var"))
-                unit = np.sqrt(var)
-                sign = np.asarray(signs, float) * np.outer(unit, unit).ravel() * P
-                means = middle, np.asarray(s, float) / n, middle
-                inverses = np.diag(1 / var), *(estimate(n, np.zeros(P) if k else np.asarray(s, float), x, added, 1.0)[1] for k, x in enumerate((np.asarray(ss, float), sign)))
-                out += [(g, k, m.tolist(), i.ravel().tolist(), float("inf"), added.tolist(), df) for k, (m, i) in enumerate(zip(means, inverses, strict=True))]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in _FITTED.split(", ")])
+            for r in pdf.to_dict("records"):
+                middle, added, var = (np.asarray([x[k] for x in r["e"]], float) for k in ("m", "added", "var"))
+                unit, total = np.sqrt(var), np.asarray([r[f"s{i}"] for i in range(P)])
+                signs = square([r[f"u{i}{j}"] for i, j in PAIRS]) * np.outer(unit, unit) * P
+                of_all = estimate(r["n"], total, square([r[f"q{i}{j}"] for i, j in PAIRS]), added, 1.0)
+                for k, (m, inv) in enumerate(((middle, np.diag(1 / var)), of_all[:2], (middle, estimate(r["n"], 0 * total, signs, added, 1.0)[1]))):
+                    out.append([r["g"], k, *m, *upper(inv), float("inf"), *added, r["df"], False])
+            yield pd.DataFrame(out, columns=_NAMES)
 
     return run
 
 
-def _distance(mean: str = "mean", inv: str = "inv", x: str = "x"):
-    """Squared Mahalanobis distance of the features."""
-    d = [F.col(x)[i] - F.col(mean)[i] for i in range(P)]
-    return sum((d[i] * d[j] * F.col(inv)[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
-
-
-def _nearest(scored: DataFrame, h: float) -> DataFrame:
-    """The ``h`` share of each group and start with the least ``d2``, by counts per step of distance."""
-    step = scored.withColumn("step", F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * STEP).cast("int"))
-    counts = step.groupBy("g", "s", "step").agg(F.count("*").alias("k"))
-    w = W.partitionBy("g", "s")
-    cut = counts.withColumn("before", F.sum("k").over(w.orderBy("step")) - F.col("k")).withColumn("all", F.sum("k").over(w))
-    cut = cut.where(F.col("before") < F.ceil(F.col("all") * h)).groupBy("g", "s").agg(F.max("step").alias("cut"))
-    return join_small(step, materialize(cut, "mcd-cut"), ["g", "s"]).where("step <= cut")
-
+def distance2(x: list[str], m: list[str], v: dict[tuple[int, int], str]):
+    """Squared Mahalanobis distance."""
+    d = [F.col(a) - F.col(b) for a, b in zip(x, m, strict=True)]
+    inner = [sum((2 * F.col(v[i, j]) * d[j] for j in range(i + 1, P)), F.col(v[i, i]) * d[i]) for i in range(P)]
+    return sum((d[i] * inner[i] for i in range(1, P)), d[0] * inner[0])
 
-def _sums(rows: DataFrame, keys: list[str], *more) -> DataFrame:
-    x = [F.col("x")[i] for i in range(P)]
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sx"), F.array(*[F.sum(x[i] * x[j]) for i in range(P) for j in range(P)]).alias("sxx"), *more
-    )
 
+def _sums():
+    """Aggregates of count, sums and sums of products."""
+    return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
 
-def mcd(rows: DataFrame, h: float = 0.75, steps: int | None = None, floor: tuple[float, ...] = FLOOR) -> DataFrame:
-    """(g, mean, inv, det) of each group ``g`` of feature arrays ``x``.
 
-    ``inv`` is the inverse of the covariance, corrected for consistency at the normal distribution.  ``steps`` bounds the
-    concentration steps; by default each start takes steps until its determinant falls no more.
-    """
-    factors = tuple(consistency(h, max(df, 1)) for df in range(P + 1))
-    # coordinate medians, and the distance from them within which the h share lies, from counts of feature values in steps of a
-    # fiftieth of the floor
-    long = rows.select("g", F.posexplode("x").alias("i", "v"))
+def _begin(rows: DataFrame, h: float, floor: tuple[float, ...]) -> DataFrame:
+    """(g, e, df): for each feature of a group its median, what is added to its variance and the variance of its ``h`` share about the
+    median, from counts of values in steps of a fiftieth of the floor."""
+    long = rows.select("g", F.posexplode(F.array(*X)).alias("i", "v"))
     size = F.array(*[F.lit(f / 50) for f in floor])
     counts = materialize(long.groupBy("g", "i", F.floor(F.col("v") / size[F.col("i")]).cast("long").alias("b")).agg(F.count("*").alias("k")), "mcd-counts")
     w = W.partitionBy("g", "i")
@@ -246,29 +249,41 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int | None = None, floor: tuple
     unit = F.array(*[F.lit(float(f)) for f in floor])[F.col("i")]
     added = F.pow(unit * F.greatest(F.lit(1e-3), 1 - F.col("far") / 5), F.lit(2.0))  # five of the steps are a tenth of the floor
     each = each.select("g", "i", ((F.col("mid") + 0.5) * size[F.col("i")]).alias("m"), added.alias("added"), (F.pow(F.col("far") * size[F.col("i")], F.lit(2.0)) + added).alias("var"), (F.col("far") * 2 >= 5).cast("int").alias("own"))
-    begin = each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m", "added", "var"))).alias("e"), F.sum("own").cast("int").alias("df"))
-    begin = materialize(begin, "mcd-begin")
-    u = [(F.col("x")[i] - F.col("e")[i]["m"]) / F.sqrt(F.col("e")[i]["var"]) for i in range(P)]
-    length = F.greatest(sum((a * a for a in u), F.lit(0.0)), F.lit(1e-12))
-    signs = F.array(*[F.sum(u[i] * u[j] / length) for i in range(P) for j in range(P)]).alias("signs")
-    sums = _sums(join_small(rows, begin, "g"), ["g"], signs).join(begin, "g")
-    now, found, done = materialize(sums.mapInPandas(_starts(), _FITTED), "mcd-start"), [], 0
-    while steps is None or done < steps:
-        near = _nearest(join_small(rows, now, "g").withColumn("d2", _distance()), h)
-        new = materialize(_sums(near, ["g", "s"]).join(now.select("g", "s", "added", "df"), ["g", "s"]).mapInPandas(_fit(factors), _FITTED), "mcd-step")
-        both = new.join(now.select("g", "s", F.col("det").alias("was")), ["g", "s"]).withColumn("falls", F.col("det") < F.col("was") - 1e-4)
-        # starts whose determinant falls no more keep the estimate that they had and leave
-        found.append(now.join(both.where("not falls").select("g", "s"), ["g", "s"], "left_semi"))
-        now = materialize(both.where("falls").select(*new.columns), "mcd-left")
-        done += 1
+    return materialize(each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m", "added", "var"))).alias("e"), F.sum("own").cast("int").alias("df")), "mcd-begin")
+
+
+def mcd(rows: DataFrame, h: float = 0.75, steps: int = 100, floor: tuple[float, ...] = FLOOR) -> DataFrame:
+    """(g, m0.., v00.., det) of each group ``g`` of features x0..: mean, and of the inverse covariance the entries of ``PAIRS``.
+
+    The covariance is corrected for consistency at the normal distribution.  Each start takes steps until its determinant falls no
+    more; ``steps`` only guards against an endless run and is far beyond what any takes.
+    """
+    factors = tuple(consistency(h, max(df, 1)) for df in range(P + 1))
+    begin = _begin(rows, h, floor)
+    small = begin.count() * 3 <= SMALL_ROWS
+    near = F.broadcast if small else lambda d: d
+    z = [(F.col(x) - F.col("e")[i]["m"]) / F.sqrt(F.col("e")[i]["var"]) for i, x in enumerate(X)]
+    signed = rows.join(near(begin), "g").select("g", *X, *(a.alias(f"z{i}") for i, a in enumerate(z)))
+    signed = signed.withColumn("zz", F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")), F.lit(1e-12)))
+    first = signed.groupBy("g").agg(*_sums(), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}{j}") for i, j in PAIRS))
+    now, found = materialize(first.join(begin, "g").mapInPandas(_starts(), _STATE), "mcd-start"), []
+    w = W.partitionBy("g", "s")
+    for k in range(steps):
+        # squared distance under each start's estimate, in steps of its logarithm
+        d2 = distance2(X, M, dict(zip(PAIRS, V, strict=True)))
+        scored = rows.join(near(now.select("g", "s", *M, *V)), "g").select("g", "s", *X, F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * STEP).cast("int").alias("step"))
+        by_step = scored.groupBy("g", "s", "step").agg(*_sums())
+        by_step = by_step.withColumns({"before": F.sum("n").over(w.orderBy("step")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("before") < F.ceil(F.col("all") * h))
+        sums = by_step.groupBy("g", "s").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS))))
+        now = materialize(sums.join(now, ["g", "s"]).mapInPandas(_fit(factors, k + 1 == steps), _STATE), "mcd-step")
+        found.append(now.where("done"))
+        now = now.where("not done")
         if now.isEmpty():
             break
-    else:
-        found.append(now)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    best = out.groupBy("g").agg(F.min_by(F.struct("mean", "inv", "det"), F.struct("det", "s")).alias("b"))
+    best = out.groupBy("g").agg(F.min_by(F.struct(*M, *V, "det"), F.struct("det", "s")).alias("b"))
     return materialize(best.select("g", "b.*"), "mcd-found")
 
 
@@ -283,33 +298,34 @@ def _settle(prior: float, floor: tuple[float, ...]):
 
     def run(batches):
         for pdf in batches:
-            mean, inverse = [], []
-            for row in pdf.itertuples(index=False):
-                at = np.asarray(row.mean_top, float), np.diag(np.square(floor))
+            out = []
+            for r in pdf.to_dict("records"):
+                at = np.asarray([r[f"{m}_top"] for m in M]), np.diag(np.square(floor))
                 for level in ("top", "mid", "own"):
-                    cov = np.linalg.inv(np.asarray(getattr(row, f"inv_{level}"), float).reshape(P, P))
-                    at = shrunk(float(getattr(row, f"n_{level}")), getattr(row, f"mean_{level}"), cov, at, prior)
-                mean.append(at[0].tolist()), inverse.append(np.linalg.inv(at[1]).ravel().tolist())
-            yield pd.DataFrame({"__own": pdf["own"], "__mean": mean, "__inv": inverse})
+                    cov = np.linalg.inv(square([r[f"{v}_{level}"] for v in V]))
+                    at = shrunk(float(r[f"n_{level}"]), [r[f"{m}_{level}"] for m in M], cov, at, prior)
+                out.append([r["own"], *at[0], *upper(np.linalg.inv(at[1]))])
+            yield pd.DataFrame(out, columns=["__own", *(f"__{c}" for c in (*M, *V))])
 
     return run
 
 
-def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", prior: float = 100.0, h: float = 0.75, steps: int | None = None, tail: float = 1e-5) -> DataFrame:
+def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", prior: float = 100.0, h: float = 0.75, tail: float = 1e-5) -> DataFrame:
     """``docs`` (with the five counts and base_failed) with ``distance2`` and ``kept``."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) if c in docs.columns else F.lit("null") for c in (lang_col, source_col))
     levels = {"own": F.concat_ws("\u0001", F.lit("own"), lang, source), "mid": F.concat_ws("\u0001", F.lit("lang"), lang), "top": F.lit("all")}
-    good = docs.where("not base_failed").select(*(c.alias(n) for n, c in levels.items()), F.array(*features()).alias("x"))
+    good = docs.where("not base_failed").select(*(c.alias(n) for n, c in levels.items()), *(c.alias(x) for x, c in zip(X, features(), strict=True)))
     sizes = materialize(good.groupBy(*levels).agg(F.count("*").alias("n_own")), "mcd-groups")
-    fit = mcd(good.select(F.explode(F.array(*levels)).alias("g"), "x"), h, steps)
+    fit = mcd(materialize(good.select(F.explode(F.array(*levels)).alias("g"), *X), "mcd-rows"), h)
     groups = sizes.withColumns({f"n_{n}": F.sum("n_own").over(W.partitionBy(n)) for n in ("mid", "top")})
     for n in levels:
-        groups = groups.join(fit.select(F.col("g").alias(n), F.col("mean").alias(f"mean_{n}"), F.col("inv").alias(f"inv_{n}")), n)
-    params = materialize(groups.mapInPandas(_settle(prior, FLOOR), "__own string, __mean array<double>, __inv array<double>"), "mcd-params")
-    scored = docs.drop("distance2", "kept").withColumns({"__own": levels["own"], "__x": F.array(*features())})
-    scored = join_small(scored, params, "__own", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance("__mean", "__inv", "__x")))
+        groups = groups.join(fit.select(F.col("g").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in (*M, *V))), n)
+    params = materialize(groups.mapInPandas(_settle(prior, FLOOR), "__own string, " + ", ".join(f"__{c} double" for c in (*M, *V))), "mcd-params")
+    scored = docs.drop("distance2", "kept").withColumns({"__own": levels["own"]} | {f"__{x}": c for x, c in zip(X, features(), strict=True)})
+    d2 = distance2([f"__{x}" for x in X], [f"__{m}" for m in M], {k: f"__{v}" for k, v in zip(PAIRS, V, strict=True)})
+    scored = join_small(scored, params, "__own", "left").withColumn("distance2", F.when(~F.col("base_failed"), d2))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail, P))
-    return scored.withColumn("kept", kept).drop("__own", "__x", "__mean", "__inv")
+    return scored.withColumn("kept", kept).drop("__own", *(f"__{c}" for c in (*X, *M, *V)))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
