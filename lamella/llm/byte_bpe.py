@@ -3,7 +3,8 @@
 1. Each task splits its texts into pre-tokens.  A run of texts becomes one *chunk*: the texts as positions in the
    chunk's own list of distinct pre-tokens, and that list.
 2. Pre-tokens are dealt by a hash of themselves to shards (a chunk's share of a shard moves as one compressed row), and
-   each distinct one is encoded once by the ranks.  Give more ``shards`` than shuffle partitions for larger vocabularies.
+   each distinct one is encoded once by the ranks.  There is a shard for each ``SHARD_BYTES`` of text, so that what all chunks have
+   in one shard stays within some MB, however large the corpus.
 3. The ids go back to the chunk, and texts are put together again by position.
 
 Words thus move once per chunk that holds them, whatever their frequency; no word, however common, makes a large
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES, SHARD_BYTES = 24 << 20, 16 << 20
 _CORES: dict[str, object] = {}
 
 
@@ -237,7 +238,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     tune(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     d = d if stable else materialize(d, "bpe-input")
-    shards = shards or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     texts = d.mapInArrow(_split(pattern, "texts", chunk_bytes, shards), "chunk long, id array<long>, n array<long>, codes binary, shards binary")
     words = d.mapInArrow(_split(pattern, "words", chunk_bytes, shards), "chunk long, shard long, words binary")
     coded = words.groupBy("shard").applyInArrow(_encode_words(vocabulary, pattern), "of long, shard long, ids binary")

@@ -138,6 +138,43 @@ def test_near_duplicates(docs, held, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_drifting_chain_do_not_meet_whole(spark):
+    """Neighbours share bands by chance and join a long component without one link: its pairs meet in buckets."""
+    rng = random.Random(9)
+    ws, rows = [f"c{k}" for k in range(120)], []
+    for i in range(250):
+        for _ in range(9):
+            ws[rng.randrange(120)] = f"d{rng.randrange(10**9)}"
+        rows.append((i, " ".join(ws)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t) for _, t in rows]
+    seen = []
+    keep = ngram_join.units
+
+    def spy(*a):
+        seen.append(keep(*a))
+        return seen[-1]
+
+    ngram_join.units = spy
+    try:
+        got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(d, block=8).collect()}
+    finally:
+        ngram_join.units = keep
+    assert got == {i: sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(max(0, i - 20), min(250, i + 21)) if j != i) for i in range(250)}
+    work = seen[0][0].groupBy("unit", "band").agg(F.count("*").alias("m")).agg(F.max("m"), F.sum(F.col("m") * F.col("m")), F.max("band")).first()
+    assert work[2] >= 0 and work[0] < 100 and work[1] < 250 * 250 / 4
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    same, other, third = (" ".join(f"{p}{k}" for k in range(60)) for p in "abc")
+    rows = [(None, same, 1), (None, same, 1), (4, other, 1), (5, same, 1), (5, same, 1), (5, other, 2), (5, third, 3), (7, third + " x", 4), (8, None, 5), (8, "", 5), (9, same, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    got = sorted((r.doc_id, r.class_id, r.copy_of, r.n_links) for r in ngram_join.near_duplicates(d).collect())
+    assert got == [(4, 4, 4, 0), (5, 4, 4, 0), (5, 5, 5, 0), (5, 5, 5, 1), (7, 5, 7, 1), (8, 8, 8, 0), (9, 5, 5, 0)]
+    kept = sorted((r.doc_id or 0, (r.text or "")[:2], r.node) for r in ngram_join.drop_near_duplicates(d).collect())
+    assert kept == [(0, "a0", 1), (0, "a0", 1), (4, "b0", 1), (5, "a0", 1), (5, "c0", 3), (8, "", 5)]
+
+
 def test_overlaps_as_matrix_and_by_merging():
     rng = np.random.default_rng(0)
     a = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(40)]
@@ -447,6 +484,24 @@ def test_byte_bpe(docs, held, empty):
     assert byte_bpe.encode(empty, path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SHARD_BYTES", 16)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = byte_bpe._core(path, P.PATTERN)
+    rows = [(None, "a b"), (None, None), (3, "x  y\n\nz"), (3, "x  y\n\nz"), (3, "other <|endoftext|>"), (4, "")]
+    d = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, ids string")
+    got = sorted((r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in byte_bpe.encode(d, path, P.PATTERN).collect())
+    assert got == sorted((i or 0, enc.encode_ordinary(t or "")) for i, t in rows)
+
+
+def test_packing_null_and_repeated_ids_and_other_columns(spark):
+    rows = [(None, "a b", 1), (None, None, 2), (3, "x y z", 3), (3, "x y z", 4), (3, "w " * 200, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, length int")
+    got = packing.pack(d, P.path("word_bpe_49k.json"), tokens=64, ids=True).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in got) == [(0, 0, 1), (0, 0, 3), (3, 0, 4), (3, 0, 4), (3, 0, 64), (3, 1, 64), (3, 2, 64), (3, 3, 9)]
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+
+
 def test_fingerprints(docs, held, empty):
     order = sorted(held)
     rows = {r.doc_id: r for r in fingerprints.edited_likeness(docs).collect()}
