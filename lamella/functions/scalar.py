@@ -36,11 +36,25 @@ def normalize(a: list[Column]) -> list[Column]:
 
 
 def cubic(a: Column, b: Column, c: Column, d: Column, t: Column) -> Column:
-    """Catmull-Rom through b and c."""
-    return b + (c - a + (a * 2 - b * 5 + c * 4 - d + (b * 3 - a - c * 3 + d) * t) * t) * t * 0.5
+    """From b to c with the slopes that their neighbours give: a Hermite curve with tangents (c - a) / 2 and (d - b) / 2."""
+    out, in_, rise = (c - a) * 0.5, (d - b) * 0.5, c - b
+    return b + t * (out + t * (rise * 3 - out * 2 - in_ + t * (out + in_ - rise * 2)))
 
 
 def dominant_axis(x: Column, y: Column, z: Column) -> Column:
     """0, 1 or 2; the lower axis on ties."""
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
     return F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
+
+
+def direction_label(x: Column, y: Column, z: Column) -> Column:
+    """The letter of the side that a vector points to most: L or R, P or A, S or I."""
+    a = dominant_axis(x, y, z)
+    pick = lambda c, plus, minus: F.when(c >= 0, plus).otherwise(minus)
+    return F.when(a == 0, pick(x, "L", "R")).when(a == 1, pick(y, "P", "A")).otherwise(pick(z, "S", "I"))
+
+
+def fmt(c: Column, digits: int = 2) -> Column:
+    """A number with at most ``digits`` decimals after a comma and dots between thousands."""
+    text = F.call_function("format_number", F.round(c.cast("double"), digits), F.lit("#,##0" + ("." + "#" * digits if digits else "")))
+    return F.translate(text, ",.", ".,")

@@ -35,53 +35,75 @@ def label6(mask: np.ndarray) -> np.ndarray:
 def components6(v: DataFrame, threshold: float = 200) -> DataFrame:
     """(series, component, voxels) of hu >= threshold; a component is named by its smallest flat index.
 
-    A volume meets in one task: its size is that of one exam, whatever the number of volumes.
+    Only the voxels of the mask meet in a task, those of one volume: its size is that of one exam, whatever the number of volumes.
     """
+    wide = v.groupBy("series").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = tuple(int(pdf[c].max()) + 1 for c in ("z", "y", "x"))
-        mask = np.zeros(shape, bool)
-        on = pdf[pdf["hu"] >= threshold]
-        mask[on["z"], on["y"], on["x"]] = True
-        lab = label6(mask)
-        ids, n = np.unique(lab[mask], return_counts=True)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "component": ids.astype("int64"), "voxels": n.astype("int64")})
+        at = pdf[["z", "y", "x"]].to_numpy()
+        low = at.min(0)
+        mask = np.zeros(tuple(at.max(0) - low + 1), bool)
+        place = tuple((at - low).T)
+        mask[place] = True
+        flat = (at[:, 0] * pdf["ny"].iloc[0] + at[:, 1]) * pdf["nx"].iloc[0] + at[:, 2]
+        own = pd.Series(flat).groupby(label6(mask)[place]).agg(["min", "size"])
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "component": own["min"].to_numpy("int64"), "voxels": own["size"].to_numpy("int64")})
 
-    return v.groupBy("series").applyInPandas(run, "series int, component long, voxels long")
+    on = v.where(F.col("hu") >= threshold).select("series", "x", "y", "z").join(wide, "series")
+    return on.groupBy("series").applyInPandas(run, "series int, component long, voxels long")
 
 
-def keep_large(comps: DataFrame, share: float = 0.005, least: int = 5) -> DataFrame:
-    """Components of at least ``share`` of the largest and ``least`` voxels."""
+def keep_large(comps: DataFrame, share: float = 0.005, least: float = 150) -> DataFrame:
+    """Components of at least ``share`` of the largest and ``least`` voxels (150 mm3 at 1 mm)."""
     top = comps.groupBy("series").agg(F.max("voxels").alias("top"))
     return comps.join(top, "series").where(F.col("voxels") >= F.greatest(F.col("top") * share, F.lit(least))).select("series", "component", "voxels")
 
 
-def signed_distance(v: DataFrame, threshold: float = 0, cap: float = 40.0) -> DataFrame:
+def clean_field(v: DataFrame, share: float = 0.005, least: float = 150) -> DataFrame:
+    """(series, x, y, z, field, dropped): ``field`` > 0 in small components becomes -0.01."""
+    from .structures import PLACE, label_voxels
+
+    comp = label_voxels(v.where("field > 0"))
+    size = comp.groupBy("series", "component").agg(F.count("*").alias("voxels"))
+    small = size.join(keep_large(size, share, least).select("series", "component"), ["series", "component"], "left_anti")
+    gone = comp.join(small, ["series", "component"], "left_semi").select(*PLACE, F.lit(True).alias("dropped"))
+    d = v.join(gone, PLACE, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+    return d.withColumn("field", F.when(F.col("dropped"), -0.01).otherwise(F.col("field")))
+
+
+def _edt(on: np.ndarray, spacing: tuple[float, float]) -> np.ndarray:
+    """Distance to the nearest set pixel; the minima over lines along one axis, then along the other."""
+    d = np.where(on, 0.0, ((np.asarray(on.shape) + 1) ** 2 @ np.square(spacing)))
+    for axis in (0, 1):
+        e = np.moveaxis(d, axis, 0)
+        far = np.square((np.arange(len(e))) * spacing[axis])
+        out = e.copy()
+        for k in range(1, len(e)):  # what a line offers to the lines k before and after it
+            if far[k] > out.max():
+                break
+            np.minimum(out[k:], e[:-k] + far[k], out=out[k:])
+            np.minimum(out[:-k], e[k:] + far[k], out=out[:-k])
+        d = np.moveaxis(out, 0, axis)
+    return np.sqrt(d)
+
+
+def signed_distance(v: DataFrame, threshold: float = 0, cap: float = 40.0, spacing: tuple[float, float] = (1.0, 1.0), empty: float = -0.5, on: str = "hu") -> DataFrame:
     """(series, z, x, y, d): in each slice the distance to the nearest voxel of the other kind less half a voxel, positive inside.
 
-    Two passes of one dimension each, by their minima over lines.
+    ``spacing``: mm along x and y.  A slice without voxels from ``threshold`` is ``empty`` throughout, one of nothing else ``cap``.
     """
-
-    def edt2(on: np.ndarray) -> np.ndarray:
-        far = float(on.shape[0] + on.shape[1] + 1) ** 2
-        d = np.where(on, 0.0, far)
-        for axis in (0, 1):
-            n = d.shape[axis]
-            sq = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-            e = np.moveaxis(d, axis, 0)
-            d = np.moveaxis((e[None, :, :] + sq[:, :, None]).min(1), 0, axis)
-        return np.sqrt(d)
+    half = 0.5 * min(spacing)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        on = np.zeros(shape, bool)
-        on[pdf["y"], pdf["x"]] = pdf["hu"] >= threshold
-        if on.all():
+        mask = np.zeros(shape, bool)
+        mask[pdf["y"], pdf["x"]] = pdf[on] >= threshold
+        if mask.all():
             d = np.full(shape, cap)
-        elif not on.any():
-            d = np.full(shape, -0.5)
+        elif not mask.any():
+            d = np.full(shape, empty)
         else:
-            d = np.where(on, edt2(~on) - 0.5, 0.5 - edt2(on))
+            d = np.where(mask, _edt(~mask, spacing[::-1]) - half, half - _edt(mask, spacing[::-1]))
             d = np.clip(d, -cap, cap)
         return pdf[["series", "z", "x", "y"]].assign(d=np.round(d[pdf["y"], pdf["x"]], 6))
 

@@ -133,3 +133,11 @@ def reading(v: DataFrame, least_part: int = 150, top: int = 8, least_jaw: int =
     t = tooth_blocks(v, refs)
     tooth = t.select("series", F.lit("teeth"), F.lit(1), F.concat(F.lit("upper "), F.col("upper").cast("string"), F.lit(" mm3, lower "), F.col("lower").cast("string"), F.lit(" mm3")))
     return cover.union(jaw).union(parts).union(tooth)
+
+
+def jaw_parts(v: DataFrame, refs: DataFrame, least: int = 400, top: int = 5, midline: float = MIDLINE) -> DataFrame:
+    """(series, parts, n, voxels, position): how many pieces the lower jaw has, and the ``top`` largest."""
+    c = _centres(label_voxels(v.where("label = 2")), refs, midline).where(F.col("voxels") >= least)
+    w = W.partitionBy("series")
+    c = c.withColumns({"parts": F.count("*").over(w), "n": F.row_number().over(w.orderBy(F.desc("voxels"), "component"))})
+    return c.where(F.col("n") <= top).select("series", "parts", "n", "voxels", "position")

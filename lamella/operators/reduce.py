@@ -14,7 +14,7 @@ def bone_summary(v: DataFrame, threshold: float = 200) -> DataFrame:
 
 
 def otsu(v: DataFrame, least: int = -300, bins: int = 512) -> DataFrame:
-    """Otsu's threshold per series: one histogram, then a running sum over its bins."""
+    """Otsu's threshold per series, a whole number: one histogram, then a running sum over its bins."""
     v = v.where(F.col("hu") >= least)
     edge = v.groupBy("series").agg(F.min("hu").alias("lo"), F.max("hu").alias("hi"))
     h = v.join(edge, "series").where("hi > lo").withColumn("bin", F.floor((F.col("hu") - F.col("lo")) * (bins - 1) / (F.col("hi") - F.col("lo")) + 0.5).cast("int"))
@@ -27,7 +27,29 @@ def otsu(v: DataFrame, least: int = -300, bins: int = 512) -> DataFrame:
     c = c.withColumn("between", F.when(n1 > 0, F.round(F.col("n0").cast("double") * n1 * gap * gap, 3)))
     best = c.groupBy("series", "lo", "hi").agg(F.max_by("bin", F.struct("between", -F.col("bin"))).alias("bin"))
     t = F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / (bins - 1)
-    return edge.select("series").join(best, "series", "left").select("series", F.round(F.coalesce(t, F.lit(300.0)), 6).alias("threshold"))
+    return edge.select("series").join(best, "series", "left").select("series", F.coalesce(F.floor(t + 0.5), F.lit(300)).cast("long").alias("threshold"))
+
+
+def suggest(v: DataFrame, cbct: DataFrame) -> DataFrame:
+    """(series, threshold): 200 where air shows that HU are calibrated, else Otsu's.  ``cbct``: series, cbct."""
+    low = v.groupBy("series").agg(F.min("hu").alias("low")).join(cbct, "series")
+    return low.join(otsu(v), "series").select("series", F.when(~F.col("cbct") & (F.col("low") < -800), F.lit(200)).otherwise(F.col("threshold")).cast("long").alias("threshold"))
+
+
+def dice(v: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(series, dice) of two masks."""
+    return v.groupBy("series").agg(F.round(2.0 * F.count_if(a & b) / F.nullif(F.count_if(a) + F.count_if(b), F.lit(0)), 6).alias("dice"))
+
+
+MOST_CLASSES = 1000
+
+
+def few(table: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
+    """``table``, which is then small enough to broadcast; raises where it has more than ``most`` rows."""
+    n = table.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows")
+    return table
 
 
 def ranked(v: DataFrame, index: Column, value: str = "hu", key: str = "series") -> DataFrame:
@@ -59,8 +81,14 @@ def metal_thresholds(v: DataFrame, value: str, key: str) -> DataFrame:
     return d.select(key, F.when(far, F.round(F.col("p999") + 0.6 * (F.col("top") - F.col("p999")), 6)).alias("seed"), F.when(far, F.round("p999", 6)).alias("low"))
 
 
-def dental_slice(v: DataFrame, levels=(700, 500, 300), least: int = 2) -> DataFrame:
-    """The slice with most voxels above the first level that any slice has more than ``least`` of; else the middle one."""
+def dental_slice(v: DataFrame, levels=(2500, 1800, 1200), least: int = 20) -> DataFrame:
+    """The slice with most voxels above the first level that any slice has more than ``least`` of; else the middle one.
+
+    Every other voxel of a slice counts.
+    """
+    wide = v.groupBy("series").agg((F.max("x") + 1).alias("nx"))
+    even = (F.col("y") * F.col("nx") + F.col("x")) % 2 == 0
+    v = v.join(wide, "series").select("series", "z", F.when(even, F.col("hu")).alias("hu"))
     c = v.groupBy("series", "z").agg(*[F.count_if(F.col("hu") > t).alias(f"n{i}") for i, t in enumerate(levels)])
     pick = [F.max_by("z", F.struct(f"n{i}", -F.col("z"))).alias(f"z{i}") for i in range(len(levels))] + [F.max(f"n{i}").alias(f"m{i}") for i in range(len(levels))]
     b = c.groupBy("series").agg(*pick, F.floor((F.max("z") + 1) / 2).alias("mid"))
@@ -68,6 +96,6 @@ def dental_slice(v: DataFrame, levels=(700, 500, 300), least: int = 2) -> DataFr
 
 
 def tissue_histogram(v: DataFrame, classes: DataFrame, value: str = "hu", key: str = "series") -> DataFrame:
-    """Voxels per class; classes (a short table) are lo <= value < hi and may overlap."""
+    """Voxels per class; classes are lo <= value <= hi and may overlap, more than ``MOST_CLASSES`` are refused."""
     counts = v.groupBy(key, F.floor(value).alias("u")).agg(F.count("*").alias("k"))
-    return counts.join(F.broadcast(classes), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).groupBy(key, "class").agg(F.sum("k").alias("voxels"))
+    return counts.join(F.broadcast(few(classes)), (F.col("u") >= F.col("lo")) & (F.col("u") <= F.col("hi"))).groupBy(key, "class").agg(F.sum("k").alias("voxels"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, dot
+from .assess import level
+from .planning import along
+from .reduce import few
 
 
 def quality(s: DataFrame) -> DataFrame:
@@ -17,8 +22,7 @@ def quality(s: DataFrame) -> DataFrame:
         (F.col("irregular"), 10, "irregular gaps"), (~F.col("has_positions"), 10, "no positions"), (F.col("lossy"), 5, "lossy"), (F.col("derived"), 5, "derived"),
     ]
     score = F.greatest(F.lit(0), F.lit(100) - sum((F.when(c, n).otherwise(0) for c, n, _ in rules), F.lit(0)))
-    level = F.when(score >= 75, "good").when(score >= 45, "moderate").otherwise("limited")
-    return s.select("id", score.alias("score"), level.alias("level"), F.concat_ws("; ", *(F.when(c, F.lit(t)) for c, _, t in rules)).alias("warnings"))
+    return s.select("id", score.alias("score"), level(score).alias("level"), F.concat_ws("; ", *(F.when(c, F.lit(t)) for c, _, t in rules)).alias("warnings"))
 
 
 def best_series(s: DataFrame) -> DataFrame:
@@ -30,45 +34,56 @@ def best_series(s: DataFrame) -> DataFrame:
 
 
 def resolution(s: DataFrame) -> DataFrame:
-    """(id, axis 0-2, mm): spacing along the normal's axis, in-plane elsewhere."""
-    sz, xy = F.coalesce("spacing", F.lit(5.0)), F.greatest(F.coalesce("in_plane", F.lit(1.0)), F.lit(0.0))
-    return s.select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("a"), "axis", sz.alias("sz"), xy.alias("xy")).select("id", "a", F.round(F.when(F.col("a") == F.col("axis"), F.col("sz")).otherwise(F.col("xy")), 6).alias("mm"))
+    """(id, axis 0-2, mm): a series is fine within its plane and coarse along its normal."""
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.round(along(a), 6).alias("mm")) for a in range(3)))
+    return s.where("nx is not null").select("id", F.explode(each).alias("e")).select("id", "e.a", "e.mm")
 
 
 def overlap(boxes: DataFrame) -> DataFrame:
-    """(a, b, fraction): how much of b's box lies in a's, for the pairs of a group that meet along x.
+    """(a, b, fraction): how much of b's box lies in a's, for the pairs of a group ``g`` that meet along x.
 
     Boxes are dealt to cells along x and joined by cell, so that a group is not paired with itself whole.
     """
-    cell = 8.0
+    cell, edges = 8.0, ("x0", "x1", "y0", "y1", "z0", "z1")
     c = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
-    left = c.select("g", "cell", *(F.col(n).alias(f"a_{n}") for n in ("id", "x0", "x1", "y0", "y1")))
-    right = c.select("g", "cell", *(F.col(n).alias(f"b_{n}") for n in ("id", "x0", "x1", "y0", "y1")))
+    left, right = (c.select("g", "cell", *(F.col(n).alias(f"{k}_{n}") for n in ("id", *edges))) for k in "ab")
     j = left.join(right, ["g", "cell"]).where((F.col("a_id") != F.col("b_id")) & (F.col("cell") == F.floor(F.greatest("a_x0", "b_x0") / cell)))
-    both = [F.greatest(F.lit(0.0), F.least(f"a_{n}1", f"b_{n}1") - F.greatest(f"a_{n}0", f"b_{n}0")) for n in "xy"]
-    own = [F.greatest(F.lit(1e-6), F.col(f"b_{n}1") - F.col(f"b_{n}0")) for n in "xy"]
-    return j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(both[0] * both[1] / (own[0] * own[1]), 6).alias("fraction")).where("fraction > 0")
+    both = [F.greatest(F.lit(0.0), F.least(f"a_{n}1", f"b_{n}1") - F.greatest(f"a_{n}0", f"b_{n}0")) for n in "xyz"]
+    own = [F.greatest(F.lit(1e-6), F.col(f"b_{n}1") - F.col(f"b_{n}0")) for n in "xyz"]
+    share = both[0] * both[1] * both[2] / (own[0] * own[1] * own[2])
+    return j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(share, 6).alias("fraction")).where("fraction > 0")
+
 
+def mirror_symmetry(v: DataFrame, threshold: float = 200, thirds: bool = False, least: int = 0) -> DataFrame:
+    """Share of mask voxels whose mirror image across the middle of x is in the mask, and counts of either side.
 
-def mirror_symmetry(v: DataFrame, threshold: float = 200, width: int = 8, thirds: bool = False) -> DataFrame:
-    """Share of mask voxels whose mirror image across the middle of x is in the mask, and counts of either side."""
+    With ``thirds`` of the mask's height apart; of parts with fewer than ``least`` voxels nothing is told.
+    """
+    wide = v.groupBy("series").agg((F.max("x") + 1).alias("width"))
     m = v.where(F.col("hu") >= threshold).select("series", "x", "y", "z")
     if thirds:
         e = m.groupBy("series").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-        part = F.least(F.lit(2), F.floor((F.col("z") - F.col("lo")) * 3 / F.greatest(F.lit(1), F.col("hi") - F.col("lo") + 1))).cast("int")
+        part = F.least(F.lit(2), F.floor((F.col("z") - F.col("lo")) * 3 / F.greatest(F.lit(1), F.col("hi") - F.col("lo")))).cast("int")
         m = m.join(e, "series").select("series", part.alias("part"), "x", "y", "z")
     else:
         m = m.withColumn("part", F.lit(0))
-    other = m.select("series", (width - 1 - F.col("x")).alias("x"), "y", "z", F.lit(1).alias("hit"))
+    m = m.join(wide, "series")
+    other = m.select("series", (F.col("width") - 1 - F.col("x")).alias("x"), "y", "z", F.lit(1).alias("hit"))
     j = m.join(other, ["series", "x", "y", "z"], "left")
-    return j.groupBy("series", "part").agg(F.count("*").alias("voxels"), F.count_if(F.col("x") < width // 2).alias("low_side"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("overlap"))
+    return j.groupBy("series", "part").agg(F.count("*").alias("voxels"), F.count_if(F.col("x") < F.floor(F.col("width") / 2)).alias("low_side"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("overlap")).where(F.col("voxels") >= least)
+
+
+_B, _E = "(?<![a-z0-9_])", "(?![a-z0-9_])"
+#: fixed values: mentions of contrast in lower case, and those that take it back
+CONTRAST = rf"{_B}c\s*/\s*c{_E}|com\s+contraste|{_B}contraste{_E}|{_B}c\+|{_B}pos[- ]?contraste|{_B}angio"
+NO_CONTRAST = rf"sem\s+contraste|{_B}s\s*/\s*c{_E}"
 
 
 def contrast_flag(agent: Column, text: Column) -> Column:
     """A named agent, or a mention in the description that is not taken back."""
     named = F.lower(F.trim(F.coalesce(agent, F.lit(""))))
     said = F.lower(F.coalesce(text, F.lit("")))
-    return F.when((named != "") & ~named.isin("none", "nenhum", "sem", "no", "n/a"), True).otherwise(said.rlike("contrast|c/c|\\+c") & ~said.rlike("sem contrast|s/c"))
+    return F.when((named != "") & ~named.isin("none", "nenhum", "sem", "no", "n/a"), True).otherwise(said.rlike(CONTRAST) & ~said.rlike(NO_CONTRAST))
 
 
 #: fixed values: endings and the name that are not read
@@ -76,20 +91,36 @@ SKIPPED = ("txt", "xml", "htm", "html", "pdf", "exe", "ini", "inf", "jpg", "jpeg
 
 
 def readable(name: Column) -> Column:
-    return ~F.lower(name).rlike(r"\.(" + "|".join(SKIPPED) + ")$") & (F.upper(name) != "DICOMDIR")
+    return ~F.lower(name).rlike(r"\.(" + "|".join(SKIPPED) + ")$") & (name != "DICOMDIR")
+
+
+def _marked() -> tuple[str, str]:
+    """Letters with marks, and the ASCII letters that they decompose to."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(a, d[0]) for a, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def slug(text: Column) -> Column:
-    """Lower-case ASCII letters and digits joined by dashes; marks are taken off letters."""
-    plain = F.translate(F.lower(text), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
-    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower-case ASCII letters and digits, with a dash for each run of others; marks are taken off letters."""
+    plain = F.regexp_replace(F.translate(text, *_marked()), "[\u0300-\u036f]", "")
+    return F.lower(F.regexp_replace(plain, "[^A-Za-z0-9]+", "-"))
+
+
+def base_name(patient: Column, hidden: Column) -> Column:
+    """Name of a file: the patient before it where that is not hidden."""
+    who = F.when(~hidden & (F.coalesce(patient, F.lit("")) != ""), F.concat(F.regexp_replace(patient, r"\s+", "_"), F.lit("-"))).otherwise("")
+    return F.concat(who, F.lit("reconstrucao-ossea"))
 
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, block, kind, lines): lines by kind, with runs of list items (and of plain lines) as one block each."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("n", "line"))
-    line = F.trim("line")
-    kind = F.when(line == "", "blank").when(line.rlike("^#{1,4} "), F.concat(F.lit("h"), F.length(F.regexp_extract(line, "^(#+)", 1)))).when(line.rlike("^(-{3,}|\\*{3,})$"), "hr").when(line.rlike("^[-*] "), "ul").when(line.rlike("^[0-9]+[.)] "), "ol").otherwise("p")
+    """(id, block, kind, lines): lines by kind, with runs of list items (and of plain lines) as one block each.
+
+    Headings of one or two signs are h3, of three or four h4.
+    """
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), "\n")).alias("n", "line"))
+    line = F.regexp_replace("line", r"\s+$", "")
+    kind = F.when(line == "", "blank").when(line.rlike(r"^\s*(-{3,}|\*{3,}|_{3,})$"), "hr").when(line.rlike(r"^#{1,2}\s+"), "h3").when(line.rlike(r"^#{3,4}\s+"), "h4").when(line.rlike(r"^\s*[-*•]\s+\S"), "ul").when(line.rlike(r"^\s*[0-9]+[.)]\s+\S"), "ol").otherwise("p")
     lines = lines.withColumn("kind", kind)
     w = W.partitionBy("id").orderBy("n")
     new = F.when((F.col("kind") != F.coalesce(F.lag("kind").over(w), F.lit(""))) | ~F.col("kind").isin("ul", "ol", "p", "blank"), 1).otherwise(0)
@@ -97,14 +128,43 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where("kind <> 'blank'").groupBy("id", "block", "kind").agg(F.count("*").alias("lines"))
 
 
+#: fixed values: strong, emphasis and code within a line; of what is not marked with a star and a space
+SPANS = r"\*\*.+?\*\*|__.+?__|\*\S.*?\*|`[^`]+`"
+
+
+def markdown_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, kind, content) of the marked spans of each text, in order."""
+    d = docs.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(SPANS), F.lit(0))).alias("n", "m"))
+    code, strong = F.startswith("m", F.lit("`")), F.col("m").rlike(r"^(\*\*.+\*\*|__.+__)$")
+    cut = F.when(strong, 2).otherwise(1)
+    return d.select("id", "n", F.when(code, "code").when(strong, "strong").otherwise("em").alias("kind"), F.substring(F.col("m"), cut + 1, F.length("m") - 2 * cut).alias("content"))
+
+
 def transfer(levels: DataFrame, classes: DataFrame, edge: int = 20) -> DataFrame:
-    """At each level the most opaque class, with linear edges; the first on ties.  ``classes`` is a short fixed table."""
-    j = levels.join(F.broadcast(classes), (F.col("u") >= F.col("lo") - edge) & (F.col("u") <= F.col("hi") + edge), "left")
+    """At each level the most opaque class, with linear edges; the first on ties, none where all are clear.
+
+    ``classes`` are those that are shown, one row each; more than ``MOST_CLASSES`` are refused.
+    """
+    j = levels.join(F.broadcast(few(classes).where("hi > lo")), (F.col("u") > F.col("lo") - edge) & (F.col("u") < F.col("hi") + edge), "left")
     ramp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("u") - F.col("lo") + edge) / edge), F.greatest(F.lit(0.0), (F.col("hi") + edge - F.col("u")) / edge))
     j = j.withColumn("o", F.round(F.col("opacity") * ramp, 6))
     return j.groupBy("u").agg(F.max_by("class", F.struct("o", -F.col("ord"))).alias("class"), F.coalesce(F.max("o"), F.lit(0.0)).alias("opacity"))
 
 
+#: fixed values: tissue classes (key, lowest and highest HU, opacity); bone begins at the threshold, with contrast at 450 at least, and vessels end below it
+def tissues(threshold: float, contrast: bool) -> list[tuple[str, float, float, float]]:
+    bone = max(threshold, 450) if contrast else threshold
+    table = (
+        ("skin", -500, -150, 0.25), ("fat", -140, -50, 0.03), ("glands", -30, 25, 0.04), ("muscle", 30, 90, 0.03),
+        ("vessels", 150, min(bone - 10, 450), 0.45), ("bone", bone, 1800, 0.55), ("teeth", 1800, 2999, 0.85), ("metal", 3000, 4095, 1.0),
+    )
+    return [(key, float(lo), float(hi), opacity) for key, lo, hi, opacity in table]
+
+
+#: fixed values: classes that each preset shows
+PRESETS = {"bone": ("bone", "teeth", "metal"), "bone-skin": ("skin", "bone", "teeth", "metal"), "skin": ("skin",), "soft": ("fat", "glands", "muscle", "bone", "teeth", "metal"), "vessels": ("vessels", "bone", "teeth", "metal")}
+
+
 def landmark_angles(points: DataFrame) -> DataFrame:
     """(series, vec_id, before, after, angle) of every point between two others: its distances to them and the angle at it in degrees.
 

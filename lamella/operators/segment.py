@@ -142,3 +142,37 @@ def describe(objects: DataFrame, dims: DataFrame, near: DataFrame | None = None,
         o = o.join(near.select("series", "object", (F.col("near") > F.col("voxels") * share).alias("enamel")), ["series", "object"], "left")
         o = o.withColumn("kind", F.when(F.coalesce("enamel", F.lit(False)), "restoration").otherwise(F.col("kind")))
     return o.select(*objects.columns, "location")
+
+
+def regions(mask: DataFrame, dims: DataFrame, least: float, midline: float = 8.0) -> DataFrame:
+    """(series, component, volume, cx, cy, cz, location) of the face-joined parts of a mask of at least ``least`` voxels (1 mm).
+
+    ``dims``: series, nx, ny, nz.  The largest of a series come first by ``volume``.
+    """
+    from .structures import label_voxels
+
+    comp = label_voxels(mask)
+    c = comp.groupBy("series", "component").agg(F.count("*").cast("double").alias("volume"), *(F.avg(a).alias(f"c{a}") for a in AXES)).where(F.col("volume") >= least)
+    c = c.join(dims, "series")
+    dx = F.col("cx") - (F.col("nx") - 1) / 2
+    up, back = (F.col(f"c{a}") / F.greatest(F.lit(1), F.col(f"n{a}") - 1) for a in ("z", "y"))
+    side = F.when(F.abs(dx) < midline, "midline").when(dx > 0, "left side").otherwise("right side")
+    level = F.when(up < 0.33, "lower third").when(up < 0.66, "middle third").otherwise("upper third")
+    depth = F.when(back < 0.4, "front").when(back < 0.65, "middle").otherwise("back")
+    return c.select("series", "component", "volume", "cx", "cy", "cz", F.concat_ws(", ", side, level, depth).alias("location"))
+
+
+def merge_labels(v: DataFrame, air: DataFrame, blood: DataFrame | None = None) -> DataFrame:
+    """``v`` (series, x, y, z, label ...) with 5 where there is inner air and 6 where there are vessels, but for voxels labelled before."""
+    key = ["series", "x", "y", "z"]
+    d = v.join(air.select(*key, F.lit(True).alias("__air")), key, "left")
+    label = F.when(F.col("label") != 0, F.col("label")).when(F.col("__air"), 5)
+    if blood is not None:
+        d = d.join(blood.select(*key, F.lit(True).alias("__blood")), key, "left")
+        label = label.when(F.col("__blood"), 6)
+    return d.withColumn("label", label.otherwise(F.col("label"))).drop("__air", "__blood")
+
+
+def metal_field(v: DataFrame, low: float, on: str = "metal") -> DataFrame:
+    """``v`` with ``field``, whose zero is the surface of the metal mask ``on``."""
+    return v.withColumn("field", F.when(F.col(on), F.greatest(F.lit(0.05), F.col("hu") - low + 1)).otherwise(F.least(F.lit(-0.05), F.col("hu") - low)))

@@ -39,9 +39,10 @@ def _clamped(value: str, w, k: int):
     return F.coalesce(F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w), edge)
 
 
-def gaussian(v: DataFrame, sigma: dict[str, float], value: str, key: str = "series") -> DataFrame:
-    """Separable Gaussian with replicated edges; sigmas in voxels, those below 0.3 are no smoothing."""
-    for axis, s in sigma.items():
+def gaussian(v: DataFrame, sigma: dict[str, float], value: str, key: str = "series", spacing: dict[str, float] | None = None) -> DataFrame:
+    """Separable Gaussian with replicated edges; sigmas in mm, ``spacing`` 1 mm by default; those below 0.3 voxels are no smoothing."""
+    for axis, mm in sigma.items():
+        s = mm / (spacing or {}).get(axis, 1.0)
         if s < 0.3:
             continue
         r = math.ceil(2.5 * s)

@@ -19,8 +19,8 @@ from ..operators import structures as B
 from ..operators import surface as T
 from ..sources import adapters as A
 
-#: fixed values: tissue classes as (class, lo, hi, opacity)
-TISSUES = (("air", -2000, -400, 0.05), ("lung", -900, -300, 0.1), ("fat", -300, -50, 0.2), ("soft", -50, 150, 0.3), ("vessel", 150, 450, 0.6), ("bone", 300, 1500, 0.8), ("enamel", 1500, 3000, 0.9), ("metal", 2500, 5000, 1.0))
+#: shown classes, of an exam with contrast
+TISSUES = U.tissues(200, True)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -38,11 +38,11 @@ def query(sql: str | None):
 
 VOX = """WITH s AS (SELECT label AS series, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z, embedding FROM embeddings),
 v AS (SELECT series, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, CAST(z AS INT) AS z, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 4000 + 0.5) AS BIGINT) AS hu FROM s, range(64) t(i))"""
-STACK = """WITH st AS (SELECT l_suppkey AS series, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 0.5::DOUBLE AS z, l_extendedprice AS value FROM lineitem),
+STACK = """WITH st AS (SELECT l_suppkey AS series, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 0.5::DOUBLE AS z, l_extendedprice / 10 - 1000 AS value, (l_orderkey, l_linenumber, l_extendedprice) AS nr FROM lineitem),
 pl AS (SELECT DISTINCT series, z FROM st), g AS (SELECT series, z, z - lag(z) OVER (PARTITION BY series ORDER BY z) AS gap FROM pl)"""
 PIX = """WITH e AS (SELECT vec_id // 64 AS img, vec_id % 64 AS t, embedding FROM embeddings),
-f AS (SELECT img FROM e GROUP BY img HAVING count(*) = 64),
-p AS (SELECT img, CAST((t % 8) * 8 + i % 8 AS INT) AS x, CAST((t // 8) * 8 + i // 8 AS INT) AS y, CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (CAST(embedding[i + 1] AS DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE * 255)) + 0.5::DOUBLE) AS BIGINT) AS v FROM e JOIN f USING (img), range(64) r(i))"""
+f AS (SELECT DISTINCT img, t.t FROM e, range(64) t(t)),
+p AS (SELECT img, CAST((t % 8) * 8 + i % 8 AS INT) AS x, CAST((t // 8) * 8 + i // 8 AS INT) AS y, CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (coalesce(CAST(embedding[i + 1] AS DOUBLE), -0.6::DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE * 255)) + 0.5::DOUBLE) AS BIGINT) AS v FROM f LEFT JOIN e USING (img, t), range(64) r(i))"""
 HEAD = """WITH h AS (SELECT p_partkey AS id, p_brand AS study, p_size * 8 AS frames, CASE WHEN p_partkey % 5 = 0 THEN 96 ELSE 512 END AS rows_,
 CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey % 9 + 1) * 0.6::DOUBLE END AS spacing, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 4 + 1) * 0.25::DOUBLE END AS in_plane,
 p_partkey % 3 AS axis, p_partkey % 7 = 0 AS irregular, p_partkey % 17 <> 0 AS has_positions, p_partkey % 6 = 0 AS lossy, p_partkey % 19 = 0 AS derived FROM part)"""
@@ -50,7 +50,7 @@ CLASSES = "c(class, lo, hi, opacity, ord) AS (VALUES " + ", ".join(f"('{c}', {lo
 
 
 def _classes(spark):
-    return spark.createDataFrame([(*t, i) for i, t in enumerate(TISSUES)], "class string, lo int, hi int, opacity double, ord int")
+    return spark.createDataFrame([(*t, i) for i, t in enumerate(TISSUES)], "class string, lo double, hi double, opacity double, ord int")
 
 
 @query(f"{VOX} SELECT series, count(*) AS voxels, count(*)::DOUBLE AS volume_mm3, round(avg(hu), 6) AS mean_hu, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v WHERE hu >= 200 GROUP BY series")
@@ -63,7 +63,7 @@ b AS (SELECT series, lo, hi, CAST(floor((hu - lo) * 511 / (hi - lo) + 0.5) AS IN
 k AS (SELECT *, sum(n) OVER o n0, sum(n * bin) OVER o s0, sum(n) OVER a n_all, sum(n * bin) OVER a s_all FROM h WINDOW o AS (PARTITION BY series ORDER BY bin), a AS (PARTITION BY series)),
 bt AS (SELECT series, lo, hi, bin, round(n0::DOUBLE * (n_all - n0)::DOUBLE * (s0 / n0 - (s_all - s0) / (n_all - n0)) * (s0 / n0 - (s_all - s0) / (n_all - n0)), 3) btw FROM k WHERE n_all > n0),
 r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY btw DESC, bin) rn FROM bt)
-SELECT ed.series, round(coalesce(r.lo + r.bin * (r.hi - r.lo) / 511, 300.0), 6) AS threshold FROM ed LEFT JOIN r ON r.series = ed.series AND rn = 1""")
+SELECT ed.series, coalesce(floor(r.lo + r.bin * (r.hi - r.lo) / 511 + 0.5::DOUBLE), 300)::BIGINT AS threshold FROM ed LEFT JOIN r ON r.series = ed.series AND rn = 1""")
 def otsu_threshold(spark, d):
     return R.otsu(A.voxels(spark, d))
 
@@ -84,20 +84,20 @@ def metal_thresholds(spark, d):
     return R.metal_thresholds(A.table(spark, d, "events").where("value is not null"), "value", "user_id")
 
 
-@query(f"""{VOX}, c AS (SELECT series, z, count(*) FILTER (hu > 700) n0, count(*) FILTER (hu > 500) n1, count(*) FILTER (hu > 300) n2 FROM v GROUP BY ALL),
+@query(f"""{VOX}, c AS (SELECT series, z, count(*) FILTER (hu > 700 AND (y * 8 + x) % 2 = 0) n0, count(*) FILTER (hu > 500 AND (y * 8 + x) % 2 = 0) n1, count(*) FILTER (hu > 300 AND (y * 8 + x) % 2 = 0) n2 FROM v GROUP BY ALL),
 b AS (SELECT series, max(n0) m0, max(n1) m1, max(n2) m2, arg_max(z, n0 * 100000 - z) z0, arg_max(z, n1 * 100000 - z) z1, arg_max(z, n2 * 100000 - z) z2, (max(z) + 1) // 2 mid FROM c GROUP BY series)
 SELECT series, CASE WHEN m0 > 2 THEN z0 WHEN m1 > 2 THEN z1 WHEN m2 > 2 THEN z2 ELSE mid END::BIGINT AS slice FROM b""")
 def dental_slice(spark, d):
-    return R.dental_slice(A.voxels(spark, d))
+    return R.dental_slice(A.voxels(spark, d), (700, 500, 300), 2)
 
 
-@query(f"{VOX}, {CLASSES} SELECT series, class, count(*) AS voxels FROM v JOIN c ON hu >= lo AND hu < hi GROUP BY ALL")
+@query(f"{VOX}, {CLASSES} SELECT series, class, count(*) AS voxels FROM v JOIN c ON hu >= lo AND hu <= hi GROUP BY ALL")
 def tissue_histogram(spark, d):
     return R.tissue_histogram(A.voxels(spark, d), _classes(spark))
 
 
 @query(f"""WITH u AS (SELECT DISTINCT (CAST(floor(value) AS BIGINT) * 5) AS u FROM events WHERE value IS NOT NULL), {CLASSES},
-j AS (SELECT u, class, ord, round(opacity * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (u - lo + 20) / 20), greatest(0.0::DOUBLE, (hi + 20 - u) / 20)), 6) o FROM u LEFT JOIN c ON u >= lo - 20 AND u <= hi + 20),
+j AS (SELECT u, class, ord, round(opacity * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (u - lo + 20) / 20), greatest(0.0::DOUBLE, (hi + 20 - u) / 20)), 6) o FROM u LEFT JOIN c ON u > lo - 20 AND u < hi + 20 AND hi > lo),
 r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY o DESC NULLS LAST, ord) rn FROM j) SELECT u, class, coalesce(o, 0.0::DOUBLE) AS opacity FROM r WHERE rn = 1""")
 def transfer_table(spark, d):
     levels = A.table(spark, d, "events").where("value is not null").select((F.floor("value") * 5).alias("u")).distinct()
@@ -115,10 +115,11 @@ def header_spacing(spark, d):
     return Z.header_spacing(A.stack(spark, d))
 
 
-@query(f"""{STACK}, one AS (SELECT series, z, avg(value) AS value FROM st GROUP BY ALL), geo AS (SELECT series, median(gap) step, min(z) z0, max(z) z1 FROM g GROUP BY series HAVING median(gap) > 0),
-gr AS (SELECT series, k, least(z0 + k * step, z1) z FROM (SELECT *, unnest(range(0, CAST(floor((z1 - z0) / step + 0.5) AS BIGINT) + 1)) AS k FROM geo)),
-lo AS (SELECT gr.series, k, gr.z, o.z az, o.value av FROM gr ASOF JOIN one o ON gr.series = o.series AND gr.z >= o.z), hi AS (SELECT lo.*, o.z bz, o.value bv FROM lo ASOF JOIN one o ON lo.series = o.series AND lo.z <= o.z)
-SELECT series, CAST(k AS INT) AS k, round(av + (bv - av) * CASE WHEN bz > az THEN (z - az) / (bz - az) ELSE 0.0 END, 4) AS value FROM hi""")
+@query(f"""{STACK}, one AS (SELECT series, z, arg_min(value, nr) AS value FROM st GROUP BY ALL), geo AS (SELECT series, median(gap) step, min(gap) lo, max(gap) hi, min(z) z0, max(z) z1, coalesce(hi > 1.15::DOUBLE * step OR lo < 0.85::DOUBLE * step, false) AS odd FROM g GROUP BY series),
+gr AS (SELECT series, k, step, z0 + k * step AS pos, least(z0 + k * step, z1) z FROM (SELECT *, unnest(range(0, CAST(floor((z1 - z0) / step + 0.5) AS BIGINT) + 1)) AS k FROM geo WHERE odd)),
+lo AS (SELECT gr.series, k, step, gr.pos, gr.z, o.z az, o.value av FROM gr ASOF JOIN one o ON gr.series = o.series AND gr.z >= o.z), hi AS (SELECT lo.*, o.z bz, o.value bv, CASE WHEN o.z > az THEN (lo.z - az) / (o.z - az) ELSE 0.0 END AS t FROM lo ASOF JOIN one o ON lo.series = o.series AND lo.z <= o.z)
+SELECT series, CAST(k AS INT) AS k, greatest(-32768, least(32767, floor(CASE WHEN t < 0.001::DOUBLE THEN av ELSE av + (bv - av) * t END + 0.5::DOUBLE)))::BIGINT AS value, least(abs(pos - az), abs(pos - bz)) > step * 0.25::DOUBLE AS filled FROM hi
+UNION ALL SELECT series, CAST(row_number() OVER (PARTITION BY series ORDER BY z) - 1 AS INT), greatest(-32768, least(32767, floor(value + 0.5::DOUBLE)))::BIGINT, false FROM one JOIN geo USING (series) WHERE NOT odd""")
 def gap_fill(spark, d):
     return Z.fill_gaps(A.stack(spark, d))
 
@@ -139,7 +140,7 @@ def resample_z_linear(spark, d):
     return Z.resample_z(A.voxels(spark, d), 0.4)
 
 
-@query(f"{_PLANES} SELECT series, x, y, k, CAST(floor(greatest(least(p1, p2), least(greatest(p1, p2), p1 + (p2 - p0 + (p0 * 2 - p1 * 5 + p2 * 4 - p3 + (p1 * 3 - p0 - p2 * 3 + p3) * t) * t) * t * 0.5::DOUBLE)) + 0.5) AS BIGINT) AS hu FROM p")
+@query(f"{_PLANES} SELECT series, x, y, k, CAST(floor(greatest(least(p1, p2), least(greatest(p1, p2), p1 + t * ((p2 - p0) * 0.5::DOUBLE + t * ((p2 - p1) * 3 - (p2 - p0) * 0.5::DOUBLE * 2 - (p3 - p1) * 0.5::DOUBLE + t * ((p2 - p0) * 0.5::DOUBLE + (p3 - p1) * 0.5::DOUBLE - (p2 - p1) * 2))))) + 0.5) AS BIGINT) AS hu FROM p")
 def resample_z_cubic(spark, d):
     return Z.resample_z(A.voxels(spark, d), 0.4, method="cubic")
 
@@ -202,7 +203,7 @@ def components_six(spark, d):
 
 @query(ORACLE["components_six"].replace("SELECT series, component, count(*) AS voxels FROM (WITH", ", cc AS (SELECT series, component, count(*) AS voxels FROM (WITH") + ") SELECT series, component, voxels FROM cc QUALIFY voxels >= greatest(max(voxels) OVER (PARTITION BY series) * 0.005, 5)")
 def keep_large_components(spark, d):
-    return C.keep_large(C.components6(A.voxels(spark, d), 300))
+    return C.keep_large(C.components6(A.voxels(spark, d), 300), least=5)
 
 
 @query(f"""{VOX}, n AS (SELECT a.series, a.z, a.x, a.y, a.hu >= 0 AS inside, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d2, count(b.x) k FROM v a LEFT JOIN v b ON a.series = b.series AND a.z = b.z AND (a.hu >= 0) <> (b.hu >= 0) GROUP BY ALL)
@@ -211,12 +212,6 @@ def signed_distance(spark, d):
     return C.signed_distance(A.voxels(spark, d))
 
 
-@query(f"{VOX} SELECT series, z, x, CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (hu + 600) * 255 / 1200.0::DOUBLE)) + 0.5) AS BIGINT) AS gray FROM v WHERE y = 4")
-def mpr_coronal_window(spark, d):
-    gray = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("hu") + 600) * 255 / 1200.0))
-    return A.voxels(spark, d).where("y = 4").select("series", "z", "x", half_up(gray).alias("gray"))
-
-
 _MIRROR = "SELECT m.series, m.part, count(*) AS voxels, count(*) FILTER (m.x < 4) AS low_side, round(avg(CASE WHEN o.x IS NULL THEN 0 ELSE 1 END), 6) AS overlap FROM m LEFT JOIN m o ON m.series = o.series AND m.y = o.y AND m.z = o.z AND o.x = 7 - m.x GROUP BY ALL"
 
 
@@ -225,7 +220,7 @@ def mirror_symmetry(spark, d):
     return U.mirror_symmetry(A.voxels(spark, d))
 
 
-@query(f"{VOX}, b AS (SELECT * FROM v WHERE hu >= 200), e AS (SELECT series, min(z) lo, max(z) hi FROM b GROUP BY series), m AS (SELECT b.*, CAST(least(2, floor((z - lo) * 3 / greatest(1, hi - lo + 1))) AS INT) AS part FROM b JOIN e USING (series)) {_MIRROR}")
+@query(f"{VOX}, b AS (SELECT * FROM v WHERE hu >= 200), e AS (SELECT series, min(z) lo, max(z) hi FROM b GROUP BY series), m AS (SELECT b.*, CAST(least(2, floor((z - lo) * 3 / greatest(1, hi - lo))) AS INT) AS part FROM b JOIN e USING (series)) {_MIRROR}")
 def symmetry_thirds(spark, d):
     return U.mirror_symmetry(A.voxels(spark, d), thirds=True)
 
@@ -244,51 +239,37 @@ def best_series(spark, d):
     return U.best_series(A.series_headers(spark, d))
 
 
-@query(f"{HEAD} SELECT id, CAST(a AS INT) AS a, round(CASE WHEN a = axis THEN coalesce(spacing, 5.0::DOUBLE) ELSE coalesce(in_plane, 1.0::DOUBLE) END, 6) AS mm FROM h, range(3) r(a)")
-def series_resolution(spark, d):
-    return U.resolution(A.series_headers(spark, d))
-
-
-_BOX = "SELECT s_suppkey AS id, s_nationkey AS g, (s_suppkey % 13) * 3.0::DOUBLE AS x0, (s_suppkey % 13) * 3.0::DOUBLE + s_suppkey % 5 + 4 AS x1, (s_suppkey % 7) * 2.0::DOUBLE AS y0, (s_suppkey % 7) * 2.0::DOUBLE + 6 AS y1 FROM supplier"
-
-
-@query(f"WITH b AS ({_BOX}), j AS (SELECT p.id AS a, q.id AS b, round(greatest(0.0::DOUBLE, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0.0::DOUBLE, least(p.y1, q.y1) - greatest(p.y0, q.y0)) / ((q.x1 - q.x0) * (q.y1 - q.y0)), 6) AS fraction FROM b p JOIN b q ON p.g = q.g AND p.id <> q.id) SELECT * FROM j WHERE fraction > 0")
-def series_overlap(spark, d):
-    k = F.col("s_suppkey")
-    x0, y0 = (k % 13) * 3.0, (k % 7) * 2.0
-    return U.overlap(A.table(spark, d, "supplier").select(k.alias("id"), F.col("s_nationkey").alias("g"), x0.alias("x0"), (x0 + k % 5 + 4).alias("x1"), y0.alias("y0"), (y0 + 6).alias("y1")))
-
-
-@query("""WITH t AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'iohexol' ELSE '' END AS agent, CASE turn % 3 WHEN 0 THEN 'CT contrast ' WHEN 1 THEN 'sem contraste ' ELSE '' END || text AS t FROM conversations)
-SELECT conv_id, turn, CASE WHEN agent <> '' AND agent <> 'none' THEN true ELSE regexp_matches(lower(coalesce(t, '')), 'contrast|c/c|\\+c') AND NOT regexp_matches(lower(coalesce(t, '')), 'sem contrast|s/c') END AS contrast FROM t""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'iohexol' ELSE '' END AS agent, list_extract(['CT com  contraste ', 'sem contraste angio ', 'contrast ', 'C / C ', 'C+ ', 'S/C c/c ', 'angio', 'pos-contraste ', ''], CAST(turn % 9 + 1 AS INT)) || text AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN agent <> '' AND agent <> 'none' THEN true ELSE regexp_matches(lower(coalesce(t, '')), '\\bc\\s*/\\s*c\\b|com\\s+contraste|\\bcontraste\\b|\\bc\\+|\\bpos[- ]?contraste|\\bangio') AND NOT regexp_matches(lower(coalesce(t, '')), 'sem\\s+contraste|\\bs\\s*/\\s*c\\b') END AS contrast FROM t""")
 def contrast_flag(spark, d):
     c = A.table(spark, d, "conversations")
     agent = F.when(F.col("conv_id") % 4 == 0, "none").when(F.col("conv_id") % 4 == 1, "iohexol").otherwise("")
-    text = F.concat(F.when(F.col("turn") % 3 == 0, "CT contrast ").when(F.col("turn") % 3 == 1, "sem contraste ").otherwise(""), F.col("text"))
+    said = F.array(*map(F.lit, ("CT com  contraste ", "sem contraste angio ", "contrast ", "C / C ", "C+ ", "S/C c/c ", "angio", "pos-contraste ", "")))
+    text = F.concat(F.element_at(said, (F.col("turn") % 9 + 1).cast("int")), F.col("text"))
     return c.select("conv_id", "turn", U.contrast_flag(agent, text).alias("contrast"))
 
 
 _NAME = "regexp_extract(url, '([^/?#]*)([?#].*)?$', 1)"
 
 
-@query(f"SELECT page_id, {_NAME} AS name, NOT regexp_matches(lower({_NAME}), '\\.(txt|xml|htm|html|pdf|exe|ini|inf|jpg|jpeg|png|db)$') AND upper({_NAME}) <> 'DICOMDIR' AS readable FROM pages")
+@query(f"SELECT page_id, {_NAME} AS name, NOT regexp_matches(lower({_NAME}), '\\.(txt|xml|htm|html|pdf|exe|ini|inf|jpg|jpeg|png|db)$') AND {_NAME} <> 'DICOMDIR' AS readable FROM pages")
 def file_filter(spark, d):
     name = F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1)
     return A.table(spark, d, "pages").select("page_id", name.alias("name"), U.readable(name).alias("readable"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+@query("SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM documents")
 def slug_title(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", U.slug(F.substring("text", 1, 60)).alias("slug"))
+    return A.table(spark, d, "documents").select("doc_id", U.slug(F.col("text")).alias("slug"))
 
 
-@query("""WITH d AS (SELECT doc_id AS id, '# Title' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || '1. x' || chr(10) || '---' || chr(10) || text AS t FROM documents), s AS (SELECT id, string_split(t, chr(10)) l FROM d),
-n AS (SELECT id, i AS n, trim(l[i + 1], ' ') AS line FROM (SELECT *, unnest(range(len(l))) AS i FROM s)),
-k AS (SELECT id, n, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,4} ') THEN 'h' || length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '^(-{3,}|\\*{3,})$') THEN 'hr' WHEN regexp_matches(line, '^[-*] ') THEN 'ul' WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN 'ol' ELSE 'p' END AS kind FROM n),
+@query("""WITH d AS (SELECT doc_id AS id, '# Title' || chr(10) || '###  Sub' || chr(10) || '___' || chr(10) || '  • a' || chr(13) || chr(10) || '- b' || chr(10) || chr(10) || '1. x' || chr(10) || '---' || chr(10) || text AS t FROM documents), s AS (SELECT id, string_split(t, chr(10)) l FROM d),
+n AS (SELECT id, i AS n, regexp_replace(replace(l[i + 1], chr(13), ''), '\\s+$', '') AS line FROM (SELECT *, unnest(range(len(l))) AS i FROM s)),
+k AS (SELECT id, n, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^\\s*(-{3,}|\\*{3,}|_{3,})$') THEN 'hr' WHEN regexp_matches(line, '^#{1,2}\\s+') THEN 'h3' WHEN regexp_matches(line, '^#{3,4}\\s+') THEN 'h4' WHEN regexp_matches(line, '^\\s*[-*•]\\s+\\S') THEN 'ul' WHEN regexp_matches(line, '^\\s*[0-9]+[.)]\\s+\\S') THEN 'ol' ELSE 'p' END AS kind FROM n),
 w AS (SELECT *, CASE WHEN kind <> coalesce(lag(kind) OVER (PARTITION BY id ORDER BY n), '') OR kind NOT IN ('ul', 'ol', 'p', 'blank') THEN 1 ELSE 0 END new FROM k), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY id ORDER BY n) AS BIGINT) block FROM w)
 SELECT id, block, kind, count(*) AS lines FROM b WHERE kind <> 'blank' GROUP BY ALL""")
 def markdown_blocks(spark, d):
-    t = A.table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Title\n- a\n- b\n\n1. x\n---\n"), F.col("text")).alias("t"))
+    t = A.table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Title\n###  Sub\n___\n  • a\r\n- b\n\n1. x\n---\n"), F.col("text")).alias("t"))
     return U.markdown_blocks(t, "doc_id", "t")
 
 

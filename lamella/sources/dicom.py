@@ -142,6 +142,17 @@ def read_slices(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def headers(slices: DataFrame) -> DataFrame:
+    """Readable slices in the columns of ``operators.assemble``, with their pixels ``hu``; ``at`` orders them by path and name."""
+    from pyspark.sql import Window as W
+
+    o, p, s = F.coalesce("orientation", F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))), F.col("position"), F.col("pixel_spacing")
+    d = slices.where("error is null").withColumn("at", F.row_number().over(W.partitionBy("series_key").orderBy("path", "name")))
+    axes = {f"{k}{c}": o[3 * j + i] for j, k in enumerate("rc") for i, c in enumerate("xyz")}
+    place = {f"p{c}": F.try_element_at(p, F.lit(i + 1)) for i, c in enumerate("xyz")}
+    return d.select(F.col("series_key").alias("series"), "at", F.col("rows").alias("rows_"), "cols", *(e.alias(n) for n, e in (axes | place).items()), *(F.coalesce(F.try_element_at(s, F.lit(i + 1)), F.lit(1.0)).alias(f"ps{i}") for i in (0, 1)), F.coalesce("instance", F.lit(0)).alias("instance"), F.lit(1).alias("frames"), "thickness", "hu")
+
+
 def slice_voxels(slices: DataFrame) -> DataFrame:
     """(series_key, z, x, y, hu) of readable slices; z numbers a series' slices along its normal, else by instance."""
     from pyspark.sql import Window as W

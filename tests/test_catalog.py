@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lamella.plans.catalog import ORACLE, QUERIES
+from lamella.plans.registered import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import scalar as M
+from lamella import verbs
 from lamella.operators import components as C
+from lamella.operators import planning as L
+from lamella.operators import reconstruct as K
+from lamella.operators import reduce as R
 from lamella.operators import resample as Z
 from lamella.operators import rules as U
 from lamella.operators import stencil as S
@@ -34,7 +38,8 @@ def test_components_of_a_block_and_a_voxel(spark):
     v = grid(spark, 8, "case when (x < 3 and y < 3 and z < 3) or (x = 6 and y = 6 and z = 6) then 1000 else -1000 end")
     got = sorted((r.component, r.voxels) for r in C.components6(v).collect())
     assert got == [(0, 27), (6 * 64 + 6 * 8 + 6, 1)]
-    assert [r.voxels for r in C.keep_large(C.components6(v)).collect()] == [27]
+    assert [r.voxels for r in C.keep_large(C.components6(v), least=5).collect()] == [27]
+    assert C.keep_large(C.components6(v)).count() == 0  # 150 mm3 by default
 
 
 def test_label6_against_search():
@@ -66,8 +71,15 @@ def test_erosion_clears_the_shell(spark):
 
 
 def test_gap_fill_of_a_missing_slice(spark):
-    s = spark.createDataFrame([(1, float(z), float(z)) for z in (0, 1, 2, 4, 5)], "series int, z double, value double")
-    assert [r.value for r in Z.fill_gaps(s).orderBy("k").collect()] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    rows = [(1, float(z), float(z), z) for z in (0, 1, 2, 4, 5)] + [(1, 4.0004, 99.0, 9), (1, 4.0, 50.0, 8)] + [(2, z * 2.5, float(z), z) for z in range(4)] + [(2, 5.0, 70.0, 0)]
+    s = spark.createDataFrame(rows, "series int, z double, value double, at int")
+    got = [(r.series, r.value, r.filled) for r in Z.fill_gaps(s).orderBy("series", "k").collect()]
+    assert got == [(1, k, k == 3) for k in range(6)] + [(2, 0, False), (2, 1, False), (2, 70, False), (2, 3, False)]
+
+
+def test_places_near_the_last_kept_one_go(spark):
+    s = spark.createDataFrame([(1, z) for z in (0.0, 0.0006, 0.0012, 0.0018, 1.0)], "series int, z double")
+    assert sorted(r.z for r in Z.gaps(s).collect()) == [0.0, 0.0012, 1.0]
 
 
 def test_cubic_stays_in_range(spark):
@@ -76,10 +88,114 @@ def test_cubic_stays_in_range(spark):
     assert list(r) == [-1000, 1000]
 
 
-@pytest.mark.parametrize("name,want", [("a.TXT", False), ("DICOMDIR", False), ("img001.dcm", True), ("x", True)])
+@pytest.mark.parametrize("name,want", [("a.TXT", False), ("DICOMDIR", False), ("dicomdir", True), ("img001.dcm", True), ("x", True)])
 def test_readable(spark, name, want):
     assert one(spark, U.readable(F.lit(name))) == [want]
 
 
 def test_slug(spark):
-    assert one(spark, U.slug(F.lit(" Élan, vital! 2 "))) == ["elan-vital-2"]
+    assert one(spark, U.slug(F.lit(" Élan, vitãl! 2 Ź")), U.base_name(F.lit("Ana B"), F.lit(False)), U.base_name(F.lit("Ana"), F.lit(True))) == ["-elan-vital-2-z", "Ana_B-reconstrucao-ossea", "reconstrucao-ossea"]
+
+
+@pytest.mark.parametrize("text,want", [("CRANIO C/C", True), ("cranio s/c", False), ("sem  contraste c+", False), ("Angio TC", True), ("contrast medium", False), ("pós-contraste", True), ("pos contraste", True), ("abc+", False), ("C+ ", True)])
+def test_contrast(spark, text, want):
+    assert one(spark, U.contrast_flag(F.lit(None).cast("string"), F.lit(text))) == [want]
+    assert one(spark, U.contrast_flag(F.lit("Iohexol"), F.lit(text)), U.contrast_flag(F.lit("N/A"), F.lit(""))) == [True, False]
+
+
+def test_markdown(spark):
+    md = "# A\r\n#### B\n#C\n  - x\n* y\n2) z\n___\n***\n\np **b** and *i* `c`\nq\n\u2022 w\n"
+    got = [(r.kind, r.lines) for r in U.markdown_blocks(spark.createDataFrame([(1, md)], "id int, t string"), "id", "t").orderBy("block").collect()]
+    assert got == [("h3", 1), ("h4", 1), ("p", 1), ("ul", 2), ("ol", 1), ("hr", 1), ("hr", 1), ("p", 2), ("ul", 1)]
+    spans = U.markdown_spans(spark.createDataFrame([(1, "p **b** and *i* `c` * no* **x *y* z** __s__")], "id int, t string"), "id", "t").orderBy("n").collect()
+    assert [(r.kind, r.content) for r in spans] == [("strong", "b"), ("em", "i"), ("code", "c"), ("strong", "x *y* z"), ("strong", "s")]
+
+
+def test_numbers_as_text(spark):
+    assert one(spark, M.fmt(F.lit(1234.5)), M.fmt(F.lit(0.1), 0), M.fmt(F.lit(3.10), 1), M.direction_label(F.lit(-1.0), F.lit(0.5), F.lit(0.0)), M.direction_label(F.lit(0.0), F.lit(0.0), F.lit(1.0))) == ["1.234,5", "0", "3,1", "R", "S"]
+
+
+def test_otsu_is_whole_and_air_shows_calibration(spark):
+    from operator import attrgetter
+
+    v = grid(spark, 8, "case when x < 2 then -1000 when x < 5 then 40 else 1201 end")
+    t = R.otsu(v).first().threshold
+    assert isinstance(t, int) and 40 <= t < 1201
+    cbct = spark.createDataFrame([(0, True)], "series int, cbct boolean")
+    assert [attrgetter("threshold")(R.suggest(v, c).first()) for c in (cbct, cbct.withColumn("cbct", F.lit(False)))] == [t, 200]
+
+
+def test_dental_slice_defaults(spark):
+    v = grid(spark, 12, "case when z = 3 and y > 2 then 1300 when z = 5 and y > 9 then 2600 else 0 end")
+    assert R.dental_slice(v).first().slice == 3  # 12 of every other voxel from 2500 are too few
+    assert R.dental_slice(v, least=10).first().slice == 5
+
+
+def sphere(spark, n, radius, step):
+    v = grid(spark, n, "0").where(f"z * {step} < {n}")
+    r = F.sqrt((F.col("x") - n / 2) ** 2 + (F.col("y") - n / 2) ** 2 + (F.col("z") * step - n / 2) ** 2)
+    return v.withColumn("hu", F.when(r <= radius, 1000).otherwise(-1000).cast("long"))
+
+
+def test_shape_interpolation_follows_a_sphere(spark):
+    v = sphere(spark, 32, 11, 4)
+    areas = {}
+    for method in ("shape", "linear"):
+        d = K.reconstruct(v, 0, 1.0, (1.0, 1.0, 4.0), method, small_parts=False)
+        areas[method] = [r.n for r in d.groupBy("z").agg(F.count_if(F.col("field") > 0).alias("n")).orderBy("z").collect()]
+    radius = np.sqrt(np.asarray(areas["shape"]) / np.pi)
+    want = np.sqrt(np.maximum(0, 121.0 - (np.arange(len(radius)) - 16.0) ** 2))
+    inner = want > 5
+    assert np.abs(radius - want)[inner].mean() < 0.6
+    steps = {m: np.abs(np.diff(np.sqrt(np.asarray(a) / np.pi)))[8:24].max() for m, a in areas.items()}
+    assert steps["shape"] < steps["linear"] * 0.75
+
+
+def test_small_parts_go_and_thin_walls_stay_near_bone(spark):
+    v = grid(spark, 20, "case when x < 8 and y < 8 and z < 8 then 1000 when x = 15 and y = 15 and z = 15 then 1000 when x = 8 and y < 8 and z < 8 then 130 when x = 17 and y < 3 then 130 else 40 end")
+    d = K.reconstruct(v, 200, 1.0, thin=True)
+    on = {(r.x, r.y, r.z) for r in d.where("field > 0").collect()}
+    assert (4, 4, 4) in on and (8, 4, 4) in on and (15, 15, 15) not in on and (17, 1, 4) not in on
+    assert d.where("x = 15 and y = 15 and z = 15").first().hu == 0
+    assert R.soft_level(v).first().level == 40
+    assert K.shrink_factor((100, 100, 10), (0.2, 0.2, 1.0), 1.0, 1e9) == 2 and K.shrink_factor((100, 100, 10), (1.0, 1.0, 1.0), 1.0, 3e4) == 2
+
+
+def test_signed_distance_of_pixels_that_are_not_square(spark):
+    rng = np.random.default_rng(0)
+    m = rng.random((9, 13)) < 0.3
+    v = spark.createDataFrame([(1, x, y, 0, int(m[y, x])) for y in range(9) for x in range(13)], "series int, x int, y int, z int, hu int")
+    got = {(r.x, r.y): r.d for r in C.signed_distance(v, 1, 40.0, (0.4, 1.3), -2.0).collect()}
+    for (x, y), d in got.items():
+        far = min(np.hypot((x - a) * 0.4, (y - b) * 1.3) for b in range(9) for a in range(13) if m[b, a] != m[y, x])
+        assert abs(d - (far - 0.2 if m[y, x] else 0.2 - far)) < 1e-4
+
+
+def series(spark, rows):
+    names = "study long, id long, description string, modality string, frames int, rows_ int, spacing double, thickness double, px0 double, px1 double, nx double, ny double, nz double, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double, frame_of_reference string, colour boolean"
+    box = (0.0, 200.0, 0.0, 200.0, 0.0, 150.0)
+    return spark.createDataFrame([(1, i, "s", m, n, 512, sp, None, 0.5, 0.5, *normal, *box, "F", False) for i, m, n, sp, normal in rows], names)
+
+
+def test_plan_of_coarse_series_fuses_and_a_fine_one_stands_alone(spark):
+    ax, cor = (0.0, 0.0, 1.0), (0.0, 1.0, 0.0)
+    coarse = [(1, "CT", 25, 5.6, ax), (2, "CT", 25, 5.5, cor), (3, "CT", 22, 6.0, ax), (4, "SR", 9, 1.0, ax)]
+    got = {r.id: (r.role, r.place) for r in L.plan(series(spark, coarse)).collect()}
+    assert got == {1: ("main", 1), 2: ("complementary", 2), 3: ("ignored", None), 4: ("ignored", None)}
+    s = series(spark, coarse)
+    e = L.effective(s, L.plan(s)).first()
+    assert e.strategy == "fusion" and (e.ex, e.ey, e.ez) == (0.5, 0.5, 0.5) and abs(e.gap - (5.6 * 5.5) ** 0.5 / 2**0.5) < 1e-9
+    fine = {r.id: r.role for r in L.plan(series(spark, [*coarse, (5, "CT", 280, 0.625, ax)])).collect()}
+    assert [i for i, r in fine.items() if r == "main"] == [5] and "complementary" not in fine.values()
+
+
+def test_files_to_reading(spark, tmp_path):
+    from .test_segment import image
+
+    for k in range(12):
+        (tmp_path / f"{k}.dcm").write_bytes(image(np.arange(6, dtype="<i2").reshape(2, 3) + k, k))
+    (tmp_path / "x.dcm").write_bytes(b"no")
+    slices, summary, best, skipped = verbs.parse(spark, str(tmp_path))
+    assert summary.first().images == 12 and best.count() == 1 and skipped.count() == 1
+    v = verbs.build(slices)
+    assert v.agg(F.max("z")).first()[0] == 11
