@@ -63,26 +63,27 @@ def _widen(on: np.ndarray, corners: bool) -> np.ndarray:
 
 
 def _pieces26(on: np.ndarray) -> list[np.ndarray]:
-    """Coordinates (z, y, x) of each component over faces, edges and corners."""
+    """Coordinates (z, y, x) of each component over faces, edges and corners, in order of their first voxel."""
+    none = on.size
+    lab = np.where(on, np.arange(none).reshape(on.shape), none)
+    while True:
+        new = lab
+        for axis in range(on.ndim):  # least of three along each axis in turn: least of the 26 around
+            a, b = [slice(None)] * on.ndim, [slice(None)] * on.ndim
+            a[axis], b[axis] = slice(1, None), slice(None, -1)
+            wide = new.copy()
+            wide[tuple(a)] = np.minimum(wide[tuple(a)], new[tuple(b)])
+            wide[tuple(b)] = np.minimum(wide[tuple(b)], new[tuple(a)])
+            new = wide
+        new = np.append(np.where(on, new, none).ravel(), none)
+        new = np.where(on, new[new[:-1]].reshape(on.shape), none)
+        if (new == lab).all():
+            break
+        lab = new
     where = np.argwhere(on)
-    place = {tuple(p): i for i, p in enumerate(where.tolist())}
-    parent = list(range(len(where)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    ahead = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dz, dy, dx) > (0, 0, 0)]
-    for (z, y, x), i in place.items():
-        for dz, dy, dx in ahead:
-            j = place.get((z + dz, y + dy, x + dx))
-            if j is not None:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    roots = np.asarray([root(i) for i in range(len(where))], int)
-    return [where[roots == r] for r in np.unique(roots)]
+    own = lab[tuple(where.T)]
+    order = np.argsort(own, kind="stable")
+    return np.split(where[order], np.flatnonzero(np.diff(own[order])) + 1) if len(where) else []
 
 
 def metal_objects(v: DataFrame, seed: float, low: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), least_mm3: float = 1.5) -> DataFrame:

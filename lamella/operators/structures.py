@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import settle
 from .components import label6
 from .reduce import percentile
 from .stencil import erode6, line
@@ -51,15 +52,44 @@ def label_voxels(v: DataFrame) -> DataFrame:
     return v.select(*PLACE).groupBy("series").applyInPandas(run, "series int, x int, y int, z int, component int")
 
 
-def grow(v: DataFrame, steps: int, on: str = "on", may: str = "may") -> DataFrame:
-    """0/1 column ``on`` grown over faces by ``steps`` into voxels where ``may`` is 1.  The grid is dense."""
-    for _ in range(steps):
-        reach = F.col(on)
-        for a in AXES:
-            w = line(a, AXES, "series")
-            reach = F.greatest(reach, F.coalesce(F.lag(on).over(w), F.lit(0)), F.coalesce(F.lead(on).over(w), F.lit(0)))
-        v = v.withColumn(on, F.when(F.col(may) == 1, reach).otherwise(F.col(on)))
-    return v
+SLAB = 64
+
+
+def grow(v: DataFrame, steps: int, on: str = "on", may: str = "may", slab: int = SLAB) -> DataFrame:
+    """0/1 column ``on`` grown over faces by ``steps`` into voxels where ``may`` is 1.
+
+    A task holds a slab of ``slab`` slices with ``steps`` more on either side, and of these only the voxels that may be reached or
+    grow; what is reached is joined back.
+    """
+    if steps < 1:
+        return v
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, shape = _box(pdf)
+        may_, on_ = np.zeros(shape, bool), np.zeros(shape, bool)
+        may_[at], on_[at] = pdf["may"].to_numpy() == 1, pdf["on"].to_numpy() == 1
+        had = on_.copy()
+        for _ in range(steps):
+            new = on_.copy()
+            for a, b in _ways():
+                new[a] |= on_[b]
+                new[b] |= on_[a]
+            new &= may_ | on_
+            if (new == on_).all():
+                break
+            on_ = new
+        low, s = pdf["z"].min(), pdf["slab"].iloc[0]
+        got = np.argwhere(on_ & ~had)
+        got = got[(got[:, 0] + low) // slab == s]
+        base = pdf[["z", "y", "x"]].min().to_numpy()
+        z, y, x = (got + base).T if len(got) else np.zeros((3, 0), int)
+        return pd.DataFrame({"series": np.full(len(got), pdf["series"].iloc[0]), "x": x, "y": y, "z": z})
+
+    part = v.where((F.col(on) == 1) | (F.col(may) == 1)).select(*PLACE, F.col(on).alias("on"), F.col(may).alias("may"))
+    slabs = F.sequence(F.floor((F.col("z") - steps) / slab), F.floor((F.col("z") + steps) / slab))
+    reached = part.withColumn("slab", F.explode(slabs)).groupBy("series", "slab").applyInPandas(run, "series int, x int, y int, z int")
+    d = v.join(reached.withColumn("__hit", F.lit(1)), PLACE, "left")
+    return d.withColumn(on, F.coalesce("__hit", F.col(on))).select(*v.columns)
 
 
 def _compete(may: np.ndarray, seed: np.ndarray, steps: int | None) -> np.ndarray:
@@ -177,11 +207,12 @@ def lower_jaw(v: DataFrame, tries: int = 3, bounds: dict | None = None, spacing:
     bite = v.where("label = 3").groupBy("series").agg(F.avg("z").alias("bite"))
     m, levels = v.select(*PLACE, (F.col("label") == 1).cast("int").alias("m")), []
     for k in range(1, tries + 1):
-        m = erode6(m)
+        m = settle(erode6(m))
         levels.append(label_voxels(m.where("m = 1")).withColumn("try", F.lit(k)))
     comp = levels[0]
     for other in levels[1:]:
         comp = comp.unionByName(other)
+    comp = settle(comp)
     s = comp.groupBy("series", "try", "component").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.avg("z").alias("z"), F.avg("y").alias("y"))
     s = s.withColumns({"total": F.sum("n").over(key), "rank": F.row_number().over(key.orderBy(F.desc("n"), "component"))})
     s = s.join(edge, "series").join(bite, "series", "left")

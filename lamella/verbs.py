@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import to_int16
+from .functions.shared import settle
 from .operators import assemble, findings, reconstruct, resample, rules, segment, structures
 from .sources import dicom
 
@@ -41,12 +42,12 @@ def recon(v: DataFrame, threshold: float, target: float, **options) -> DataFrame
 def label(v: DataFrame, threshold: float, contrast: bool = False, calibrated: bool = True, jaw: dict | None = None, **tooth) -> DataFrame:
     """``v`` with labels: skull 1, lower jaw 2, teeth 3, inner air 5, and with contrast vessels 6."""
     key = structures.PLACE
-    plain = v.withColumn("label", F.lit(0))
-    teeth = structures.teeth(plain, threshold, calibrated, **tooth).select(*key, F.lit(3).alias("t"))
-    d = v.join(teeth, key, "left").withColumn("label", F.coalesce("t", F.when(F.col("hu") >= threshold, 1).otherwise(0))).drop("t")
-    owner = structures.lower_jaw(d, bounds=jaw).select(*key, "owner")
+    v = settle(v)
+    teeth = settle(structures.teeth(v.withColumn("label", F.lit(0)), threshold, calibrated, **tooth)).select(*key, F.lit(3).alias("t"))
+    d = settle(v.join(teeth, key, "left").withColumn("label", F.coalesce("t", F.when(F.col("hu") >= threshold, 1).otherwise(0))).drop("t"))
+    owner = settle(structures.lower_jaw(d, bounds=jaw)).select(*key, "owner")
     d = d.join(owner, key, "left").withColumn("label", F.when(F.col("label") == 1, F.coalesce("owner", F.lit(1))).otherwise(F.col("label"))).drop("owner")
-    return segment.merge_labels(d, segment.airways(d), segment.vessels(d) if contrast else None)
+    return settle(segment.merge_labels(d, segment.airways(v), segment.vessels(v) if contrast else None))
 
 
 def analyze(labelled: DataFrame, **limits) -> DataFrame:

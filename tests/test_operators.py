@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from lamella.functions import scalar as M
 from lamella import verbs
+from lamella.operators import assess as Q
 from lamella.operators import components as C
+from lamella.operators import enhance as E
 from lamella.operators import planning as L
 from lamella.operators import reconstruct as K
 from lamella.operators import reduce as R
+from lamella.operators import report as W
 from lamella.operators import resample as Z
 from lamella.operators import rules as U
+from lamella.operators import segment as M2
 from lamella.operators import stencil as S
+from lamella.operators import views as V
 
 
 def one(spark, *cols):
@@ -199,3 +204,56 @@ def test_files_to_reading(spark, tmp_path):
     assert summary.first().images == 12 and best.count() == 1 and skipped.count() == 1
     v = verbs.build(slices)
     assert v.agg(F.max("z")).first()[0] == 11
+
+
+def head(spark, n=40):
+    """An upper block, a lower arch with teeth, loosely joined by a bridge; two air spaces within soft tissue."""
+    v = grid(spark, n, "0")
+    arch = "z between 6 and 11 and y between 6 and 34 and x between 6 and 33 and (x < 11 or x > 28 or y < 11)"
+    tooth = "z between 12 and 16 and y between 6 and 10 and x between 10 and 29"
+    air = "z between 26 and 30 and y between 16 and 24 and (x between 8 and 12 or x between 27 and 31)"
+    soft = "x between 3 and 36 and y between 3 and 36"
+    return v.withColumn("hu", F.expr(f"case when {tooth} then 2600 when {arch} then 900 when z between 20 and 36 and {soft} and not ({air}) and (x < 7 or x > 32 or y < 9 or z > 33) then 1000 when {air} then -950 when {soft} then 40 else -1000 end").cast("long"))
+
+
+def test_labels_regions_and_reading_of_a_head(spark):
+    v = head(spark)
+    jaw = {"least": 500.0, "most": 9000.0, "tall": 2.0, "height": 0.6, "lowest": 0.3}
+    d = verbs.label(v, 300, jaw=jaw, least=5).cache()
+    n = {r.label: r["count"] for r in d.groupBy("label").count().collect()}
+    assert n[3] >= 5 * 5 * 20 and n[5] == 2 * 5 * 9 * 5 and n.get(1, 0) > 0
+    dims = d.groupBy("series").agg(F.lit(40).alias("nx"), F.lit(40).alias("ny"), F.lit(40).alias("nz"))
+    rooms = sorted((r.volume, r.location) for r in M2.regions(d.where("label = 5"), dims, 150).collect())
+    assert rooms == [(225.0, "left side, upper third, middle"), (225.0, "right side, upper third, middle")]
+    assert {r.section for r in verbs.analyze(d).collect()} == {"coverage", "jaw", "parts", "teeth"}
+    hits = spark.createDataFrame([(0, 20, 8, 14, 20.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "series int, hx int, hy int, hz int, px double, py double, pz double, ax double, ay double, az double")
+    cut = verbs.split(d, hits, 10, plane=True)
+    assert 0 < cut.where("label = 10").count() < n[3] and cut.where("label = 10").agg(F.min("x")).first()[0] == 20
+
+
+def test_lookups_near_a_place(spark):
+    v = grid(spark, 9, "0").withColumn("label", F.expr("case when x = 7 and y = 4 and z = 4 then 2 when x = 1 and y = 4 and z = 4 then 3 when z = 0 then 1 else 0 end"))
+    p = spark.createDataFrame([(0, 1, 4, 4, 4), (0, 2, 6, 4, 4), (0, 3, 4, 8, 7)], "series int, id int, x int, y int, z int")
+    assert {r.id: (r.x, r.label) for r in V.near(p, v).collect()} == {1: (1, 3), 2: (7, 2)}  # as near: the one met first
+    assert {r.id: r.label for r in V.majority(p, v).collect()} == {1: 3, 2: 2}
+
+
+def test_structures_are_numbered_up_to_the_last(spark):
+    have = spark.createDataFrame([(1, 2, "jaw", "bone"), (1, 4, "metal", "metal")], "series int, id long, name string, base string")
+    new = spark.createDataFrame([(1, k, 4 if k % 2 else 2, f"n{k}") for k in range(4)], "series int, at int, of long, name string")
+    got = {r.id: (r.name, r.base) for r in W.register(have, new, last=12).collect()}
+    assert got == {2: ("jaw", "bone"), 4: ("metal", "metal"), 10: ("n0", "bone"), 11: ("n1", "metal"), 12: ("n2", "bone")}
+
+
+def test_fused_quality_keeps_other_warnings(spark):
+    e = spark.createDataFrame([(1, "fusion", 2, 0.5, 0.5, 0.5, 3.93), (2, "single", 1, 1.0, 1.0, 1.0, 1.0)], "study int, strategy string, n_used long, ex double, ey double, ez double, gap double")
+    w = spark.createDataFrame([(1, ["thick slices", "few slices", "lossy"])], "study int, warnings array<string>")
+    r = Q.fused(e, w).collect()
+    assert len(r) == 1 and (r[0].score, r[0].level) == (60, "moderate") and r[0].warnings[1:] == ["lossy"] and r[0].warnings[0].startswith("fused from 2")
+
+
+def test_equalisation_of_sides_that_tiles_do_not_divide(spark):
+    p = spark.createDataFrame([(1, x, y, 100.0 + 40 * x / 36) for x in range(37) for y in range(29)], "img int, x int, y int, v double")
+    got = E.clahe(p, 3.0, 4, 37, 29)
+    r = got.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    assert r[0] == 37 * 29 and r[1] >= 0 and r[2] <= 255.001 and r[2] - r[1] > 1.4 * 40

@@ -107,3 +107,12 @@ def test_restorations(spark):
     near = spark.createDataFrame([(1, 1, 3, 10)], "series int, object int, near long, voxels long")
     got = {r.object: (r.kind, r.location) for r in segment.describe(o, dims, near).collect()}
     assert got == {1: ("restoration", "midline, lower third, front"), 2: ("plate", "right side, upper third, back")}
+
+
+def test_growth_crosses_slabs(spark):
+    v = spark.range(2 * 3 * 40).select(F.lit(1).alias("series"), (F.col("id") % 2).cast("int").alias("x"), (F.floor(F.col("id") / 2) % 3).cast("int").alias("y"), F.floor(F.col("id") / 6).cast("int").alias("z"))
+    v = v.select("*", F.expr("int(z = 7 and x = 0 and y = 0)").alias("on"), F.expr("int(x = 0 and (y = 0 or z > 15))").alias("may"))
+    want = structures.grow(v, 12, slab=64).where("on = 1")
+    got = structures.grow(v, 12, slab=3).where("on = 1")
+    key = lambda d: sorted((r.x, r.y, r.z) for r in d.collect())
+    assert key(got) == key(want) == sorted([(0, 0, z) for z in range(0, 20)] + [(0, 1, z) for z in range(16, 19)] + [(0, 2, z) for z in range(16, 18)])
