@@ -6,6 +6,7 @@ from .byte_bpe import op7_byte_bpe
 from .fingerprints import op1_document_fingerprints
 from .id_store import op4_perfect_hash_ids
 from .ngram_join import op5_ngram_jaccard_join
+from .oracle import ORACLE
 from .packing import op8_best_fit_packing
 from .pii import op6_pii
 from .quality import op3_robust_outliers
@@ -34,6 +35,4 @@ QUERIES = {
     "pipeline": _pipeline,
 }
 
-#: No operator here is expressible in SQL as a whole (automata, vocabularies, iterated estimates, files, trees, native
-#: scoring of regular expressions with positions); all are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_small, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: most labelled URLs that the trees are fitted on
@@ -84,10 +84,7 @@ def prepare(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
 def fit(prepared: DataFrame, sample: int = SAMPLE, rounds: int = 15, depth: int = 4):
     """(model, statistics of suffixes and segments) from the labelled rows, or (None, None) where they hold one verdict only."""
     labelled = prepared.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    stats = tuple(
-        materialize(labelled.groupBy(c).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"f_{c}"), F.log1p(F.count("*").cast("double")).alias(f"f_{c}_seen")), f"url-{c}")
-        for c in ("suffix", "segment")
-    )
+    stats = tuple(materialize(labelled.groupBy(c).agg(F.sum("label").alias(f"{c}_blocked"), F.count("*").cast("double").alias(f"{c}_n")), f"url-{c}") for c in ("suffix", "segment"))
     train = labelled.orderBy(F.xxhash64("url"), "url", "id").limit(sample)
     train = materialize(with_stats(train, stats), "url-sample")
     if train.select("label").distinct().count() < 2:
@@ -98,9 +95,16 @@ def fit(prepared: DataFrame, sample: int = SAMPLE, rounds: int = 15, depth: int
 
 
 def with_stats(prepared: DataFrame, stats: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Suffix and segment statistics joined on; what has no labelled URLs has even odds and none seen."""
+    """Suffix and segment statistics joined on; a labelled URL's own label is left out of its own, so that they tell nothing of it.
+
+    What has no other labelled URLs has even odds and none seen.
+    """
+    own = F.col("ruled").isNotNull().cast("double")
     for c, table in zip(("suffix", "segment"), stats, strict=True):
-        prepared = prepared.join(table, c, "left").fillna({f"f_{c}": 0.5, f"f_{c}_seen": 0.0})
+        d = join_small(prepared, table, c, "left")
+        n = F.coalesce(f"{c}_n", F.lit(0.0)) - own
+        blocked = F.coalesce(f"{c}_blocked", F.lit(0.0)) - own * (F.coalesce("ruled", F.lit("")) == "block").cast("double")
+        prepared = d.withColumns({f"f_{c}": (blocked + 1) / (n + 2), f"f_{c}_seen": F.log1p(n)}).drop(f"{c}_n", f"{c}_blocked")
     return prepared
 
 

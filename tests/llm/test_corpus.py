@@ -519,6 +519,63 @@ def test_fingerprints(docs, held, empty):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def sketch(text, lexicon, families=10):
+    """The parts of a fingerprint by the xxhash library."""
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    of_long = lambda v, seed: xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+
+    def of_list(xs):
+        h = 42
+        for x in xs:
+            h = of_long(x, h)
+        return f"{h:016x}"
+
+    terms = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re_words(text.lower())}
+    base = sorted(terms & lexicon) or sorted(terms)
+    out = [of_list(base)]
+    for f in range(1, families + 1):
+        ranks = [xxhash.xxh64_intdigest(f.to_bytes(4, "little"), of_long(t, 42)) >> 2 for t in base]
+        out.append(of_list(sorted(r for r in ranks if r < 1 << min(ranks).bit_length()) if ranks else []))
+    return out
+
+
+def re_words(text):
+    import re
+
+    return [w for w in re.split("[\t-\r ]+", text) if w]
+
+
+def test_fingerprints_against_the_hash_library(spark, docs, held):
+    import xxhash
+
+    n, df = len(held), {}
+    for t in held.values():
+        for w in set(re_words(t.lower())):
+            df[w] = df.get(w, 0) + 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    lexicon = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w, k in df.items() if max(2, 0.0005 * n) <= k <= max(2, 0.1 * n)}
+    got = {r.doc_id: r.fingerprint for r in fingerprints.imatch(docs).collect()}
+    assert len(lexicon) > 50
+    assert {i: f[0] for i, f in got.items() if held[i].strip()} == {i: sketch(t, lexicon)[0] for i, t in held.items() if t.strip()}
+    assert {i: f for i, f in got.items() if held[i].strip()} == {i: sketch(t, lexicon) for i, t in held.items() if t.strip()}
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") < 3, None).otherwise(F.col("doc_id")))
+    assert fingerprints.imatch(odd).count() == n - 3
+
+
+def test_likeness_finds_small_edits_and_leaves_others(spark):
+    """Of texts with one word in fifty replaced 9 in 10 at least have a likeness of 0.5 or more, of other texts none."""
+    rng = random.Random(2)
+    vocab = [f"t{k}" for k in range(3000)]
+    texts_ = [rng.choices(vocab, k=200) for _ in range(300)]
+    edits = [[f"new{rng.randrange(10**6)}" if k % 50 == 25 else w for k, w in enumerate(t)] for t in texts_]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts_)] + [(1000 + i, " ".join(t)) for i, t in enumerate(edits)]
+    f = fingerprints.imatch(spark.createDataFrame(rows, "doc_id long, text string"), low=0.002, high=0.3).cache()
+    pair = lambda shift: f.select("doc_id", F.col("fingerprint").alias("a")).join(f.select((F.col("doc_id") - 1000 - shift).alias("doc_id"), F.col("fingerprint").alias("b")), "doc_id").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("l"))
+    assert pair(0).where("l >= 0.5").count() >= 0.9 * 300 and pair(1).where("l >= 0.5").count() == 0
+
+
 CASES = [
     ("a@b.c%d@e.f x@y", "email:0:5,email:5:11"), ("é 4111-1111-1111-1111", "card:2:21"), ("999.1.1.1 1.2.3.4.5.6.7.8", "ip:10:17,ip:18:25"), ("+1 (555) 123-4567", "phone:0:17"), ("4111111111111112", ""), (None, ""),
     ("1" * 20000, ""), ("a@b" + ".c" * 20000, "email:0:40003"), ("IBAN GB82 WEST 1234 5698 7654 32", "iban:5:32"), ("IBAN GB83 WEST 1234 5698 7654 32", ""), ("123-45-6789", ""), ("ssn 123-45-6789", "ssn:4:15"),
@@ -533,6 +590,35 @@ def test_pii(spark):
     assert clean[1] == ("é [CARD]", "mine") and clean[5] == (None, "mine") and clean[4][0] == CASES[4][0]
 
 
+def base_spans(text):
+    """The contract's four kinds by Python's own engine, with their checks."""
+    import re
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    }
+    out = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, (pattern, ok)) in enumerate(kinds.items()) for m in re.finditer(pattern, text) if ok(m.group())]
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_base_spans_against_pythons_engine(spark, sf):
+    rng = random.Random(1)
+    made = ["".join(rng.choice("0123456789 .-+()@ab\u00e9") for _ in range(60)) for _ in range(300)]
+    d = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(made + [t for t, _ in CASES[:6]] + [None, ""])], "doc_id long, text string"))
+    base = F.filter("pii", lambda s: s["order"] < len(pii.BASE))
+    got = pii.find_pii(d).select("text", pii._listed(base).alias("spans")).collect()
+    wrong = [(r.text, r.spans) for r in got if r.spans != base_spans(r.text or "")]
+    assert not wrong and sum(bool(r.spans) for r in got) > 50
+    twice = d.where("doc_id < 3").unionByName(d.where("doc_id < 3"))
+    assert pii.redact_pii(twice).count() == 2 * d.where("doc_id < 3").count() and pii.redact_pii(d.where("false")).count() == 0
+
+
 IBANS = [
     ("pay DE89 3704 0044 0532 0130 00 The bank", "iban:4:31"), ("DE89370400440532013000 BIC COBADEFF.", "iban:0:22"), ("DE89370400440532013000 12 units", "iban:0:22"), ("DE89370400440532013000 X", "iban:0:22"),
     ("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 AND", "iban:0:22,iban:23:50"), ("AB12 DE89 3704 0044 0532 0130 00", "iban:5:32"), ("DE89 3704 0044 0532 0130 00x", ""), ("DE89370400440532013001 BIC", ""), ("XDE89370400440532013000", ""),
@@ -555,6 +641,35 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(d.where("page_id >= 303")).collect()} == {"allow"}
 
 
+def test_urls_against_rules_tried_one_by_one(spark, sf):
+    rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    odd = [None, "", "://", "http://", "HTTP://WWW.EXAMPLE.COM/EN/", "x://a.net/fr/#y", "//a.net/es/", "http://b.net?x=/es/", "http://notcom/", "http://com", "http://com/", "http://É.example.com/en/a", "a://b://c.net/fr/"]
+    rows = pages.unionByName(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(odd)] + [(None, "http://a.com/"), (7, "http://a.com/"), (7, "http://a.com/")], "page_id long, url string"))
+    want = []
+    for r in rows.collect():
+        head, cut, rest = (r.url or "").partition("://")
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]) if cut else ""
+        tail = rest[end:] if cut else ""
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
+        fits = [(len(rule), rule, v) for v, rule in rules if (host == rule.partition("/")[0] or host.endswith("." + rule.partition("/")[0])) and path.startswith("/" + rule.partition("/")[2])]
+        best = max(fits, default=(0, None, None))
+        want.append((r.page_id, host, path, best[1], best[2]))
+    got = urls.judge_urls(rows).collect()
+    ruled = {v for *_, v in want if v}
+    assert ruled == {"allow", "block"} and {r.verdict for r in got} <= ruled
+    assert sorted(map(repr, ((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got))) == sorted(map(repr, want))
+    assert urls.judge_urls(rows.where("false")).count() == 0
+
+
+def test_statistics_leave_a_rows_own_label_out(spark):
+    d = spark.createDataFrame([(1, "net", "es", "block"), (2, "net", "es", "block"), (3, "net", "de", None), (4, "org", "es", "allow")], "id int, suffix string, segment string, ruled string")
+    stats = [spark.createDataFrame(rows, f"{c} string, {c}_blocked double, {c}_n double") for c, rows in (("suffix", [("net", 2.0, 2.0), ("org", 0.0, 1.0)]), ("segment", [("es", 2.0, 3.0)]))]
+    got = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6)) for r in urls.with_stats(d, stats).collect()}
+    assert got == {1: (round(2 / 3, 6), 0.5), 2: (round(2 / 3, 6), 0.5), 3: (0.75, 0.5), 4: (0.5, 0.75)}
+
+
 def test_trees_on_held_out_urls(spark, sf):
     p = urls.prepare(spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/pages.parquet"), "page_id", "url", urls.RULES)
     model, stats = urls.fit(p.where("id % 2 = 0"))
@@ -582,6 +697,20 @@ def test_warc(spark, compress):
     assert warc.read_archives(folder, manifest, compress).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_registered_against_sql(spark, sf, name):
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(sf):
+        c.sql(f"create view {f[:-8]} as select * from '{sf}/{f}'")
+    got = queries.QUERIES[name](spark, sf).collect()
+    want = c.sql(queries.ORACLE[name])
+    assert sorted(map(repr, (tuple(r[k] for k in want.columns) for r in got))) == sorted(map(repr, want.fetchall())) and set(got[0].asDict()) == set(want.columns)
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "pipeline"])
 def test_registered(spark, sf, name):
     n = spark.read.parquet(f"{sf}/{'pages' if name.startswith(('op9_', 'op10_')) else 'documents'}.parquet").count()
@@ -589,17 +718,70 @@ def test_registered(spark, sf, name):
     assert got >= n if name.startswith("op8_") else got == n
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline as C
+def near_kept(held):
+    """Of each class of near duplicates by full sets the least id."""
+    sets = {i: shingles(t or "") for i, t in held.items()}
+    group, full = {i: i for i in sets}, [i for i in sets if sets[i]]
+    pairs = [(i, j) for k, i in enumerate(full) for j in full[:k] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while True:
+        was = dict(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == was:
+            return {i for i in sets if group[i] == i}
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+def masked(text, spans):
+    """The text with overlapping spans (kind, start, end) as one tag."""
+    out, at = [], 0
+    for kind, a, b in spans:
+        if a >= at:
+            out.append(text[at:a] + f"[{kind.upper()}]")
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def pipeline_oracle(spark, docs):
+    """(id, piece) to (length, crc): stage after stage in Python; verdicts and spans come from operators that tests above hold to brute force."""
     good = {r.doc_id for r in quality.quality(docs).where("kept").select("doc_id").collect()}
     held = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
-    near = {r.doc_id for r in ngram_join.near_duplicates(docs.where(F.col("doc_id").isin(list(good)))).where("doc_id = class_id").collect()}
-    cut = removal({i: held[i] for i in near}, 50)
+    near = near_kept(held)
+    cut = removal({i: held[i] or "" for i in near}, 50)
     left = {i: k.decode() if g else held[i] for i, (_, g, k) in cut.items()}
-    clean = pii.redact_pii(spark.createDataFrame(list(left.items()), "doc_id long, text string"))
-    tok = plain("word_bpe_49k.json")
-    want = {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect()}
-    got = {r.doc_id: r.n for r in C.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    d = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.find_pii(d).collect()}
+    tok, want = plain("word_bpe_49k.json"), {}
+    for i, t in left.items():
+        ids = np.asarray(tok.encode(masked(t or "", spans[i]), add_special_tokens=False).ids + [0], "<u4")
+        want |= {(i, k): (len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    return want
+
+
+def through_stages(spark, docs, sf):
+    import corpus_pipeline as C
+
+    for name, stage in C.STAGES:
+        names = docs.columns
+        docs = common.materialize(stage(spark, docs, sf), f"test-{name}")
+        if name != "best_fit_packing":
+            assert docs.columns == names
+    return docs
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as C
+
+    want = pipeline_oracle(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in C.run(spark, sf).collect()}
     assert got == want
+
+
+def test_pipeline_of_awkward_tables(spark, docs, sf):
+    rows = docs.where("doc_id < 70").select("doc_id", "text", "lang", "source", "n_chars", "shard")
+    odd = spark.createDataFrame([(None, "w " * 3, None, None, None, 1), (5000, " ".join(f"q{k}" for k in range(90)), None, "", 3, 2)], rows.schema)
+    table = rows.unionByName(odd).withColumn("pii", F.lit("x")).withColumn("node", F.lit(1)).withColumn("length", F.lit(2.5))
+    got = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in through_stages(spark, table, sf).collect()}
+    assert got == pipeline_oracle(spark, table.where("doc_id is not null").select("doc_id", "text", "lang", "source")) and (5000, 0) in got
+    twice = through_stages(spark, table.unionByName(table), sf)
+    assert {r.doc_id for r in twice.collect()} == {i for i, _ in got}
+    assert through_stages(spark, table.where("false"), sf).count() == 0
