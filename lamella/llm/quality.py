@@ -48,6 +48,8 @@ U64 = np.uint64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STEP = 32  # distance steps per doubling
+#: fall of the logarithm of the determinant below which it counts as none
+TOL = 1e-3
 X, M = ([f"{c}{i}" for i in range(P)] for c in "xm")
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 V = [f"v{i}{j}" for i, j in PAIRS]
@@ -184,7 +186,7 @@ _NAMES = [f.split()[0] for f in _STATE.split(", ")]
 _ADDED = [f"a{i}" for i in range(P)]
 
 
-def _fit(factors: tuple[float, ...], last: bool):
+def _fit(factors: tuple[float, ...], last: bool, least: float):
     """Sums of each group and start, beside what they were picked by, to the next estimate: ``done`` where the determinant falls no
     more and the old one stays.  ``factors``: for consistency, by the number of features that show a spread."""
 
@@ -194,7 +196,7 @@ def _fit(factors: tuple[float, ...], last: bool):
             for r in pdf.to_dict("records"):
                 added = np.asarray([r[a] for a in _ADDED])
                 m, inv, det = estimate(float(r["n"]), np.asarray([r[f"s{i}"] for i in range(P)]), square([r[f"q{i}{j}"] for i, j in PAIRS]), added, factors[r["df"]])
-                if det < r["det"] - 1e-4:
+                if det < r["det"] - least:
                     r |= dict(zip(M, m, strict=True)) | dict(zip(V, upper(inv), strict=True)) | {"det": det, "done": last}
                 else:
                     r["done"] = True
@@ -275,7 +277,7 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 100, floor: tuple[float,
         by_step = scored.groupBy("g", "s", "step").agg(*_sums())
         by_step = by_step.withColumns({"before": F.sum("n").over(w.orderBy("step")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("before") < F.ceil(F.col("all") * h))
         sums = by_step.groupBy("g", "s").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS))))
-        now = materialize(sums.join(now, ["g", "s"]).mapInPandas(_fit(factors, k + 1 == steps), _STATE), "mcd-step")
+        now = materialize(sums.join(now, ["g", "s"]).mapInPandas(_fit(factors, k + 1 == steps, TOL), _STATE), "mcd-step")
         found.append(now.where("done"))
         now = now.where("not done")
         if now.isEmpty():
