@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .bottomk import op12_bottomk_near_duplicates
 from .byte_bpe import op7_byte_bpe
+from .centroids import op13_centroid_clustering
+from .collocations import op11_collocations
 from .fingerprints import op1_document_fingerprints
 from .id_store import op4_perfect_hash_ids
 from .ngram_join import op5_ngram_jaccard_join
@@ -32,6 +35,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_warc_archives": op10_warc_archives,
+    "op11_collocations": op11_collocations,
+    "op12_bottomk_near_duplicates": op12_bottomk_near_duplicates,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": _pipeline,
 }
 
