@@ -45,7 +45,7 @@ def fusion_grid(lo: list[Column], hi: list[Column], in_plane: Column, budget: fl
         n = sizes(start * F.pow(F.lit(1.1), k))
         return n[0].cast("double") * n[1] * n[2] <= budget
 
-    turns = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(200)), fits))
+    turns = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.lit(200)), fits)), F.when(start.isNotNull() & extent[0].isNotNull() & extent[1].isNotNull() & extent[2].isNotNull(), F.raise_error(F.lit("no grid within the budget")).cast("int")))
     s = start * F.pow(F.lit(1.1), turns)
     return {"s": s} | {f"n{c}": n for c, n in zip("xyz", sizes(s), strict=True)}
 

@@ -301,14 +301,15 @@ FROM (SELECT series // 2 AS study, x, y, z FROM v WHERE series % 2 = 0) g JOIN m
 q AS (SELECT * REPLACE (greatest(0.0::DOUBLE, least(w, nz - 1.0::DOUBLE)) AS w) FROM p WHERE w <= nz - 0.5::DOUBLE),
 r AS (SELECT *, 0.02::DOUBLE + exp(-pow(abs(w - floor(w + 0.5::DOUBLE)) * CASE WHEN series % 2 = 0 THEN 1 ELSE 1.25::DOUBLE END / 1.5::DOUBLE, 2)) AS k FROM q),
 c AS (SELECT r.*, a, b, e, k * abs(1 - a - (u - floor(u))) * abs(1 - b - (w1 - floor(w1))) * abs(1 - e - (w - floor(w))) AS f FROM r, range(2) t1(a), range(2) t2(b), range(2) t3(e))
-SELECT study, c.x, c.y, c.z, round(sum(f * hu) / sum(f), 4) AS value FROM c JOIN v ON v.series = c.series AND v.x = floor(u) + a AND v.y = floor(w1) + b AND v.z = floor(w) + e WHERE f > 0 GROUP BY ALL""")
+SELECT study, c.x, c.y, c.z, greatest(-32768, least(32767, floor(round(sum(f * hu) / sum(f), 9) + 0.5::DOUBLE)))::SMALLINT AS value FROM c JOIN v ON v.series = c.series AND v.x = floor(u) + a AND v.y = floor(w1) + b AND v.z = floor(w) + e WHERE f > 0 GROUP BY ALL""")
 def fuse_stacks(spark, d):
     v = A.voxels(spark, d).withColumn("study", F.floor(F.col("series") / 2).cast("int"))
     even, same, turned = F.col("series") % 2 == 0, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0], [0, 0.75, 0, 0.5, 0.75, 0, 0, 0.25, 0, 0, 0.8, 0.3]
     maps = v.groupBy("study", "series").agg(F.lit(8).alias("nx"), F.lit(8).alias("ny"), (F.max("z") + 1).alias("nz"))
     numbers = [F.array(*(F.lit(float(n)) for n in m)) for m in (same, turned)]
     maps = maps.withColumns({"sz": F.when(even, 1.0).otherwise(1.25), "sigma": F.lit(1.5), "m": F.when(even, numbers[0]).otherwise(numbers[1])})
-    return G.fuse(v.where(even).select("study", "x", "y", "z"), maps, v.drop("study")).withColumn("value", F.round("value", 4))
+    grids = v.where(even).groupBy("study").agg(F.lit(8).alias("gx"), F.lit(8).alias("gy"), (F.max("z") + 1).cast("int").alias("gz"))
+    return G.fuse(grids, maps, v.drop("study"))
 
 
 _TETS = ", ".join(f"({n}, {k})" for n, t in enumerate(T.TETRAHEDRA) for k in t)

@@ -178,6 +178,20 @@ def metal_surface_field(spark, d):
     return M.metal_field(A.voxels(spark, d).withColumn("metal", F.col("hu") >= 1300), 1100.0).select("series", "x", "y", "z", "field")
 
 
+_SOUP = ORACLE["surface_area"].split("c AS (", 1)[1].split("SELECT series, count(*) AS triangles", 1)[0]
+_SOUP = "c AS (" + _SOUP.replace("(hu - 200)::DOUBLE AS f FROM v", "f FROM vl")
+
+
+@query(f"""{LAB}, l AS (SELECT series, x, y, z, layer, CASE WHEN label = layer THEN greatest(0.01::DOUBLE, (hu - 300)::DOUBLE) ELSE -0.01::DOUBLE - abs(hu - 300) * 0.05::DOUBLE END AS f FROM lab, range(1, 4) t(layer)), vl AS (SELECT series * 8 + layer AS series, x, y, z, f FROM l), {_SOUP},
+ve AS (SELECT a.series, count(*) AS vertices FROM vl a, range(1, 8) t(k) JOIN vl b ON b.series = a.series AND b.x = a.x + k % 2 AND b.y = a.y + k // 2 % 2 AND b.z = a.z + k // 4 WHERE (a.f > 0) <> (b.f > 0) GROUP BY a.series)
+SELECT CAST(n.series // 8 AS INT) AS series, CAST(n.series % 8 AS INT) AS layer, any_value(vertices) AS vertices, count(*) AS triangles, round(sum(sqrt(pow(b * f - c * e, 2) + pow(c * d - a * f, 2) + pow(a * e - b * d, 2)) / 2), 3) AS area FROM n JOIN ve USING (series) GROUP BY n.series""")
+def layer_meshes(spark, d):
+    from ..operators import surface as T
+
+    tri, vert = T.layer_meshes(_labelled(spark, d).withColumn("field", F.col("hu") - 300), steps=0, fine=())
+    return T.measures(tri, vert).select("series", "layer", "vertices", "triangles", F.round("area", 3).alias("area"))
+
+
 _CUBE = "c AS (SELECT series, id, CAST(floor(px + 0.5::DOUBLE) AS INT) + a AS x, CAST(floor(py + 0.5::DOUBLE) AS INT) + b AS y, CAST(floor(pz + 0.5::DOUBLE) AS INT) + e AS z, a * a + b * b + e * e AS dd FROM pt, range(-3, 4) t1(a), range(-3, 4) t2(b), range(-3, 4) t3(e))"
 
 

@@ -6,6 +6,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,9 +90,157 @@ def test_metal_kinds(spark):
 
 
 def test_fusion_uncovered(spark):
-    grid = spark.createDataFrame([(1, 0, 0, z) for z in range(4)], "study int, x int, y int, z int")
+    grid = spark.createDataFrame([(1, 1, 1, 4)], "study int, gx int, gy int, gz int")
     vox = spark.createDataFrame([(7, 0, 0, 0, 10), (7, 0, 0, 1, 20)], "series int, x int, y int, z int, hu int")
     maps = spark.createDataFrame([(1, 7, 1, 1, 2, 1.0, 1.5, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.0])], "study int, series int, nx int, ny int, nz int, sz double, sigma double, m array<double>")
     got = {r.z: r.value for r in fusion.fuse(grid, maps, vox).collect()}
     assert got == {0: 10, 1: 15, 2: 20, 3: 20}
     assert fusion.fuse(grid, maps.limit(0), vox).agg(F.max("value")).first()[0] == -1024
+
+
+def naive_filter(x, faces, steps):
+    """The smoothing polynomial with neighbours looked up vertex by vertex."""
+    near, used = {}, {}
+    for f in faces:
+        for a, b in ((0, 1), (1, 2), (2, 0)):
+            i, j = f[a], f[b]
+            near.setdefault(i, set()).add(j), near.setdefault(j, set()).add(i)
+            used[min(i, j), max(i, j)] = used.get((min(i, j), max(i, j)), 0) + 1
+    fixed = {i for e, n in used.items() if n == 1 for i in e}
+    rough = lambda y: {i: np.zeros(3) if i in fixed else y[i] - sum(y[j] for j in near[i]) / len(near[i]) for i in y}
+    c = surface.filter_weights(steps)
+    before = dict(x)
+    d = rough(before)
+    now = {i: before[i] - d[i] / 2 for i in x}
+    out = {i: c[0] * before[i] + c[1] * now[i] for i in x}
+    for k in range(2, steps + 1):
+        d = rough(now)
+        before, now = now, {i: 2 * now[i] - before[i] - d[i] for i in x}
+        out = {i: out[i] + c[k] * now[i] for i in x}
+    return {i: x[i] if i in fixed else out[i] for i in x}
+
+
+def test_meshes_share_vertices_and_are_closed(spark):
+    v = ball(spark, 24, 8).withColumn("field", F.col("hu") / 100)
+    tri = surface.cut(v, side=7).cache()
+    raw = surface.measures(tri, surface.vertices(tri, 0)).first()
+    assert raw.vertices - raw.edges + raw.triangles == 2 and 3 * raw.triangles == 2 * raw.edges
+    vert = surface.vertices(tri)
+    fine = surface.measures(tri, vert).first()
+    want = 4 / 3 * math.pi * 512
+    assert fine.volume == pytest.approx(want, rel=0.01) and fine.area == pytest.approx(4 * math.pi * 64, rel=0.01)
+    at = surface.to_patient(vert, (1.0, 1.0, 1.0)).toPandas()
+    out = (at[["x", "y", "z"]].to_numpy() - 11.5) / 8
+    assert ((out * at[["nx", "ny", "nz"]].to_numpy()).sum(1) > 0.97).all()
+
+
+def test_smoothing_by_bricks_is_that_of_the_whole(spark):
+    """Bricks of few places give the same vertices as one mesh does, open borders and touching layers included."""
+    grid = spark.range(14 * 12 * 10).select(F.lit(3).alias("series"), (F.col("id") % 14).cast("int").alias("x"), (F.floor(F.col("id") / 14) % 12).cast("int").alias("y"), F.floor(F.col("id") / 168).cast("int").alias("z"))
+    v = grid.withColumn("field", F.sin(F.col("x") * 1.1) + F.cos(F.col("y") * 0.9) + F.sin(F.col("z") * 0.7 + F.col("x")))
+    v = v.withColumn("label", F.when(F.col("field") > 0.3, F.when(F.col("x") < 7, 1).otherwise(2)).otherwise(0)).cache()
+    tri = surface.cut(v, "field", "label", side=5).cache()
+    rows = tri.collect()
+    for layer in (1, 2):
+        own = [r for r in rows if r.layer == layer]
+        spots = {k: np.array(r.p[3 * i : 3 * i + 3]) for r in own for i, k in enumerate((r.a, r.b, r.c))}
+        want = naive_filter(spots, [(r.a, r.b, r.c) for r in own], 4)
+        for side in (4, 64):
+            got = {r.vid: (r.x, r.y, r.z) for r in surface.vertices(tri, 4, side=side).where(F.col("layer") == layer).collect()}
+            assert set(got) == set(want) and max(np.abs(np.array(got[k]) - want[k]).max() for k in got) < 1e-9
+    # a mesh is wound alike throughout: each edge is used once each way, or lies on the border
+    way = {}
+    for r in rows:
+        for e in ((r.a, r.b), (r.b, r.c), (r.c, r.a)):
+            way[r.layer, *e] = way.get((r.layer, *e), 0) + 1
+    assert set(way.values()) == {1}
+    assert {r.layer for r in rows} == {1, 2} and surface.cut(v.where("false"), "field", "label").count() == 0
+
+
+def test_mesh_in_the_patients_coordinates(spark):
+    v = ball(spark, 12, 4).withColumn("field", F.col("hu"))
+    c, s = math.cos(0.5), math.sin(0.5)
+    tri, vert = surface.layer_meshes(v.withColumn("label", (F.col("hu") > 0).cast("int") * 9), steps=0, spacing=(1.0, 1.0, 2.0), origin=(5.0, -3.0, 1.0), direction=(c, s, 0.0, -s, c, 0.0, 0.0, 0.0, 1.0))
+    p = vert.toPandas()
+    turned = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]])
+    index = (p[["x", "y", "z"]].to_numpy() - [5, -3, 1]) @ turned / [1, 1, 2]
+    assert np.linalg.norm(index - 5.5, axis=1) == pytest.approx(4.6, abs=0.6)  # the field is steeper inside
+    assert np.linalg.norm(p[["nx", "ny", "nz"]].to_numpy(), axis=1) == pytest.approx(1)
+    index = surface.vertices(surface.cut(v.withColumn("label", (F.col("hu") > 0).cast("int") * 9), "field", "label"), 0)
+    assert surface.measures(tri, vert).first().volume == pytest.approx(2 * surface.measures(tri, index).first().volume)
+    assert vert.select("layer").distinct().first()[0] == 9
+
+
+def test_fusion_by_bricks_against_place_by_place(spark):
+    """Three turned stacks on a grid of several bricks, against a plain loop."""
+    rng = np.random.default_rng(8)
+    shapes = {1: (21, 18, 6), 2: (9, 20, 19), 3: (5, 5, 5)}
+    data = {s: rng.integers(-900, 900, n[::-1]) for s, n in shapes.items()}
+    vox = spark.createDataFrame([(s, x, y, z, int(a[z, y, x])) for s, a in data.items() for z, y, x in np.ndindex(a.shape)], "series int, x int, y int, z int, hu int")
+    m = {1: [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0.3, 0], 2: [0, 0, 0.5, -1.0, 0.1, 1, 0, -0.5, 0.9, -0.1, 0, 0.2], 3: [0.3, 0, 0, -3.2, 0, 0.3, 0, -2, 0, 0, 0.3, -1]}
+    maps = spark.createDataFrame([(0, s, *shapes[s], 2.5, 1.2, [float(k) for k in m[s]]) for s in m], "study int, series int, nx int, ny int, nz int, sz double, sigma double, m array<double>")
+    grid = spark.createDataFrame([(0, 20, 19, 18)], "study int, gx int, gy int, gz int")
+    want = {}
+    for x, y, z in np.ndindex(20, 19, 18):
+        top = low = 0.0
+        for s, a in data.items():
+            u, v, w = (m[s][4 * r] * x + m[s][4 * r + 1] * y + m[s][4 * r + 2] * z + m[s][4 * r + 3] for r in range(3))
+            nx, ny, nz = shapes[s]
+            if u < 0 or v < 0 or w < -0.5 or u > nx - 1 or v > ny - 1 or w > nz - 0.5:
+                continue
+            w = min(nz - 1, max(0, w))
+            f = [int(np.floor(c)) for c in (u, v, w)]
+            value = 0
+            for e in np.ndindex(2, 2, 2):
+                share = np.prod([(c - i) if d else 1 - (c - i) for c, i, d in zip((u, v, w), f, e, strict=True)])
+                if share > 0:
+                    value += share * a[f[2] + e[2], f[1] + e[1], f[0] + e[0]]
+            weight = 0.02 + math.exp(-((abs(w - math.floor(w + 0.5)) * 2.5 / 1.2) ** 2))
+            top, low = top + weight * value, low + weight
+        want[x, y, z] = math.floor(round(top / low, 9) + 0.5) if low else -1024
+    for side in (5, 16):
+        got = {(r.x, r.y, r.z): r.value for r in fusion.fuse(grid, maps, vox, side).collect()}
+        assert got == want
+    assert -1024 in want.values()
+
+
+def shell(p):
+    """A hollow ball, an oblique plate and a rod, as one would scan them: 1000 inside, -1000 elsewhere."""
+    x, y, z = p
+    r = np.sqrt(x * x + y * y + z * z)
+    plate = (np.abs(x * 0.5 + y * 0.3 + z * 0.81 - 2) < 0.9) & (r < 14)
+    rod = (np.hypot(x - 3, y + 4) < 1.5) & (np.abs(z) < 18)
+    return np.where((np.abs(r - 15) < 1.2) | plate | rod, 1000, -1000)
+
+
+def test_fused_study_is_nearer_to_the_truth_than_its_main_series(spark):
+    """Axial, coronal and sagittal stacks with gaps of 4 mm of one object."""
+    n, gap, half = 41, 4.0, 20.0
+    turn = {1: np.eye(3), 2: np.array([[1.0, 0, 0], [0, 0, 1.0], [0, 1.0, 0]]), 3: np.array([[0, 1.0, 0], [0, 0, 1.0], [1.0, 0, 0]])}
+    rows, geo = [], []
+    for s, axes in turn.items():
+        count = int(2 * half / gap) + 1
+        k, j, i = np.meshgrid(np.arange(count), np.arange(n), np.arange(n), indexing="ij")
+        origin = -half * axes.sum(0)
+        p = origin[:, None, None, None] + sum(axes[a][:, None, None, None] * c * mm for a, (c, mm) in enumerate(((i, 1.0), (j, 1.0), (k, gap))))
+        rows.append(pd.DataFrame({"series": s, "x": i.ravel(), "y": j.ravel(), "z": k.ravel(), "hu": shell(p).ravel()}))
+        geo.append((1, s, s, n, n, count, 1.0, 1.0, gap, origin.tolist(), axes.ravel().tolist()))
+    vox = spark.createDataFrame(pd.concat(rows))
+    geo = spark.createDataFrame(geo, "study int, series long, place int, nx int, ny int, nz int, sx double, sy double, sz double, origin array<double>, direction array<double>")
+    volume, grids = fusion.fuse_study(geo, vox)
+    g = grids.first()
+    assert (g.s, g.gx, g.gy, g.gz, g["at"]) == (1.0, 41, 41, 41, [-20.0] * 3)
+    alone, _ = fusion.fuse_study(geo.where("place = 1"), vox)
+    z, y, x = np.meshgrid(*[np.arange(41)] * 3, indexing="ij")
+    truth = shell((x - half, y - half, z - half)) > 0
+
+    def dice(d):
+        got = np.zeros((41,) * 3, bool)
+        p = d.where("value > 0").toPandas()
+        got[p["z"], p["y"], p["x"]] = True
+        return 2 * (got & truth).sum() / (got.sum() + truth.sum())
+
+    both, one = dice(volume), dice(alone)
+    assert both > 0.7 and both > one + 0.1
+    with pytest.raises(Exception, match="budget"):
+        fusion.fuse_study(geo, vox, 0.5)[1].collect()
