@@ -1,12 +1,18 @@
-"""Connected components and distances on voxel grids, as Arrow-fed kernels per volume or slice."""
+"""Connected components of voxels brick by brick, and distances slice by slice."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bricks import BITS, BRICK, box, column, deal, places
+from ..functions.graph import components
+from ..functions.shared import settle
+
 
 def label6(mask: np.ndarray) -> np.ndarray:
     """Labels of a 3-D mask by 6-neighbourhood: the smallest flat index of each component, -1 outside.
@@ -32,25 +38,78 @@ def label6(mask: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def components6(v: DataFrame, threshold: float = 200) -> DataFrame:
-    """(series, component, voxels) of hu >= threshold; a component is named by its smallest flat index.
+#: Places along a side of a brick.
+SIDE = 64
 
-    Only the voxels of the mask meet in a task, those of one volume: its size is that of one exam, whatever the number of volumes.
-    """
-    wide = v.groupBy("series").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["z", "y", "x"]].to_numpy()
-        low = at.min(0)
-        mask = np.zeros(tuple(at.max(0) - low + 1), bool)
-        place = tuple((at - low).T)
-        mask[place] = True
-        flat = (at[:, 0] * pdf["ny"].iloc[0] + at[:, 1]) * pdf["nx"].iloc[0] + at[:, 2]
-        own = pd.Series(flat).groupby(label6(mask)[place]).agg(["min", "size"])
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "component": own["min"].to_numpy("int64"), "voxels": own["size"].to_numpy("int64")})
+def label26(mask: np.ndarray) -> np.ndarray:
+    """As ``label6``, over faces, edges and corners."""
+    none = mask.size
+    lab = np.where(mask, np.arange(none).reshape(mask.shape), none)
+    while True:
+        new = lab
+        for axis in range(mask.ndim):  # least of three along each axis in turn: least of the 26 around
+            a, b = [slice(None)] * mask.ndim, [slice(None)] * mask.ndim
+            a[axis], b[axis] = slice(1, None), slice(None, -1)
+            wide = new.copy()
+            wide[tuple(a)] = np.minimum(wide[tuple(a)], new[tuple(b)])
+            wide[tuple(b)] = np.minimum(wide[tuple(b)], new[tuple(a)])
+            new = wide
+        new = np.append(np.where(mask, new, none).ravel(), none)
+        new = np.where(mask, new[new[:-1]].reshape(mask.shape), none)
+        if (new == lab).all():
+            return np.where(mask, lab, -1)
+        lab = new
+
+
+def joined(v: DataFrame, corners: bool = False, side: int = SIDE) -> DataFrame:
+    """(series, x, y, z, root) of the rows given, joined over faces (or edges and corners too); ``root`` numbers a component's first voxel.
+
+    A task holds one brick of ``side`` with one layer of the next, and labels what it holds by the first voxel there.  A voxel that
+    several bricks hold has a label in each: these are the same component, and the graph of such labels is all that leaves the bricks.
+    """
+    series, label = v.schema["series"].dataType.simpleString(), label26 if corners else label6
 
-    on = v.where(F.col("hu") >= threshold).select("series", "x", "y", "z").join(wide, "series")
-    return on.groupBy("series").applyInPandas(run, "series int, component long, voxels long")
+    def run(table: pa.Table) -> pa.Table:
+        low, at, shape = box(table)
+        mask = np.zeros(shape, bool)
+        mask[at] = True
+        first = np.stack(np.unravel_index(label(mask)[at], shape)) + low[:, None]
+        own = np.all([column(table, c) // side == column(table, b) for c, b in zip("xyz", BRICK, strict=True)], axis=0)
+        return pa.table([table.column("series"), *(table.column(c) for c in "xyz"), pa.array(places(*first[::-1])), pa.array(own)], names=["series", "x", "y", "z", "label", "own"])
+
+    dealt = deal(v.select("series", *(F.col(c).cast("int").alias(c) for c in "xyz")), side, after=1)
+    every = settle(dealt.groupBy("series", *BRICK).applyInArrow(run, f"series {series}, x int, y int, z int, label long, own boolean"))
+    edge = F.lit(False)
+    for c in "xyz":
+        edge = edge | (F.col(c) % side == 0)
+    several = every.where(edge).groupBy("series", "x", "y", "z").agg(F.min("label").alias("p"), F.collect_set("label").alias("q"))  # eight bricks at most
+    links = settle(several.where(F.size("q") > 1).select("series", "p", F.explode("q").alias("q")).where("p <> q").distinct())
+    own = every.where("own").drop("own")
+    if links.isEmpty():
+        return own.withColumnRenamed("label", "root")
+    ends = links.select("series", F.col("p").alias("label")).unionByName(links.select("series", F.col("q").alias("label"))).distinct()
+    ends = settle(ends.withColumn("node", F.monotonically_increasing_id()))
+    for c in "pq":
+        links = links.join(ends.select("series", F.col("label").alias(c), F.col("node").alias(f"n{c}")), ["series", c])
+    found = settle(components(links.select(F.col("np").alias("p"), F.col("nq").alias("q"))).join(ends, "node"))
+    first = found.join(found.groupBy("root").agg(F.min("label").alias("first")), "root").select("series", "label", "first")
+    return own.join(first, ["series", "label"], "left").select("series", "x", "y", "z", F.coalesce("first", "label").alias("root"))
+
+
+def label_voxels(v: DataFrame, corners: bool = False, side: int = SIDE) -> DataFrame:
+    """(series, x, y, z, component) of the rows given; components of a series count from 1 in order of their first voxel."""
+    d = settle(joined(v, corners, side))
+    number = d.select("series", "root").distinct().withColumn("component", F.row_number().over(W.partitionBy("series").orderBy("root")))
+    return d.join(number, ["series", "root"]).select("series", "x", "y", "z", "component")
+
+
+def components6(v: DataFrame, threshold: float = 200, side: int = SIDE) -> DataFrame:
+    """(series, component, voxels) of hu >= threshold; a component is named by its smallest flat index."""
+    wide = v.groupBy("series").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
+    c = joined(v.where(F.col("hu") >= threshold), side=side).groupBy("series", "root").agg(F.count("*").alias("voxels")).join(wide, "series")
+    x, y, z = (F.shiftright("root", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1)) for k in range(3))
+    return c.select("series", ((z * F.col("ny") + y) * F.col("nx") + x).alias("component"), "voxels")
 
 
 def keep_large(comps: DataFrame, share: float = 0.005, least: float = 150) -> DataFrame:
@@ -61,13 +120,12 @@ def keep_large(comps: DataFrame, share: float = 0.005, least: float = 150) -> Da
 
 def clean_field(v: DataFrame, share: float = 0.005, least: float = 150) -> DataFrame:
     """(series, x, y, z, field, dropped): ``field`` > 0 in small components becomes -0.01."""
-    from .structures import PLACE, label_voxels
-
+    place = ["series", "x", "y", "z"]
     comp = label_voxels(v.where("field > 0"))
     size = comp.groupBy("series", "component").agg(F.count("*").alias("voxels"))
     small = size.join(keep_large(size, share, least).select("series", "component"), ["series", "component"], "left_anti")
-    gone = comp.join(small, ["series", "component"], "left_semi").select(*PLACE, F.lit(True).alias("dropped"))
-    d = v.join(gone, PLACE, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+    gone = comp.join(small, ["series", "component"], "left_semi").select(*place, F.lit(True).alias("dropped"))
+    d = v.join(gone, place, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
     return d.withColumn("field", F.when(F.col("dropped"), -0.01).otherwise(F.col("field")))
 
 

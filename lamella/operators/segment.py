@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import settle
 from .stencil import line
 
 AXES = ("x", "y", "z")
@@ -50,80 +53,55 @@ def vessels(v: DataFrame, lo: float = 150, hi: float = 500, bone: float = 700, s
     return v.where((F.col("hu") >= lo) & (F.col("hu") < hi) & (F.col("__near") == 0)).drop("__near")
 
 
-def _widen(on: np.ndarray, corners: bool) -> np.ndarray:
-    """One step of growth: over faces, or over faces, edges and corners."""
-    grown = on.copy()
-    for axis in range(on.ndim):
-        src = grown.copy() if corners else on
-        a, b = [slice(None)] * on.ndim, [slice(None)] * on.ndim
-        a[axis], b[axis] = slice(1, None), slice(None, -1)
-        grown[tuple(a)] |= src[tuple(b)]
-        grown[tuple(b)] |= src[tuple(a)]
-    return grown
-
-
-def _pieces26(on: np.ndarray) -> list[np.ndarray]:
-    """Coordinates (z, y, x) of each component over faces, edges and corners, in order of their first voxel."""
-    none = on.size
-    lab = np.where(on, np.arange(none).reshape(on.shape), none)
-    while True:
-        new = lab
-        for axis in range(on.ndim):  # least of three along each axis in turn: least of the 26 around
-            a, b = [slice(None)] * on.ndim, [slice(None)] * on.ndim
-            a[axis], b[axis] = slice(1, None), slice(None, -1)
-            wide = new.copy()
-            wide[tuple(a)] = np.minimum(wide[tuple(a)], new[tuple(b)])
-            wide[tuple(b)] = np.minimum(wide[tuple(b)], new[tuple(a)])
-            new = wide
-        new = np.append(np.where(on, new, none).ravel(), none)
-        new = np.where(on, new[new[:-1]].reshape(on.shape), none)
-        if (new == lab).all():
-            break
-        lab = new
-    where = np.argwhere(on)
-    own = lab[tuple(where.T)]
-    order = np.argsort(own, kind="stable")
-    return np.split(where[order], np.flatnonzero(np.diff(own[order])) + 1) if len(where) else []
+def principal_axes(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``axes``, nine numbers: the unit axes of most, middle and least spread of the covariances xx to zz; one row a piece."""
+    names = ("xx", "xy", "xz", "yy", "yz", "zz")
+    place = [[0, 1, 2], [1, 3, 4], [2, 4, 5]]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 
+    def run(batches):
+        for b in batches:
+            six = np.stack([b.column(n).to_numpy() for n in names], axis=1)
+            axes = np.linalg.eigh(six[:, place])[1][:, :, ::-1].transpose(0, 2, 1)
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(six) + 1, dtype=np.int32) * 9), pa.array(axes.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, "axes"])
+
+    return pieces.mapInArrow(run, kinds + ", axes array<double>")
 
-def metal_objects(v: DataFrame, seed: float, low: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), least_mm3: float = 1.5) -> DataFrame:
-    """Metal pieces with centre, extents along their principal axes and kind.
+
+def metal_parts(v: DataFrame, seed: float, low: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), least_mm3: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """(voxels, objects): (series, x, y, z, object) of metal, and what ``metal_objects`` gives.
 
     Voxels from ``seed`` grow by 1.5 mm over faces into those from ``low``; components (26 neighbours) under ``least_mm3`` are
-    dropped.  A task holds the metal of one volume, which is a small part of one exam.
+    dropped.  Centres and covariances are aggregates a piece, and so are the extents along the axes: no volume meets in a task.
     """
+    from .components import joined
+    from .structures import PLACE, grow
+
     steps, unit = max(1, int(np.floor(1.5 / min(spacing) + 0.5))), float(np.prod(spacing))
-    kind = "series int, object int, kind string, volume double, length double, width double, thickness double, cx double, cy double, cz double"
-    names = [c.split()[0] for c in kind.split(", ")]
+    m = v.where(F.col("hu") >= low).select(*PLACE, (F.col("hu") >= seed).cast("int").alias("on"), F.lit(1).alias("may"))
+    comp = settle(joined(grow(m, steps).where("on = 1"), corners=True))
+    mm = {a: F.col(a) * s for a, s in zip(AXES, spacing, strict=True)}
+    pairs = [F.covar_pop(mm[a], mm[b]).alias(a + b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    pieces = comp.groupBy("series", "root").agg(F.count("*").alias("n"), *(F.avg(e).alias(f"c{a}") for a, e in mm.items()), *pairs).where(F.col("n") * unit >= least_mm3)
+    pieces = pieces.withColumn("object", F.row_number().over(W.partitionBy("series").orderBy("root")))
+    pieces = settle(principal_axes(pieces)).select("series", "root", "object", "n", "cx", "cy", "cz", "axes")
+    own = comp.join(pieces.select("series", "root", "object", "axes", "cx", "cy", "cz"), ["series", "root"])
+    along = [sum((F.col("axes")[3 * k + i] * (mm[a] - F.col(f"c{a}")) for i, a in enumerate(AXES)), F.lit(0.0)) for k in range(3)]
+    sizes = ("length", "width", "thickness")
+    spread = own.groupBy("series", "root").agg(*((F.max(e) - F.min(e) + min(spacing)).alias(n) for e, n in zip(along, sizes, strict=True)))
+    d = pieces.join(spread, ["series", "root"])
+    length, width, thick = (F.col(n) for n in sizes)
+    screw = (length >= SCREW[0]) & (length / F.greatest(width, F.lit(0.5)) >= SCREW[1]) & (width <= SCREW[2])
+    plate = (length >= PLATE[0]) & (width >= PLATE[1]) & (thick <= F.greatest(F.lit(PLATE[2]), width * 0.4))
+    kind = F.when(screw, "screw").when(plate, "plate").otherwise("fragment")
+    objects = d.select("series", "object", kind.alias("kind"), (F.col("n") * unit).alias("volume"), *sizes, "cx", "cy", "cz")
+    return own.select(*PLACE, "object"), objects
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[["z", "y", "x"]].min().to_numpy()
-        at = tuple((pdf[["z", "y", "x"]].to_numpy() - base).T)
-        may = np.zeros([int(a.max()) + 1 for a in at], bool)
-        on = may.copy()
-        may[at] = True
-        on[at] = pdf["hu"].to_numpy() >= seed
-        for _ in range(steps):
-            on = _widen(on, False) & may
-        out = []
-        for piece in _pieces26(on):
-            if len(piece) * unit < least_mm3:
-                continue
-            p = (piece + base)[:, ::-1] * np.asarray(spacing)
-            c = p.mean(0)
-            _, axes = np.linalg.eigh(np.cov((p - c).T, bias=True) if len(p) > 1 else np.eye(3))
-            t = (p - c) @ axes[:, ::-1]
-            length, width, thick = (t.max(0) - t.min(0) + min(spacing)).tolist()
-            if length >= SCREW[0] and length / max(width, 0.5) >= SCREW[1] and width <= SCREW[2]:
-                what = "screw"
-            elif length >= PLATE[0] and width >= PLATE[1] and thick <= max(PLATE[2], 0.4 * width):
-                what = "plate"
-            else:
-                what = "fragment"
-            out.append((int(pdf["series"].iloc[0]), len(out) + 1, what, len(piece) * unit, length, width, thick, *c.tolist()))
-        return pd.DataFrame(out, columns=names)
-
-    return v.where(F.col("hu") >= low).groupBy("series").applyInPandas(run, kind)
+
+def metal_objects(v: DataFrame, seed: float, low: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), least_mm3: float = 1.5) -> DataFrame:
+    """(series, object, kind, volume, length, width, thickness, cx, cy, cz) of metal pieces: extents along their principal axes, in mm."""
+    return metal_parts(v, seed, low, spacing, least_mm3)[1]
 
 
 def describe(objects: DataFrame, dims: DataFrame, near: DataFrame | None = None, midline: float = 6.0, share: float = 0.0) -> DataFrame:

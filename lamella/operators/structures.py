@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bricks import BRICK, box, column, deal, place
 from ..functions.shared import settle
-from .components import label6
+from .components import SIDE, label6, label_voxels
 from .reduce import percentile
 from .stencil import erode6, line
 
@@ -39,19 +41,6 @@ def _ways(n: int = 3):
         yield tuple(a), tuple(b)
 
 
-def label_voxels(v: DataFrame) -> DataFrame:
-    """(series, x, y, z, component) of the rows given, joined over faces; components count from 1 in order of their first voxel."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, shape = _box(pdf)
-        mask = np.zeros(shape, bool)
-        mask[at] = True
-        number = np.unique(label6(mask)[at], return_inverse=True)[1]
-        return pdf[PLACE].assign(component=number + 1)
-
-    return v.select(*PLACE).groupBy("series").applyInPandas(run, "series int, x int, y int, z int, component int")
-
-
 SLAB = 64
 
 
@@ -108,20 +97,64 @@ def _compete(may: np.ndarray, seed: np.ndarray, steps: int | None) -> np.ndarray
     return seed
 
 
-def regrow(v: DataFrame, steps: int | None = None) -> DataFrame:
-    """(series, x, y, z, owner): voxels with owner 0 go to the owner that reaches them in fewest steps through the rows given.
+def _spread(side: int, steps: int | None):
+    """A brick's voxels after all that its halo and its own seeds reach; of a voxel's offers the least (steps, seed) counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, at, shape = box(table)
+        own = np.all([column(table, c) // side == column(table, b) for c, b in zip(AXES, BRICK, strict=True)], axis=0)
+        seed, far, owner = (column(table, c) for c in ("seed", "steps", "owner"))
+        seeds, first, rank = np.unique(seed, return_index=True, return_inverse=True)
+        n, none = len(seeds), np.iinfo(np.int64).max // 2
+        key = np.full(shape, none)
+        key[at] = np.where(seed >= 0, far.astype(np.int64) * n + rank, none)
+        may = np.zeros(shape, bool)
+        may[at] = own
+        most = none if steps is None else (steps + 1) * n
+        while True:
+            new = key.copy()
+            for a, b in _ways():
+                np.minimum(new[a], key[b] + n, out=new[a])
+                np.minimum(new[b], key[a] + n, out=new[b])
+            new = np.where(may & (new < most), new, key)
+            if (new == key).all():
+                break
+            key = new
+        got = key[at][own]
+        hit = got < none
+        which = first[np.where(hit, got % n, 0)]
+        new_seed, new_far = np.where(hit, seed[which], -1), np.where(hit, got // n, 0).astype(np.int32)
+        changed = (new_seed != seed[own]) | (new_far != far[own])
+        keep = pa.array(own)
+        return pa.table([table.column("series").filter(keep), *(table.column(c).filter(keep) for c in AXES), pa.array(np.where(hit, owner[which], 0).astype(np.int32)), pa.array(new_seed), pa.array(new_far), pa.array(changed)], names=["series", *AXES, "owner", "seed", "steps", "changed"])
 
-    Of seeds as near, the one that comes first along x, then y, then z wins; what none reaches keeps 0.
-    """
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, shape = _box(pdf)
-        may, flat, own = np.zeros(shape, bool), np.arange(int(np.prod(shape))).reshape(shape), np.zeros(shape, np.int64)
-        may[at], own[at] = True, pdf["owner"].to_numpy()
-        got = _compete(may, np.where(own > 0, flat, flat.size), steps)[at]
-        return pdf[PLACE].assign(owner=np.append(own.ravel(), 0)[got])
 
-    return v.select(*PLACE, "owner").groupBy("series").applyInPandas(run, "series int, x int, y int, z int, owner int")
+def regrow(v: DataFrame, steps: int | None = None, side: int = SIDE, most: int = 1000) -> DataFrame:
+    """(series, x, y, z, owner): voxels with owner 0 go to the owner that reaches them in fewest steps through the rows given.
+
+    Of seeds as near, the one that comes first along x, then y, then z wins; what none reaches keeps 0.  A task holds a brick with
+    one layer around.  Rounds hand on (steps, seed) over the bricks' faces, to bricks next to which something changed, until nothing does;
+    more than ``most`` rounds raise.
+    """
+    series = v.schema["series"].dataType.simpleString()
+    seed = F.when(F.col("owner") > 0, place()).otherwise(F.lit(-1)).cast("long")
+    own_brick = [F.floor(F.col(c) / side).cast("int").alias(b) for c, b in zip(AXES, BRICK, strict=True)]
+    state = v.select("series", *(F.col(c).cast("int").alias(c) for c in AXES), F.col("owner").cast("int").alias("owner"), seed.alias("seed"), F.lit(0).alias("steps"))
+    state = settle(state.withColumn("changed", F.col("owner") > 0))
+    for turn in range(most):
+        ask = deal(state.where("changed").select("series", *AXES), side, 1, 1)
+        if turn:  # a brick that has run is at rest until a neighbour changes
+            ask = ask.where(" or ".join(f"{b} <> floor({c} / {side})" for c, b in zip(AXES, BRICK, strict=True)))
+        active = settle(ask.select("series", *BRICK).distinct())
+        if active.isEmpty():
+            return state.select(*PLACE, "owner")
+        near = deal(state.drop("changed"), side, 1, 1).join(active, ["series", *BRICK], "left_semi")
+        done = near.groupBy("series", *BRICK).applyInArrow(_spread(side, steps), f"series {series}, x int, y int, z int, owner int, seed long, steps int, changed boolean")
+        rest = state.withColumns(dict(zip(BRICK, own_brick, strict=True))).join(active, ["series", *BRICK], "left_anti").drop(*BRICK).withColumn("changed", F.lit(False))
+        state = settle(done.unionByName(rest))
+    raise RuntimeError(f"regrow: no fixpoint after {most} rounds")
 
 
 def split_by_plane(v: DataFrame, cuts: DataFrame, most: float = 0.98) -> DataFrame:
