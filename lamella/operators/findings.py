@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_up
+from ..functions.shared import settle
 from .reduce import percentile
 from .segment import airways
 from .stencil import erode6
@@ -19,15 +20,16 @@ from .structures import PLACE, label_voxels
 MIDLINE = 6.0
 
 
-def references(v: DataFrame, least_teeth: int = 50) -> DataFrame:
+def references(v: DataFrame, least_teeth: int = 50, every: int = 4) -> DataFrame:
     """(series, voxels, mid_x, width, bite_z, front_y, back_y, z_lo, z_hi) of bone and teeth.
 
-    The midline is halfway between the 2nd and the 98th percentile of x; ``bite_z`` is the median height of the teeth, null
-    where there are no more than ``least_teeth`` voxels of them.
+    The midline is halfway between the 2nd and the 98th percentile of x; ``bite_z`` is the median height of every ``every``-th voxel of the
+    teeth (by flat index), null where these are no more than ``least_teeth``.  ``v`` is dense.
     """
     bone = v.where("label in (1, 2, 3)")
     lo, hi = (percentile(bone, p, "x").withColumnRenamed("p", n) for p, n in ((2, "lo"), (98, "hi")))
-    tooth = bone.where("label = 3")
+    dims = v.groupBy("series").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
+    tooth = bone.where("label = 3").join(dims, "series").where(((F.col("z") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x")) % every == 0)
     enough = tooth.groupBy("series").agg(F.count("*").alias("n")).where(F.col("n") > least_teeth).select("series")
     bite = percentile(tooth, 50, "z").withColumnRenamed("p", "bite_z").join(enough, "series")
     e = bone.groupBy("series").agg(F.count("*").alias("voxels"), F.min("y").alias("front_y"), F.max("y").alias("back_y"), F.min("z").alias("z_lo"), F.max("z").alias("z_hi"))
@@ -69,7 +71,7 @@ def low_density(v: DataFrame, refs: DataFrame, least: int = 80, steps: int = 2,
     Neither teeth, metal nor air; a place counts where some of it outlasts ``steps`` erosions, which a canal does not.
     """
     closed = airways(v.select(*PLACE, F.when(F.col("label") == 2, 1).otherwise(-1).alias("hu")), 0)
-    holes = v.join(closed, PLACE, "left_semi").where((F.coalesce("label", F.lit(0)).isin(0, 1)) & (F.col("hu") > air)).select(*PLACE, "hu", F.lit(1).alias("m"))
+    holes = v.join(closed, PLACE, "left_semi").where((~F.coalesce("label", F.lit(0)).isin(2, 3, 4)) & (F.col("hu") > air)).select(*PLACE, "hu", F.lit(1).alias("m"))
     comp = label_voxels(holes).join(holes, PLACE)
     core = v.select(*PLACE).join(holes.drop("hu"), PLACE, "left").select(*PLACE, F.coalesce("m", F.lit(0)).alias("core"))
     for _ in range(steps):
@@ -80,11 +82,12 @@ def low_density(v: DataFrame, refs: DataFrame, least: int = 80, steps: int = 2,
     return c.where((F.col("voxels") >= least) & (F.col("core") == 1)).select("series", "component", "voxels", "mean_hu", "size_x", "size_y", "size_z", "position")
 
 
-def jaw_summary(v: DataFrame, refs: DataFrame, lateral: float = 25.0) -> DataFrame:
+def jaw_summary(v: DataFrame, refs: DataFrame, lateral: float = 25.0, aligned: bool | Column = True) -> DataFrame:
     """(series, voxels, mean_hu, left, right, difference, overlap, left_height, right_height) of label 2.
 
-    ``difference`` of the sides is in percent of their mean; ``overlap`` is the share whose mirror place is label 2 too; heights
-    are of what lies more than ``lateral`` from the midline, null where nothing does.
+    ``difference`` of the sides is in percent of their mean; ``overlap`` is the share whose mirror place is label 2 too, null where
+    the axes are not those of the patient (``aligned``: a flag, or a column over ``refs``, see ``views.aligned``); heights are of what lies
+    more than ``lateral`` from the midline, null where nothing does.
     """
     m = v.where("label = 2").select(*PLACE, "hu").join(refs.select("series", "mid_x"), "series")
     m = m.withColumns({"dx": F.col("x") - F.col("mid_x"), "other": half_up(2 * half_up(F.col("mid_x")) - F.col("x")).cast("int")})
@@ -100,44 +103,104 @@ def jaw_summary(v: DataFrame, refs: DataFrame, lateral: float = 25.0) -> DataFra
         tall(F.col("dx") > lateral).alias("left_height"), tall(F.col("dx") < -lateral).alias("right_height"),
     )
     part = F.abs(F.col("left") - F.col("right")) * 200 / F.greatest(F.lit(1), F.col("voxels"))
-    return g.withColumn("difference", F.round(part, 6))
+    return _if_aligned(g.withColumn("difference", F.round(part, 6)), refs, aligned, "overlap")
+
+
+def _if_aligned(d: DataFrame, refs: DataFrame, aligned: bool | Column, name: str) -> DataFrame:
+    """``d`` with ``name`` null for series whose axes are not aligned."""
+    flag = aligned if isinstance(aligned, Column) else F.lit(aligned)
+    return d.join(refs.select("series", flag.alias("__aligned")), "series").withColumn(name, F.when(F.col("__aligned"), F.col(name))).drop("__aligned")
+
+
+def symmetry(v: DataFrame, refs: DataFrame, least: float = 2000.0, aligned: bool | Column = True) -> DataFrame:
+    """(series, part, voxels, left, right, overlap): bone by thirds of its height (0: lowest), its sides of the midline, and the share
+    whose mirror place at the midline is bone too.  Thirds of fewer than ``least`` voxels, and series that are not ``aligned``, are left out.
+    """
+    third = F.least(F.lit(2), F.floor((F.col("z") - F.col("z_lo")) * 3 / F.greatest(F.lit(1), F.col("z_hi") - F.col("z_lo")))).cast("int")
+    b = v.where("label in (1, 2, 3)").select(*PLACE).join(refs.select("series", "mid_x", "z_lo", "z_hi"), "series")
+    b = b.withColumns({"part": third, "other": half_up(2 * half_up(F.col("mid_x")) - F.col("x")).cast("int")})
+    hit = b.select("series", F.col("x").alias("other"), "y", "z", F.lit(1).alias("hit"))
+    left = F.col("x") > F.col("mid_x")
+    g = b.join(hit, ["series", "other", "y", "z"], "left").groupBy("series", "part").agg(F.count("*").alias("voxels"), F.count_if(left).alias("left"), F.count_if(~left).alias("right"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("overlap"))
+    return _if_aligned(g.where(F.col("voxels") >= least), refs, aligned, "overlap").where("overlap is not null").select("series", "part", "voxels", "left", "right", "overlap")
 
 
 def tooth_blocks(v: DataFrame, refs: DataFrame, least: int = 15) -> DataFrame:
     """(series, upper, lower, left, right, blocks_upper, blocks_lower): voxels of teeth by side of the bite and midline, and their pieces.
 
-    Without a ``bite_z`` all count as upper.
+    Without a ``bite_z`` all count as lower.
     """
     comp = label_voxels(v.where("label = 3"))
     b = comp.groupBy("series", "component").agg(F.count("*").alias("n"), F.avg("z").alias("cz")).where(F.col("n") >= least).join(refs, "series")
-    above = F.coalesce(F.col("cz") >= F.col("bite_z"), F.lit(True))
+    above = F.coalesce(F.col("cz") >= F.col("bite_z"), F.lit(False))
     b = b.groupBy("series").agg(F.count_if(above).alias("blocks_upper"), F.count_if(~above).alias("blocks_lower"))
-    over = F.coalesce(F.col("z") >= F.col("bite_z"), F.lit(True))
+    over = F.coalesce(F.col("z") >= F.col("bite_z"), F.lit(False))
     t = comp.join(refs, "series").groupBy("series").agg(F.count_if(over).alias("upper"), F.count_if(~over).alias("lower"), F.count_if(F.col("x") > F.col("mid_x")).alias("left"), F.count_if(F.col("x") <= F.col("mid_x")).alias("right"))
     return t.join(b, "series", "left").select("series", "upper", "lower", "left", "right", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("blocks_upper", "blocks_lower")))
 
 
-def reading(v: DataFrame, least_part: int = 150, top: int = 8, least_jaw: int = 5000, midline: float = MIDLINE) -> DataFrame:
-    """(series, section, n, line): the reading of an exam, line by line; sections are coverage, jaw, parts and teeth.
-
-    Of the isolated parts the ``top`` largest are told.
-    """
-    refs = references(v)
-    cover = refs.select("series", F.lit("coverage").alias("section"), F.lit(1).alias("n"), F.concat(whole(F.col("z_hi") - F.col("z_lo")), F.lit(" mm high, "), whole(F.col("width")), F.lit(" mm wide, "), whole(F.col("back_y") - F.col("front_y")), F.lit(" mm deep; bone "), F.col("voxels").cast("string"), F.lit(" mm3")).alias("line"))
-    j = refs.select("series").join(jaw_summary(v, refs), "series", "left")
-    told = F.concat(F.col("voxels").cast("string"), F.lit(" mm3; right "), F.col("right").cast("string"), F.lit(", left "), F.col("left").cast("string"), F.lit(" (difference "), whole(F.col("difference")), F.lit(" %); mirror overlap "), whole(F.col("overlap") * 100), F.lit(" %"))
-    jaw = j.select("series", F.lit("jaw"), F.lit(1), F.when(F.coalesce("voxels", F.lit(0)) >= least_jaw, told).otherwise("not separated"))
-    p = isolated_parts(v, refs, least_part, midline=midline)
-    p = p.withColumn("n", F.row_number().over(W.partitionBy("series").orderBy(F.desc("voxels"), "component"))).where(F.col("n") <= top)
-    parts = p.select("series", F.lit("parts"), "n", F.concat(F.col("voxels").cast("string"), F.lit(" mm3: "), "position"))
-    t = tooth_blocks(v, refs)
-    tooth = t.select("series", F.lit("teeth"), F.lit(1), F.concat(F.lit("upper "), F.col("upper").cast("string"), F.lit(" mm3, lower "), F.col("lower").cast("string"), F.lit(" mm3")))
-    return cover.union(jaw).union(parts).union(tooth)
-
-
 def jaw_parts(v: DataFrame, refs: DataFrame, least: int = 400, top: int = 5, midline: float = MIDLINE) -> DataFrame:
     """(series, parts, n, voxels, position): how many pieces the lower jaw has, and the ``top`` largest."""
     c = _centres(label_voxels(v.where("label = 2")), refs, midline).where(F.col("voxels") >= least)
     w = W.partitionBy("series")
     c = c.withColumns({"parts": F.count("*").over(w), "n": F.row_number().over(w.orderBy(F.desc("voxels"), "component"))})
     return c.where(F.col("n") <= top).select("series", "parts", "n", "voxels", "position")
+
+
+#: fixed values: sections of the reading in order
+SECTIONS = ("coverage", "jaw", "jaw_parts", "low_density", "symmetry", "parts", "teeth", "metal", "air", "sinuses", "vessels")
+
+
+def reading(v: DataFrame, metal: DataFrame | None = None, air: DataFrame | None = None, vessels: DataFrame | None = None, least_part: int = 150, top: int = 8, least_jaw: int = 5000, midline: float = MIDLINE, aligned: bool | Column = True, least_hole: int = 80, hole_steps: int = 2, air_hu: float = -300.0, least_third: float = 2000.0, least_jaw_part: int = 400) -> DataFrame:
+    """(series, section, n, line): the reading of an exam, line by line, in the order of ``SECTIONS``.
+
+    ``metal``: objects of ``segment.metal_objects``; ``air`` and ``vessels``: regions of ``segment.regions``; a section whose table is not given
+    is left out, and so is symmetry where the axes are not ``aligned``.  Jaw parts and places of low density are told where the lower jaw
+    is separated.
+    """
+    from .report import air_list, metal_near, sinus_pair, vessel_list
+
+    v = settle(v.select(*PLACE, "hu", "label"))
+    refs = settle(references(v).withColumn("aligned", aligned if isinstance(aligned, Column) else F.lit(aligned)))
+    flag = F.col("aligned")
+
+    def lines(d: DataFrame, section: str, n, line) -> DataFrame:
+        return d.select("series", F.lit(section).alias("section"), (F.lit(n) if isinstance(n, int) else n).cast("int").alias("n"), line.alias("line"))
+
+    text = lambda c: F.col(c).cast("string")
+    out = [lines(refs, "coverage", 1, F.concat(whole(F.col("z_hi") - F.col("z_lo")), F.lit(" mm high, "), whole(F.col("width")), F.lit(" mm wide, "), whole(F.col("back_y") - F.col("front_y")), F.lit(" mm deep; bone "), text("voxels"), F.lit(" mm3")))]
+    j = settle(refs.select("series").join(jaw_summary(v, refs, aligned=flag), "series", "left"))
+    mirrored = F.coalesce(F.concat(F.lit("; mirror overlap "), whole(F.col("overlap") * 100), F.lit(" %")), F.lit(""))
+    told = F.concat(text("voxels"), F.lit(" mm3; right "), text("right"), F.lit(", left "), text("left"), F.lit(" (difference "), whole(F.col("difference")), F.lit(" %)"), mirrored)
+    out.append(lines(j, "jaw", 1, F.when(F.coalesce("voxels", F.lit(0)) >= least_jaw, told).otherwise("not separated")))
+    apart = j.where(F.col("voxels") >= least_jaw).select("series")
+
+    c = jaw_parts(v, refs, least_jaw_part, midline=midline).join(apart, "series", "left_semi")
+    several = lines(c.where("parts > 1"), "jaw_parts", F.col("n"), F.concat(text("voxels"), F.lit(" mm3: "), "position"))
+    whole_jaw = lines(apart.join(c.where("parts > 1"), "series", "left_anti"), "jaw_parts", 1, F.lit("continuous"))
+    h = low_density(v, refs, least_hole, hole_steps, air_hu, midline).join(apart, "series", "left_semi")
+    h = h.withColumn("n", F.row_number().over(W.partitionBy("series").orderBy(F.desc("voxels"), "component"))).where("n <= 6")
+    sides = F.concat_ws(" x ", *(text(f"size_{a}") for a in "xyz"))
+    holes = lines(h, "low_density", F.col("n"), F.concat(text("voxels"), F.lit(" mm3, "), sides, F.lit(" mm, mean "), whole(F.col("mean_hu")), F.lit(": "), "position"))
+    third = F.element_at(F.array(F.lit("lower third"), F.lit("middle third"), F.lit("upper third")), F.col("part") + 1)
+    y = symmetry(v, refs, least_third, flag)
+    mirror = lines(y, "symmetry", F.col("part") + 1, F.concat(third, F.lit(": overlap "), whole(F.col("overlap") * 100), F.lit(" %; right "), text("right"), F.lit(" mm3, left "), text("left"), F.lit(" mm3")))
+    p = isolated_parts(v, refs, least_part, midline=midline)
+    p = p.withColumn("n", F.row_number().over(W.partitionBy("series").orderBy(F.desc("voxels"), "component"))).where(F.col("n") <= top)
+    parts = lines(p, "parts", F.col("n"), F.concat(text("voxels"), F.lit(" mm3: "), "position"))
+    t = tooth_blocks(v, refs)
+    tooth = lines(t, "teeth", 1, F.concat(F.lit("upper "), text("upper"), F.lit(" mm3, lower "), text("lower"), F.lit(" mm3")))
+    out += [several, whole_jaw, holes, mirror, parts, tooth]
+    where = refs.drop("voxels", "aligned")
+    if metal is not None:
+        out.append(lines(metal_near(metal, v, where, midline=midline), "metal", F.col("n"), F.col("line")))
+    if air is not None:
+        a = settle(air.join(where, "series"))
+        out.append(lines(air_list(a, midline=midline), "air", F.col("n"), F.col("line")))
+        out.append(lines(sinus_pair(a), "sinuses", 1, F.col("line")))
+    if vessels is not None:
+        out.append(lines(vessel_list(vessels.join(where, "series"), midline=midline), "vessels", 1, F.col("line")))
+    every = out[0]
+    for d in out[1:]:
+        every = every.unionByName(d)
+    return every

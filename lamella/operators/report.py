@@ -58,6 +58,35 @@ def metal_list(objects: DataFrame, top: int = 20) -> DataFrame:
     return objects.select("series", "object", n.alias("n"), F.concat(F.col("kind"), F.lit(": "), size, F.lit(", "), fmt(F.col("volume"), 0), F.lit(" mm3")).alias("line")).where(F.col("n") <= top)
 
 
+#: fixed values: what the labels 1 to 3 are called next to metal
+NEAR = {1: "skull", 2: "lower jaw", 3: "teeth"}
+
+
+def metal_near(objects: DataFrame, v: DataFrame, refs: DataFrame, top: int = 20, reach: int = 3, midline: float = MIDLINE) -> DataFrame:
+    """(series, object, n, line): each piece's kind, three sizes and volume, the label of most voxels about its centre, and where it lies."""
+    from .views import majority
+
+    at = objects.select("series", F.col("object").alias("id"), *(half_up(F.col(f"c{c}")).cast("int").alias(c) for c in "xyz"))
+    near = majority(at, v, reach).withColumnRenamed("id", "object")
+    name = F.lit("outside bone")
+    for k, called in NEAR.items():
+        name = F.when(F.col("label") == k, called).otherwise(name)
+    d = objects.join(near, ["series", "object"], "left").join(refs, "series")
+    n = F.row_number().over(W.partitionBy("series").orderBy("object"))
+    size = F.concat_ws(" x ", fmt(F.col("length"), 0), fmt(F.col("width"), 0), fmt(F.col("thickness"), 1))
+    line = F.concat("kind", F.lit(": "), size, F.lit(" mm, "), fmt(F.col("volume"), 0), F.lit(" mm3; next to "), name, F.lit("; "), position(midline))
+    return d.select("series", "object", n.alias("n"), line.alias("line")).where(F.col("n") <= top)
+
+
+def vessel_list(regions: DataFrame, top: int = 4, midline: float = MIDLINE) -> DataFrame:
+    """(series, groups, line): how many groups, and volume and place of the ``top`` largest."""
+    n = F.row_number().over(W.partitionBy("series").orderBy(F.desc("volume"), "component"))
+    one = F.concat(fmt(F.col("volume") / 1000, 1), F.lit(" cm3 ("), position(midline), F.lit(")"))
+    r = regions.select("series", n.alias("n"), F.when(n <= top, one).alias("one"))
+    g = r.groupBy("series").agg(F.count("*").alias("groups"), F.array_sort(F.collect_list(F.when(F.col("n") <= top, F.struct("n", "one")))).alias("l"))  # ``top`` at most
+    return g.select("series", "groups", F.concat(F.col("groups").cast("string"), F.lit(" group(s): "), F.array_join(F.transform("l", lambda e: e["one"]), "; ")).alias("line"))
+
+
 def air_kind(regions: DataFrame) -> DataFrame:
     """``regions`` (series, volume, cx, cy, cz, and the columns of ``findings.references``) with ``kind``, what an air space may be."""
     lateral, deep = F.abs(F.col("cx") - F.col("mid_x")), F.col("cy") - F.col("front_y")

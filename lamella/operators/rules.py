@@ -26,8 +26,8 @@ def quality(s: DataFrame) -> DataFrame:
 
 
 def best_series(s: DataFrame) -> DataFrame:
-    """Of each study the series with most frames a millimetre of spacing; the first id on ties; unusable ones last."""
-    rank = F.when((F.col("frames") < 3) | (F.col("rows_") < 128), -1.0).otherwise(F.col("frames") / F.greatest(F.lit(0.3), F.coalesce("spacing", F.lit(5.0))))
+    """Of each study the series with most frames a millimetre of spacing; the first id on ties; unusable ones last.  Without a spacing the slices' thickness counts, else 5 mm."""
+    rank = F.when((F.col("frames") < 3) | (F.col("rows_") < 128), -1.0).otherwise(F.col("frames") / F.greatest(F.lit(0.3), F.coalesce("spacing", "thickness", F.lit(5.0))))
     r = s.withColumn("rank", F.round(rank, 6))
     w = W.partitionBy("study").orderBy(F.desc("rank"), "id")
     return r.withColumn("n", F.row_number().over(w)).where("n = 1").select("study", "id", "rank")
@@ -54,25 +54,16 @@ def overlap(boxes: DataFrame) -> DataFrame:
     return j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(share, 6).alias("fraction")).where("fraction > 0")
 
 
-def mirror_symmetry(v: DataFrame, threshold: float = 200, thirds: bool = False, least: int = 0) -> DataFrame:
-    """Share of mask voxels whose mirror image across the middle of x is in the mask, and counts of either side.
-
-    With ``thirds`` of the mask's height apart; of parts with fewer than ``least`` voxels nothing is told.
-    """
+def mirror_symmetry(v: DataFrame, threshold: float = 200) -> DataFrame:
+    """Share of mask voxels whose mirror image across the middle of x is in the mask, and counts of either side; see also ``findings.symmetry``."""
     wide = v.groupBy("series").agg((F.max("x") + 1).alias("width"))
-    m = v.where(F.col("hu") >= threshold).select("series", "x", "y", "z")
-    if thirds:
-        e = m.groupBy("series").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-        part = F.least(F.lit(2), F.floor((F.col("z") - F.col("lo")) * 3 / F.greatest(F.lit(1), F.col("hi") - F.col("lo")))).cast("int")
-        m = m.join(e, "series").select("series", part.alias("part"), "x", "y", "z")
-    else:
-        m = m.withColumn("part", F.lit(0))
-    m = m.join(wide, "series")
+    m = v.where(F.col("hu") >= threshold).select("series", F.lit(0).alias("part"), "x", "y", "z").join(wide, "series")
     other = m.select("series", (F.col("width") - 1 - F.col("x")).alias("x"), "y", "z", F.lit(1).alias("hit"))
     j = m.join(other, ["series", "x", "y", "z"], "left")
-    return j.groupBy("series", "part").agg(F.count("*").alias("voxels"), F.count_if(F.col("x") < F.floor(F.col("width") / 2)).alias("low_side"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("overlap")).where(F.col("voxels") >= least)
+    return j.groupBy("series", "part").agg(F.count("*").alias("voxels"), F.count_if(F.col("x") < F.floor(F.col("width") / 2)).alias("low_side"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("overlap"))
 
 
+#: fixed values below; words end where no ASCII letter, digit or underscore follows, whatever the JVM takes for a word character
 _B, _E = "(?<![a-z0-9_])", "(?![a-z0-9_])"
 #: fixed values: mentions of contrast in lower case, and those that take it back
 CONTRAST = rf"{_B}c\s*/\s*c{_E}|com\s+contraste|{_B}contraste{_E}|{_B}c\+|{_B}pos[- ]?contraste|{_B}angio"

@@ -13,6 +13,8 @@ from ..functions.shared import settle
 from .stencil import line
 
 AXES = ("x", "y", "z")
+#: fixed values: least mm3 of an air space and of a group of vessels
+LEAST_AIR, LEAST_VESSEL = 150.0, 60.0
 #: fixed values: least length, length over width and most width of a screw; least length and width of a plate, and its most thickness
 SCREW, PLATE = (4.0, 2.2, 4.0), (8.0, 3.0, 2.5)
 
@@ -141,6 +143,15 @@ def regions(mask: DataFrame, dims: DataFrame, least: float, midline: float = 8.0
     return c.select("series", "component", "volume", "cx", "cy", "cz", F.concat_ws(", ", side, level, depth).alias("location"))
 
 
+def keep_regions(mask: DataFrame, least: float) -> DataFrame:
+    """(series, x, y, z, component) of the mask's face-joined parts of at least ``least`` voxels; smaller ones are cleared."""
+    from .structures import label_voxels
+
+    comp = settle(label_voxels(mask))
+    big = comp.groupBy("series", "component").count().where(F.col("count") >= least)
+    return comp.join(big, ["series", "component"], "left_semi").select("series", "x", "y", "z", "component")
+
+
 def merge_labels(v: DataFrame, air: DataFrame, blood: DataFrame | None = None) -> DataFrame:
     """``v`` (series, x, y, z, label ...) with 5 where there is inner air and 6 where there are vessels, but for voxels labelled before."""
     key = ["series", "x", "y", "z"]

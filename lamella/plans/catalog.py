@@ -45,7 +45,7 @@ f AS (SELECT DISTINCT img, t.t FROM e, range(64) t(t)),
 p AS (SELECT img, CAST((t % 8) * 8 + i % 8 AS INT) AS x, CAST((t // 8) * 8 + i // 8 AS INT) AS y, CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (coalesce(CAST(embedding[i + 1] AS DOUBLE), -0.6::DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE * 255)) + 0.5::DOUBLE) AS BIGINT) AS v FROM f LEFT JOIN e USING (img, t), range(64) r(i))"""
 HEAD = """WITH h AS (SELECT p_partkey AS id, p_brand AS study, p_size * 8 AS frames, CASE WHEN p_partkey % 5 = 0 THEN 96 ELSE 512 END AS rows_,
 CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey % 9 + 1) * 0.6::DOUBLE END AS spacing, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 4 + 1) * 0.25::DOUBLE END AS in_plane,
-p_partkey % 3 AS axis, p_partkey % 7 = 0 AS irregular, p_partkey % 17 <> 0 AS has_positions, p_partkey % 6 = 0 AS lossy, p_partkey % 19 = 0 AS derived FROM part)"""
+CASE WHEN p_partkey % 22 = 0 THEN NULL ELSE (p_partkey % 5 + 1) * 0.8::DOUBLE END AS thickness, p_partkey % 3 AS axis, p_partkey % 7 = 0 AS irregular, p_partkey % 17 <> 0 AS has_positions, p_partkey % 6 = 0 AS lossy, p_partkey % 19 = 0 AS derived FROM part)"""
 CLASSES = "c(class, lo, hi, opacity, ord) AS (VALUES " + ", ".join(f"('{c}', {lo}, {hi}, {o}::DOUBLE, {i})" for i, (c, lo, hi, o) in enumerate(TISSUES)) + ")"
 
 
@@ -220,11 +220,6 @@ def mirror_symmetry(spark, d):
     return U.mirror_symmetry(A.voxels(spark, d))
 
 
-@query(f"{VOX}, b AS (SELECT * FROM v WHERE hu >= 200), e AS (SELECT series, min(z) lo, max(z) hi FROM b GROUP BY series), m AS (SELECT b.*, CAST(least(2, floor((z - lo) * 3 / greatest(1, hi - lo))) AS INT) AS part FROM b JOIN e USING (series)) {_MIRROR}")
-def symmetry_thirds(spark, d):
-    return U.mirror_symmetry(A.voxels(spark, d), thirds=True)
-
-
 _Q = "coalesce(spacing, 5.0)"
 
 
@@ -234,7 +229,7 @@ def quality_score(spark, d):
     return U.quality(A.series_headers(spark, d))
 
 
-@query(f"{HEAD}, r AS (SELECT study, id, round(CASE WHEN frames < 3 OR rows_ < 128 THEN -1.0::DOUBLE ELSE frames / greatest(0.3::DOUBLE, coalesce(spacing, 5.0::DOUBLE)) END, 6) AS rank FROM h) SELECT study, id, rank FROM r QUALIFY row_number() OVER (PARTITION BY study ORDER BY rank DESC, id) = 1")
+@query(f"{HEAD}, r AS (SELECT study, id, round(CASE WHEN frames < 3 OR rows_ < 128 THEN -1.0::DOUBLE ELSE frames / greatest(0.3::DOUBLE, coalesce(spacing, thickness, 5.0::DOUBLE)) END, 6) AS rank FROM h) SELECT study, id, rank FROM r QUALIFY row_number() OVER (PARTITION BY study ORDER BY rank DESC, id) = 1")
 def best_series(spark, d):
     return U.best_series(A.series_headers(spark, d))
 
@@ -407,7 +402,7 @@ def enhance_image(spark, d):
 
 
 LAB = f"{VOX}, lab AS (SELECT series, x, y, z, hu, (z * 8 + y) * 8 + x AS i, CASE WHEN hu >= 900 THEN 3 WHEN hu >= 300 AND y < 4 THEN 2 WHEN hu >= 300 THEN 1 ELSE 0 END AS label FROM v)"
-_REFS = """, bo AS (SELECT * FROM lab WHERE label IN (1, 2, 3)), xs AS (SELECT series, list_sort(list(x)) AS l, count(*) AS voxels, min(y) AS front_y, max(y) AS back_y, min(z) AS z_lo, max(z) AS z_hi FROM bo GROUP BY series), zs AS (SELECT series, list_sort(list(z)) AS l FROM bo WHERE label = 3 GROUP BY series),
+_REFS = """, bo AS (SELECT * FROM lab WHERE label IN (1, 2, 3)), xs AS (SELECT series, list_sort(list(x)) AS l, count(*) AS voxels, min(y) AS front_y, max(y) AS back_y, min(z) AS z_lo, max(z) AS z_hi FROM bo GROUP BY series), zs AS (SELECT series, list_sort(list(z)) AS l FROM bo WHERE label = 3 AND i % 4 = 0 GROUP BY series),
 refs AS (SELECT xs.series, voxels, (xs.l[floor(voxels * 2::DOUBLE / 100)::BIGINT + 1] + xs.l[floor(voxels * 98::DOUBLE / 100)::BIGINT + 1]) / 2::DOUBLE AS mid_x, xs.l[floor(voxels * 98::DOUBLE / 100)::BIGINT + 1] - xs.l[floor(voxels * 2::DOUBLE / 100)::BIGINT + 1] AS width,
 CASE WHEN len(zs.l) > 50 THEN zs.l[floor(len(zs.l) * 50::DOUBLE / 100)::BIGINT + 1] END AS bite_z, front_y, back_y, z_lo, z_hi FROM xs LEFT JOIN zs USING (series))"""
 
@@ -435,9 +430,9 @@ _JAW = """, jm AS (SELECT b.*, x - mid_x AS dx, CAST(floor(2 * floor(mid_x + 0.5
 max(a.z) FILTER (a.dx > 2) - min(a.z) FILTER (a.dx > 2) AS left_height, max(a.z) FILTER (a.dx < -2) - min(a.z) FILTER (a.dx < -2) AS right_height, round(abs(count(*) FILTER (a.dx > 0) - count(*) FILTER (a.dx <= 0)) * 200::DOUBLE / count(*), 6) AS difference FROM jm a LEFT JOIN jm o ON o.series = a.series AND o.x = a.other AND o.y = a.y AND o.z = a.z GROUP BY a.series)"""
 
 
-@query(f"{LAB}{_REFS} SELECT * FROM refs")
+@query(f"{LAB}{_REFS} SELECT * FROM refs".replace("len(zs.l) > 50", "len(zs.l) > 10"))
 def exam_references(spark, d):
-    return N.references(_labelled(spark, d))
+    return N.references(_labelled(spark, d), least_teeth=10)
 
 
 @query(f"{LAB}{_REFS}{_PARTS} SELECT * FROM parts")
@@ -452,35 +447,57 @@ def jaw_summary(spark, d):
     return N.jaw_summary(v, N.references(v), lateral=2.0)
 
 
-_TEETH = """, tv AS (SELECT series, count(*) FILTER (coalesce(z >= bite_z, true)) AS upper, count(*) FILTER (NOT coalesce(z >= bite_z, true)) AS lower, count(*) FILTER (x > mid_x) AS left, count(*) FILTER (x <= mid_x) AS right FROM bo JOIN refs USING (series) WHERE label = 3 GROUP BY series)"""
+_THIRDS = """, sb AS (SELECT b.series, x, y, z, CAST(least(2, floor((z - z_lo) * 3 / greatest(1, z_hi - z_lo))) AS INT) AS part, x > mid_x AS is_left, CAST(floor(2 * floor(mid_x + 0.5::DOUBLE) - x + 0.5::DOUBLE) AS INT) AS other FROM bo b JOIN refs USING (series)),
+sy AS (SELECT a.series, a.part, count(*) AS voxels, count(*) FILTER (a.is_left) AS left, count(*) FILTER (NOT a.is_left) AS right, round(avg(CASE WHEN o.x IS NULL THEN 0 ELSE 1 END), 6) AS overlap FROM sb a LEFT JOIN sb o ON o.series = a.series AND o.x = a.other AND o.y = a.y AND o.z = a.z GROUP BY ALL HAVING count(*) >= 20)"""
+
+
+@query(f"{LAB}{_REFS}{_THIRDS} SELECT * FROM sy")
+def symmetry_thirds(spark, d):
+    v = _labelled(spark, d)
+    return N.symmetry(v, N.references(v), least=20)
 
 
-@query(f"""{LAB}{_REFS}{_TEETH}, tm AS (SELECT series, x, y, z, i FROM bo WHERE label = 3){_joined("tm", "t")}, tb AS (SELECT series, component, avg(z) AS cz FROM t GROUP BY ALL HAVING count(*) >= 2), tn AS (SELECT series, count(*) FILTER (coalesce(cz >= bite_z, true)) AS a, count(*) FILTER (NOT coalesce(cz >= bite_z, true)) AS b FROM tb JOIN refs USING (series) GROUP BY series)
+_TEETH = """, tv AS (SELECT series, count(*) FILTER (coalesce(z >= bite_z, false)) AS upper, count(*) FILTER (NOT coalesce(z >= bite_z, false)) AS lower, count(*) FILTER (x > mid_x) AS left, count(*) FILTER (x <= mid_x) AS right FROM bo JOIN refs USING (series) WHERE label = 3 GROUP BY series)"""
+
+
+@query(f"""{LAB}{_REFS}{_TEETH}, tm AS (SELECT series, x, y, z, i FROM bo WHERE label = 3){_joined("tm", "t")}, tb AS (SELECT series, component, avg(z) AS cz FROM t GROUP BY ALL HAVING count(*) >= 2), tn AS (SELECT series, count(*) FILTER (coalesce(cz >= bite_z, false)) AS a, count(*) FILTER (NOT coalesce(cz >= bite_z, false)) AS b FROM tb JOIN refs USING (series) GROUP BY series)
 SELECT tv.*, coalesce(a, 0) AS blocks_upper, coalesce(b, 0) AS blocks_lower FROM tv LEFT JOIN tn USING (series)""")
 def tooth_blocks(spark, d):
     v = _labelled(spark, d)
     return N.tooth_blocks(v, N.references(v), least=2)
 
 
-@query(f"""{LAB}{_REFS}{_PARTS}{_JAW}{_TEETH}
-SELECT series, 'coverage' AS section, 1 AS n, {_whole("z_hi - z_lo")} || ' mm high, ' || {_whole("width")} || ' mm wide, ' || {_whole("back_y - front_y")} || ' mm deep; bone ' || voxels || ' mm3' AS line FROM refs
-UNION ALL SELECT series, 'jaw', 1, CASE WHEN coalesce(jaw.voxels, 0) >= 100 THEN jaw.voxels || ' mm3; right ' || "right" || ', left ' || "left" || ' (difference ' || {_whole("difference")} || ' %); mirror overlap ' || {_whole("overlap * 100")} || ' %' ELSE 'not separated' END FROM refs LEFT JOIN jaw USING (series)
-UNION ALL SELECT series, 'parts', n, voxels || ' mm3: ' || position FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS n FROM parts) WHERE n <= 8
-UNION ALL SELECT series, 'teeth', 1, 'upper ' || upper || ' mm3, lower ' || lower || ' mm3' FROM tv""")
-def exam_reading(spark, d):
-    return N.reading(_labelled(spark, d), least_part=4, least_jaw=100, midline=2.0)
+_HOLES = f""", ho AS (SELECT series, x, y, z, i, hu FROM lab WHERE label NOT IN (2, 3, 4) AND hu > -600), a AS (SELECT series, x, y, z FROM lab WHERE label <> 2),
+ou AS (SELECT * FROM (WITH RECURSIVE r(series, z, x, y) AS (SELECT series, z, x, y FROM a WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT b.series, b.z, b.x, b.y FROM r JOIN a b ON r.series = b.series AND r.z = b.z AND abs(b.x - r.x) + abs(b.y - r.y) = 1) SELECT * FROM r)),
+hm AS (SELECT ho.* FROM ho ANTI JOIN ou USING (series, x, y, z)){_joined("hm", "h")}, hc AS (SELECT series, component, count(*) AS voxels, round(avg(hu), 6) AS mean_hu, max(x) - min(x) + 1 AS size_x, max(y) - min(y) + 1 AS size_y, max(z) - min(z) + 1 AS size_z, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM h GROUP BY ALL HAVING count(*) >= 2),
+hp AS (SELECT series, component, hc.voxels, mean_hu, size_x, size_y, size_z, {_POSITION} AS position FROM hc JOIN refs USING (series))"""
+_DENSE = LAB.replace("WHEN hu >= 300 AND y < 4 THEN 2 WHEN hu >= 300 THEN 1", "WHEN hu >= -100 THEN 2")
 
 
-@query(f"""{VOX}, lab AS (SELECT series, x, y, z, hu, (z * 8 + y) * 8 + x AS i, CASE WHEN hu >= 900 THEN 3 WHEN hu >= -100 THEN 2 ELSE 0 END AS label FROM v){_REFS}, ho AS (SELECT series, x, y, z, i, hu FROM lab WHERE label = 0 AND hu > -600), a AS (SELECT series, x, y, z FROM lab WHERE label <> 2),
-ou AS (SELECT * FROM (WITH RECURSIVE r(series, z, x, y) AS (SELECT series, z, x, y FROM a WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT b.series, b.z, b.x, b.y FROM r JOIN a b ON r.series = b.series AND r.z = b.z AND abs(b.x - r.x) + abs(b.y - r.y) = 1) SELECT * FROM r)),
-hm AS (SELECT ho.* FROM ho ANTI JOIN ou USING (series, x, y, z)){_joined("hm", "h")}, hc AS (SELECT series, component, count(*) AS voxels, round(avg(hu), 6) AS mean_hu, max(x) - min(x) + 1 AS size_x, max(y) - min(y) + 1 AS size_y, max(z) - min(z) + 1 AS size_z, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM h GROUP BY ALL HAVING count(*) >= 2)
-SELECT series, component, hc.voxels, mean_hu, size_x, size_y, size_z, {_POSITION} AS position FROM hc JOIN refs USING (series)""")
+@query(f"{_DENSE}{_REFS}{_HOLES} SELECT * FROM hp")
 def low_density(spark, d):
     hu = F.col("hu")
     v = A.voxels(spark, d).withColumn("label", F.when(hu >= 900, 3).when(hu >= -100, 2).otherwise(0))
     return N.low_density(v, N.references(v), least=2, steps=0, air=-600.0, midline=2.0)
 
 
+_JAW_PARTS = f"""{_joined("jw", "jk")}, jc AS (SELECT series, component, count(*) AS voxels, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM jk GROUP BY ALL HAVING count(*) >= 3), jr AS (SELECT *, count(*) OVER (PARTITION BY series) AS parts, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS n FROM jc),
+jp AS (SELECT series, parts, n, jr.voxels, {_POSITION} AS position FROM jr JOIN refs USING (series) WHERE n <= 5 AND parts > 1)"""
+
+
+@query(f"""{LAB}{_REFS}{_PARTS}{_JAW}{_TEETH}{_THIRDS}{_HOLES}, jw AS (SELECT series, x, y, z, i FROM bo WHERE label = 2){_JAW_PARTS}, big AS (SELECT series FROM jaw WHERE voxels >= 100)
+SELECT series, 'coverage' AS section, 1 AS n, {_whole("z_hi - z_lo")} || ' mm high, ' || {_whole("width")} || ' mm wide, ' || {_whole("back_y - front_y")} || ' mm deep; bone ' || voxels || ' mm3' AS line FROM refs
+UNION ALL SELECT series, 'jaw', 1, CASE WHEN coalesce(jaw.voxels, 0) >= 100 THEN jaw.voxels || ' mm3; right ' || "right" || ', left ' || "left" || ' (difference ' || {_whole("difference")} || ' %); mirror overlap ' || {_whole("overlap * 100")} || ' %' ELSE 'not separated' END FROM refs LEFT JOIN jaw USING (series)
+UNION ALL SELECT series, 'jaw_parts', n, voxels || ' mm3: ' || position FROM jp JOIN big USING (series)
+UNION ALL SELECT series, 'jaw_parts', 1, 'continuous' FROM big ANTI JOIN jp USING (series)
+UNION ALL SELECT series, 'low_density', n, voxels || ' mm3, ' || size_x || ' x ' || size_y || ' x ' || size_z || ' mm, mean ' || {_whole("mean_hu")} || ': ' || position FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS n FROM hp JOIN big USING (series)) WHERE n <= 6
+UNION ALL SELECT series, 'symmetry', part + 1, ['lower third', 'middle third', 'upper third'][part + 1] || ': overlap ' || {_whole("overlap * 100")} || ' %; right ' || "right" || ' mm3, left ' || "left" || ' mm3' FROM sy
+UNION ALL SELECT series, 'parts', n, voxels || ' mm3: ' || position FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS n FROM parts) WHERE n <= 8
+UNION ALL SELECT series, 'teeth', 1, 'upper ' || upper || ' mm3, lower ' || lower || ' mm3' FROM tv""")
+def exam_reading(spark, d):
+    return N.reading(_labelled(spark, d), least_part=4, least_jaw=100, midline=2.0, least_hole=2, hole_steps=0, air_hu=-600.0, least_third=20, least_jaw_part=3)
+
+
 _SPREAD = "SELECT m.series, m.x, m.y, m.z, m.i, coalesce(any_value(m.s), min(b.s)) AS s FROM {0} m LEFT JOIN (SELECT *, unnest([1, -1, 8, -8, 64, -64]) AS o FROM {0} WHERE s IS NOT NULL) b ON m.s IS NULL AND b.series = m.series AND m.i = b.i + b.o AND abs(m.x - b.x) + abs(m.y - b.y) + abs(m.z - b.z) = 1 GROUP BY m.series, m.x, m.y, m.z, m.i"
 
 

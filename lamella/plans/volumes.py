@@ -167,10 +167,14 @@ def vessel_regions(spark, d):
     return _rounded(M.regions(M.vessels(v), _dims(v), 2, 1.0))
 
 
-@query(f"{LAB}, {AIR}, {BLOOD} SELECT lab.series, CASE WHEN label <> 0 THEN label WHEN ar.x IS NOT NULL THEN 5 WHEN bl.x IS NOT NULL THEN 6 ELSE 0 END AS label, count(*) AS voxels FROM lab LEFT JOIN ar USING (series, x, y, z) LEFT JOIN bl USING (series, x, y, z) GROUP BY ALL")
+def _kept(mask: str, out: str, least: int) -> str:
+    return f"{_joined(mask, out + 'k')}, {out} AS (SELECT series, x, y, z FROM {out}k QUALIFY count(*) OVER (PARTITION BY series, component) >= {least})"
+
+
+@query(f"{LAB}, {AIR}, {BLOOD}{_kept('ar', 'la', 4)}{_kept('bl', 'lb', 3)} SELECT lab.series, CASE WHEN label <> 0 THEN label WHEN la.x IS NOT NULL THEN 5 WHEN lb.x IS NOT NULL THEN 6 ELSE 0 END AS label, count(*) AS voxels FROM lab LEFT JOIN la USING (series, x, y, z) LEFT JOIN lb USING (series, x, y, z) GROUP BY ALL")
 def label_volumes(spark, d):
     v = _labelled(spark, d)
-    return M.merge_labels(v, M.airways(v, -200), M.vessels(v)).groupBy("series", "label").agg(F.count("*").alias("voxels"))
+    return M.merge_labels(v, M.keep_regions(M.airways(v, -200), 4), M.keep_regions(M.vessels(v), 3)).groupBy("series", "label").agg(F.count("*").alias("voxels"))
 
 
 @query(f"{VOX} SELECT series, x, y, z, CASE WHEN hu >= 1300 THEN greatest(0.05::DOUBLE, hu - 1100.0::DOUBLE + 1) ELSE least(-0.05::DOUBLE, hu - 1100.0::DOUBLE) END AS field FROM v")

@@ -33,7 +33,7 @@ def series_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         k.alias("id"), F.col("p_brand").alias("study"), (F.col("p_size") * 8).alias("frames"), F.when(k % 5 == 0, 96).otherwise(512).alias("rows_"),
         F.when(k % 11 == 0, None).otherwise((k % 9 + 1) * 0.6).alias("spacing"), F.when(k % 13 == 0, None).otherwise((k % 4 + 1) * 0.25).alias("in_plane"),
-        (k % 3).cast("int").alias("axis"), (k % 7 == 0).alias("irregular"), (k % 17 != 0).alias("has_positions"), (k % 6 == 0).alias("lossy"), (k % 19 == 0).alias("derived"),
+        F.when(k % 22 == 0, None).otherwise((k % 5 + 1) * 0.8).alias("thickness"), (k % 3).cast("int").alias("axis"), (k % 7 == 0).alias("irregular"), (k % 17 != 0).alias("has_positions"), (k % 6 == 0).alias("lossy"), (k % 19 == 0).alias("derived"),
     )
 
 

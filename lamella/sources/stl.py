@@ -23,8 +23,8 @@ def stl_bytes(corners: np.ndarray, header: str = "") -> bytes:
 def write_stl(triangles: DataFrame, folder: str, header: str = "") -> DataFrame:
     """Write (series, a, b, c) below ``folder``; returns (series, path, triangles).
 
-    A file is the surface of one exam and is made by one task, under a name of the attempt and then renamed, so that a task
-    which runs again leaves one whole file.
+    A file is the surface of one exam and is made by one task.  Its name bears the attempt, so that a task which runs again never meets
+    an earlier file; the rows returned name the files that count.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -35,10 +35,9 @@ def write_stl(triangles: DataFrame, folder: str, header: str = "") -> DataFrame:
         series = table.column("series")[0].as_py()
         where, at = fs.FileSystem.from_uri(folder)
         where.create_dir(at, recursive=True)
-        name = f"{at}/series-{series}.stl"
-        with where.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}") as out:
+        name = f"{at}/series-{series}-{TaskContext.get().taskAttemptId()}.stl"
+        with where.open_output_stream(name) as out:
             out.write(stl_bytes(np.stack(columns, 1).reshape(-1, 3, 3), header))
-        where.move(f"{name}.{TaskContext.get().taskAttemptId()}", name)
         return pa.table({"series": [series], "path": [name], "triangles": [table.num_rows]})
 
     flat = triangles.select("series", *(F.col(s)[c].alias(f"{s}{c}") for s in "abc" for c in "xyz"))
