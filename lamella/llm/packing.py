@@ -147,7 +147,7 @@ def _again(caps: tuple, weights: tuple, score: str, turn: int):
 
     def run(table: pa.Table) -> pa.Table:
         bins, offset = best_fit(np.asarray(table.column("length")), caps, weights, score)
-        bins += (turn << 59) + (table.column("task")[0].as_py() << 32)
+        bins = -1 - (bins + (turn << 55) + (table.column("task")[0].as_py() << 32))  # below zero: never a sequence of the first packing
         for name, c in (("sequence_id", bins), ("offset", offset)):
             table = table.set_column(table.column_names.index(name), name, pa.array(c))
         return table.drop_columns(["task"])
@@ -156,7 +156,10 @@ def _again(caps: tuple, weights: tuple, score: str, turn: int):
 
 
 def _repack(pieces: DataFrame, caps: tuple, weights: tuple, score: str, rows: int) -> DataFrame:
-    """``pieces`` with those of part-filled sequences packed together, wherever they were made."""
+    """``pieces`` with those of part-filled sequences packed together, wherever they were made.
+
+    Ends when one task has packed all that is left, or when a turn has saved less than a hundredth of the part-filled sequences.
+    """
     kind = pieces.schema
     now, out, turn, tasks, was = pieces, None, 0, 0, 0
     while True:
@@ -165,7 +168,9 @@ def _repack(pieces: DataFrame, caps: tuple, weights: tuple, score: str, rows: in
         open_ = now.join(low, "sequence_id", "left_semi")
         state = open_.agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("m")).first()
         # ``m`` counts the sequences that are still part-filled: some of those dealt are full now, or none were saved
-        if state["m"] < 2 or tasks == 1 or turn and state["m"] > 0.99 * was or turn == 7:
+        if turn > 250:
+            raise RuntimeError("packing: part-filled sequences fall without end")
+        if state["m"] < 2 or tasks == 1 or turn and state["m"] > 0.99 * was:
             return now if out is None else out.unionByName(now)
         full = now.join(low, "sequence_id", "left_anti").select(*kind.names)
         out = full if out is None else out.unionByName(full)

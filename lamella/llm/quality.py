@@ -186,7 +186,7 @@ _NAMES = [f.split()[0] for f in _STATE.split(", ")]
 _ADDED = [f"a{i}" for i in range(P)]
 
 
-def _fit(factors: tuple[float, ...], last: bool, least: float):
+def _fit(factors: tuple[float, ...], least: float):
     """Sums of each group and start, beside what they were picked by, to the next estimate: ``done`` where the determinant falls no
     more and the old one stays.  ``factors``: for consistency, by the number of features that show a spread."""
 
@@ -197,7 +197,7 @@ def _fit(factors: tuple[float, ...], last: bool, least: float):
                 added = np.asarray([r[a] for a in _ADDED])
                 m, inv, det = estimate(float(r["n"]), np.asarray([r[f"s{i}"] for i in range(P)]), square([r[f"q{i}{j}"] for i, j in PAIRS]), added, factors[r["df"]])
                 if det < r["det"] - least:
-                    r |= dict(zip(M, m, strict=True)) | dict(zip(V, upper(inv), strict=True)) | {"det": det, "done": last}
+                    r |= dict(zip(M, m, strict=True)) | dict(zip(V, upper(inv), strict=True)) | {"det": det}
                 else:
                     r["done"] = True
                 out.append([r[n] for n in _NAMES])
@@ -258,7 +258,7 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 100, floor: tuple[float,
     """(g, m0.., v00.., det) of each group ``g`` of features x0..: mean, and of the inverse covariance the entries of ``PAIRS``.
 
     The covariance is corrected for consistency at the normal distribution.  Each start takes steps until its determinant falls no
-    more; ``steps`` only guards against an endless run and is far beyond what any takes.
+    more; where ``steps`` do not suffice for one, RuntimeError is raised.
     """
     factors = tuple(consistency(h, max(df, 1)) for df in range(P + 1))
     begin = _begin(rows, h, floor)
@@ -270,18 +270,20 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 100, floor: tuple[float,
     first = signed.groupBy("g").agg(*_sums(), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}{j}") for i, j in PAIRS))
     now, found = materialize(first.join(begin, "g").mapInPandas(_starts(), _STATE), "mcd-start"), []
     w = W.partitionBy("g", "s")
-    for k in range(steps):
+    for _ in range(steps):
         # squared distance under each start's estimate, in steps of its logarithm
         d2 = distance2(X, M, dict(zip(PAIRS, V, strict=True)))
         scored = rows.join(near(now.select("g", "s", *M, *V)), "g").select("g", "s", *X, F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * STEP).cast("int").alias("step"))
         by_step = scored.groupBy("g", "s", "step").agg(*_sums())
         by_step = by_step.withColumns({"before": F.sum("n").over(w.orderBy("step")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("before") < F.ceil(F.col("all") * h))
         sums = by_step.groupBy("g", "s").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS))))
-        now = materialize(sums.join(now, ["g", "s"]).mapInPandas(_fit(factors, k + 1 == steps, TOL), _STATE), "mcd-step")
+        now = materialize(sums.join(now, ["g", "s"]).mapInPandas(_fit(factors, TOL), _STATE), "mcd-step")
         found.append(now.where("done"))
         now = now.where("not done")
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError(f"mcd: no fixpoint after {steps} steps")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

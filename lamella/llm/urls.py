@@ -3,7 +3,11 @@
 URLs that a rule fits are labelled by it; at most ``sample`` of them, those with the smallest hashes, train the trees
 (Spark's own), which judge the URLs that no rule fits.  Features: lengths, depth, labels of the host, ratio of digits, entropy
 of characters, numbers of parameters, hyphens and capitals, kind of file ending, and how the labelled URLs of the same
-host suffix (last label), and those with the same first segment of the path, are judged, smoothed.
+host suffix (last label), and those with the same first segment of the path, are judged, smoothed; -1 where none is labelled.
+
+A training URL's statistics leave out the labels of its fold of hosts, all of a host's URLs being in one of ``FOLDS`` folds: leaving out its
+own label alone would tell it.  Each training URL is fitted three times, also as if its suffix and as if its segment had no
+labelled URL, so that the trees have met what they will judge by on a suffix that no rule speaks of.
 
 Cases: a null URL or one without ``://`` has empty host and path and is judged by the trees; without labelled
 URLs of both verdicts there is no model, and ``default`` is the verdict; null ids and rows that repeat get a verdict
@@ -18,11 +22,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import SMALL_ROWS, join_hot, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: most labelled URLs that the trees are fitted on
-SAMPLE = 20_000
+#: most labelled URLs that the trees are fitted on, and folds of hosts
+SAMPLE, FOLDS = 20_000, 5
+STATS = ("suffix", "segment")
 #: (verdict, host and path): a rule fits its host and all subdomains of it
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -73,38 +78,53 @@ def features(url: Column, host: Column, path: Column, rest: Column) -> dict[str,
 
 
 def prepare(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
-    """id, host, path, rule, ruled (the rule's verdict), suffix and features of each row."""
+    """id, host, path, rule, ruled (the rule's verdict), suffix, segment, fold and features of each row."""
     host, path, rest = parts(F.col(url_col))
     d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     d = d.withColumn("m", matched(F.col("host"), F.col("path"), rules))
     made = features(*(F.col(c) for c in ("url", "host", "path", "rest")))
-    return d.select("id", "url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), F.regexp_extract("path", "^/([^/]*)", 1).alias("segment"), *(c.alias(n) for n, c in made.items()))
+    return d.select("id", "url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), F.regexp_extract("path", "^/([^/]*)", 1).alias("segment"), F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"), *(c.alias(n) for n, c in made.items()))
+
+
+def statistics(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For suffixes and segments: (value, rows, blocked, n), the last two of labelled rows, and both again for each fold as arrays."""
+    out = []
+    for c in STATS:
+        block, known = (F.col("ruled") == "block").cast("double"), F.col("ruled").isNotNull()
+        own = [F.sum(F.when(known & (F.col("fold") == k), e)).alias(f"{name}{k}") for name, e in (("b", block), ("n", F.lit(1.0))) for k in range(FOLDS)]
+        g = prepared.groupBy(c).agg(F.count("*").alias("rows"), F.sum(F.when(known, block)).alias("blocked"), F.count("ruled").cast("double").alias("n"), *own)
+        folds = [F.array(*(F.coalesce(f"{name}{k}", F.lit(0.0)) for k in range(FOLDS))).alias(f"{name}s") for name in "bn"]
+        out.append(materialize(g.where("n > 0").select(c, "rows", "blocked", "n", *folds), f"url-{c}"))
+    return tuple(out)
 
 
 def fit(prepared: DataFrame, sample: int = SAMPLE, rounds: int = 15, depth: int = 4):
-    """(model, statistics of suffixes and segments) from the labelled rows, or (None, None) where they hold one verdict only."""
-    labelled = prepared.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    stats = tuple(materialize(labelled.groupBy(c).agg(F.sum("label").alias(f"{c}_blocked"), F.count("*").cast("double").alias(f"{c}_n")), f"url-{c}") for c in ("suffix", "segment"))
-    train = labelled.orderBy(F.xxhash64("url"), "url", "id").limit(sample)
-    train = materialize(with_stats(train, stats), "url-sample")
+    """(model, statistics of suffixes and segments) from the labelled rows; the model is None where they hold one verdict only."""
+    stats = statistics(prepared)
+    train = prepared.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
+    train = train.orderBy(F.xxhash64("url"), "url", "id").limit(sample)
+    train = materialize(with_stats(materialize(train, "url-sample"), stats, True), "url-train")
     if train.select("label").distinct().count() < 2:
         return None, stats
     names = [c for c in train.columns if c.startswith("f_")]
+    every = train
+    for c in STATS:
+        every = every.unionByName(train.withColumns({f"f_{c}": F.lit(-1.0), f"f_{c}_seen": F.lit(0.0)}))
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), gbt]).fit(train), stats
-
-
-def with_stats(prepared: DataFrame, stats: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Suffix and segment statistics joined on; a labelled URL's own label is left out of its own, so that they tell nothing of it.
-
-    What has no other labelled URLs has even odds and none seen.
-    """
-    own = F.col("ruled").isNotNull().cast("double")
-    for c, table in zip(("suffix", "segment"), stats, strict=True):
-        d = join_small(prepared, table, c, "left")
-        n = F.coalesce(f"{c}_n", F.lit(0.0)) - own
-        blocked = F.coalesce(f"{c}_blocked", F.lit(0.0)) - own * (F.coalesce("ruled", F.lit("")) == "block").cast("double")
-        prepared = d.withColumns({f"f_{c}": (blocked + 1) / (n + 2), f"f_{c}_seen": F.log1p(n)}).drop(f"{c}_n", f"{c}_blocked")
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), gbt]).fit(every), stats
+
+
+def with_stats(prepared: DataFrame, stats: tuple[DataFrame, DataFrame], training: bool = False) -> DataFrame:
+    """Suffix and segment statistics joined on; those of ``training`` rows leave their own fold out.  ``prepared`` is a written table."""
+    for k, (c, table) in enumerate(zip(STATS, stats, strict=True)):
+        if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+            d = prepared.join(F.broadcast(table.drop("rows")), c, "left")
+        else:  # values of very many rows are broadcast, the others shuffled
+            d = join_hot(prepared if k == 0 else materialize(prepared, "url-stats"), table, [c], "rows", "left")
+        n, blocked = F.coalesce("n", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
+        if training:
+            n, blocked = n - F.coalesce(F.col("ns")[F.col("fold")], F.lit(0.0)), blocked - F.coalesce(F.col("bs")[F.col("fold")], F.lit(0.0))
+        prepared = d.withColumns({f"f_{c}": F.when(n > 0, (blocked + 1) / (n + 2)).otherwise(-1.0), f"f_{c}_seen": F.log1p(n)}).drop("n", "blocked", "ns", "bs")
     return prepared
 
 

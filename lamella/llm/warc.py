@@ -244,7 +244,7 @@ def read_archives(folder: str, manifest: DataFrame, compress: bool = True, block
     """
     spark = manifest.sparkSession
     blocks = manifest.where("bytes > 0").select("file", "name", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block_bytes))).alias("block"))
-    parts = max(1, blocks.count())
+    parts = max(1, blocks.count())  # tasks are bounded, so that a task scans several blocks, one after another, of very large stores
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(blocks.repartition(max(least, min(parts, 10_000)), "file", "block").mapInArrow(_scan(folder, block_bytes, compress), RECORD), "warc-candidates")
     most = manifest.agg(F.max("bytes")).first()[0] or 0

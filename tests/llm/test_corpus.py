@@ -663,18 +663,50 @@ def test_urls_against_rules_tried_one_by_one(spark, sf):
     assert urls.judge_urls(rows.where("false")).count() == 0
 
 
-def test_statistics_leave_a_rows_own_label_out(spark):
-    d = spark.createDataFrame([(1, "net", "es", "block"), (2, "net", "es", "block"), (3, "net", "de", None), (4, "org", "es", "allow")], "id int, suffix string, segment string, ruled string")
-    stats = [spark.createDataFrame(rows, f"{c} string, {c}_blocked double, {c}_n double") for c, rows in (("suffix", [("net", 2.0, 2.0), ("org", 0.0, 1.0)]), ("segment", [("es", 2.0, 3.0)]))]
-    got = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6)) for r in urls.with_stats(d, stats).collect()}
-    assert got == {1: (round(2 / 3, 6), 0.5), 2: (round(2 / 3, 6), 0.5), 3: (0.75, 0.5), 4: (0.5, 0.75)}
-
-
-def test_trees_on_held_out_urls(spark, sf):
-    p = urls.prepare(spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/pages.parquet"), "page_id", "url", urls.RULES)
-    model, stats = urls.fit(p.where("id % 2 = 0"))
-    r = model.transform(urls.with_stats(p.where("id % 2 = 1 and ruled is not null"), stats)).select(F.avg(((F.col("prediction") > 0.5) == (F.col("ruled") == "block")).cast("double"))).first()[0]
-    assert r > 0.85
+def test_statistics_leave_the_fold_of_hosts_out(spark):
+    rows = [(1, "net", "es", "block", 0), (2, "net", "es", "block", 1), (3, "net", "de", None, 0), (4, "org", "es", "allow", 1), (5, "com", "fr", None, 2)]
+    d = common.materialize(spark.createDataFrame(rows, "id int, suffix string, segment string, ruled string, fold int"), "urls")
+    stats = urls.statistics(d)
+    own = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6)) for r in urls.with_stats(d, stats, True).collect()}
+    assert own[1] == (round(2 / 3, 6), 0.5) and own[2] == (round(2 / 3, 6), round(2 / 3, 6)) and own[4] == (-1, round(2 / 3, 6))
+    got = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6), r.f_suffix_seen > 0) for r in urls.with_stats(d, stats).collect()}
+    assert got[3] == (0.75, -1, True) and got[5] == (-1, -1, False) and got[4] == (round(1 / 3, 6), 0.6, True)
+
+
+def test_hot_suffixes_and_segments_are_broadcast(spark, monkeypatch):
+    d = common.materialize(spark.createDataFrame([(i, "net" if i % 3 else f"s{i}", f"p{i % 50}", "block" if i % 2 else "allow", i % 5) for i in range(400)], "id int, suffix string, segment string, ruled string, fold int"), "urls")
+    stats = urls.statistics(d)
+    columns = ["id", "f_suffix", "f_suffix_seen", "f_segment", "f_segment_seen"]
+    small = sorted(map(tuple, urls.with_stats(d, stats).select(*columns).collect()))
+    monkeypatch.setattr(urls, "SMALL_ROWS", 3)
+    assert sorted(map(tuple, urls.with_stats(d, stats).select(*columns).collect())) == small and len(small) == 400
+
+
+def test_trees_on_held_out_hosts(spark, sf):
+    """Whole hosts are left out of training; verdicts where no rule fits follow the URL and not its suffix alone."""
+    pages = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/pages.parquet")
+    p = common.materialize(urls.prepare(pages, "page_id", "url", urls.RULES), "urls")
+    model, stats = urls.fit(p.where("fold > 0"))
+    held = model.transform(urls.with_stats(p.where("fold = 0 and ruled is not null"), stats))
+    assert held.select(F.avg(((F.col("prediction") > 0.5) == (F.col("ruled") == "block")).cast("double"))).first()[0] > 0.9
+    open_ = urls.judge_urls(pages).where("rule is null").groupBy(F.substring_index("host", ".", -1).alias("suffix"), "verdict").count().collect()
+    assert {(r.suffix, r.verdict) for r in open_} >= {("net", "block"), ("org", "allow"), ("org", "block")}
+
+
+def test_trees_on_a_suffix_without_labels(spark):
+    """What makes a URL bad is in its letters; of the suffix that is judged no URL is labelled."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        bad, suffix = rng.random() < 0.4, rng.choice(["one", "two", "three"])
+        name = "".join(rng.choices("0123456789-" if bad else "abcdefgh", k=12))
+        rows.append((i, f"http://{name}.{suffix}/{'p?a=1&b=2&c=3' if bad else 'page'}{i}", "block" if bad else "allow"))
+    d = spark.createDataFrame(rows, "page_id long, url string, truth string")
+    p = urls.prepare(d, "page_id", "url", urls.RULES).drop("ruled").join(d.select(F.col("page_id").alias("id"), "truth"), "id")
+    p = common.materialize(p.withColumn("ruled", F.when(F.col("suffix") != "three", F.col("truth"))), "urls")
+    model, stats = urls.fit(p)
+    got = model.transform(urls.with_stats(p.where("suffix = 'three'"), stats))
+    assert got.select(F.avg(((F.col("prediction") > 0.5) == (F.col("truth") == "block")).cast("double"))).first()[0] > 0.95
 
 
 @pytest.mark.parametrize("compress", [False, True])
