@@ -8,9 +8,10 @@
    documents share hardly makes lists, as its documents have rarer values.
 3. Each list first compares its members with its smallest only: the union sketch estimates the similarity, full sets decide.
    Components of these links get labels.
-4. Lists that still hold several labels are compared pair by pair within tasks, in blocks, each pair of different labels in the
-   first list that it shares: the union sketch filters, full sets decide.  Only a spanning forest of the links leaves a task.
-   So a group of near copies costs what its members cost; what remains to compare are texts that share rare values and are not linked.
+4. Members of lists that still hold several labels are compared pair by pair within tasks, in blocks: in their component of such
+   lists, or, where its lists have fewer pairs than it has, in the first list that a pair shares.  Overlaps of retained values and the union
+   sketch filter, full sets decide, as matrix products where most pairs are candidates.  Only a spanning forest of the links leaves a
+   task.  So a group of near copies costs what its members cost; what remains to compare shares rare values and is not linked.
 5. Connected components of all links are the result.
 
 Result per document: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept`` (it is its own).
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .collocations import LOWER
 from .common import connected_components, join_hot, materialize, tune
-from .ngram_join import _digests, shingle_sets
+from .ngram_join import _digests, _overlaps, shingle_sets
 
 #: Retained values; members of a block, and rows and shingles of a task, about.
-KEEP, BLOCK = 32, 256
+KEEP, BLOCK, BLOCK_SHINGLES = 32, 1024, 1 << 20
 TASK_ROWS, TASK_SHINGLES = 2048, 1 << 22
 DIGEST = ["d1", "d2", "n_shingles"]
 
@@ -130,6 +131,9 @@ class _Rows:
         ok[at] = union_shares(self.sketch[i[at]], self.sketch[j[at]], self.k) >= need
         return ok
 
+    def retained(self, i: int) -> np.ndarray:
+        return self.sketch[i, : self.kept[i]]
+
     def alike(self, i: int, j: int, least: int) -> bool:
         x, y = self.shingles(i), self.shingles(j)
         if len(x) > len(y):
@@ -167,15 +171,16 @@ def _against_lead(least: int, overlap: int, k: int):
     return run
 
 
-def _within_lists(least: int, overlap: int, k: int):
-    """Each unit (list, pair of blocks): a spanning forest of the links between members of different labels."""
+def _within_units(least: int, overlap: int, k: int, strip: int = 256):
+    """Each unit (a component or a list, and a pair of its blocks): a spanning forest of the links between members of different labels."""
 
     def run(table: pa.Table) -> pa.Table:
         r = _Rows(table, k)
-        node, label, block, value = (r.column[c] for c in ("node", "label", "block", "value"))
+        node, label, block, unit, whole = (r.column[c] for c in ("node", "label", "block", "unit", "whole"))
         p, q = r.column["p"], r.column["q"]
-        order = np.lexsort((node, q, p, value))
-        new = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (value, p, q)], axis=0))
+        key = (unit, whole.astype(np.int64), p, q)
+        order = np.lexsort((node, *key[::-1]))
+        new = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in key], axis=0))
         out, parent = [], {}
 
         def root(x):
@@ -186,18 +191,35 @@ def _within_lists(least: int, overlap: int, k: int):
 
         for rows in np.split(order, new[1:]):
             first = rows[0]
+            same = p[first] == q[first]
             left = rows[block[rows] == p[first]]
-            right = left if p[first] == q[first] else rows[block[rows] == q[first]]
-            for at in range(0, len(left), 64):  # a strip of rows at a time
-                i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
-                ask = (label[i] != label[j]) & ((node[i] < node[j]) | (p[first] != q[first]))
-                i, j = i[ask], j[ask]
-                ok = r.likely(i, j, least, overlap)
-                for x, y in zip(i[ok], j[ok], strict=True):
-                    a, b = root(int(label[x])), root(int(label[y]))
-                    if a != b and r.first_shared(x, y) == int(np.int64(value[first]).view(np.uint64)) and r.alike(x, y, least):
-                        parent[max(a, b)] = min(a, b)
-                        out.append((int(label[x]), int(label[y])))
+            right = left if same else rows[block[rows] == q[first]]
+            for at in range(0, len(left), strip):
+                i = left[at : at + strip]
+                ask = label[i][:, None] != label[right][None, :]
+                if same:
+                    ask &= node[i][:, None] < node[right][None, :]
+                a, b = r.size[i][:, None], r.size[right][None, :]
+                ask &= np.minimum(a, b) * 100 >= least * np.maximum(a, b)
+                if not ask.any():
+                    continue
+                need = np.maximum(1, np.minimum(r.kept[i][:, None], r.kept[right][None, :]) * overlap // k)
+                ask &= _overlaps([r.retained(x) for x in i], [r.retained(x) for x in right], ask) >= need
+                x, y = np.nonzero(ask)
+                for lo in range(0, len(x), 1 << 16):
+                    u, v = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+                    ask[u, v] = union_shares(r.sketch[i[u]], r.sketch[right[v]], k) >= need[u, v]
+                if not whole[first]:  # in a list only the pairs whose first shared list it is
+                    own = int(np.int64(unit[first]).view(np.uint64))
+                    for u, v in zip(*np.nonzero(ask), strict=True):
+                        ask[u, v] = r.first_shared(i[u], right[v]) == own
+                both = _overlaps([r.shingles(u) for u in i], [r.shingles(v) for v in right], ask)
+                for u, v in zip(*np.nonzero(ask & (100 * both >= least * (a + b - both))), strict=True):
+                    s, t = int(label[i[u]]), int(label[right[v]])
+                    m, n = root(s), root(t)
+                    if m != n:
+                        parent[max(m, n)] = min(m, n)
+                        out.append((s, t))
         return _links(out)
 
     return run
@@ -243,13 +265,24 @@ def links(heads: DataFrame, text: DataFrame, n: int, least: int, k: int, block:
 
     label = materialize(connected_components(near, "sketch-labels"), "sketch-labels")
     labelled = materialize(listed.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).select("node", "n_shingles", "value", "label"), "sketch-labelled")
-    several = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    several = materialize(several.select("value", "m", F.ceil(F.col("m") / block).alias("blocks")), "sketch-several")
-    rest = join_hot(labelled, several, ["value"], "m").withColumn("block", spread("blocks", "node"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = materialize(rest.select("node", "n_shingles", "value", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")), "sketch-rest")
-    dealt = rest.withColumn("task", F.pmod(F.xxhash64("value", "p", "q"), F.lit(_tasks(rest)))).drop("n_shingles").join(sets, "node")
-    far = materialize(dealt.groupBy("task").applyInArrow(_within_lists(least, overlap, k), "a long, b long"), "sketch-links")
+    several = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead"), F.count("*").alias("m"), F.sum("n_shingles").alias("total")).where("lo < hi")
+    several = materialize(several.select("value", "lead", "m", "total"), "sketch-several")
+    rest = materialize(join_hot(labelled, several.select("value", "lead", F.col("m").alias("w")), ["value"], "w"), "sketch-rest")
+    comps = materialize(connected_components(rest.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "sketch-candidates"), "sketch-candidates")
+    members = rest.select("node", "n_shingles", "label").distinct().join(comps, "node")
+    size = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total"))
+    cost = several.join(comps.withColumnRenamed("node", "lead"), "lead").groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    size = materialize(size.join(cost, "component").withColumn("whole", (F.col("m") <= block) | (F.col("m") * F.col("m") <= F.col("cost"))), "sketch-sizes")
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+    members = materialize(members, "sketch-members")
+    by_component = join_hot(members, size.where("whole").select("component", blocks, "m"), ["component"], "m").select("node", "n_shingles", "label", F.col("component").alias("unit"), F.lit(1).alias("whole"), "blocks")
+    loose = several.join(comps.withColumnRenamed("node", "lead"), "lead").join(size.where("not whole").select("component"), "component", "left_semi")
+    by_list = join_hot(rest, materialize(loose.select("value", blocks, "m"), "sketch-loose"), ["value"], "m").select("node", "n_shingles", "label", F.col("value").alias("unit"), F.lit(0).alias("whole"), "blocks")
+    every = by_component.unionByName(by_list).withColumn("block", spread("blocks", "node"))
+    every = every.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = materialize(every.select("node", "n_shingles", "label", "unit", "whole", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")), "sketch-pairs")
+    dealt = every.withColumn("task", F.pmod(F.xxhash64("unit", "whole", "p", "q"), F.lit(_tasks(every)))).drop("n_shingles").join(sets, "node")
+    far = materialize(dealt.groupBy("task").applyInArrow(_within_units(least, overlap, k), "a long, b long"), "sketch-links")
     return near.unionByName(far)
 
 

@@ -147,7 +147,7 @@ def near_rows(seed=2):
     return out + [(200 + i, t) for i, t in enumerate(ODD)]
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [1024, 4])
 def test_bottomk(spark, block):
     data = near_rows()
     d = spark.createDataFrame([(i, t, 1, "x") for i, t in data], "doc_id long, text string, n_shingles int, node string").repartition(4)
