@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cross, dot
+from ..functions.scalar import cross, dot, normalize
 from .resample import gaps
 
 FIRST = ("rows_", "cols", "rx", "ry", "rz", "cx", "cy", "cz", "ps0", "ps1", "thickness")
@@ -24,7 +24,9 @@ def obliquity(nx: Column, ny: Column, nz: Column) -> Column:
 def firsts(slices: DataFrame) -> DataFrame:
     """One row a series: the header of its first slice, with f before each name, and the normal nx, ny, nz."""
     f = slices.groupBy("series").agg(F.min_by(F.struct(*FIRST), "at").alias("f")).select("series", *(F.col(f"f.{c}").alias(f"f{c}") for c in FIRST))
-    normal = cross([F.col(f"fr{c}") for c in "xyz"], [F.col(f"fc{c}") for c in "xyz"])
+    row, col = (normalize([F.col(f"f{k}{c}") for c in "xyz"]) for k in "rc")
+    f = f.withColumns({f"f{k}{c}": e for k, v in zip("rc", (row, col), strict=True) for c, e in zip("xyz", v, strict=True)})
+    normal = normalize(cross([F.col(f"fr{c}") for c in "xyz"], [F.col(f"fc{c}") for c in "xyz"]))
     return f.withColumns(dict(zip(("nx", "ny", "nz"), normal, strict=True)))
 
 
@@ -48,17 +50,29 @@ def assemble(slices: DataFrame) -> DataFrame:
     return n.join(g, "series").select("series", "placed", "kept", "slices", (F.col("kept") - F.col("slices")).alias("duplicates"), spacing.alias("spacing"), "least", "most", F.coalesce(odd, F.lit(False)).alias("irregular"), "oblique")
 
 
+def geometry(slices: DataFrame) -> DataFrame:
+    """(series, sx, sy, sz, origin, direction): mm between columns, rows and slices, the place of the lowest slice (zeros without
+    positions), and nine cosines: those of the rows, of the columns and of the normal."""
+    k = keyed(slices)
+    at = F.when(F.col("placed"), F.array("px", "py", "pz")).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    first = k.groupBy("series").agg(F.min_by(at, F.struct("z", "at")).alias("origin"))
+    nine = F.array(*(F.col(f"f{a}{c}") for a in "rc" for c in "xyz"), "nx", "ny", "nz")
+    f = firsts(slices).select("series", F.col("fps1").alias("sx"), F.col("fps0").alias("sy"), nine.alias("direction"))
+    return f.join(assemble(slices).select("series", F.col("spacing").alias("sz")), "series").join(first, "series").select("series", "sx", "sy", "sz", "origin", "direction")
+
+
 def summarize(slices: DataFrame) -> DataFrame:
-    """(series, images, frames, middle, nx, ny, nz, x0 to z1): counts, the middle slice's place in the input, normal and box.
+    """(series, images, frames, middle, middle_frame, nx, ny, nz, x0 to z1): counts, the middle slice's place in the input, normal and box.
 
-    The box holds the four corners of each slice that has a position; one file of several frames reaches to its last frame.
+    The box holds the four corners of each slice that has a position; one file of several frames reaches to its last frame, by ``step``
+    (where there is such a column) or the slices' thickness, and has a middle frame.
     """
     f = firsts(slices)
     n = slices.groupBy("series").agg(F.count("*").alias("images"), F.sum("frames").alias("frames"))
     order = slices.select("series", "at", F.row_number().over(W.partitionBy("series").orderBy("instance", "at")).alias("r")).join(n, "series")
-    middle = order.where(F.col("r") == F.floor(F.col("images") / 2) + 1).select("series", "images", "frames", F.col("at").alias("middle"))
+    middle = order.where(F.col("r") == F.floor(F.col("images") / 2) + 1).select("series", "images", "frames", F.col("at").alias("middle"), F.when((F.col("images") == 1) & (F.col("frames") > 1), F.floor(F.col("frames") / 2)).alias("middle_frame"))
     p = slices.where("px is not null").join(f, "series").join(n.select("series", "images", F.col("frames").alias("all")), "series")
-    step = F.coalesce("thickness", F.lit(1.0)) * (F.col("frames") - 1)
+    step = F.coalesce(*(["step"] if "step" in slices.columns else []), "thickness", F.lit(1.0)) * (F.col("frames") - 1)
     reach = F.explode(F.when((F.col("images") == 1) & (F.col("all") > 1), F.array(F.lit(0.0), step)).otherwise(F.array(F.lit(0.0))))
     p = p.withColumn("reach", reach).withColumn("u", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.explode(F.array(F.lit(0), F.lit(1))))
     corner = {c: F.col(f"p{c}") + F.col(f"n{c}") * F.col("reach") + F.col(f"fr{c}") * F.col("u") * F.col("fcols") * F.col("fps1") + F.col(f"fc{c}") * F.col("w") * F.col("frows_") * F.col("fps0") for c in "xyz"}

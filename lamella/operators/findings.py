@@ -191,7 +191,7 @@ def reading(v: DataFrame, metal: DataFrame | None = None, air: DataFrame | None
     t = tooth_blocks(v, refs)
     tooth = lines(t, "teeth", 1, F.concat(F.lit("upper "), text("upper"), F.lit(" mm3, lower "), text("lower"), F.lit(" mm3")))
     out += [several, whole_jaw, holes, mirror, parts, tooth]
-    where = refs.drop("voxels", "aligned")
+    where = refs.select("series", "mid_x", "bite_z", "front_y", "z_lo")
     if metal is not None:
         out.append(lines(metal_near(metal, v, where, midline=midline), "metal", F.col("n"), F.col("line")))
     if air is not None:

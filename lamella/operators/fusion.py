@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bricks import AXES, BRICK, box, column, deal
+from ..functions.bricks import AXES, BRICK, column, deal, kind
 from ..functions.scalar import to_int16
 from .views import fusion_grid, index_map
 
@@ -23,8 +23,7 @@ FLOOR, REACH, REACH_PIXELS, NOTHING = 0.02, 0.6, 1.5, -1024
 
 def bricked(v: DataFrame, side: int = SIDE) -> DataFrame:
     """(series, bx, by, bz, values) of voxel rows (series, x, y, z, hu): 16-bit values of a brick with its halo, x first; places without a voxel are null."""
-    schema = pa.schema([("series", pa.int64()), *((b, pa.int32()) for b in BRICK), ("values", pa.list_(pa.int32()))])
-    wide = side + 1
+    wide, names = side + 1, ["series", *BRICK, "values"]
 
     def run(table: pa.Table) -> pa.Table:
         b = [table.column(n)[0].as_py() for n in BRICK]
@@ -33,10 +32,10 @@ def bricked(v: DataFrame, side: int = SIDE) -> DataFrame:
         at = (z * wide + y) * wide + x
         values[at], there[at] = column(table, "hu"), True
         own = pa.array(values, mask=~there)
-        return pa.table([pa.array([table.column("series")[0].as_py()]), *(pa.array([k], pa.int32()) for k in b), pa.ListArray.from_arrays(pa.array([0, wide**3], pa.int32()), own)], schema=schema)
+        return pa.table([table.column("series").slice(0, 1), *(pa.array([k], pa.int32()) for k in b), pa.ListArray.from_arrays(pa.array([0, wide**3], pa.int32()), own)], names=names)
 
-    d = v.select(F.col("series").cast("long").alias("series"), *AXES, F.col("hu").cast("int").alias("hu"))
-    return deal(d, side, after=1).groupBy("series", *BRICK).applyInArrow(run, "series long, bx int, by int, bz int, values array<int>")
+    d = v.select("series", *AXES, F.col("hu").cast("int").alias("hu"))
+    return deal(d, side, after=1).groupBy("series", *BRICK).applyInArrow(run, f"series {kind(v, 'series')}, bx int, by int, bz int, values array<int>")
 
 
 def _mapped(m, at):
@@ -70,14 +69,12 @@ def fuse(grids: DataFrame, maps: DataFrame, voxels: DataFrame, side: int = SIDE)
     targets = grids
     for c in AXES:
         targets = targets.withColumn(f"t{c}", F.explode(F.sequence(F.lit(0), F.floor((F.col(f"g{c}") - 1) / side).cast("int"))))
-    wanted = _wanted(targets, maps.withColumn("series", F.col("series").cast("long")), side)
+    wanted = _wanted(targets, maps, side)
     key = ["study", "tx", "ty", "tz"]
     held = wanted.join(bricked(voxels, side), ["series", *BRICK])
     size = [f"g{c}" for c in AXES]
     # a grid's bricks that meet no series are there too
     every = targets.select(*key, *size).join(held.select(*key, *BRICK, "series", "nx", "ny", "nz", "sz", "sigma", "m", "values"), key, "left")
-    study = pa.int64() if grids.schema["study"].dataType.simpleString() == "bigint" else pa.int32()
-    schema = pa.schema([("study", study), *((c, pa.int32()) for c in AXES), ("value", pa.float64())])
     wide = side + 1
 
     def run(table: pa.Table) -> pa.Table:
@@ -86,11 +83,9 @@ def fuse(grids: DataFrame, maps: DataFrame, voxels: DataFrame, side: int = SIDE)
         last = [min(f + side, table.column(g)[0].as_py()) for f, g in zip(first, size, strict=True)]
         z, y, x = (g.ravel() for g in np.meshgrid(*(np.arange(first[k], last[k]) for k in (2, 1, 0)), indexing="ij"))
         total, weight = np.zeros(len(x)), np.zeros(len(x))
-        order = np.argsort(table.column("series").fill_null(-1).to_numpy(), kind="stable")
-        for r in order.tolist():
-            row = {c: table.column(c)[r].as_py() for c in ("series", "nx", "ny", "nz", "sz", "sigma", "m", *BRICK)}
-            if row["series"] is None:
-                continue
+        series = table.column("series").to_pylist()
+        for r in sorted((r for r, name in enumerate(series) if name is not None), key=series.__getitem__):
+            row = {c: table.column(c)[r].as_py() for c in ("nx", "ny", "nz", "sz", "sigma", "m", *BRICK)}
             u, v, w = _mapped(row["m"], (x, y, z))
             ok = (u >= 0) & (v >= 0) & (w >= -0.5) & (u <= row["nx"] - 1) & (v <= row["ny"] - 1) & (w <= row["nz"] - 0.5)
             w = np.clip(w, 0, row["nz"] - 1)
@@ -115,10 +110,10 @@ def fuse(grids: DataFrame, maps: DataFrame, voxels: DataFrame, side: int = SIDE)
             weight[at] += own
         with np.errstate(invalid="ignore", divide="ignore"):
             value = np.where(weight > 0, total / weight, float(NOTHING))
-        columns = [np.full(len(x), table.column("study")[0].as_py()), x, y, z, value]
-        return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+        study = pa.array([table.column("study")[0].as_py()] * len(x), table.schema.field("study").type)
+        return pa.table([study, *(pa.array(c, pa.int32()) for c in (x, y, z)), pa.array(value)], names=["study", *AXES, "value"])
 
-    d = every.groupBy(*key).applyInArrow(run, f"study {grids.schema['study'].dataType.simpleString()}, x int, y int, z int, value double")
+    d = every.groupBy(*key).applyInArrow(run, f"study {kind(grids, 'study')}, x int, y int, z int, value double")
     return d.withColumn("value", to_int16(F.round("value", 9)))
 
 

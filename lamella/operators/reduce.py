@@ -72,8 +72,14 @@ def percentile(v: DataFrame, p: float, value: str = "hu", key: str = "series") -
     return ranked(v, F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), value, key).withColumnRenamed("v", "p")
 
 
-def metal_thresholds(v: DataFrame, value: str, key: str) -> DataFrame:
-    """Seed and low thresholds where the top of the range stands far off, else null."""
+#: fixed values: thresholds of metal in calibrated units
+METAL_SEED, METAL_LOW = 3000.0, 2200.0
+
+
+def metal_thresholds(v: DataFrame, value: str, key: str, calibrated: bool = False) -> DataFrame:
+    """Seed and low thresholds of metal: fixed in calibrated units, else by the range where its top stands far off, else null."""
+    if calibrated:
+        return v.select(key).distinct().select(key, F.lit(METAL_SEED).alias("seed"), F.lit(METAL_LOW).alias("low"))
     p50 = percentile(v, 50, value, key).withColumnRenamed("p", "p50")
     p999 = percentile(v, 99.9, value, key).withColumnRenamed("p", "p999")
     d = v.groupBy(key).agg(F.max(value).alias("top")).join(p50, key).join(p999, key)

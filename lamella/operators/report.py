@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fmt
+from ..functions.scalar import fmt, half_up
 from .findings import MIDLINE, position
 
 #: fixed values: order of the kinds of metal in lists

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,11 +71,11 @@ def principal_axes(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, kinds + ", axes array<double>")
 
 
-def metal_parts(v: DataFrame, seed: float, low: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), least_mm3: float = 1.5) -> tuple[DataFrame, DataFrame]:
+def metal_parts(v: DataFrame, seed: float | Column, low: float | Column, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), least_mm3: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """(voxels, objects): (series, x, y, z, object) of metal, and what ``metal_objects`` gives.
 
-    Voxels from ``seed`` grow by 1.5 mm over faces into those from ``low``; components (26 neighbours) under ``least_mm3`` are
-    dropped.  Centres and covariances are aggregates a piece, and so are the extents along the axes: no volume meets in a task.
+    Voxels from ``seed`` grow by 1.5 mm over faces into those from ``low`` (numbers, or columns of ``v``); components (26 neighbours)
+    under ``least_mm3`` are dropped.  Centres and covariances are aggregates a piece, and so are the extents along the axes: no volume meets in a task.
     """
     from .components import joined
     from .structures import PLACE, grow

@@ -214,15 +214,20 @@ def split_by_touch(v: DataFrame, hits: DataFrame, steps: int = 5, joined: float
     return own.groupBy("series").applyInPandas(run, "series int, x int, y int, z int")
 
 
-def teeth(v: DataFrame, threshold: float, calibrated: bool = True, steps: int = 14, least: int = 15, clamp: tuple[float, float] = (2300.0, 3000.0)) -> DataFrame:
-    """(series, x, y, z) of enamel grown into dentine: seeds near the top of the bone's range, then ``steps`` over faces; groups
-    under ``least`` voxels go.  ``v`` is dense; metal (column ``label`` 4) takes no part."""
+def teeth_bounds(v: DataFrame, threshold: float, calibrated: bool = True, clamp: tuple[float, float] = (2300.0, 3000.0)) -> DataFrame:
+    """(series, seed, low): from where enamel seeds, near the top of the bone's range, and how far down dentine reaches."""
     bone = v.where((F.col("hu") >= threshold) & (F.col("label") != 4))
     seed = F.least(F.greatest(F.lit(clamp[0]), F.col("p")), F.lit(clamp[1])) if calibrated else F.col("p").cast("double")
     cut = percentile(bone, 99.9).select("series", seed.alias("seed"))
-    cut = cut.withColumn("low", threshold + DENTINE * (F.col("seed") - threshold))
+    return cut.withColumn("low", threshold + DENTINE * (F.col("seed") - threshold))
+
+
+def teeth(v: DataFrame, threshold: float, calibrated: bool = True, steps: int = 14, least: int = 15, clamp: tuple[float, float] = (2300.0, 3000.0)) -> DataFrame:
+    """(series, x, y, z) of enamel grown into dentine: seeds near the top of the bone's range, then ``steps`` over faces; groups
+    under ``least`` voxels go.  ``v`` is dense; metal (column ``label`` 4) takes no part."""
+    cut = teeth_bounds(v, threshold, calibrated, clamp)
     m = v.join(cut, "series").select(*PLACE, *(((F.col("hu") >= F.col(c)) & (F.col("label") != 4)).cast("int").alias(n) for c, n in (("seed", "on"), ("low", "may"))))
-    comp = label_voxels(grow(m, steps).where("on = 1"))
+    comp = settle(label_voxels(grow(m, steps).where("on = 1")))
     big = comp.groupBy("series", "component").count().where(F.col("count") >= least)
     return comp.join(big, ["series", "component"], "left_semi").select(*PLACE)
 
@@ -264,15 +269,15 @@ def label_field(v: DataFrame, label: int, field: str = "field") -> DataFrame:
     return v.withColumn(field, F.when(F.col("label") == label, F.greatest(F.lit(0.01), F.col(field))).otherwise(-0.01 - F.abs(F.col(field)) * 0.05))
 
 
-def suppress_artefacts(v: DataFrame, threshold: float, reach: int = 4, soft: float = 250.0) -> DataFrame:
-    """(series, x, y, z, field): hu over ``threshold``, not bone (-0.05 at most) next to metal (label 4), nor within ``reach`` of it where
-    it is barely bone.  Distances are steps over faces; ``v`` is dense."""
-    m = v.select(*PLACE, "hu", (F.col("label") == 4).cast("int").alias("d0"), F.lit(1).alias("may"))
+def suppress_artefacts(v: DataFrame, threshold: float, reach: int = 4, soft: float = 250.0, field: str | None = None) -> DataFrame:
+    """(series, x, y, z, field): hu over ``threshold``, or the column ``field``, not bone (-0.05 at most) next to metal (label 4), nor within
+    ``reach`` of it where it is barely bone.  Distances are steps over faces; ``v`` is dense."""
+    own = F.col(field) if field else F.col("hu") - float(threshold)
+    m = v.select(*PLACE, "hu", own.alias("field"), (F.col("label") == 4).cast("int").alias("d0"), F.lit(1).alias("may"))
     m = grow(m.withColumn("d1", F.col("d0")), 1, on="d1")
     m = grow(m.withColumn("dn", F.col("d1")), reach - 1, on="dn")
-    field = F.col("hu") - float(threshold)
-    hide = (F.col("d1") == 1) | (F.col("dn") == 1) & (F.col("hu") < threshold + soft) & (field > 0)
-    return m.select(*PLACE, F.when(hide, F.least(field, F.lit(-0.05))).otherwise(field).alias("field"))
+    hide = (F.col("d1") == 1) | (F.col("dn") == 1) & (F.col("hu") < threshold + soft) & (F.col("field") > 0)
+    return m.select(*PLACE, F.when(hide, F.least(F.col("field"), F.lit(-0.05))).otherwise(F.col("field")).alias("field"))
 
 
 def enamel_near(objects: DataFrame, v: DataFrame, seed: float, reach: int = 2, enamel: float = 2300.0) -> DataFrame:

@@ -91,10 +91,10 @@ def cut(v: DataFrame, field: str = "field", label: str | None = None, bases: dic
     bases = bases or {}
     extra = sorted({field, *bases.values()})
     v = v.select("series", *AXES, *(F.col(c).cast("double").alias(c) for c in extra), *([F.col(label).cast("int").alias("__label")] if label else []))
-    series = pa.int64() if kind(v, "series") == "bigint" else pa.int32()
-    schema = pa.schema([("series", series), ("layer", pa.int32()), *((n, pa.int32()) for n in ("cx", "cy", "cz")), *((n, pa.int64()) for n in "abc"), ("p", pa.list_(pa.float64()))])
+    schema = [("layer", pa.int32()), *((n, pa.int32()) for n in ("cx", "cy", "cz")), *((n, pa.int64()) for n in "abc"), ("p", pa.list_(pa.float64()))]
 
     def run(table: pa.Table) -> pa.Table:
+        own_schema = pa.schema([table.schema.field("series"), *map(pa.field, *zip(*schema, strict=True))])
         low, at, shape = box(table)
         grid = {}
         for name in [*extra, *(["__label"] if label else [])]:
@@ -110,9 +110,9 @@ def cut(v: DataFrame, field: str = "field", label: str | None = None, bases: dic
             n = len(cells)
             if n:
                 p = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 9), pa.array(spots.reshape(-1)))
-                columns = [np.full(n, table.column("series")[0].as_py()), np.full(n, int(which)), *cells.T, *keys.T]
-                out.append(pa.table([pa.array(c, t.type) for c, t in zip(columns, schema, strict=False)] + [p], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+                columns = [[table.column("series")[0].as_py()] * n, np.full(n, int(which)), *cells.T, *keys.T]
+                out.append(pa.table([pa.array(c, t.type) for c, t in zip(columns, own_schema, strict=False)] + [p], schema=own_schema))
+        return pa.concat_tables(out) if out else own_schema.empty_table()
 
     kinds = f"series {kind(v, 'series')}, layer int, cx int, cy int, cz int, a long, b long, c long, p array<double>"
     return deal(v, side, after=1).groupBy("series", *BRICK).applyInArrow(run, kinds)
@@ -169,8 +169,7 @@ def vertices(tri: DataFrame, steps: int = STEPS, band: float = PASS_BAND, fine:
 
     Layers ``fine`` take ``fine_steps``.
     """
-    series = pa.int64() if kind(tri, "series") == "bigint" else pa.int32()
-    schema = pa.schema([("series", series), ("layer", pa.int32()), ("vid", pa.int64()), *((n, pa.float64()) for n in ("x", "y", "z", "nx", "ny", "nz"))])
+    schema = [("layer", pa.int32()), ("vid", pa.int64()), *((n, pa.float64()) for n in ("x", "y", "z", "nx", "ny", "nz"))]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -184,8 +183,9 @@ def vertices(tri: DataFrame, steps: int = STEPS, band: float = PASS_BAND, fine:
         normal = np.stack([np.bincount(face.ravel(), np.repeat(area[:, k], 3), len(vid)) for k in range(3)], axis=1)
         own = np.all([at // side == table.column(n)[0].as_py() for at, n in zip(unplaced(vid >> 3), BRICK, strict=True)], axis=0)
         n = int(own.sum())
-        columns = [np.full(n, table.column("series")[0].as_py()), np.full(n, layer), vid[own], *x[own].T, *normal[own].T]
-        return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+        own_schema = pa.schema([table.schema.field("series"), *map(pa.field, *zip(*schema, strict=True))])
+        columns = [[table.column("series")[0].as_py()] * n, np.full(n, layer), vid[own], *x[own].T, *normal[own].T]
+        return pa.table([pa.array(c, t.type) for c, t in zip(columns, own_schema, strict=True)], schema=own_schema)
 
     reach = max(steps, fine_steps if fine else 0) + 2
     dealt = deal(tri, side, reach, reach, ("cx", "cy", "cz"))

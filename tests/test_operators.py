@@ -225,7 +225,9 @@ def test_labels_regions_and_reading_of_a_head(spark):
     dims = d.groupBy("series").agg(F.lit(40).alias("nx"), F.lit(40).alias("ny"), F.lit(40).alias("nz"))
     rooms = sorted((r.volume, r.location) for r in M2.regions(d.where("label = 5"), dims, 150).collect())
     assert rooms == [(225.0, "left side, upper third, middle"), (225.0, "right side, upper third, middle")]
-    assert {r.section for r in verbs.analyze(d).collect()} == {"coverage", "jaw", "parts", "teeth"}
+    told = verbs.analyze(d, least_jaw=500, least_third=200).collect()
+    assert {r.section for r in told} == {"coverage", "jaw", "jaw_parts", "symmetry", "parts", "teeth", "air", "sinuses"}
+    assert sum(r.section == "air" for r in told) == 2
     hits = spark.createDataFrame([(0, 20, 8, 14, 20.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "series int, hx int, hy int, hz int, px double, py double, pz double, ax double, ay double, az double")
     cut = verbs.split(d, hits, 10, plane=True)
     assert 0 < cut.where("label = 10").count() < n[3] and cut.where("label = 10").agg(F.min("x")).first()[0] == 20

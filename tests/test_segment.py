@@ -22,13 +22,13 @@ def element(group, number, kind, value, explicit=True):
     return head + kind + (b"\0\0" + struct.pack("<I", len(value)) if kind in dicom.LONG else struct.pack("<H", len(value))) + value
 
 
-def image(pixels, k=0, explicit=True, photometric=b"MONOCHROME2", syntax=None):
+def image(pixels, k=0, explicit=True, photometric=b"MONOCHROME2", syntax=None, more=()):
     syntax = syntax or (dicom.EXPLICIT if explicit else dicom.IMPLICIT)
     short = lambda n: struct.pack("<H", n)
     body = [
         (0x0008, 0x0060, b"CS", b"CT"), (0x0008, 0x1140, b"SQ", b""), (0x0020, 0x000E, b"UI", b"1.2.3"), (0x0020, 0x0013, b"IS", str(k + 1).encode()), (0x0020, 0x0032, b"DS", f"0\\0\\{5 - k}".encode()),
-        (0x0020, 0x0037, b"DS", b"1\\0\\0\\0\\1\\0"), (0x0028, 0x0002, b"US", short(1)), (0x0028, 0x0004, b"CS", photometric), (0x0028, 0x0010, b"US", short(pixels.shape[0])), (0x0028, 0x0011, b"US", short(pixels.shape[1])),
-        (0x0028, 0x0100, b"US", short(16)), (0x0028, 0x0103, b"US", short(1)), (0x0028, 0x1052, b"DS", b"-1000"), (0x0028, 0x1053, b"DS", b"2"), (0x7FE0, 0x0010, b"OW", pixels.astype("<i2").tobytes()),
+        (0x0020, 0x0037, b"DS", b"1\\0\\0\\0\\1\\0"), (0x0028, 0x0002, b"US", short(1)), (0x0028, 0x0004, b"CS", photometric), (0x0028, 0x0010, b"US", short(pixels.shape[-2])), (0x0028, 0x0011, b"US", short(pixels.shape[-1])),
+        *more, (0x0028, 0x0100, b"US", short(16)), (0x0028, 0x0103, b"US", short(1)), (0x0028, 0x1052, b"DS", b"-1000"), (0x0028, 0x1053, b"DS", b"2"), (0x7FE0, 0x0010, b"OW", pixels.astype("<i2").tobytes()),
     ]
     return b"\0" * 128 + b"DICM" + element(2, 0x0010, b"UI", syntax.encode()) + b"".join(element(*e, explicit) for e in body)
 
