@@ -117,3 +117,20 @@ def nearest_column(points: DataFrame, curve: DataFrame) -> DataFrame:
     j = points.join(curve.select("series", "col", F.col("px").alias("cx"), F.col("py").alias("cy")), "series")
     mm = F.hypot(F.col("px") - F.col("cx"), F.col("py") - F.col("cy"))
     return j.groupBy("series", "id").agg(F.min(F.struct(F.round(mm, 6).alias("mm"), "col")).alias("m")).select("series", "id", "m.col", "m.mm")
+
+
+def canal_line(points: DataFrame, curve: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), origin: tuple[float, ...] = (0.0, 0.0, 0.0), direction: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)) -> DataFrame:
+    """(series, n, id, col, x, y, z, length): traced points (series, id, px, py, pz in voxels) in order along the arch, in mm of the patient, and
+    how long the line is up to each.
+
+    A point's place in the order is its nearest column, then its id.  ``direction``: nine cosines, axis after axis.  A window holds the points
+    of one canal.
+    """
+    d = points.join(nearest_column(points, curve), ["series", "id"])
+    mm = [F.col(f"p{c}") * s for c, s in zip("xyz", spacing, strict=True)]
+    at = {c: F.lit(float(origin[k])) + sum((float(direction[3 * a + k]) * mm[a] for a in range(3)), F.lit(0.0)) for k, c in enumerate("xyz")}
+    d = d.select("series", "id", "col", *(e.alias(c) for c, e in at.items()))
+    w = W.partitionBy("series").orderBy("col", "id")
+    step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0)))
+    d = d.withColumns({"n": F.row_number().over(w), "step": F.coalesce(step, F.lit(0.0))})
+    return d.select("series", "n", "id", "col", "x", "y", "z", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("length"))

@@ -152,6 +152,40 @@ def tissues(threshold: float, contrast: bool) -> list[tuple[str, float, float, f
     return [(key, float(lo), float(hi), opacity) for key, lo, hi, opacity in table]
 
 
+#: fixed values: the colours of skin and bone
+SKIN, BONE = (0.86, 0.62, 0.5), (0.93, 0.89, 0.8)
+CHANNELS = ("opacity", "red", "green", "blue")
+
+
+def control_points(threshold: float) -> list[tuple[str, str, float, float]]:
+    """(view, channel, level, value): the break points of opacity and colour of each view of a volume, around the bone's threshold."""
+    t = float(threshold)
+    #: fixed values: (level, opacity) and (level, red, green, blue)
+    bone = [(t + 80, 0.25), (t + 500, 0.65), (t + 1500, 0.9)]
+    opacity = {
+        "skin": [(-750, 0), (-450, 0.5), (-200, 0.9), (3000, 0.9)],
+        "bone-skin": [(-800, 0), (-500, 0), (-350, 0.06), (-100, 0.04), (t - 120, 0.03), *bone],
+        "bone": [(-1024, 0), (t - 120, 0), *bone],
+    }
+    warm = [(t - 150, 0.55, 0.25, 0.15), (t + 150, 0.88, 0.78, 0.65), (t + 900, *BONE), (t + 2000, 1, 1, 0.97)]
+    colour = {"skin": [(-600, *SKIN), (0, 0.9, 0.7, 0.6), (t, *BONE)], "bone-skin": [(-500, *SKIN), (-100, 0.8, 0.55, 0.45), *warm], "bone": warm}
+    out = [(view, "opacity", float(u), float(o)) for view, points in opacity.items() for u, o in points]
+    return out + [(view, c, float(p[0]), float(p[k + 1])) for view, points in colour.items() for p in points for k, c in enumerate(CHANNELS[1:])]
+
+
+def interpolated(levels: DataFrame, points: DataFrame) -> DataFrame:
+    """(u, view, channel, value) at each level ``u``: linear between the break points on either side, that of the outermost beyond them.
+
+    ``points``: view, channel, level, value, few rows that are broadcast; a level is joined with one interval a channel.
+    """
+    w = W.partitionBy("view", "channel").orderBy("level")
+    hi, last = F.lead("level").over(w), F.col("level")
+    s = points.select("view", "channel", F.when(F.lag("level").over(w).isNull(), F.lit(float("-inf"))).otherwise(last).alias("lo"), last.alias("a"), F.coalesce(hi, F.lit(float("inf"))).alias("hi"), F.col("value").alias("va"), F.coalesce(F.lead("value").over(w), "value").alias("vb"))
+    j = levels.join(F.broadcast(few(s)), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    part = F.when((F.col("hi") == float("inf")) | (F.col("u") <= F.col("a")), 0.0).otherwise((F.col("u") - F.col("a")) / (F.col("hi") - F.col("a")))
+    return j.select("u", "view", "channel", (F.col("va") + (F.col("vb") - F.col("va")) * part).alias("value"))
+
+
 #: fixed values: classes that each preset shows
 PRESETS = {"bone": ("bone", "teeth", "metal"), "bone-skin": ("skin", "bone", "teeth", "metal"), "skin": ("skin",), "soft": ("fat", "glands", "muscle", "bone", "teeth", "metal"), "vessels": ("vessels", "bone", "teeth", "metal")}
 

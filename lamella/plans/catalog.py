@@ -104,6 +104,18 @@ def transfer_table(spark, d):
     return U.transfer(levels, _classes(spark))
 
 
+_POINTS = ", ".join(f"('{v}', '{c}', {u}::DOUBLE, {y}::DOUBLE)" for v, c, u, y in U.control_points(250))
+
+
+@query(f"""WITH u AS (SELECT DISTINCT (CAST(floor(value) AS BIGINT) * 15 - 1100) AS u FROM events WHERE value IS NOT NULL), p(view, channel, level, value) AS (VALUES {_POINTS}),
+b AS (SELECT u, view, channel, max(level) FILTER (level <= u) AS a, min(level) FILTER (level > u) AS b FROM u, p GROUP BY ALL)
+SELECT u, b.view, b.channel, round(CASE WHEN a IS NULL THEN q.value WHEN b IS NULL THEN p.value ELSE p.value + (q.value - p.value) * ((u - a) / (b - a)) END, 6) AS value FROM b LEFT JOIN p ON p.view = b.view AND p.channel = b.channel AND p.level = a LEFT JOIN p q ON q.view = b.view AND q.channel = b.channel AND q.level = b""")
+def view_transfer(spark, d):
+    levels = A.table(spark, d, "events").where("value is not null").select((F.floor("value") * 15 - 1100).alias("u")).distinct()
+    points = spark.createDataFrame(U.control_points(250), "view string, channel string, level double, value double")
+    return U.interpolated(levels, points).withColumn("value", F.round("value", 6))
+
+
 @query(f"""{STACK} SELECT a.series, slices, n - slices AS duplicates, median_gap, min_gap, max_gap, max_gap > 1.15::DOUBLE * median_gap OR min_gap < 0.85::DOUBLE * median_gap AS irregular
 FROM (SELECT series, count(*) slices, median(gap) median_gap, min(gap) min_gap, max(gap) max_gap FROM g GROUP BY series) a JOIN (SELECT series, count(*) n FROM st GROUP BY series) b USING (series)""")
 def stack_geometry(spark, d):
@@ -390,6 +402,17 @@ def canal_columns(spark, d):
     return P.nearest_column(A.table(spark, d, "embeddings").select(F.col("label").alias("series"), F.col("vec_id").alias("id"), x.alias("px"), y.alias("py")), _arch(spark, d))
 
 
+@query(f"""{_CONTROL}, pt AS (SELECT label AS series, vec_id AS id, round((embedding[1]::DOUBLE + 0.5::DOUBLE) * 7, 3) AS px, round((embedding[2]::DOUBLE + 0.5::DOUBLE) * 7, 3) AS py, round((embedding[3]::DOUBLE + 0.5::DOUBLE) * 9, 3) AS pz FROM embeddings),
+j AS (SELECT pt.series, id, pt.px, pt.py, pz, col, round(sqrt(pow(pt.px - a.px, 2) + pow(pt.py - a.py, 2)), 6) AS mm FROM pt JOIN arch a USING (series)), k AS (SELECT series, id, col, 1 - py * 0.5::DOUBLE AS x, 2 + px * 0.4::DOUBLE AS y, 3 + pz * 1.5::DOUBLE AS z FROM j QUALIFY row_number() OVER (PARTITION BY series, id ORDER BY mm, col) = 1),
+s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM k WINDOW w AS (PARTITION BY series ORDER BY col, id))
+SELECT series, row_number() OVER w AS n, id, col, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(coalesce(sum(step) OVER w, 0), 3) AS length FROM s WINDOW w AS (PARTITION BY series ORDER BY col, id)""")
+def canal_line(spark, d):
+    x, y, z = (F.round((F.col("embedding")[i].cast("double") + 0.5) * n, 3) for i, n in enumerate((7, 7, 9)))
+    points = A.table(spark, d, "embeddings").select(F.col("label").alias("series"), F.col("vec_id").alias("id"), x.alias("px"), y.alias("py"), z.alias("pz"))
+    c = P.canal_line(points, _arch(spark, d), (0.4, 0.5, 1.5), (1.0, 2.0, 3.0), (0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.0))
+    return c.select("series", "n", "id", "col", *(F.round(k, 4).alias(k) for k in "xyz"), F.round("length", 3).alias("length"))
+
+
 _CLAHE8 = ORACLE["clahe"].removeprefix(PIX).removeprefix(", q AS (SELECT img, x, y, CAST(v AS INT) bin FROM p)").replace("x // 16 tx, y // 16 ty", "x // 8 tx, y // 8 ty").replace("2.5::DOUBLE", "1.0::DOUBLE").replace("/ 16 - 0.5", "/ 8 - 0.5").replace("least(3,", "least(7,").replace("/ 256 * 255", "/ 64 * 255")
 _CLAHE8, _LAST = _CLAHE8.rsplit("\nSELECT ", 1)
 
