@@ -109,7 +109,7 @@ def fit(prepared: DataFrame, sample: int = SAMPLE, rounds: int = 15, depth: int
     names = [c for c in train.columns if c.startswith("f_")]
     every = train
     for c in STATS:
-        every = every.unionByName(train.withColumns({f"f_{c}": F.lit(-1.0), f"f_{c}_seen": F.lit(0.0)}))
+        every = every.unionByName(train.withColumn(f"f_{c}", F.lit(-1.0)))
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7)
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), gbt]).fit(every), stats
 
@@ -124,7 +124,7 @@ def with_stats(prepared: DataFrame, stats: tuple[DataFrame, DataFrame], training
         n, blocked = F.coalesce("n", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
         if training:
             n, blocked = n - F.coalesce(F.col("ns")[F.col("fold")], F.lit(0.0)), blocked - F.coalesce(F.col("bs")[F.col("fold")], F.lit(0.0))
-        prepared = d.withColumns({f"f_{c}": F.when(n > 0, (blocked + 1) / (n + 2)).otherwise(-1.0), f"f_{c}_seen": F.log1p(n)}).drop("n", "blocked", "ns", "bs")
+        prepared = d.withColumn(f"f_{c}", F.when(n > 0, (blocked + 1) / (n + 2)).otherwise(-1.0)).drop("n", "blocked", "ns", "bs")
     return prepared
 
 

@@ -669,14 +669,14 @@ def test_statistics_leave_the_fold_of_hosts_out(spark):
     stats = urls.statistics(d)
     own = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6)) for r in urls.with_stats(d, stats, True).collect()}
     assert own[1] == (round(2 / 3, 6), 0.5) and own[2] == (round(2 / 3, 6), round(2 / 3, 6)) and own[4] == (-1, round(2 / 3, 6))
-    got = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6), r.f_suffix_seen > 0) for r in urls.with_stats(d, stats).collect()}
-    assert got[3] == (0.75, -1, True) and got[5] == (-1, -1, False) and got[4] == (round(1 / 3, 6), 0.6, True)
+    got = {r.id: (round(r.f_suffix, 6), round(r.f_segment, 6)) for r in urls.with_stats(d, stats).collect()}
+    assert got[3] == (0.75, -1) and got[5] == (-1, -1) and got[4] == (round(1 / 3, 6), 0.6)
 
 
 def test_hot_suffixes_and_segments_are_broadcast(spark, monkeypatch):
     d = common.materialize(spark.createDataFrame([(i, "net" if i % 3 else f"s{i}", f"p{i % 50}", "block" if i % 2 else "allow", i % 5) for i in range(400)], "id int, suffix string, segment string, ruled string, fold int"), "urls")
     stats = urls.statistics(d)
-    columns = ["id", "f_suffix", "f_suffix_seen", "f_segment", "f_segment_seen"]
+    columns = ["id", "f_suffix", "f_segment"]
     small = sorted(map(tuple, urls.with_stats(d, stats).select(*columns).collect()))
     monkeypatch.setattr(urls, "SMALL_ROWS", 3)
     assert sorted(map(tuple, urls.with_stats(d, stats).select(*columns).collect())) == small and len(small) == 400
