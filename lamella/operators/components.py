@@ -1,9 +1,8 @@
-"""Connected components of voxels brick by brick, and distances slice by slice."""
+"""Connected components of voxels brick by brick, and distances line by line."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -129,40 +128,66 @@ def clean_field(v: DataFrame, share: float = 0.005, least: float = 150) -> DataF
     return d.withColumn("field", F.when(F.col("dropped"), -0.01).otherwise(F.col("field")))
 
 
-def _edt(on: np.ndarray, spacing: tuple[float, float]) -> np.ndarray:
-    """Distance to the nearest set pixel; the minima over lines along one axis, then along the other."""
-    d = np.where(on, 0.0, ((np.asarray(on.shape) + 1) ** 2 @ np.square(spacing)))
-    for axis in (0, 1):
-        e = np.moveaxis(d, axis, 0)
-        far = np.square((np.arange(len(e))) * spacing[axis])
-        out = e.copy()
-        for k in range(1, len(e)):  # what a line offers to the lines k before and after it
-            if far[k] > out.max():
+def least_square(at: np.ndarray, cost: np.ndarray, step: float) -> np.ndarray:
+    """At each place of a line the least ``cost[j] + (step * (at - at[j])) ** 2``; a cost of NaN offers nothing.
+
+    With the squares of ``at`` split off each j offers a straight line, so that the least is on the lower hull of (at, cost + square):
+    one pass builds it, and the best j of a place is where the hull's slope passes the place's.  NaN where nothing is offered.
+    """
+    known = np.flatnonzero(~np.isnan(cost))
+    if not len(known):
+        return np.full(len(at), np.nan)
+    known = known[np.lexsort((cost[known], at[known]))]
+    known = known[np.unique(at[known], return_index=True)[1]]
+    square = step * step
+    place, height = at[known].tolist(), (cost[known] + square * at[known] ** 2).tolist()
+    hull: list[int] = []
+    for j, (x, h) in enumerate(zip(place, height, strict=True)):
+        while len(hull) > 1:
+            a, b = hull[-2:]
+            if (height[b] - height[a]) * (x - place[b]) < (h - height[b]) * (place[b] - place[a]):
                 break
-            np.minimum(out[k:], e[:-k] + far[k], out=out[k:])
-            np.minimum(out[:-k], e[k:] + far[k], out=out[:-k])
-        d = np.moveaxis(out, 0, axis)
-    return np.sqrt(d)
+            hull.pop()
+        hull.append(j)
+    slope = np.diff(np.asarray(height)[hull]) / np.diff(np.asarray(place)[hull])
+    best = known[np.asarray(hull)[np.searchsorted(slope, 2 * square * at)]]
+    return cost[best] + square * (at - at[best]) ** 2
+
+
+def _along_x(step: float, half: float, cap: float, empty: float):
+    """Lines of (x, inside, squared distances along y to both kinds) to signed distances."""
+
+    def run(batches):
+        for batch in batches:
+            line = batch.column("line")
+            sizes = np.diff(np.asarray(line.offsets))
+            x, inside, to_in, to_out = (line.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            at, d, end = x.astype(float), np.empty(len(x)), 0
+            for n in sizes.tolist():
+                part, end = slice(end, end + n), end + n
+                own = inside[part].astype(bool)
+                ways = [np.sqrt(least_square(at[part], c[part].astype(float), step)) for c in (to_in, to_out)]
+                d[part] = np.clip(np.where(own, ways[1] - half, half - ways[0]), -cap, cap)
+                d[part] = np.where(np.isnan(d[part]), np.where(own, cap, empty), d[part])
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield from pa.table({"series": batch.column("series").take(row), "z": batch.column("z").take(row), "x": x, "y": batch.column("y").take(row), "d": np.round(d, 6)}).to_batches()
+
+    return run
 
 
 def signed_distance(v: DataFrame, threshold: float = 0, cap: float = 40.0, spacing: tuple[float, float] = (1.0, 1.0), empty: float = -0.5, on: str = "hu") -> DataFrame:
     """(series, z, x, y, d): in each slice the distance to the nearest voxel of the other kind less half a voxel, positive inside.
 
     ``spacing``: mm along x and y.  A slice without voxels from ``threshold`` is ``empty`` throughout, one of nothing else ``cap``.
+    Along y the nearest voxel of a kind is the last one met from either end; along x a task takes line after line, never a slice.
+    A null counts as below the threshold, a place without a row as of no kind; rows that repeat a place are all kept and all count.
     """
-    half = 0.5 * min(spacing)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        mask = np.zeros(shape, bool)
-        mask[pdf["y"], pdf["x"]] = pdf[on] >= threshold
-        if mask.all():
-            d = np.full(shape, cap)
-        elif not mask.any():
-            d = np.full(shape, empty)
-        else:
-            d = np.where(mask, _edt(~mask, spacing[::-1]) - half, half - _edt(mask, spacing[::-1]))
-            d = np.clip(d, -cap, cap)
-        return pdf[["series", "z", "x", "y"]].assign(d=np.round(d[pdf["y"], pdf["x"]], 6))
-
-    return v.groupBy("series", "z").applyInPandas(run, "series int, z int, x int, y int, d double")
+    rows = v.select("series", *(F.col(c).cast("int").alias(c) for c in "zxy"), F.coalesce(F.col(on) >= threshold, F.lit(False)).alias("inside"))
+    columns = W.partitionBy("series", "z", "x")
+    for name, kind in (("in", F.col("inside")), ("out", ~F.col("inside"))):
+        y = F.when(kind, F.col("y"))
+        rows = rows.withColumns({f"{name}_low": F.last(y, True).over(columns.orderBy("y")), f"{name}_high": F.last(y, True).over(columns.orderBy(F.desc("y")))})
+    far = [F.pow(F.least(F.col("y") - F.col(f"{k}_low"), F.col(f"{k}_high") - F.col("y")) * float(spacing[1]), F.lit(2.0)).alias(f"to_{k}") for k in ("in", "out")]
+    lines = rows.groupBy("series", "z", "y").agg(F.collect_list(F.struct("x", "inside", *far)).alias("line"))
+    kind = v.schema["series"].dataType.simpleString()
+    return lines.mapInArrow(_along_x(float(spacing[0]), 0.5 * min(spacing), cap, empty), f"series {kind}, z int, x int, y int, d double")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cubic, half_up
+from .views import window
 
 OUTSIDE = -1024.0
 
@@ -134,3 +135,30 @@ def canal_line(points: DataFrame, curve: DataFrame, spacing: tuple[float, float,
     step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0)))
     d = d.withColumns({"n": F.row_number().over(w), "step": F.coalesce(step, F.lit(0.0))})
     return d.select("series", "n", "id", "col", "x", "y", "z", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("length"))
+
+
+#: fixed values: centre and width of the windows of bone and, for the greatest values along a ray, of teeth
+WINDOWS = {"mean": (600.0, 3000.0), "mip": (1200.0, 3500.0)}
+
+
+def shown(value: Column, mode: str = "mean") -> Column:
+    """0 to 255 of a panoramic image's value in the window of its mode."""
+    return window(value, *WINDOWS[mode])
+
+
+def canal_marks(points: DataFrame, curve: DataFrame, dims: DataFrame, col: int, width: float = 40.0, beside: int = 2, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), superior_plus: bool = True) -> DataFrame:
+    """(series, id, view, u, v): where traced points (series, id, px, py, pz in voxels) are drawn.
+
+    View ``pano``: each point at its nearest column, told in voxels; view ``cross``: those at most ``beside`` columns from the cross-section at ``col``, at their
+    place across the curve there.  Rows are those of the reformats, as high as pixels are wide; a series without ``col`` has no cross-section.
+    """
+    sx, sy, sz = spacing
+    pixel = min(sx, sy)
+    d = points.join(nearest_column(points, curve).select("series", "id", F.col("col").alias("u")), ["series", "id"]).join(dims.select("series", "nz"), "series")
+    h = F.greatest(F.lit(1), half_up((F.col("nz") - 1) * (sz / pixel)) + 1)
+    down = F.when(F.col("nz") > 1, F.col("pz") / (F.col("nz") - 1)).otherwise(0.0)
+    d = d.withColumn("v", (1 - down if superior_plus else down) * (h - 1))
+    here = curve.where(F.col("col") == col).select("series", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("ox").alias("nx"), F.col("oy").alias("ny"))
+    across = (F.col("px") - F.col("ax")) * sx * F.col("nx") + (F.col("py") - F.col("ay")) * sy * F.col("ny")
+    cross = d.where(F.abs(F.col("u") - col) <= beside).join(here, "series").select("series", "id", F.lit("cross").alias("view"), ((across + width / 2) / pixel).alias("u"), "v")
+    return d.select("series", "id", F.lit("pano").alias("view"), F.col("u").cast("double").alias("u"), "v").unionByName(cross)

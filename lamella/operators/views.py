@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, direction_label, half_up
@@ -118,26 +119,92 @@ def drag(centre: Column, width: Column, dx: Column, dy: Column) -> tuple[Column,
     return centre + dy * 4, F.greatest(F.lit(1.0), width + dx * 8)
 
 
+def to_volume(plane: str, u: Column, v: Column, cursor: list[Column], h: Column, nz: Column) -> list[Column]:
+    """Place in the volume, in voxels, of a pixel of a plane's image ``h`` rows high; the plane's own axis is the cursor's."""
+    if plane == "axial":
+        return [u, v, half_up(cursor[2])]
+    z = F.when(h > 1, (h - 1 - v) / (h - 1) * (nz - 1)).otherwise(0.0)
+    return [u, cursor[1], z] if plane == "coronal" else [cursor[0], u, z]
+
+
+def from_volume(plane: str, p: list[Column], h: Column, nz: Column) -> list[Column]:
+    """Pixel of a plane's image, ``h`` rows high with the last slice on top, that shows a place."""
+    if plane == "axial":
+        return p[:2]
+    return [p[0 if plane == "coronal" else 1], F.when(nz > 1, (h - 1) * (1 - p[2] / (nz - 1))).otherwise(0.0)]
+
+
+def slice_at(plane: str, cursor: list[Column]) -> Column:
+    """Number of the slice that a plane shows at the cursor."""
+    return half_up(cursor["xyz".index(PLANES[plane])])
+
+
+def turn_to(plane: str, cursor: list[Column], wanted: Column, slices: Column) -> list[Column]:
+    """The cursor at the slice ``wanted``, or at the first or last one; it stays as it is where that slice is shown already."""
+    k, axis = F.greatest(F.lit(0), F.least(slices - 1, wanted)), "xyz".index(PLANES[plane])
+    return [F.when(slice_at(plane, cursor) == k, c).otherwise(k) if a == axis else c for a, c in enumerate(cursor)]
+
+
+def move_to(plane: str, u: Column, v: Column, cursor: list[Column], h: Column, nz: Column) -> list[Column]:
+    """The cursor after a touch of a plane's image: the plane's own axis stays, z is a whole slice."""
+    p, own = to_volume(plane, u, v, cursor, h, nz), "xyz".index(PLANES[plane])
+    p[2] = half_up(p[2])
+    return [c if a == own else p[a] for a, c in enumerate(cursor)]
+
+
+def bounds(vert: DataFrame, keys: list[str], layer: str = "layer") -> DataFrame:
+    """(keys, layer, x0, x1, y0, y1, z0, z1) of the vertices of each layer, and with a null layer of all of them together."""
+    ends = [e.alias(f"{c}{k}") for c in "xyz" for k, e in enumerate((F.min(c), F.max(c)))]
+    each = vert.groupBy(*keys, layer).agg(*ends)
+    ends = [e.alias(f"{c}{k}") for c in "xyz" for k, e in enumerate((F.min(f"{c}0"), F.max(f"{c}1")))]
+    return each.unionByName(each.groupBy(*keys).agg(*ends).withColumn(layer, F.lit(None).cast(vert.schema[layer].dataType)))
+
+
+#: fixed values: what kinds of measurement are called
+MEASURES = {"distance": "Distance", "angle": "Angle", "point": "Point"}
+
+
+def measure_list(measures: DataFrame, pending: DataFrame) -> DataFrame:
+    """(study, n, id, line) of measurements (study, id, kind, label) in order of id, then one line for points marked so far (study, points).
+
+    A kind of another name is shown by it; a study without points has no such line.
+    """
+    called = F.coalesce(F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("kind")], F.col("kind"))
+    done = measures.select("study", "id", F.concat(called, F.lit(": "), F.col("label")).alias("line"))
+    open_ = pending.groupBy("study").agg(F.sum("points").alias("k")).where("k > 0").select("study", F.lit(None).cast(done.schema["id"].dataType).alias("id"), F.concat(F.col("k"), F.lit(" point(s) marked")).alias("line"))
+    n = F.row_number().over(W.partitionBy("study").orderBy(F.asc_nulls_last("id")))
+    return done.unionByName(open_).select("study", n.alias("n"), "id", "line")
+
+
+def in_cubes(points: DataFrame, v: DataFrame, radius: int) -> DataFrame:
+    """(series, id, d, z, y, x, label): the voxels ``v`` (series, x, y, z, label) in the cube of ``radius`` about each point, ``d`` its squared distance.
+
+    Voxels are gathered in cells as wide as a cube, one row each; a cube meets eight cells at most, so that a point moves as eight rows and
+    a cell once, and only cells that a cube meets are gathered.
+    """
+    wide, cell = 2 * radius + 1, ["series", "cx", "cy", "cz"]
+    asked = points.select("series", "id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    for c in "xyz":
+        low, high = (F.floor((F.col(f"p{c}") + k) / wide).cast("int") for k in (-radius, radius))
+        asked = asked.withColumn(f"c{c}", F.explode(F.sequence(low, high)))
+    held = v.select("series", *(F.floor(F.col(c) / wide).cast("int").alias(f"c{c}") for c in "xyz"), F.struct("z", "y", "x", "label").alias("at"))
+    held = held.join(asked.select(*cell).distinct(), cell, "left_semi").groupBy(*cell).agg(F.collect_list("at").alias("voxels"))
+    near_ = lambda a: (F.abs(a["x"] - F.col("px")) <= radius) & (F.abs(a["y"] - F.col("py")) <= radius) & (F.abs(a["z"] - F.col("pz")) <= radius)
+    hit = asked.join(held, cell).select("series", "id", "px", "py", "pz", F.explode(F.filter("voxels", near_)).alias("a"))
+    d = sum(((F.col(f"a.{c}") - F.col(f"p{c}")) * (F.col(f"a.{c}") - F.col(f"p{c}")) for c in "xyz"), F.lit(0))
+    return hit.select("series", "id", d.alias("d"), "a.*")
+
+
 def near(points: DataFrame, v: DataFrame, radius: int = 3) -> DataFrame:
     """(series, id, x, y, z, label): the labelled voxel nearest to each point's (series, id, x, y, z), within a cube; ties by z, y, x.
 
-    ``v``: series, x, y, z, label of labelled voxels.  A point asks for the places of its cube and no others.
+    ``v``: series, x, y, z, label; labels above 0 count.  A point with none in its cube, or with a null place, has no row.
     """
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    p = points.select("series", "id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    for c in "xyz":
-        p = p.withColumn(f"d{c}", F.explode(span))
-    p = p.select("series", "id", *((F.col(f"p{c}") + F.col(f"d{c}")).cast("int").alias(c) for c in "xyz"), (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).alias("d"))
-    hit = p.join(v.where("label > 0").select("series", "x", "y", "z", "label"), ["series", "x", "y", "z"])
-    return hit.groupBy("series", "id").agg(F.min_by(F.struct("x", "y", "z", "label"), F.struct("d", "z", "y", "x")).alias("b")).select("series", "id", "b.*")
+    hit = in_cubes(points, v.where("label > 0"), radius)
+    return hit.groupBy("series", "id").agg(F.min(F.struct("d", "z", "y", "x", "label")).alias("b")).select("series", "id", "b.x", "b.y", "b.z", "b.label")
 
 
 def majority(points: DataFrame, v: DataFrame, radius: int = 3) -> DataFrame:
     """(series, id, label): the label (1, 2 or 3) of most voxels in the cube about each point; of as many, the one met first."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    p = points.select("series", "id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    for c in "xyz":
-        p = p.withColumn(f"d{c}", F.explode(span))
-    p = p.select("series", "id", *((F.col(f"p{c}") + F.col(f"d{c}")).cast("int").alias(c) for c in "xyz"))
-    k = p.join(v.where("label in (1, 2, 3)").select("series", "x", "y", "z", "label"), ["series", "x", "y", "z"]).groupBy("series", "id", "label").agg(F.count("*").alias("n"), F.min(F.struct("z", "y", "x")).alias("at"))
+    k = in_cubes(points, v.where("label in (1, 2, 3)"), radius).groupBy("series", "id", "label").agg(F.count("*").alias("n"), F.min(F.struct("z", "y", "x")).alias("at"))
     return k.groupBy("series", "id").agg(F.min_by("label", F.struct(-F.col("n"), "at")).alias("label"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble as B
 from ..operators import findings as N
+from ..operators import panoramic as P
 from ..operators import report as W
 from ..operators import views as V
 from ..sources import adapters as A
-from .catalog import _POSITION, _REFS, LAB, _joined, _labelled, query
+from .catalog import _CONTROL, _POSITION, _REFS, _VOX, LAB, _arch, _dims, _joined, _labelled, query
 from .series import sql_fmt
 
 #: pieces of metal and air spaces from ``part``, three a series
@@ -112,3 +113,42 @@ def view_geometry(spark, d):
     return A.table(spark, d, "part").select(
         k.alias("id"), *(F.round(fit[c], n).alias(c) for c, n in (("x0", 4), ("y0", 4), ("sx", 6), ("sy", 6))), F.round(place[1], 6).alias("clip"), normal[1].alias("side"), F.round(V.marker(zero, top), 6).alias("radius"), centre.alias("centre"), width.alias("width"), F.round(F.hypot(w * pw, h * ph), 4).alias("ruler"),
     )
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_size::INT AS nz, (p_size * 2 - p_partkey % 3 + 1)::INT AS h, p_partkey * 37 % 64 AS u, p_partkey * 29 % (p_size * 2 - p_partkey % 3 + 1) AS v, p_partkey % 64 + 0.25::DOUBLE AS cx, p_partkey * 3 % 64 + 0.5::DOUBLE AS cy, p_partkey * 5 % p_size + 0.75::DOUBLE AS cz, p_partkey % 90 - 10 AS k FROM part),
+g AS (SELECT *, plane, CASE plane WHEN 'axial' THEN cz WHEN 'coronal' THEN cy ELSE cx END AS own, CASE plane WHEN 'axial' THEN nz ELSE 64 END AS slices, CASE WHEN h > 1 THEN (h - 1 - v) / (h - 1)::DOUBLE * (nz - 1) ELSE 0 END AS up FROM t, (VALUES ('axial'), ('coronal'), ('sagittal')) p(plane)),
+q AS (SELECT *, CASE plane WHEN 'sagittal' THEN cx ELSE u END AS x, CASE plane WHEN 'axial' THEN v WHEN 'coronal' THEN cy ELSE u END AS y, CASE plane WHEN 'axial' THEN floor(cz + 0.5::DOUBLE) ELSE up END AS z, greatest(0, least(slices - 1, k)) AS wanted FROM g)
+SELECT id, plane, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CASE WHEN plane = 'axial' OR nz > 1 THEN round(v, 6) ELSE 0 END AS back_v, floor(own + 0.5::DOUBLE) AS slice, CASE WHEN floor(own + 0.5::DOUBLE) = wanted THEN own ELSE wanted END AS turned, CASE plane WHEN 'axial' THEN cz ELSE floor(z + 1e-9 + 0.5::DOUBLE) END AS moved_z FROM q""")
+def plane_places(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size").cast("int")
+    t = A.table(spark, d, "part").select(k.alias("id"), n.alias("nz"), (n * 2 - k % 3 + 1).cast("int").alias("h"), (k * 37 % 64).cast("double").alias("u"), (k % 64 + 0.25).alias("cx"), (k * 3 % 64 + 0.5).alias("cy"), (k * 5 % n + 0.75).alias("cz"), (k % 90 - 10).alias("k"))
+    t = t.withColumn("v", (F.col("id") * 29 % F.col("h")).cast("double"))
+    u, v, h, nz, cursor = F.col("u"), F.col("v"), F.col("h"), F.col("nz"), [F.col(f"c{c}") for c in "xyz"]
+    out = []
+    for plane, axis in V.PLANES.items():
+        p = V.to_volume(plane, u, v + (1e-9 if plane == "axial" else 0.0), cursor, h, nz)  # off the halves that rounding would tell apart
+        own, slices = "xyz".index(axis), nz if plane == "axial" else F.lit(64)
+        back, turned = V.from_volume(plane, p, h, nz)[1], V.turn_to(plane, cursor, F.col("k"), slices)[own]
+        moved = V.move_to(plane, u, v - 1e-9, cursor, h, nz)[2]
+        out.append(t.select("id", F.lit(plane).alias("plane"), *(F.round(e, 6).alias(c) for c, e in zip("xyz", p, strict=True)), F.round(back, 6).alias("back_v"), V.slice_at(plane, cursor).alias("slice"), turned.alias("turned"), moved.alias("moved_z")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""WITH l AS (SELECT o_custkey AS study, o_orderkey AS id, list_extract(['Distance', 'Angle', 'Point', 'area'], CAST(o_orderkey % 4 + 1 AS INT)) || ': ' || o_orderpriority AS line FROM orders UNION ALL SELECT c_custkey, NULL, CAST(c_custkey % 4 AS VARCHAR) || ' point(s) marked' FROM customer WHERE c_custkey % 4 > 0)
+SELECT study, row_number() OVER (PARTITION BY study ORDER BY id NULLS LAST) AS n, id, line FROM l""")
+def measure_list(spark, d):
+    o, c = A.table(spark, d, "orders"), A.table(spark, d, "customer")
+    kind = F.element_at(F.array(*map(F.lit, ("distance", "angle", "point", "area"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    measures = o.select(F.col("o_custkey").alias("study"), F.col("o_orderkey").alias("id"), kind.alias("kind"), F.col("o_orderpriority").alias("label"))
+    return V.measure_list(measures, c.select(F.col("c_custkey").alias("study"), (F.col("c_custkey") % 4).alias("points")))
+
+
+@query(f"""{_CONTROL}, {_VOX}, nzs AS (SELECT series, max(z) + 1 AS nz FROM v GROUP BY series), pt AS (SELECT label AS series, vec_id AS id, round((embedding[1]::DOUBLE + 0.5::DOUBLE) * 7, 3) AS px, round((embedding[2]::DOUBLE + 0.5::DOUBLE) * 7, 3) AS py, round((embedding[3]::DOUBLE + 0.5::DOUBLE) * 9, 3) AS pz FROM embeddings),
+j AS (SELECT pt.series, id, pt.px, pt.py, pz, col, round(sqrt(pow(pt.px - a.px, 2) + pow(pt.py - a.py, 2)), 6) AS mm FROM pt JOIN arch a USING (series)), k AS (SELECT j.*, (1 - CASE WHEN nz > 1 THEN pz / (nz - 1) ELSE 0 END) * (greatest(1, floor((nz - 1) * (1.5::DOUBLE / 0.4::DOUBLE) + 0.5::DOUBLE) + 1) - 1) AS v FROM j JOIN nzs USING (series) QUALIFY row_number() OVER (PARTITION BY series, id ORDER BY mm, col) = 1)
+SELECT series, id, 'pano' AS view, round(col::DOUBLE, 4) AS u, round(v, 4) AS v FROM k UNION ALL
+SELECT k.series, id, 'cross', round((((k.px - a.px) * 0.4::DOUBLE * a.ox + (k.py - a.py) * 0.5::DOUBLE * a.oy) + 20) / 0.4::DOUBLE, 4), round(v, 4) FROM k JOIN arch a ON a.series = k.series AND a.col = 4 WHERE abs(k.col - 4) <= 2""")
+def canal_marks(spark, d):
+    x, y, z = (F.round((F.col("embedding")[i].cast("double") + 0.5) * n, 3) for i, n in enumerate((7, 7, 9)))
+    points = A.table(spark, d, "embeddings").select(F.col("label").alias("series"), F.col("vec_id").alias("id"), x.alias("px"), y.alias("py"), z.alias("pz"))
+    m = P.canal_marks(points, _arch(spark, d), _dims(A.voxels(spark, d)), 4, spacing=(0.4, 0.5, 1.5))
+    return m.select("series", "id", "view", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))

@@ -213,6 +213,20 @@ def label_near(spark, d):
     return V.majority(_places(spark, d), _labelled(spark, d))
 
 
+@query(f"""{LAB}, pt AS (SELECT c_custkey % 10 AS series, c_custkey AS id, c_custkey % 8 AS px, c_custkey // 8 % 8 AS py, c_custkey * 7 % 40 AS pz FROM customer)
+SELECT pt.series, id, x, y, z, label FROM pt JOIN lab ON lab.series = pt.series AND abs(x - px) <= 3 AND abs(y - py) <= 3 AND abs(z - pz) <= 3 WHERE label > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY (x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz), z, y, x) = 1""")
+def nearest_voxels(spark, d):
+    k = F.col("c_custkey")
+    at = {"x": k % 8, "y": F.floor(k / 8) % 8, "z": k * 7 % 40}
+    p = A.table(spark, d, "customer").select((k % 10).cast("int").alias("series"), k.alias("id"), *(e.cast("int").alias(c) for c, e in at.items()))
+    return V.near(p, _labelled(spark, d))
+
+
+@query(f"{LAB} SELECT series, label, {', '.join(f'{f}({c}) AS {c}{k}' for c in 'xyz' for k, f in enumerate(('min', 'max')))} FROM lab GROUP BY GROUPING SETS ((series, label), (series))")
+def layer_bounds(spark, d):
+    return V.bounds(_labelled(spark, d), ["series"], "label")
+
+
 _PRESET = ", ".join(f"('{p}', '{c}')" for p, cs in U.PRESETS.items() for c in cs)
 _CLASS = ", ".join(f"('{c}', {lo}, {hi}, {o})" for c, lo, hi, o in U.tissues(200, True))
 

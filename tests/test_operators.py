@@ -9,6 +9,7 @@ from lamella import verbs
 from lamella.operators import assess as Q
 from lamella.operators import components as C
 from lamella.operators import enhance as E
+from lamella.operators import panoramic as PN
 from lamella.operators import planning as L
 from lamella.operators import reconstruct as K
 from lamella.operators import reduce as R
@@ -176,6 +177,30 @@ def test_signed_distance_of_pixels_that_are_not_square(spark):
         assert abs(d - (far - 0.2 if m[y, x] else 0.2 - far)) < 1e-4
 
 
+def test_least_square_on_a_line():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = rng.integers(1, 40)
+        at, cost, step = np.sort(rng.choice(60, n)).astype(float), rng.integers(0, 400, n).astype(float), rng.choice([0.4, 1.0, 1.3])
+        cost[rng.random(n) < 0.3] = np.nan
+        every = cost[None] + (step * (at[:, None] - at[None])) ** 2
+        want = [np.nan if np.isnan(e).all() else np.nanmin(e) for e in every]
+        assert np.allclose(C.least_square(at, cost, step), want, equal_nan=True, atol=1e-9)
+
+
+def test_signed_distance_of_a_wide_slice_and_of_one_kind(spark):
+    rng = np.random.default_rng(1)
+    m = rng.random((17, 23)) < 0.1
+    rows = [(1, x, y, 0, int(m[y, x])) for y in range(17) for x in range(23)] + [(1, x, y, z, z - 1) for y in range(2) for x in range(3) for z in (1, 2)] + [(1, 0, 0, 3, None)]
+    got = {(r.z, r.x, r.y): r.d for r in C.signed_distance(spark.createDataFrame(rows, "series int, x int, y int, z int, hu int"), 1, 40.0, (0.4, 1.3), -2.0).collect()}
+    assert len(got) == len(rows) and {d for (z, *_), d in got.items() if z in (1, 3)} == {-2.0} and {d for (z, *_), d in got.items() if z == 2} == {40.0}
+    for (z, x, y), d in got.items():
+        if z == 0:
+            far = min(np.hypot((x - a) * 0.4, (y - b) * 1.3) for b in range(17) for a in range(23) if m[b, a] != m[y, x])
+            assert abs(d - (far - 0.2 if m[y, x] else 0.2 - far)) < 1e-4
+    assert C.signed_distance(spark.createDataFrame([], "series int, x int, y int, z int, hu int")).count() == 0
+
+
 def series(spark, rows):
     names = "study long, id long, description string, modality string, frames int, rows_ int, spacing double, thickness double, px0 double, px1 double, nx double, ny double, nz double, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double, frame_of_reference string, colour boolean"
     box = (0.0, 200.0, 0.0, 200.0, 0.0, 150.0)
@@ -240,6 +265,43 @@ def test_lookups_near_a_place(spark):
     assert {r.id: r.label for r in V.majority(p, v).collect()} == {1: 3, 2: 2}
 
 
+def test_nearest_voxels_against_all_voxels(spark):
+    rng = np.random.default_rng(5)
+    held = [(s, *map(int, rng.integers(-6, 20, 3)), int(rng.integers(0, 3))) for s in (0, 1) for _ in range(400)]
+    asked = [(k % 3, k, *map(int, rng.integers(-9, 23, 3))) for k in range(150)] + [(0, 150, None, 1, 1)]
+    v, p = spark.createDataFrame(held, "series int, x int, y int, z int, label int"), spark.createDataFrame(asked, "series int, id int, x int, y int, z int")
+    for radius in (0, 1, 4):
+        want = {}
+        for s, k, *at in asked[:-1]:
+            near = [(sum((a - b) ** 2 for a, b in zip(q, at)), *q[::-1]) for t, *q, label in held if t == s and label and max(abs(a - b) for a, b in zip(q, at)) <= radius]
+            if near:
+                want[k] = min(near)[1:]
+        assert {r.id: (r.z, r.y, r.x) for r in V.near(p, v, radius).collect()} == want
+    assert V.near(p.limit(0), v).count() == V.near(p, v.limit(0)).count() == 0
+
+
+def test_places_of_a_planes_image(spark):
+    c = [F.lit(float(k)) for k in (3.25, 4.5, 6.5)]
+    for plane in V.PLANES:
+        for h, nz in ((21, 11), (1, 1)):
+            p = V.to_volume(plane, F.lit(7.0), F.lit(float(h // 3)), c, F.lit(h), F.lit(nz))
+            assert one(spark, *V.from_volume(plane, p, F.lit(h), F.lit(nz))) == pytest.approx([7.0, h // 3])
+    assert one(spark, *V.to_volume("coronal", F.lit(7.0), F.lit(0.0), c, F.lit(21), F.lit(11))) == [7.0, 4.5, 10.0]  # the last slice on top
+    assert one(spark, *V.turn_to("axial", c, F.lit(99), F.lit(11))) == [3.25, 4.5, 10.0] and one(spark, *V.turn_to("axial", c, F.lit(7), F.lit(11))) == [3.25, 4.5, 6.5]
+    assert one(spark, *V.move_to("sagittal", F.lit(7.0), F.lit(8.0), c, F.lit(21), F.lit(11))) == [3.25, 7.0, 6.0]
+    vert = spark.createDataFrame([(1, 1, 0.0, 1.0, 2.0), (1, 1, 4.0, -1.0, 2.0), (1, 2, 9.0, 0.0, 0.0)], "series int, layer int, x double, y double, z double")
+    assert {r.layer: tuple(r)[2:] for r in V.bounds(vert, ["series"]).collect()} == {1: (0, 4, -1, 1, 2, 2), 2: (9, 9, 0, 0, 0, 0), None: (0, 9, -1, 1, 0, 2)}
+
+
+def test_marks_of_a_canal(spark):
+    curve = spark.createDataFrame([(0, k, float(k), 5.0, 0.0, -1.0) for k in range(12)], "series int, col int, px double, py double, ox double, oy double")
+    points = spark.createDataFrame([(0, 1, 3.2, 4.0, 0.0), (0, 2, 6.1, 7.0, 9.0), (0, 3, 8.0, 5.0, 4.5)], "series int, id int, px double, py double, pz double")
+    dims = spark.createDataFrame([(0, 10)], "series int, nz int")
+    got = {(r.view, r.id): (round(r.u, 6), r.v) for r in PN.canal_marks(points, curve, dims, 5).collect()}
+    assert got == {("pano", 1): (3.0, 9.0), ("pano", 2): (6.0, 0.0), ("pano", 3): (8.0, 4.5), ("cross", 1): (21.0, 9.0), ("cross", 2): (18.0, 0.0)}
+    assert one(spark, PN.shown(F.lit(600.0)), PN.shown(F.lit(2950.0), "mip")) == pytest.approx([127.5, 255.0])
+
+
 def test_structures_are_numbered_up_to_the_last(spark):
     have = spark.createDataFrame([(1, 2, "jaw", "bone"), (1, 4, "metal", "metal")], "series int, id long, name string, base string")
     new = spark.createDataFrame([(1, k, 4 if k % 2 else 2, f"n{k}") for k in range(4)], "series int, at int, of long, name string")
