@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import materialize, tune
+from .common import join_hot, materialize, tune
 
 _PHRASES = "__kind int, __shard long, __h long, __h2 long, __id long, __n long"
 U64 = np.uint64
@@ -282,10 +282,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     proposed = materialize(d.select("__id", "__shard", "__text").mapInArrow(_propose(window, phrase), _PHRASES), "repeats-phrases", by="__kind")
     whole, seen = proposed.where("__kind = 0"), proposed.where("__kind = 1")
-    first = whole.groupBy("__h", "__h2", "__n").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least < __most").drop("__most")
-    copies = whole.join(first, ["__h", "__h2", "__n"]).where("__id > __least").select(F.lit(0).alias("__kind"), "__shard", "__h", "__h2", "__id", "__n")
-    recurring = seen.groupBy("__h").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).where("__least < __most").select("__h")
-    phrases = seen.join(recurring, "__h").select("__shard", "__h").distinct().select(F.lit(1).alias("__kind"), "__shard", "__h", *(F.lit(0).cast("long").alias(c) for c in ("__h2", "__id", "__n")))
+    # copies of one text and a phrase of very many texts stay where they are: their few keys are broadcast
+    first = whole.groupBy("__h", "__h2", "__n").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most"), F.count("*").alias("__rows")).where("__least < __most").drop("__most")
+    copies = join_hot(whole, materialize(first, "repeats-copies"), ["__h", "__h2", "__n"], "__rows").where("__id > __least").select(F.lit(0).alias("__kind"), "__shard", "__h", "__h2", "__id", "__n")
+    recurring = seen.groupBy("__h").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most"), F.count("*").alias("__rows")).where("__least < __most").select("__h", "__rows")
+    phrases = join_hot(seen.select("__shard", "__h"), materialize(recurring, "repeats-recurring"), ["__h"], "__rows").select("__shard", "__h").distinct()
+    phrases = phrases.select(F.lit(1).alias("__kind"), "__shard", "__h", *(F.lit(0).cast("long").alias(c) for c in ("__h2", "__id", "__n")))
     known = copies.unionByName(phrases).withColumnRenamed("__shard", "__dealt")
 
     fields = [f for f in d.schema.fields] + [T.StructField(n, t) for n, t in (("__n_words", T.LongType()), ("__n_removed", T.LongType()), ("__sha", T.StringType()), ("__h", T.LongType()), ("__most", T.LongType()), ("__kind", T.IntegerType()))]

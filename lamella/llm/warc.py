@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, tune
+from .common import join_hot, materialize, shared_dir, tune
 from .id_store import _fs, write_file
 
 ARCHIVE_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
@@ -93,8 +93,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     slim = materialize(slim.groupBy("id").agg(F.min(F.struct("d", "size")).alias("s")).select("id", "s.*"), "warc-digests")
     total = slim.agg(F.sum("size")).first()[0] or 0
     file = F.pmod(F.xxhash64("id"), F.lit(max(1, total // archive_bytes)))
-    last = slim.where(F.col("size") >= revisit_bytes).groupBy("d").agg(F.max("id").alias("response"))
-    plan = slim.join(last, "d", "left").select(file.alias("file"), "id", "d", F.when(F.col("size") >= revisit_bytes, F.col("response")).otherwise(F.col("id")).alias("response"))
+    # payloads met once answer for themselves; those of very many pages are broadcast
+    last = slim.where(F.col("size") >= revisit_bytes).groupBy("d").agg(F.max("id").alias("response"), F.count("*").alias("rows")).where("rows > 1")
+    plan = join_hot(slim, materialize(last, "warc-copies"), ["d"], "rows", "left").select(file.alias("file"), "id", "d", F.coalesce("response", "id").alias("response"))
     folder = path or shared_dir(pages.sparkSession, "warc")
     done = d.withColumn("of", file).groupBy("of").cogroup(plan.groupBy("file")).applyInArrow(_write(folder, compress), "file long, name string, bytes long, records long")
     return folder, materialize(done, "warc-manifest")

@@ -98,6 +98,13 @@ def test_repeats(docs, held, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_with_a_phrase_and_a_text_in_a_third_of_all_rows(spark):
+    footer, text = (" ".join(f"{p}{k}" for k in range(70)) for p in "fc")
+    held = {i: f"u{i} v{i} {footer}" if i % 3 == 0 else text if i % 3 == 1 else " ".join(f"w{i // 6}-{k}" for k in range(60)) for i in range(1500)}
+    got = repeats.remove_repeats(spark.createDataFrame(list(held.items()), "doc_id long, text string"), digest=True, shards=4).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: (n, g, hashlib.sha256(k).hexdigest()) for i, (n, g, k) in removal(held, 50).items()}
+
+
 def test_repeats_null_and_repeated_ids(spark):
     t = " ".join(f"a{i}" for i in range(60))
     d = spark.createDataFrame([(None, t), (5, t), (5, t), (9, t), (None, None)], "doc_id long, text string")
@@ -709,6 +716,17 @@ def test_trees_on_a_suffix_without_labels(spark):
     assert got.select(F.avg(((F.col("prediction") > 0.5) == (F.col("truth") == "block")).cast("double"))).first()[0] > 0.95
 
 
+def test_warc_with_a_payload_in_a_third_of_all_rows(spark):
+    pages = [(i, "u", None if i % 3 == 0 else f"p{i // 6}") for i in range(2400)]
+    folder, manifest = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), compress=False, archive_bytes=200_000)
+    last = {h: i for i, _, h in pages}
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(folder, manifest, False).collect()}
+    assert got == {i: ("response", None) if last[h] == i else ("revisit", last[h]) for i, _, h in pages}
+    bounded, manifest = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), revisit_bytes=4, compress=False, archive_bytes=200_000)
+    got = {r.page_id: r.record_type for r in warc.read_archives(bounded, manifest, False).collect()}
+    assert got == {i: "revisit" if h and len(h) >= 4 and last[h] != i else "response" for i, _, h in pages}
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_warc(spark, compress):
     inner = warc.record(99, "http://x/", b"hidden", "AAAA", None).decode()
