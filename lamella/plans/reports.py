@@ -10,7 +10,7 @@ from ..operators import panoramic as P
 from ..operators import report as W
 from ..operators import views as V
 from ..sources import adapters as A
-from .catalog import _CONTROL, _POSITION, _REFS, _VOX, LAB, _arch, _dims, _joined, _labelled, query
+from .catalog import _CONTROL, _POSITION, _REFS_4, _VOX, LAB, _arch, _dims, _joined, _labelled, query
 from .series import sql_fmt
 
 #: pieces of metal and air spaces from ``part``, three a series
@@ -57,11 +57,11 @@ def vessel_summary(spark, d):
     return W.largest(_objects(spark, d), 2)
 
 
-@query(f"""{LAB}{_REFS}, jm2 AS (SELECT series, x, y, z, i FROM bo WHERE label = 2){_joined("jm2", "k")}, jc AS (SELECT series, component, count(*) AS voxels, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM k GROUP BY ALL HAVING count(*) >= 3),
+@query(f"""{LAB}{_REFS_4}, jm2 AS (SELECT series, x, y, z, i FROM bo WHERE label = 2){_joined("jm2", "k")}, jc AS (SELECT series, component, count(*) AS voxels, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM k GROUP BY ALL HAVING count(*) >= 3),
 jr AS (SELECT *, count(*) OVER (PARTITION BY series) AS parts, row_number() OVER (PARTITION BY series ORDER BY voxels DESC, component) AS n FROM jc) SELECT jr.series, parts, n, jr.voxels, {_POSITION} AS position FROM jr JOIN refs USING (series) WHERE n <= 5""")
 def jaw_parts(spark, d):
     v = _labelled(spark, d)
-    return N.jaw_parts(v, N.references(v), least=3, midline=2.0)
+    return N.jaw_parts(v, N.references(v, every=4), least=3, midline=2.0)
 
 
 @query("""WITH h AS (SELECT p_partkey AS key, p_brand AS name, p_size AS triangles, p_partkey % 3 = 0 AS visible FROM part WHERE p_partkey % 4 < 3), i AS (SELECT p_partkey AS key, p_type AS name, p_size % 7 AS triangles, true AS visible FROM part WHERE p_partkey % 4 > 1)
