@@ -38,3 +38,8 @@ def told(spark, exam, name):
 
 def test_exam_references(spark, exam):
     assert [r["bite_z"] for r in told(spark, exam, "exam_references")] == [9]
+
+
+def test_isolated_parts(spark, exam):
+    got = [(r["voxels"], r["position"].split(", ")[1]) for r in told(spark, exam, "isolated_parts")]
+    assert sorted(got) == [(16, "12 mm above the bite"), (48, "9 mm above the bite")]
