@@ -43,3 +43,8 @@ def test_exam_references(spark, exam):
 def test_isolated_parts(spark, exam):
     got = [(r["voxels"], r["position"].split(", ")[1]) for r in told(spark, exam, "isolated_parts")]
     assert sorted(got) == [(16, "12 mm above the bite"), (48, "9 mm above the bite")]
+
+
+def test_tooth_blocks(spark, exam):
+    got = [(r["upper"], r["lower"], r["blocks_upper"], r["blocks_lower"]) for r in told(spark, exam, "tooth_blocks")]
+    assert got == [(72, 72, 1, 1)]
