@@ -48,3 +48,8 @@ def test_isolated_parts(spark, exam):
 def test_tooth_blocks(spark, exam):
     got = [(r["upper"], r["lower"], r["blocks_upper"], r["blocks_lower"]) for r in told(spark, exam, "tooth_blocks")]
     assert got == [(72, 72, 1, 1)]
+
+
+def test_low_density(spark, exam):
+    got = [(r["voxels"], r["position"].split(", ")[1]) for r in told(spark, exam, "low_density")]
+    assert got == [(2, "12 mm above the bite")]
