@@ -53,3 +53,8 @@ def test_tooth_blocks(spark, exam):
 def test_low_density(spark, exam):
     got = [(r["voxels"], r["position"].split(", ")[1]) for r in told(spark, exam, "low_density")]
     assert got == [(2, "12 mm above the bite")]
+
+
+def test_jaw_parts(spark, exam):
+    got = [(r["parts"], r["voxels"], r["position"].split(", ")[1]) for r in told(spark, exam, "jaw_parts")]
+    assert got == [(1, 16, "12 mm above the bite")]
