@@ -42,12 +42,13 @@ def resolution(s: DataFrame) -> DataFrame:
 def overlap(boxes: DataFrame) -> DataFrame:
     """(a, b, fraction): how much of b's box lies in a's, for the pairs of a group ``g`` that meet along x.
 
-    Boxes are dealt to cells along x and joined by cell, so that a group is not paired with itself whole.
+    Boxes are dealt to cells along x and joined by cell, so that a group is not paired with itself whole.  The join is a merge: Spark's
+    estimate leaves out that a box covers many cells, so that it would broadcast them all through the driver.
     """
     cell, edges = 8.0, ("x0", "x1", "y0", "y1", "z0", "z1")
     c = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
     left, right = (c.select("g", "cell", *(F.col(n).alias(f"{k}_{n}") for n in ("id", *edges))) for k in "ab")
-    j = left.join(right, ["g", "cell"]).where((F.col("a_id") != F.col("b_id")) & (F.col("cell") == F.floor(F.greatest("a_x0", "b_x0") / cell)))
+    j = left.join(right.hint("merge"), ["g", "cell"]).where((F.col("a_id") != F.col("b_id")) & (F.col("cell") == F.floor(F.greatest("a_x0", "b_x0") / cell)))
     both = [F.greatest(F.lit(0.0), F.least(f"a_{n}1", f"b_{n}1") - F.greatest(f"a_{n}0", f"b_{n}0")) for n in "xyz"]
     own = [F.greatest(F.lit(1e-6), F.col(f"b_{n}1") - F.col(f"b_{n}0")) for n in "xyz"]
     share = both[0] * both[1] * both[2] / (own[0] * own[1] * own[2])

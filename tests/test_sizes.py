@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.operators import surface
+from lamella.operators import rules, surface
 from lamella.plans.registered import QUERIES
 
 
@@ -44,3 +44,26 @@ def test_measures_by_bricks_are_those_of_the_whole(spark):
             assert (m.vertices, m.edges, m.triangles) == (len(vids), len(edges), len(f))
             assert m.area == pytest.approx(np.linalg.norm(n, axis=1).sum() / 2) and m.volume == pytest.approx((f[:, 0] * n).sum() / 6)
     assert surface.measures(tri.where("false"), spots.where("false")).count() == 0
+
+
+def test_series_overlap_broadcasts_no_boxes(spark, sf):
+    """Boxes count as few in Spark's estimate, whatever cells they cover."""
+    assert "Broadcast" not in plan(QUERIES["series_overlap"](spark, sf))
+
+
+def test_overlap_of_boxes_against_every_pair(spark):
+    """Boxes that begin alike, in one cell, far apart, inside each other or in groups of their own."""
+    rng = np.random.default_rng(5)
+    boxes = []
+    for k in range(60):
+        low, size = rng.integers(0, 12, 3) * 4.0, rng.integers(1, 9, 3) * 5.0
+        boxes.append((k % 3, k, *(float(e) for c in zip(low, low + size) for e in c)))
+    got = {(r.a, r.b): r.fraction for r in rules.overlap(spark.createDataFrame(boxes, "g int, id int, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")).collect()}
+    want = {}
+    for g, a, *p in boxes:
+        for h, b, *q in boxes:
+            p_, q_ = np.reshape(p, (3, 2)), np.reshape(q, (3, 2))
+            both = np.maximum(0, np.minimum(p_[:, 1], q_[:, 1]) - np.maximum(p_[:, 0], q_[:, 0])).prod()
+            if g == h and a != b and round(both / np.diff(q_).prod(), 6) > 0:
+                want[a, b] = both / np.diff(q_).prod()
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
